@@ -69,36 +69,41 @@ def _repeat_words(hashes: Column) -> Column:
     return F.when(F.size(hashes) <= WINDOW, F.lit(0).cast("long")).otherwise(let(windows, covered))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of each whole text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+STATISTICS = ("n_words", "n_distinct", "n_repeat_words", "word_chars", "n_lines", "n_dup_lines", "n_symbols", "n_upper")
+
+
+def statistics_of(text: Column) -> Column:
+    """A struct with the statistics of a whole text."""
+    text = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
-    by_words = let(
-        words,
-        lambda w: F.struct(
-            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            let(
-                F.transform(w, lambda x: F.xxhash64(x)),
-                lambda h: F.struct(
-                    F.size(h).cast("long").alias("n_words"),
-                    F.size(F.array_distinct(h)).cast("long").alias("n_distinct"),
-                    _repeat_words(h).alias("n_repeat_words"),
-                ),
-            ).alias("h"),
-        ),
-    )
-    by_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    return (
-        docs.select(
-            F.col("doc_id"),
-            by_words.alias("w"),
-            by_lines.alias("l"),
-            _count_of(text, r"[#*$%&|<>]+").alias("n_symbols"),
-            _count_of(text, r"\p{Lu}+").alias("n_upper"),
+
+    def by_words(w: Column) -> Column:
+        return let(
+            F.transform(w, lambda x: F.xxhash64(x)),
+            lambda h: F.struct(
+                F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+                F.size(h).cast("long").alias("n_words"),
+                F.size(F.array_distinct(h)).cast("long").alias("n_distinct"),
+                _repeat_words(h).alias("n_repeat_words"),
+            ),
         )
-        .select("doc_id", "w.h.*", "w.word_chars", "l.*", "n_symbols", "n_upper")
-    )
+
+    def by_lines(x: Column) -> Column:
+        return F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
+
+    both = F.struct(let(words, by_words).alias("w"), let(lines, by_lines).alias("l"), _count_of(text, r"[#*$%&|<>]+").alias("n_symbols"), _count_of(text, r"\p{Lu}+").alias("n_upper"))
+
+    def flat(x: Column) -> Column:
+        inner = [(x["w"], k) for k in STATISTICS[:4]] + [(x["l"], k) for k in STATISTICS[4:6]] + [(x, k) for k in STATISTICS[6:]]
+        return F.struct(*(c[k].alias(k) for c, k in inner))
+
+    return let(both, flat)
+
+
+def statistics(docs: DataFrame) -> DataFrame:
+    """doc_id and the statistics of each whole text."""
+    return docs.select("doc_id", statistics_of(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
 @dataclass(frozen=True)
@@ -213,12 +218,29 @@ def decision_list(rules: list[Rule]) -> tuple[Column, Column]:
     return number, text
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 20) | (F.lit(100) * F.col("n_repeat_words") > F.lit(30) * F.col("n_words"))
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each document: its statistics, base_failed, the rule that rejected it and kept."""
     stats = stored(statistics(docs), "quality")
     number, text = decision_list(learn(stats, labels))
-    failed = (F.col("n_words") < 20) | (F.lit(100) * F.col("n_repeat_words") > F.lit(30) * F.col("n_words"))
     return stats.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & (number == 0)).alias("kept"), number.alias("rule"), text.alias("rule_text"),
+        base_failed().alias("base_failed"), (~base_failed() & (number == 0)).alias("kept"), number.alias("rule"), text.alias("rule_text"),
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that the base rules and the learned rules keep, all columns unchanged.
+
+    The statistics are stored beside their documents, so no document is joined or shuffled.
+    """
+    own = "quality_statistics"
+    while own in docs.columns:
+        own += "_"
+    both = stored(docs.withColumn(own, statistics_of(F.col("text"))), "quality-docs")
+    number, _ = decision_list(learn(both.select("doc_id", f"{own}.*"), labels))
+    inner = both.select(F.struct(*docs.columns).alias("row"), f"{own}.*")
+    return inner.filter(~base_failed() & (number == 0)).select("row.*")

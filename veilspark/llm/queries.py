@@ -7,14 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import license_scan, quality_rules, sharding
+from veilspark.llm import decontamination, license_scan, minhash, pii, quality_rules, sentencepieces, sharding
 from veilspark.llm.common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and each benchmark item that it leaks."""
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -27,9 +36,16 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.report(table(spark, sf_dir, "documents"))
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_quality_rules": op2_quality_rules,
-    "op6_sharding": op6_sharding,
-    "op7_license_scan": op7_license_scan,
+    f.__name__: f
+    for f in (op1_decontamination, op2_quality_rules, op4_pii, op6_sharding, op7_license_scan, op8_sentencepieces, op9_minhash)
 }
 ORACLES: dict[str, str] = {}
