@@ -40,7 +40,7 @@ SPACE = " "
 N_BEST = 4
 #: What an uncovered character costs below the least score of any piece.
 UNKNOWN_PENALTY = 10.0
-#: Files give reserved pieces scores below this; they don't set the price of what is not covered.
+#: Files give reserved pieces (runs of spaces) scores below this; here they rank just below all others.
 LEAST_SCORE = -1e6
 TABLE = 150_000
 
@@ -56,7 +56,9 @@ class Vocabulary:
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.pieces))
-        self.unknown = min(s for _, s in self.pieces.values() if s > LEAST_SCORE) - UNKNOWN_PENALTY
+        least = min((s for _, s in self.pieces.values() if s > LEAST_SCORE), default=0.0)
+        self.pieces = {p: (i, max(s, least - 1.0)) for p, (i, s) in self.pieces.items()}
+        self.unknown = least - UNKNOWN_PENALTY
         self.prefixes = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | self.pieces
         for p in self.pieces:
             if SPACE in p.lstrip(SPACE):
