@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import decontamination, license_scan, minhash, pii, quality_rules, sentencepieces, sharding
+from veilspark.llm import decontamination, license_scan, maxent_lm, minhash, pii, quality_rules, sentencepieces, sharding
 from veilspark.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op5_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -46,6 +50,6 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_quality_rules, op4_pii, op6_sharding, op7_license_scan, op8_sentencepieces, op9_minhash)
+    for f in (op1_decontamination, op2_quality_rules, op4_pii, op5_maxent_lm, op6_sharding, op7_license_scan, op8_sentencepieces, op9_minhash)
 }
 ORACLES: dict[str, str] = {}
