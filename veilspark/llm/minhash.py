@@ -8,10 +8,11 @@ the same minima. 32 bands of 4 places make candidates: a pair of similarity 0.75
 band with probability (1 - 0.75^4)^32, about 5 in a million.
 
 Documents with equal sets are one node. Within a band's bucket nodes are never paired all with all: each
-is held against one leader a round, on the full sets; a bucket is done when its nodes are in one
-component, or when every node outside its largest component has led once and so has been held
-against all. So links are exact, each round is linear in the bucket, and none is lost to a cap.
-Components come from links by stars (graph.py). Nothing grows on the driver.
+is held against the bucket's leader, on the full sets. Nodes of buckets that this leaves in several
+components (a passage shared by unlike texts puts them together) are settled exactly: similar sets share one of
+their rarest shingles, so groups by those are held against a few leaders a round, until a group is in
+one component or each node outside its largest one has led. None is lost to a cap. Components come from
+links by stars (graph.py). Nothing grows on the driver.
 
 Defined results: a text without words (null, empty, white space) has an empty set, is linked with nothing
 and stays; with fewer than five words the whole sequence is its one shingle; rows that share a
@@ -37,6 +38,8 @@ SHINGLE = 5
 PLACES = 128
 ROWS = 4
 SIMILARITY = 75  # per cent
+#: At most so many shingles are ordered by their counts, and broadcast.
+FREQUENT = 1 << 17
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -155,27 +158,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = docs.join(involved.select(F.col("node").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
     sets = stored(own.mapInArrow(_sets, "node long, items binary").dropDuplicates(["node", "items"]), "sets")
 
-    # First each node against the least leader of its buckets, then bucket by bucket.
+    # First each node against the least leader of its buckets, then against the leaders of all of them.
     leaders = members.groupBy("key").agg(F.min("node").alias("b"))
-    first = members.join(leaders, "key").filter("node <> b").groupBy(F.col("node").alias("a")).agg(F.min("b").alias("b"))
+    led = stored(members.join(leaders, "key").filter("node <> b"), "led")
+    first = led.groupBy(F.col("node").alias("a")).agg(F.min("b").alias("b"))
     component = _merged(involved.select("node", F.col("node").alias("component")), _verified(first, sets))
-    led = None
-    while True:
-        placed = members.join(component, "node")
-        sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-        mixed_keys = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max_by("component", F.struct("n", -F.col("component"))).alias("largest")).filter("k > 1")
-        waiting = stored(placed.join(mixed_keys.drop("k"), "key"), "waiting")
-        able = waiting.filter("component <> largest").select("key", "node", "component")
-        if led is not None:
-            able = able.join(led, ["key", "node"], "left_anti")
-        turn = stored(able.groupBy("key").agg(F.min(F.struct("node", "component")).alias("x")).select("key", "x.node", "x.component"), "leaders")
-        if turn.isEmpty():
-            break
-        lead = turn.select("key", F.col("node").alias("b"), F.col("component").alias("c"))
-        pairs = waiting.join(lead, "key").filter("component <> c").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        done = turn.select("key", "node")
-        led = done if led is None else led.union(done)
-        component = _merged(component, _verified(pairs, sets))
+    component = _merged(component, _verified(_apart(led.select(F.col("node").alias("a"), "b").distinct(), component), sets))
+    # What shares a bucket without a link to its leader is settled exactly, by the rarest shingles.
+    open_ = members.join(component, "node").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).filter("n > 2 and x < y")
+    crowd = stored(members.join(open_.select("key"), "key", "left_semi").select("node").distinct(), "crowd")
+    if not crowd.isEmpty():
+        component = _settled(_prefixes(sets.join(crowd, "node", "left_semi")), component, sets)
 
     return (
         sketch.join(copies, print_of, "left")
@@ -189,6 +182,78 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are not in one component yet."""
+    ends = pairs.join(component.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(component.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
+    return ends.filter("ca <> cb").select("a", "b")
+
+
+def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        parts = [np.frombuffer(x, dtype=np.int64) for x in batch.column(1).to_pylist()]
+        if parts:
+            values, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.record_batch([pa.array(values), pa.array(n.astype(np.int64))], names=["shingle", "n"])
+
+
+def _prefixes(crowd: DataFrame) -> DataFrame:
+    """(key, node): each node's rarest shingles, so many that similar sets must share one of them.
+
+    In any one order of all shingles, two sets of similarity t share one of the first n - ceil(t n) + 1 of each.
+    Here frequent shingles come last, by count; no more than FREQUENT of them can be that frequent.
+    """
+    counts = stored(crowd.select("node", "items").mapInArrow(_shingle_counts, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "shingle-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.filter((F.col("n") > 2) & (F.col("n") * F.lit(FREQUENT) >= F.lit(total))).toArrow()
+    shingle, n = rows.column("shingle").to_numpy(), rows.column("n").to_numpy()
+    order = np.argsort(shingle)
+    shared = crowd.sparkSession.sparkContext.broadcast((shingle[order], n[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, count = shared.value
+        for batch in batches:
+            nodes, keys = [], []
+            for node, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = np.frombuffer(items, dtype=np.int64)
+                weight = np.zeros(len(s), dtype=np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    weight = np.where(known[at] == s, count[at], 0)
+                first = s[np.lexsort((s, weight))][: len(s) - -(-SIMILARITY * len(s) // 100) + 1]
+                keys.append(first)
+                nodes.append(np.full(len(first), node, dtype=np.int64))
+            if keys:
+                yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+
+    places = stored(crowd.select("node", "items").mapInArrow(run, "key long, node long"), "prefixes")
+    several = places.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    return stored(places.join(several, "key").select("key", "node").distinct(), "prefix-members")
+
+
+def _settled(members: DataFrame, component: DataFrame, sets: DataFrame) -> DataFrame:
+    """component after all links inside the groups of members. A group is done when it is in one component, or
+    when each of its nodes outside its largest component has led once; every round has four times the leaders."""
+    led, wide = None, 4
+    while True:
+        placed = members.join(component, "node")
+        sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+        largest = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max_by("component", F.struct("n", -F.col("component"))).alias("largest")).filter("k > 1").drop("k")
+        waiting = stored(placed.join(largest, "key"), "waiting")
+        able = waiting.filter("component <> largest").select("key", "node", "component")
+        if led is not None:
+            able = able.join(led, ["key", "node"], "left_anti")
+        turn = able.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(wide))).agg(F.min(F.struct("node", "component")).alias("x"))
+        turn = stored(turn.select("key", "x.node", "x.component"), "leaders")
+        if turn.isEmpty():
+            return component
+        lead = turn.select("key", F.col("node").alias("b"), F.col("component").alias("c"))
+        pairs = waiting.join(lead, "key").filter("component <> c").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        done = turn.select("key", "node")
+        led = stored(done if led is None else led.union(done), "led")
+        component = _merged(component, _verified(pairs, sets))
+        wide *= 4
+
+
 def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
     """component (node, component) after the links (a, b) are added."""
     links = stored(links, "links")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import decontamination, license_scan, maxent_lm, minhash, pii, quality_rules, sentencepieces, sharding
+from veilspark.llm import decontamination, license_scan, maxent_lm, minhash, pii, quality_rules, sentencepieces, sharding, suffix_dedup
 from veilspark.llm.common import table
 
 
@@ -48,8 +48,12 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_quality_rules, op4_pii, op5_maxent_lm, op6_sharding, op7_license_scan, op8_sentencepieces, op9_minhash)
+    for f in (op1_decontamination, op2_quality_rules, op4_pii, op5_maxent_lm, op6_sharding, op7_license_scan, op8_sentencepieces, op9_minhash, op10_suffix_dedup)
 }
 ORACLES: dict[str, str] = {}
