@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import decontamination, license_scan, maxent_lm, minhash, pii, quality_rules, sentencepieces, sharding, suffix_dedup
+from veilspark.llm import decontamination, html_extraction, license_scan, maxent_lm, minhash, pii, quality_rules, sentencepieces, sharding, suffix_dedup
 from veilspark.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_quality_rules, op4_pii, op5_maxent_lm, op6_sharding, op7_license_scan, op8_sentencepieces, op9_minhash, op10_suffix_dedup)
+    for f in (op1_decontamination, op2_quality_rules, op3_html_extraction, op4_pii, op5_maxent_lm, op6_sharding, op7_license_scan, op8_sentencepieces, op9_minhash, op10_suffix_dedup)
 }
 ORACLES: dict[str, str] = {}
