@@ -41,6 +41,33 @@ def _category(category: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page for each order, with a value of each labelled category made from its key."""
+    key = F.col("o_orderkey")
+
+    def number(n: int, factor: int = 1):
+        return F.lpad((key * F.lit(factor) % F.lit(10**n)).cast("string"), n, "0")
+
+    text = F.concat(
+        F.lit("SSN 123-45-"), number(4), F.lit(". EIN 12-"), number(7), F.lit(".\nAccount Number: "), number(10, 7919), F.lit(". Passport no. X"), number(7),
+        F.lit(".\nDriver's license D"), number(7), F.lit(". DOB: 1990-01-"), F.lpad((key % 28 + 1).cast("string"), 2, "0"), F.lit(". Claim number CL-"), number(6),
+        F.lit(".\nEmployee ID E-"), number(5), F.lit(". Home: "), (key % 999 + 1).cast("string"), F.lit(" Main Street, Springfield, IL "), (key % 80000 + 10000).cast("string"), F.lit("."),
+    )
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(key.alias("doc_id"), F.lit(1).alias("page"), text.alias("text"))
+
+
+def _labelled(category: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return S.spans(labelled_pages(spark, sf_dir), _book(category)).select("doc_id", "matched_text")
+
+    return query
+
+
+def card_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = S.spans(documents(spark, sf_dir), _book("creditCardNumbers"))
+    return found.groupBy("doc_id", "matched_text").agg(F.count(F.lit(1)).alias("n_spans"))
+
+
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.spans(documents(spark, sf_dir), BOOK)
 
@@ -168,11 +195,10 @@ def redacted_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.pages.filter("items > 0").select("doc_id", F.length("text").cast("long").alias("n_chars"), (F.length("text") - F.length(F.replace("text", F.lit("█"), F.lit("")))).cast("long").alias("n_masked"))
 
 
-def conversation_pii_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+def conversation_hits_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = conversations(spark, sf_dir)
-    found = S.spans(pages.drop("role"), _book("emailAddresses", "ipAddresses"))
-    roles = pages.select("doc_id", "page", "role")
-    return found.join(roles, ["doc_id", "page"]).groupBy("role", "category").agg(F.count(F.lit(1)).alias("n_spans"))
+    found = S.spans(pages.drop("role"), R.RuleBook((R.Rule("exact", "that", False, None, 1),))).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n"))
+    return pages.groupBy("doc_id", "page", "role").agg(F.count(F.lit(1)).alias("rows")).join(found, ["doc_id", "page"]).groupBy("role").agg(F.sum("n").alias("n_spans"), F.count(F.lit(1)).alias("n_turns"))
 
 
 def pii_vs_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,23 +238,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "email_spans": _category("emailAddresses"),
     "ip_spans": _category("ipAddresses"),
     "phone_spans": _category("phoneNumbers"),
-    "card_spans": _category("creditCardNumbers"),
-    "ssn_spans": _category("socialSecurityNumbers"),
-    "ein_spans": _category("employerIdentificationNumbers"),
-    "account_spans": _category("accountNumbers"),
-    "passport_spans": _category("passportNumbers"),
-    "licence_spans": _category("driversLicenseNumbers"),
-    "birth_date_spans": _category("datesOfBirth"),
-    "health_spans": _category("healthInformation"),
-    "employee_spans": _category("employeeIdentifiers"),
-    "address_spans": _category("streetAddresses"),
+    "ssn_spans": _labelled("socialSecurityNumbers"),
+    "ein_spans": _labelled("employerIdentificationNumbers"),
+    "account_spans": _labelled("accountNumbers"),
+    "passport_spans": _labelled("passportNumbers"),
+    "licence_spans": _labelled("driversLicenseNumbers"),
+    "birth_date_spans": _labelled("datesOfBirth"),
+    "health_spans": _labelled("healthInformation"),
+    "employee_spans": _labelled("employeeIdentifiers"),
+    "address_spans": _labelled("streetAddresses"),
     "spans_by_lang": _by("lang"),
     "spans_by_source": _by("source"),
 } | {
     f.__name__: f
     for f in (
-        normalize_text, secret_tokens, exact_rule_spans, rule_counts, unused_rules, unsupported_categories, spans_by_category, docs_without_findings, runaway_rules, kept_after_refusal, rules_parse,
+        card_spans, normalize_text, secret_tokens, exact_rule_spans, rule_counts, unused_rules, unsupported_categories, spans_by_category, docs_without_findings, runaway_rules, kept_after_refusal, rules_parse,
         rules_diagnostics, plan_parse, plan_usable, plan_of_emails, plan_merge, masked_findings, preview_report, page_summary, redaction_documents, redaction_residue, redacted_lengths,
-        conversation_pii_by_role, pii_vs_labels, luhn_of_keys, mask_functions, proposal_filters, benchmark_literals,
+        conversation_hits_by_role, pii_vs_labels, luhn_of_keys, mask_functions, proposal_filters, benchmark_literals,
     )
 }
