@@ -197,10 +197,11 @@ def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _prefixes(crowd: DataFrame) -> DataFrame:
-    """(key, node): each node's rarest shingles, so many that similar sets must share one of them.
+    """(key, node, n, p, short): each node's rarest shingles, so many that similar sets must share one of them.
 
-    In any one order of all shingles, two sets of similarity t share one of the first n - ceil(t n) + 1 of each.
-    Here frequent shingles come last, by count; no more than FREQUENT of them can be that frequent.
+    In any one order of all shingles, the first that two sets of similarity t share is among the first
+    n - ceil(t n) + 1 of the larger and the first n - ceil(2 t n / (1 + t)) + 1 of the smaller (marked short). Here
+    frequent shingles come last, by count; no more than FREQUENT of them can be that frequent.
     """
     counts = stored(crowd.select("node", "items").mapInArrow(_shingle_counts, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "shingle-counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -212,22 +213,24 @@ def _prefixes(crowd: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = shared.value
         for batch in batches:
-            nodes, keys = [], []
+            parts = []
             for node, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = np.frombuffer(items, dtype=np.int64)
                 weight = np.zeros(len(s), dtype=np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     weight = np.where(known[at] == s, count[at], 0)
-                first = s[np.lexsort((s, weight))][: len(s) - -(-SIMILARITY * len(s) // 100) + 1]
-                keys.append(first)
-                nodes.append(np.full(len(first), node, dtype=np.int64))
-            if keys:
-                yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+                n = len(s)
+                first = s[np.lexsort((s, weight))][: n - -(-SIMILARITY * n // 100) + 1]
+                at = np.arange(len(first))
+                parts.append((first, np.full(len(first), node, dtype=np.int64), np.full(len(first), n, dtype=np.int64), at, at < n + 1 + -2 * SIMILARITY * n // (100 + SIMILARITY)))
+            if parts:
+                columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                yield pa.record_batch([pa.array(c) for c in columns], names=["key", "node", "n", "p", "short"])
 
-    places = stored(crowd.select("node", "items").mapInArrow(run, "key long, node long"), "prefixes")
-    several = places.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    return stored(places.join(several, "key").select("key", "node").distinct(), "prefix-members")
+    places = stored(crowd.select("node", "items").mapInArrow(run, "key long, node long, n long, p long, short boolean"), "prefixes")
+    several = places.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max("short").alias("s")).filter("k > 1 and s").select("key")
+    return stored(places.join(several, "key"), "prefix-members")
 
 
 def _settled(members: DataFrame, component: DataFrame, sets: DataFrame) -> DataFrame:
@@ -239,15 +242,19 @@ def _settled(members: DataFrame, component: DataFrame, sets: DataFrame) -> DataF
         sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
         largest = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max_by("component", F.struct("n", -F.col("component"))).alias("largest")).filter("k > 1").drop("k")
         waiting = stored(placed.join(largest, "key"), "waiting")
-        able = waiting.filter("component <> largest").select("key", "node", "component")
+        own = F.struct("node", "component", "n", "p", "short")
+        able = waiting.filter("component <> largest").select("key", "node", own.alias("own"))
         if led is not None:
             able = able.join(led, ["key", "node"], "left_anti")
-        turn = able.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(wide))).agg(F.min(F.struct("node", "component")).alias("x"))
-        turn = stored(turn.select("key", "x.node", "x.component"), "leaders")
+        turn = able.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(wide))).agg(F.min("own").alias("own"))
+        turn = stored(turn.select("key", "own.*"), "leaders")
         if turn.isEmpty():
             return component
-        lead = turn.select("key", F.col("node").alias("b"), F.col("component").alias("c"))
-        pairs = waiting.join(lead, "key").filter("component <> c").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        lead = turn.select("key", F.col("node").alias("b"), F.col("component").alias("c"), F.col("n").alias("bn"), F.col("p").alias("bp"), F.col("short").alias("bs"))
+        # Sizes, the smaller set's mark, and what can follow a first shared shingle must allow the similarity.
+        near = (F.lit(100) * F.least("n", "bn") >= F.lit(SIMILARITY) * F.greatest("n", "bn")) & ((F.col("short") & (F.col("n") <= F.col("bn"))) | (F.col("bs") & (F.col("bn") <= F.col("n"))))
+        room = F.lit(100 + SIMILARITY) * F.least(F.col("n") - F.col("p"), F.col("bn") - F.col("bp")) >= F.lit(SIMILARITY) * (F.col("n") + F.col("bn"))
+        pairs = waiting.join(lead, "key").filter((F.col("component") != F.col("c")) & near & room).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
         done = turn.select("key", "node")
         led = stored(done if led is None else led.union(done), "led")
         component = _merged(component, _verified(pairs, sets))
