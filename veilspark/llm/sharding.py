@@ -49,8 +49,8 @@ class SlotMap:
     def rebalanced(self, loads: list[int], n_shards: int | None = None, slack: float = 0.01) -> SlotMap:
         """The next version: move few units until no shard exceeds its share by more than slack.
 
-        Units of shards that no longer exist must move; others move only from shards above
-        their share to the shard with the fewest bytes.
+        Units of shards that no longer exist must move; others move only from shards above their share,
+        into new shards if there are any, else to the shard with the fewest bytes.
         """
         n = n_shards or self.n_shards
         shards, total = list(self.shards), [0] * n
@@ -62,6 +62,7 @@ class SlotMap:
             shards[u] = min(range(n), key=lambda s: (total[s], s))
             total[shards[u]] += loads[u]
         share = sum(loads) / n
+        open_ = range(self.n_shards, n) if n > self.n_shards else range(n)
         members: list[list[int]] = [[] for _ in range(n)]
         for u in sorted(range(len(loads)), key=lambda u: (loads[u], u)):
             members[shards[u]].append(u)
@@ -69,7 +70,7 @@ class SlotMap:
             for u in reversed(members[s].copy()):
                 if total[s] <= share * (1 + slack):
                     break
-                to = min(range(n), key=lambda x: (total[x], x))
+                to = min(open_, key=lambda x: (total[x], x))
                 if loads[u] and total[to] + loads[u] < total[s]:
                     shards[u] = to
                     total[s] -= loads[u]
