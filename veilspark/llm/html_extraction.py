@@ -1,7 +1,7 @@
 """Operator 3: main text by a site style tree.
 
 Pages are parsed into trees by a tolerant parser. The trees of one host are merged: a node of the site
-style tree is a path of tags, classes and ids; each page adds to it the sequence of child tags it has there (its
+style tree is a path of tags, classes, ids and places among like siblings; each page adds to it the sequence of child tags it has there (its
 presentation) and the text it has there (its content). A node's importance is the larger of the two
 normalised entropies over the host's distinct pages: navigation and notices look and read alike everywhere
 and score near 0, articles near 1. Branches of low importance are removed from each page, with
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -238,9 +239,14 @@ def host_of(url: str | None) -> str:
 def keys_of(root: Node, host: str) -> dict[int, int]:
     """Key of each node's place in its host's style tree, by the node's id()."""
     out: dict[int, int] = {}
+    nth: Counter = Counter()
     for x in walk(root):
-        above = out[id(x.parent)] if x.parent is not None else 0
-        out[id(x)] = xxhash.xxh3_64_intdigest(x.label.encode("utf-8", "replace"), seed=above) if above else xxhash.xxh3_64_intdigest(host.encode("utf-8", "replace"))
+        if x.parent is None:
+            out[id(x)] = xxhash.xxh3_64_intdigest(host.encode("utf-8", "replace"))
+            continue
+        nth[id(x.parent), x.label] += 1
+        own = f"{x.label}#{nth[id(x.parent), x.label]}"
+        out[id(x)] = xxhash.xxh3_64_intdigest(own.encode("utf-8", "replace"), seed=out[id(x.parent)])
     return out
 
 
