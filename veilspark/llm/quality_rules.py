@@ -26,14 +26,13 @@ from veilspark.llm.common import let, stored
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-#: Features the rules may test, as expressions over the statistics.
+#: Features the rules may test, as expressions over the statistics; none falls or rises with length alone.
 FEATURES = {
     "mean_word": "word_chars / greatest(n_words, 1)",
     "symbol_rate": "n_symbols / greatest(n_words, 1)",
     "repeat_rate": "n_repeat_words / greatest(n_words, 1)",
     "dup_line_rate": "n_dup_lines / greatest(n_lines, 1)",
     "upper_rate": "n_upper / greatest(word_chars, 1)",
-    "distinct_rate": "n_distinct / greatest(n_words, 1)",
 }
 BINS = 32
 
@@ -69,7 +68,7 @@ def _repeat_words(hashes: Column) -> Column:
     return F.when(F.size(hashes) <= WINDOW, F.lit(0).cast("long")).otherwise(let(windows, covered))
 
 
-STATISTICS = ("n_words", "n_distinct", "n_repeat_words", "word_chars", "n_lines", "n_dup_lines", "n_symbols", "n_upper")
+STATISTICS = ("n_words", "n_repeat_words", "word_chars", "n_lines", "n_dup_lines", "n_symbols", "n_upper")
 
 
 def statistics_of(text: Column) -> Column:
@@ -84,7 +83,6 @@ def statistics_of(text: Column) -> Column:
             lambda h: F.struct(
                 F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
                 F.size(h).cast("long").alias("n_words"),
-                F.size(F.array_distinct(h)).cast("long").alias("n_distinct"),
                 _repeat_words(h).alias("n_repeat_words"),
             ),
         )
@@ -95,7 +93,7 @@ def statistics_of(text: Column) -> Column:
     both = F.struct(let(words, by_words).alias("w"), let(lines, by_lines).alias("l"), _count_of(text, r"[#*$%&|<>]+").alias("n_symbols"), _count_of(text, r"\p{Lu}+").alias("n_upper"))
 
     def flat(x: Column) -> Column:
-        inner = [(x["w"], k) for k in STATISTICS[:4]] + [(x["l"], k) for k in STATISTICS[4:6]] + [(x, k) for k in STATISTICS[6:]]
+        inner = [(x["w"], k) for k in STATISTICS[:3]] + [(x["l"], k) for k in STATISTICS[3:5]] + [(x, k) for k in STATISTICS[5:]]
         return F.struct(*(c[k].alias(k) for c, k in inner))
 
     return let(both, flat)
@@ -173,6 +171,13 @@ def learn(stats: DataFrame, labels: DataFrame, max_rules: int = 8, max_condition
     def totals(c: dict, grow: bool) -> tuple[int, int]:
         return tuple(sum(v for k, v in c.items() if k[0] == 0 and k[2] == bad and k[3] == grow) for bad in (True, False))
 
+    def centred(c: Condition, where: Column) -> Condition:
+        """The threshold moved half-way towards the bad rows beyond it (all but their nearest twentieth), to leave
+        good documents that are a little unusual alone."""
+        x = F.expr(FEATURES[c.feature]).cast("double")
+        near = known.filter(where & c.column() & F.col("bad")).agg(F.percentile_approx(x, 0.05 if c.above else 0.95, 10_000)).first()[0]
+        return c if near is None else Condition(c.feature, c.above, (c.threshold + near) / 2)
+
     rules: list[Rule] = []
     left = F.lit(True)
     while len(rules) < max_rules:
@@ -194,9 +199,10 @@ def learn(stats: DataFrame, labels: DataFrame, max_rules: int = 8, max_condition
                             best = (g, Condition(f, above, float(cut)))
             if best[1] is None:
                 break
-            where = where & best[1].column()
+            chosen = centred(best[1], where)
+            where = where & chosen.column()
             now = counts(where)
-            path.append((best[1], totals(now, False)))
+            path.append((chosen, totals(now, False)))
         if not path:
             break
         # Prune from the end: the shortest prefix with the best value on the pruning rows.
