@@ -38,8 +38,6 @@ SHINGLE = 5
 PLACES = 128
 ROWS = 4
 SIMILARITY = 75  # per cent
-#: At most so many shingles are ordered by their counts, and broadcast.
-FREQUENT = 1 << 17
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -188,12 +186,12 @@ def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
     return ends.filter("ca <> cb").select("a", "b")
 
 
-def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts = [np.frombuffer(x, dtype=np.int64) for x in batch.column(1).to_pylist()]
-        if parts:
-            values, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.record_batch([pa.array(values), pa.array(n.astype(np.int64))], names=["shingle", "n"])
+        sets = [np.frombuffer(x, dtype=np.int64) for x in batch.column(1).to_pylist()]
+        if sets:
+            nodes = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
+            yield pa.record_batch([pa.array(nodes), pa.array(np.concatenate(sets))], names=["node", "key"])
 
 
 def _prefixes(crowd: DataFrame) -> DataFrame:
@@ -201,36 +199,20 @@ def _prefixes(crowd: DataFrame) -> DataFrame:
 
     In any one order of all shingles, the first that two sets of similarity t share is among the first
     n - ceil(t n) + 1 of the larger and the first n - ceil(2 t n / (1 + t)) + 1 of the smaller (marked short). Here
-    frequent shingles come last, by count; no more than FREQUENT of them can be that frequent.
+    shingles are ordered by their counts among the crowd, which are joined: no table of them has a bound.
     """
-    counts = stored(crowd.select("node", "items").mapInArrow(_shingle_counts, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "shingle-counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.filter((F.col("n") > 2) & (F.col("n") * F.lit(FREQUENT) >= F.lit(total))).toArrow()
-    shingle, n = rows.column("shingle").to_numpy(), rows.column("n").to_numpy()
-    order = np.argsort(shingle)
-    shared = crowd.sparkSession.sparkContext.broadcast((shingle[order], n[order]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = shared.value
-        for batch in batches:
-            parts = []
-            for node, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = np.frombuffer(items, dtype=np.int64)
-                weight = np.zeros(len(s), dtype=np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    weight = np.where(known[at] == s, count[at], 0)
-                n = len(s)
-                first = s[np.lexsort((s, weight))][: n - -(-SIMILARITY * n // 100) + 1]
-                at = np.arange(len(first))
-                parts.append((first, np.full(len(first), node, dtype=np.int64), np.full(len(first), n, dtype=np.int64), at, at < n + 1 + -2 * SIMILARITY * n // (100 + SIMILARITY)))
-            if parts:
-                columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-                yield pa.record_batch([pa.array(c) for c in columns], names=["key", "node", "n", "p", "short"])
-
-    places = stored(crowd.select("node", "items").mapInArrow(run, "key long, node long, n long, p long, short boolean"), "prefixes")
-    several = places.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max("short").alias("s")).filter("k > 1 and s").select("key")
-    return stored(places.join(several, "key"), "prefix-members")
+    items = crowd.select("node", "items").mapInArrow(_items, "node long, key long")
+    several = items.groupBy("key").agg(F.count(F.lit(1)).alias("count")).filter("count > 1")
+    counted = items.join(several, "key", "left").select("node", F.struct(F.coalesce("count", F.lit(1)).alias("count"), "key").alias("x"))
+    sets = counted.groupBy("node").agg(F.sort_array(F.collect_list("x")).alias("xs"), F.count(F.lit(1)).alias("n"))
+    first = F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100) + 1
+    short = F.col("n") - F.ceil(F.col("n") * (2 * SIMILARITY) / (100 + SIMILARITY)) + 1
+    places = sets.select("node", "n", short.alias("s"), F.posexplode(F.slice("xs", F.lit(1), first.cast("int"))).alias("p", "x"))
+    # What only one node has puts it in no group.
+    places = places.filter("x.count > 1").select("x.key", "node", "n", F.col("p").cast("long").alias("p"), (F.col("p") < F.col("s")).alias("short"))
+    places = stored(places, "prefixes")
+    groups = places.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max("short").alias("s")).filter("k > 1 and s").select("key")
+    return stored(places.join(groups, "key"), "prefix-members")
 
 
 def _settled(members: DataFrame, component: DataFrame, sets: DataFrame) -> DataFrame:
