@@ -42,7 +42,7 @@ N_BEST = 4
 UNKNOWN_PENALTY = 10.0
 #: Files give reserved pieces (runs of spaces) scores below this; here they rank just below all others.
 LEAST_SCORE = -1e6
-TABLE = 150_000
+TABLE = 120_000
 
 
 @dataclass
@@ -53,12 +53,16 @@ class Vocabulary:
     longest: int = field(init=False)
     unknown: float = field(init=False)
     prefixes: dict[str, tuple[int, float] | None] = field(init=False)  # pieces and what pieces begin with
+    pairs: set[str] = field(init=False)  # neighbours inside pieces
+    raw: list[bytes] = field(init=False)  # by id: what it decodes to
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.pieces))
         least = min((s for _, s in self.pieces.values() if s > LEAST_SCORE), default=0.0)
         self.pieces = {p: (i, max(s, least - 1.0)) for p, (i, s) in self.pieces.items()}
         self.unknown = least - UNKNOWN_PENALTY
+        self.pairs = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
+        self.raw = [b"" if t is None else bytes([t]) if isinstance(t, int) else t.encode() for t in self.texts]
         self.prefixes = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | self.pieces
         for p in self.pieces:
             if SPACE in p.lstrip(SPACE):
@@ -195,17 +199,43 @@ class Segmenter:
         self.v, self.table = v, table
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
+        self.parts: dict[str, tuple] = {}
+        self.old_parts: dict[str, tuple] = {}
+        self.listed: dict[tuple[str, int], list[float]] = {}
 
     def _link(self, link: str) -> tuple[tuple[int, ...], float, float]:
         found = self.old.get(link)
         if found is None:
-            found = forward(link, self.v)
+            found = self._whole(link)
         if len(link) <= 64:
             if len(self.young) >= self.table:
                 self.old, self.young = self.young, {}
             self.young[link] = found
         return found
 
+    def _whole(self, link: str) -> tuple[tuple[int, ...], float, float]:
+        """A link cut where no piece can cross: parts (stems, punctuation) repeat more than links do."""
+        pairs, a, parts = self.v.pairs, 0, []
+        for i in range(1, len(link)):
+            if link[i - 1 : i + 1] not in pairs:
+                parts.append(self._part(link[a:i]))
+                a = i
+        last = self._part(link[a:])
+        if not parts:
+            return last
+        parts.append(last)
+        return tuple(i for p in parts for i in p[0]), sum(p[1] for p in parts), min(p[2] for p in parts)
+
+    def _part(self, part: str) -> tuple[tuple[int, ...], float, float]:
+        found = self.parts.get(part)
+        if found is None:
+            found = self.old_parts.get(part) or forward(part, self.v)
+            if len(part) <= 64:
+                if len(self.parts) >= self.table:
+                    self.old_parts, self.parts = self.parts, {}
+                self.parts[part] = found
+        return found
+
     def links(self, text: str) -> list[str]:
         if not text:
             return []
@@ -259,19 +289,19 @@ class Segmenter:
         sums = [0.0]
         for loss, link in heapq.nsmallest(n - 1, ((loss, link) for link, loss in losses)):
             if loss < float("inf"):
-                options = n_best(lattice(link, self.v), n)
-                sums = heapq.nsmallest(n, (a + options[0][0] - s for a in sums for s, _ in options))
+                losses_of = self.listed.get((link, n))
+                if losses_of is None:
+                    options = n_best(lattice(link, self.v), n)
+                    losses_of = [options[0][0] - s for s, _ in options]
+                    if len(self.listed) >= self.table:
+                        self.listed.clear()
+                    if len(link) <= 64:
+                        self.listed[link, n] = losses_of
+                sums = heapq.nsmallest(n, (a + x for a in sums for x in losses_of))
         return [score - x for x in sums]
 
     def decode(self, ids: list[int]) -> str:
-        out = bytearray()
-        for i in ids:
-            t = self.v.texts[i]
-            if isinstance(t, int):
-                out.append(t)
-            elif t is not None:
-                out += t.encode("utf-8", "surrogatepass")
-        text = out.decode("utf-8", "surrogatepass")
+        text = b"".join(map(self.v.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")
         return text[1:] if text[:1] == " " else text
 
 
