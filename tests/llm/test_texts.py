@@ -166,3 +166,43 @@ def test_language_model_is_a_distribution():
         cls, place = m.places(*m.lookup(x[2:]))
         total += 10 ** maxent_lm.score_batch(m, f, cls, place)[0]
     assert total == pytest.approx(1.0, abs=1e-4)
+
+
+def test_language_model_tells_other_words_apart():
+    import numpy as np
+
+    size = maxent_lm.CLASSES * maxent_lm.PER_CLASS
+    token = np.sort(np.random.default_rng(4).integers(1, 1 << 62, size + 100).astype(np.uint64))
+    count = np.where(np.arange(size + 100) < size, 50, 5)
+    m = maxent_lm.Model(token, count, int(count.sum()) + 40, size + 100 + 20)
+    tail = np.arange(7, 27, dtype=np.uint64)  # twenty words that occur twice and are not broadcast
+    leaf, n = np.unique(maxent_lm.tail_leaf(tail, m.own, m.levels), return_counts=True)
+    m.grow(leaf, 2 * n, n)
+    held = np.zeros(len(m.log_whole))
+    held[leaf] = n
+
+    def prob(before, words):
+        out = []
+        for w in words:
+            h = np.array([before, w], dtype=np.uint64)
+            f = [x[1:] for x in maxent_lm.histories(h, np.array([0]))]
+            at, there = m.lookup(h[1:])
+            cls, place = m.places(at, there)
+            out.append(maxent_lm.score_batch(m, f, cls, place, m.leaf_of(h[1:], at, there))[0])
+        return 10 ** np.array(out)
+
+    pairs = np.array([token[size], token[size + 1], tail[0], tail[1]] * 200, dtype=np.uint64)
+    starts = np.arange(0, len(pairs), 2)
+    at, there = m.lookup(pairs)
+    cls, place = m.places(at, there)
+    assert (cls == maxent_lm.CLASSES).all()
+    before = prob(token[size], [token[size + 1], token[size + 2]])
+    assert before[0] == pytest.approx(before[1], rel=1e-4)
+    for _ in range(5):
+        maxent_lm.train_batch(m, maxent_lm.histories(pairs, starts), cls, place, m.leaf_of(pairs, at, there))
+    after = prob(token[size], [token[size + 1], token[size + 2]])
+    assert after[0] > 10 * after[1]
+    assert prob(tail[0], [tail[1]])[0] > 10 * prob(token[size], [tail[1]])[0]
+    rest = [w for w in range(27, 200_000) if held[k := maxent_lm.tail_leaf(np.array([w], dtype=np.uint64), m.own, m.levels)[0]] == 0 and not held.__setitem__(k, -1)]
+    assert len(rest) + len(leaf) == len(held) - m.own  # one word of each leaf; together with the classes, all there is
+    assert prob(token[size], [*token, *rest, *(tail[np.unique(maxent_lm.tail_leaf(tail, m.own, m.levels), return_index=True)[1]])]).sum() == pytest.approx(1.0, abs=1e-3)

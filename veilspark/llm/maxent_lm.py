@@ -3,8 +3,14 @@
 Tokens are the words (A-Z lower-cased) and one end for each text. All tokens are counted, by hash, in one
 aggregation. The most frequent training words form classes; log P(w | history) is log P(class | history) +
 log P(word | class, history), each a softmax whose logits sum hashed weights of three features: the previous
-word, the previous two, and the one before the previous (a skip). All other words share one
-class, inside which they follow their smoothed counts. So the model is a proper distribution.
+word, the previous two, and the one before the previous (a skip). All other words are one more class, which a tree of
+nested classes divides: each of its nodes is a softmax of FAN children over the same features. The frequent ones (below)
+have a leaf each; the others are dealt to the remaining leaves by hash, and inside such a leaf they follow their
+smoothed counts. Every word is thus predicted from its history, and the model is a proper distribution.
+
+Sizes follow the counted words: the tree has at least as many leaves as other words, and the weights as many rows as
+words (four times as many in the tree), until the bounds of what is broadcast: FAN ** MOST_LEVELS leaves, 2 ** MOST_BITS rows. Beyond
+them more words share a leaf and more histories a row; none is left out.
 
 Training runs over all training texts: in each round the workers start from the broadcast weights, take
 stochastic gradient steps over their own texts in sparse numpy batches, and emit their weights in blocks;
@@ -32,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import stored
@@ -41,16 +47,20 @@ from veilspark.llm.words import MIX, hashes_of, mixed, slices, texts
 HOT = 1 << 18
 CLASSES = 32
 PER_CLASS = 32
-BUCKET_BITS = 14
+FAN = 16
+FAN_BITS = 4
+MOST_LEVELS = 5
+LEAST_BITS, MOST_BITS = 14, 16
+TREE_BITS = 2  # more bits for the tree's weights
 ROUNDS = 2
 RATE = 0.25
 BATCH = 8192
 BLOCKS = 16
+LEAST_TASKS = 16  # of a round: each emits the weights once, so their number follows the cores, not the files
 SMOOTHING = 0.1
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end"))
 START = np.uint64(xxhash.xxh3_64_intdigest(b"\x00start"))
-SHIFT = np.uint64(64 - BUCKET_BITS)
-SALT = [np.uint64(xxhash.xxh3_64_intdigest(b"salt%d" % i) | 1) for i in range(5)]
+SALT = [np.uint64(xxhash.xxh3_64_intdigest(b"salt%d" % i) | 1) for i in range(6)]
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -121,8 +131,48 @@ class Model:
         with np.errstate(divide="ignore"):
             self.bias_c = np.maximum(np.log(per_class / per_class.sum()), -30.0 - 1e3 * (per_class == 0)).astype(np.float32)
             self.bias_w = np.maximum(np.log(mass.reshape(CLASSES, PER_CLASS)), -1e3 * (mass.reshape(CLASSES, PER_CLASS) == 0)).astype(np.float32)
-        self.w_c = np.zeros((1 << BUCKET_BITS, CLASSES + 1), dtype=np.float32)
-        self.w_w = np.zeros((1 << BUCKET_BITS, PER_CLASS), dtype=np.float32)
+        bits = weight_bits(self.v)
+        self.w_c = np.zeros((1 << bits, CLASSES + 1), dtype=np.float32)
+        self.w_w = np.zeros((1 << bits, PER_CLASS), dtype=np.float32)
+        self.w_t = np.zeros((1 << (bits + TREE_BITS), FAN), dtype=np.float32)
+        others = np.lexsort((self.token, -self.count))[len(order) :]
+        others = others[self.count[others] > 0]
+        self.leaf = np.full(len(self.token), -1, dtype=np.int64)  # own leaf of the frequent ones among the other words
+        self.leaf[others] = np.arange(len(others))
+        self.own = len(others)
+        self.levels = levels(self.own, self.rare_v - self.own)
+
+    def grow(self, leaf: np.ndarray, n: np.ndarray, v: np.ndarray) -> None:
+        """Plant the tree, from the occurrences and the number of the words that share each leaf."""
+        mass = np.full(FAN**self.levels, SMOOTHING)  # an unseen word may fall into any shared leaf
+        mass[leaf] += n + SMOOTHING * v
+        there = self.leaf >= 0
+        mass[self.leaf[there]] = self.count[there]
+        self.log_whole = np.log10(np.where(np.arange(len(mass)) < self.own, 1.0, mass)).astype(np.float32)
+        parts = []
+        for _ in range(self.levels):
+            rows = mass.reshape(-1, FAN)
+            parts.append(np.log(rows).astype(np.float32))
+            mass = rows.sum(axis=1)
+        self.bias_t = np.concatenate(parts[::-1])
+
+    def leaf_of(self, h: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """Leaf of each token that is in no class: its own, or a shared one."""
+        shared = tail_leaf(h, self.own, self.levels)
+        if not len(self.token):
+            return shared
+        own = np.where(there, self.leaf[at], -1)
+        return np.where(own >= 0, own, shared)
+
+    def path(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes from the root of the tree to each leaf, and the child taken at each, level by level."""
+        nodes, taken, first = [], [], 0
+        for k in range(self.levels):
+            prefix = leaf >> (FAN_BITS * (self.levels - k))
+            nodes.append(first + prefix)
+            taken.append((leaf >> (FAN_BITS * (self.levels - k - 1))) & (FAN - 1))
+            first += FAN**k
+        return np.concatenate(nodes), np.concatenate(taken)
 
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index among the frequent tokens, and which are there."""
@@ -138,12 +188,36 @@ class Model:
         slot = np.where(there, self.slot[at], -1)
         return np.where(slot >= 0, slot // PER_CLASS, CLASSES), np.where(slot >= 0, slot % PER_CLASS, 0)
 
+    def __getstate__(self) -> dict:
+        """What is broadcast: the weights with half the bytes."""
+        return self.__dict__ | {k: getattr(self, k).astype(np.float16) for k in ("w_c", "w_w", "w_t")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state | {k: state[k].astype(np.float32) for k in ("w_c", "w_w", "w_t")}
+
     def pack(self) -> np.ndarray:
-        return np.concatenate([self.w_c.ravel(), self.w_w.ravel()])
+        return np.concatenate([self.w_c.ravel(), self.w_w.ravel(), self.w_t.ravel()])
+
+    def add(self, flat: np.ndarray) -> None:
+        done = 0
+        for w in (self.w_c, self.w_w, self.w_t):
+            w += flat[done : done + w.size].reshape(w.shape)
+            done += w.size
 
-    def unpack(self, flat: np.ndarray) -> None:
-        k = self.w_c.size
-        self.w_c, self.w_w = flat[:k].reshape(self.w_c.shape).copy(), flat[k:].reshape(self.w_w.shape).copy()
+
+def weight_bits(v: int) -> int:
+    """Bits of a row number: as many rows as distinct words, within the bounds."""
+    return min(max(int(v).bit_length(), LEAST_BITS), MOST_BITS)
+
+
+def levels(own: int, shared: int) -> int:
+    """Levels of a tree with a leaf for each of the other words, within the bound; one leaf at least is shared."""
+    return next((k for k in range(1, MOST_LEVELS) if FAN**k >= own + shared + 1), MOST_LEVELS)
+
+
+def tail_leaf(h: np.ndarray, own: int, depth: int) -> np.ndarray:
+    """Shared leaf of each word: the leaves from `own` on, by hash."""
+    return own + (mixed(h * SALT[5]) % np.uint64(FAN**depth - own)).astype(np.int64)
 
 
 def histories(h: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
@@ -177,36 +251,61 @@ def _logits(bias: np.ndarray, w: np.ndarray, rows: list[np.ndarray]) -> np.ndarr
     return z
 
 
-def _word_rows(features: list[np.ndarray], cls: np.ndarray) -> list[np.ndarray]:
-    return [(mixed(f + cls.astype(np.uint64) * SALT[4]) >> SHIFT).astype(np.int64) for f in features]
+def _rows(features: list[np.ndarray], w: np.ndarray) -> list[np.ndarray]:
+    shift = np.uint64(65 - len(w).bit_length())  # len(w) is a power of two
+    return [(f >> shift).astype(np.int64) for f in features]
+
 
+def _word_rows(features: list[np.ndarray], cls: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+    own = cls.astype(np.uint64) * SALT[4]
+    return _rows([mixed(f + own) for f in features], w)
 
-def train_batch(m: Model, features: list[np.ndarray], cls: np.ndarray, place: np.ndarray) -> None:
-    rows = [(f >> SHIFT).astype(np.int64) for f in features]
+
+def _tree_rows(m: Model, features: list[np.ndarray], leaf: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Rows of the weights, node and child taken, for each level of each leaf's path."""
+    node, child = m.path(leaf)
+    return _word_rows([np.tile(f, m.levels) for f in features], node + CLASSES + 1, m.w_t), node, child
+
+
+def train_batch(m: Model, features: list[np.ndarray], cls: np.ndarray, place: np.ndarray, leaf: np.ndarray | None = None) -> None:
+    rows = _rows(features, m.w_c)
     g = _softmax(_logits(m.bias_c, m.w_c, rows))
     g[np.arange(len(cls)), cls] -= 1
     _step(m.w_c, rows, g)
     k = np.flatnonzero(cls < CLASSES)
     if len(k):
-        rows = _word_rows([f[k] for f in features], cls[k])
+        rows = _word_rows([f[k] for f in features], cls[k], m.w_w)
         g = _softmax(_logits(m.bias_w[cls[k]], m.w_w, rows))
         g[np.arange(len(k)), place[k]] -= 1
         _step(m.w_w, rows, g)
+    k = np.flatnonzero(cls == CLASSES)
+    if leaf is not None and len(k):
+        rows, node, child = _tree_rows(m, [f[k] for f in features], leaf[k])
+        g = _softmax(_logits(m.bias_t[node], m.w_t, rows))
+        g[np.arange(len(node)), child] -= 1
+        _step(m.w_t, rows, g)
 
 
-def score_batch(m: Model, features: list[np.ndarray], cls: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """log10 P(class | history) + log10 P(word | class, history) of each token; only the first for rare ones."""
+def _log_softmax(z: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    top = z.max(axis=1)
+    return z[np.arange(len(z)), taken] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+
+
+def score_batch(m: Model, features: list[np.ndarray], cls: np.ndarray, place: np.ndarray, leaf: np.ndarray | None = None) -> np.ndarray:
+    """log10 P(class | history) + log10 P(word | class, history) of each token; for other words, P(leaf | class, history) if leaves are given."""
     out = np.zeros(len(cls))
     for a in range(0, len(cls), BATCH):
         b = slice(a, a + BATCH)
-        z = _logits(m.bias_c, m.w_c, [(f[b] >> SHIFT).astype(np.int64) for f in features]).astype(np.float64)
-        top = z.max(axis=1)
-        out[b] = z[np.arange(len(z)), cls[b]] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+        out[b] = _log_softmax(_logits(m.bias_c, m.w_c, _rows([f[b] for f in features], m.w_c)).astype(np.float64), cls[b])
         k = a + np.flatnonzero(cls[b] < CLASSES)
         if len(k):
-            z = _logits(m.bias_w[cls[k]], m.w_w, _word_rows([f[k] for f in features], cls[k])).astype(np.float64)
-            top = z.max(axis=1)
-            out[k] += z[np.arange(len(k)), place[k]] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+            z = _logits(m.bias_w[cls[k]], m.w_w, _word_rows([f[k] for f in features], cls[k], m.w_w))
+            out[k] += _log_softmax(z.astype(np.float64), place[k])
+        k = a + np.flatnonzero(cls[b] == CLASSES)
+        if leaf is not None and len(k):
+            rows, node, child = _tree_rows(m, [f[k] for f in features], leaf[k])
+            z = _logits(m.bias_t[node], m.w_t, rows)
+            out[k] += _log_softmax(z.astype(np.float64), child).reshape(m.levels, -1).sum(axis=0)
     return out / math.log(10)
 
 
@@ -232,20 +331,22 @@ def _train(docs: DataFrame, model: Model, part: int) -> Model:
         m = shared.value
         mine = Model.__new__(Model)
         mine.__dict__ = dict(m.__dict__)
-        mine.w_c, mine.w_w = m.w_c.copy(), m.w_w.copy()
+        mine.w_c, mine.w_w, mine.w_t = m.w_c.copy(), m.w_w.copy(), m.w_t.copy()
         done = 0
         for batch in slices(batches):
             _, h, starts = _flat(batch, train_only=True)
             if not len(h):
                 continue
             features = histories(h, starts)
-            cls, place = mine.places(*mine.lookup(h))
+            at, there = mine.lookup(h)
+            cls, place = mine.places(at, there)
+            leaf = mine.leaf_of(h, at, there)
             for a in range(0, len(h), BATCH):
                 b = slice(a, a + BATCH)
-                train_batch(mine, [f[b] for f in features], cls[b], place[b])
+                train_batch(mine, [f[b] for f in features], cls[b], place[b], leaf[b])
             done += len(h)
         if done:
-            blocks = np.array_split(mine.pack(), BLOCKS)
+            blocks = np.array_split((mine.pack() - m.pack()).astype(np.float16), BLOCKS)  # what the steps changed
             yield pa.record_batch([pa.array(range(BLOCKS), pa.int32()), pa.array([done] * BLOCKS, pa.int64()), pa.array([x.tobytes() for x in blocks], pa.binary())], names=["block", "n", "weights"])
 
     def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,22 +354,24 @@ def _train(docs: DataFrame, model: Model, part: int) -> Model:
         n: Counter = Counter()
         for batch in batches:
             for k, c, w in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                x = np.frombuffer(w, dtype=np.float32).astype(np.float64) * c
+                x = np.frombuffer(w, dtype=np.float16).astype(np.float32) * np.float32(c)
                 total[k] = total[k] + x if k in total else x
                 n[k] += c
         if total:
             keys = sorted(total)
-            yield pa.record_batch([pa.array(keys, pa.int32()), pa.array([n[k] for k in keys], pa.int64()), pa.array([(total[k] / n[k]).astype(np.float32).tobytes() for k in keys], pa.binary())], names=["block", "n", "weights"])
+            yield pa.record_batch([pa.array(keys, pa.int32()), pa.array([n[k] for k in keys], pa.int64()), pa.array([(total[k] / np.float32(n[k])).tobytes() for k in keys], pa.binary())], names=["block", "n", "weights"])
 
     schema = "block int, n long, weights binary"
     half = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == part)
-    rows = half.mapInArrow(local, schema).repartition(BLOCKS, "block").mapInArrow(averaged, schema).collect()  # BLOCKS rows of fixed size
+    tasks = max(LEAST_TASKS, 2 * docs.sparkSession.sparkContext.defaultParallelism)
+    rows = half.coalesce(tasks).mapInArrow(local, schema).repartition(BLOCKS, "block").mapInArrow(averaged, schema).collect()  # BLOCKS rows of fixed size
+    shared.destroy()
     if rows:
-        model.unpack(np.concatenate([np.frombuffer(r["weights"], dtype=np.float32) for r in sorted(rows, key=lambda r: r["block"])]))
+        model.add(np.concatenate([np.frombuffer(r["weights"], dtype=np.float32) for r in sorted(rows, key=lambda r: r["block"])]))
     return model
 
 
-SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, model double, rare_logs double, n_rare long, tail array<long>, tail_n array<int>"
+SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, model double, rare_logs double, tail array<long>, tail_n array<int>"
 
 
 def _scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -287,9 +390,10 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
             cls, place = m.places(at, there)
             logs = np.where(there, log_c[at] if len(log_c) else 0.0, 0.0)
             known = there & (m.count[at] > 0) if len(log_c) else there
-            rare = cls == CLASSES
+            rare, leaf = cls == CLASSES, m.leaf_of(h, at, there)
+            dealt = rare & (leaf >= m.own)
             per = lambda x: np.bincount(owner, weights=x, minlength=n)
-            sums = [per(known), per(logs), per(score_batch(m, histories(h, starts), cls, place)), per(np.where(rare, logs, 0.0)), per(rare)]
+            sums = [per(known), per(logs), per(score_batch(m, histories(h, starts), cls, place, leaf) - np.where(dealt, m.log_whole[leaf], 0.0)), per(np.where(dealt, logs, 0.0))]
             tails, counts = [], []
             off = np.flatnonzero(~there)
             cut = np.searchsorted(owner[off], np.arange(n + 1))
@@ -305,8 +409,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
                     pa.array([held_out(d) for d in ids], pa.bool_()),
                     pa.array(np.bincount(owner, minlength=n), pa.int64()),
                     pa.array(sums[0].astype(np.int64), pa.int64()),
-                    *(pa.array(x, pa.float64()) for x in sums[1:4]),
-                    pa.array(sums[4].astype(np.int64), pa.int64()),
+                    *(pa.array(x, pa.float64()) for x in sums[1:]),
                     pa.array(tails, pa.list_(pa.int64())),
                     pa.array(counts, pa.list_(pa.int32())),
                 ],
@@ -317,15 +420,30 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, SCORED)
 
 
+def _leaf_counts(counts: DataFrame, least: Column, own: int, depth: int) -> pa.Table:
+    """(leaf, n, v): occurrences and number of the training words that share each leaf; FAN ** MOST_LEVELS rows at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf = tail_leaf(batch.column(0).to_numpy().view(np.uint64), own, depth)
+            yield pa.record_batch([pa.array(leaf, pa.int64()), batch.column(1)], names=["leaf", "c"])
+
+    shared = counts.filter(~least & (F.col("c") > 0)).select("token", "c")
+    return shared.mapInArrow(run, "leaf long, c long").groupBy("leaf").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = stored(docs.mapInArrow(_counts, "token long, c long, a long").groupBy("token").agg(F.sum("c").alias("c"), F.sum("a").alias("a")), "token-counts")
     n, v, a = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum("a"), F.lit(0))).first()
-    frequent = counts.filter(F.col("a") * F.lit(HOT) >= F.lit(a)).select("token", "c").toArrow()  # HOT rows at most
+    least = F.col("a") * F.lit(HOT) >= F.lit(a)
+    frequent = counts.filter(least).select("token", "c").toArrow()  # HOT rows at most
     hashes = frequent.column("token").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     model = Model(hashes[order], frequent.column("c").to_numpy().astype(np.int64)[order], n, v)
+    tail_counts = _leaf_counts(counts, least, model.own, model.levels)
+    model.grow(*(tail_counts.column(k).to_numpy() for k in ("leaf", "n", "v")))
     for part in range(ROUNDS):
         model = _train(docs, model, part)
 
@@ -338,7 +456,6 @@ def score(docs: DataFrame) -> DataFrame:
         F.sum("n").alias("tail_all"),
     )
     whole = math.log10(n + SMOOTHING * (v + 1))
-    rest = math.log10(model.rare_n + SMOOTHING * (model.rare_v + 1))
     logs = F.coalesce("tail_logs", F.lit(0.0))
     return scored.drop("tail", "tail_n").join(sums, "rid", "left").select(
         "doc_id",
@@ -347,5 +464,5 @@ def score(docs: DataFrame) -> DataFrame:
         (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("logs") + logs - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
-        (F.col("model") + F.col("rare_logs") + logs - F.col("n_rare") * F.lit(rest)).alias("score"),
+        (F.col("model") + F.col("rare_logs") + logs).alias("score"),
     )
