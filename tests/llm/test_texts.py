@@ -206,3 +206,17 @@ def test_language_model_tells_other_words_apart():
     rest = [w for w in range(27, 200_000) if held[k := maxent_lm.tail_leaf(np.array([w], dtype=np.uint64), m.own, m.levels)[0]] == 0 and not held.__setitem__(k, -1)]
     assert len(rest) + len(leaf) == len(held) - m.own  # one word of each leaf; together with the classes, all there is
     assert prob(token[size], [*token, *rest, *(tail[np.unique(maxent_lm.tail_leaf(tail, m.own, m.levels), return_index=True)[1]])]).sum() == pytest.approx(1.0, abs=1e-3)
+
+
+def found_by(text, *items):
+    return {x[0] for x in decontamination.Block([(i, t.encode().split()) for i, t in enumerate(items)]).leaks(text.encode().split())}
+
+
+def test_decontamination_of_several_copies():
+    item = "Ann has 12 hens and Bob has 7 ducks while Eve sold 3 of her 9 geese to Max for 20 coins so who of Ann and Bob and Eve owns more than 5 birds today"
+    values = ("Cat Zed Moe Abe 30 21 18 11 44 88", "Dot Abe Cat Zed 14 88 61 30 12 31", "Abe Moe Zed Cat 99 11 42 70 35 17")
+    others = [" ".join(dict(zip("Ann Bob Eve Max 12 7 3 9 20 5".split(), v.split(), strict=True)).get(w, w) for w in item.split()) for v in values]
+    for copies in ([item], [item, *others], others, [*others, item]):
+        for gap in (" . ", " . and some words between them . "):
+            assert found_by(gap.join(f"so {x}" for x in copies), item) == {0}
+    assert found_by("so " + item.replace("while", "and in the long winter and the warm summer of each year while"), item) == {0}  # spread

@@ -5,8 +5,10 @@ units (after a number) turn into typed placeholders; other words are lower-cased
 punctuation around them. Windows of five template words are hashed; a document is joined with
 the items by the hashes of its windows. Where the windows of an item that a document holds
 are aligned, slots are checked: one value of the item must stand for one value in the document, so
-"3 apples for Ann ... Ann" may become "7 apples for Bob ... Bob" but not "... Eve". A leak is a
-document that holds at least 0.75 of an item's windows with consistent slots.
+"3 apples for Ann ... Ann" may become "7 apples for Bob ... Bob" but not "... Eve". This
+holds for each occurrence on its own: hits whose offsets (position in the document less that in the item) are
+equal or close, and also all hits together, for an item that is spread over a document. A leak is a
+document in which one of these holds at least 0.75 of an item's windows with consistent slots.
 
 The benchmark is a stated query set: it is read in blocks of at most BLOCK_WINDOWS windows, each of
 which is broadcast (a proven bound: 16 bytes a window and the block's words) and held against
@@ -133,20 +135,46 @@ class Block:
                 continue
             item_id, own = self.items[k]
             _, slot = template(own)
-            votes: dict[bytes, Counter] = defaultdict(Counter)
-            changed: dict[tuple[int, int], list[tuple[bytes, bytes]]] = {}
-            for d, p in pairs:
-                filled = [(_bare(own[p + j]), _bare(words[d + j])) for j in range(WORDS) if slot[p + j]]
-                changed[d, p] = filled
-                for a, b in filled:
-                    votes[a][b] += 1
-            best = {a: min(c, key=lambda b: (-c[b], b)) for a, c in votes.items()}
-            held = {p for (d, p), filled in changed.items() if all(best[a] == b for a, b in filled)}
-            if len(held) >= SIMILARITY * self.need[k]:
-                out.append((item_id, self.need[k], len(held), len(held) / self.need[k], any(a != b for a, b in best.items())))
+            least, best = SIMILARITY * self.need[k], None
+            for group in _occurrences(pairs, len(own), least):
+                held, changed = _consistent(group, own, words, slot)
+                if held >= least and (best is None or (held, not changed) > (best[0], not best[1])):
+                    best = held, changed
+            if best is not None:
+                out.append((item_id, self.need[k], best[0], best[0] / self.need[k], best[1]))
         return out
 
 
+def _occurrences(pairs: list[tuple[int, int]], size: int, least: float) -> Iterator[list[tuple[int, int]]]:
+    """Groups of hits that may be one copy of an item of `size` words: by equal offsets, by close ones, and all."""
+    pairs = sorted(pairs, key=lambda x: (x[0] - x[1], x))
+    seen = set()
+    for gap in (0, WORDS, size // 2):
+        a = 0
+        for b in range(1, len(pairs) + 1):
+            if b == len(pairs) or (pairs[b][0] - pairs[b][1]) - (pairs[b - 1][0] - pairs[b - 1][1]) > gap:
+                if b - a >= least and (a, b) not in seen:
+                    seen.add((a, b))
+                    yield pairs[a:b]
+                a = b
+    if (0, len(pairs)) not in seen:
+        yield pairs
+
+
+def _consistent(pairs: list[tuple[int, int]], own: list[bytes], words: list[bytes], slot: np.ndarray) -> tuple[int, bool]:
+    """Windows of the item whose slots hold the values chosen for them, and whether a value differs from the item's."""
+    votes: dict[bytes, Counter] = defaultdict(Counter)
+    changed: dict[tuple[int, int], list[tuple[bytes, bytes]]] = {}
+    for d, p in pairs:
+        filled = [(_bare(own[p + j]), _bare(words[d + j])) for j in range(WORDS) if slot[p + j]]
+        changed[d, p] = filled
+        for a, b in filled:
+            votes[a][b] += 1
+    best = {a: min(c, key=lambda b: (-c[b], b)) for a, c in votes.items()}
+    held = {p for (d, p), filled in changed.items() if all(best[a] == b for a, b in filled)}
+    return len(held), any(a != b for a, b in best.items())
+
+
 def _bare(word: bytes) -> bytes:
     return (word.strip(EDGES) or word).lower()
 
