@@ -220,3 +220,12 @@ def test_decontamination_of_several_copies():
         for gap in (" . ", " . and some words between them . "):
             assert found_by(gap.join(f"so {x}" for x in copies), item) == {0}
     assert found_by("so " + item.replace("while", "and in the long winter and the warm summer of each year while"), item) == {0}  # spread
+
+
+def test_decontamination_of_names_at_sentence_starts():
+    item = "Tom has 5 red apples. Tom buys 7 more apples. Tom gives 3 apples away. How many apples does Tom have now?"
+    other = item.replace("Tom", "Bill").replace("5", "8").replace("7", "6")
+    assert found_by(other, item) == {0} and found_by(item, item) == {0}
+    assert found_by(f"we ask them How to do it . {other} They said so", item) == {0}
+    assert found_by(f"he said {item}", item) == {0} and found_by(" ".join(item.split()[:8]), item) == set()
+    assert found_by(other.replace("Bill buys", "Jack buys").replace("does Bill", "does Mary").replace("Bill has", "Rob has"), item) == set()

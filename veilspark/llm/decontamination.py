@@ -1,7 +1,7 @@
 """Operator 1: benchmark decontamination by template windows.
 
-Words of items and documents become templates: numbers, names (capitalised words inside a sentence) and
-units (after a number) turn into typed placeholders; other words are lower-cased and lose the
+Words of items and documents become templates: numbers, names (capitalised words inside a
+sentence, and at its start where the text also has them inside one) and units (after a number) turn into typed placeholders; other words are lower-cased and lose the
 punctuation around them. Windows of five template words are hashed; a document is joined with
 the items by the hashes of its windows. Where the windows of an item that a document holds
 are aligned, slots are checked: one value of the item must stand for one value in the document, so
@@ -70,20 +70,43 @@ class _Words(dict):
 _words = _Words()
 
 
-def template(words: list[bytes], starts_sentence: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Template hash of each word, and which are placeholders."""
+def template(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template hash of each word; which are placeholders; which capitalised words start a sentence, and which of these are names.
+
+    Words that start a sentence are literals in the hashes; named() makes names of those that are also inside one.
+    """
     packed = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
     flags = (packed & np.uint64(15)).astype(np.uint8)
     h = packed & ~np.uint64(15)
     before = np.empty_like(flags)
     if len(words):
-        before[0] = ENDS if starts_sentence else 0
+        before[0] = ENDS
         before[1:] = flags[:-1]
     num = flags & IS_NUM > 0
     name = (flags & IS_CAP > 0) & (before & ENDS == 0)
     unit = (flags & IS_UNIT > 0) & (before & IS_NUM > 0)
-    h[unit], h[name], h[num] = UNIT, NAME, NUM
-    return h, num | name | unit
+    start = (flags & IS_CAP > 0) & ~name & ~unit
+    h[unit], h[num] = UNIT, NUM
+    if name.any():
+        start_names = np.isin(h, h[name]) & start
+        h[name] = NAME
+    else:
+        start_names = np.zeros(len(h), dtype=bool)
+    return h, num | name | unit, start, start_names
+
+
+def named(h: np.ndarray, start_names: np.ndarray) -> np.ndarray:
+    """The template with names also at the start of sentences."""
+    return np.where(start_names, NAME, h)
+
+
+def _forms(h: np.ndarray, start: np.ndarray) -> Iterator[np.ndarray]:
+    """All other forms of a window: each word that starts a sentence may stand as a name."""
+    at = np.flatnonzero(start)
+    for pick in range(1, 1 << len(at)):
+        out = h.copy()
+        out[[x for i, x in enumerate(at) if pick >> i & 1]] = NAME
+        yield out
 
 
 def _usable(slot: np.ndarray) -> np.ndarray:
@@ -100,15 +123,15 @@ class Block:
         self.need: list[int] = []
         parts = []
         for k, (_, words) in enumerate(items):
-            h, slot = template(words)
+            h, slot, start, _ = template(words)
             ok = np.flatnonzero(_usable(slot)) if len(words) >= WORDS else np.empty(0, dtype=np.int64)
             self.need.append(len(ok))
             w = windows(h, WORDS)
             parts.append((w[ok], np.full(len(ok), k), ok))
-            if len(ok) and ok[0] == 0:  # an item pasted into a sentence: its first word may look like a name
-                h2, slot2 = template(words[:WORDS], starts_sentence=False)
-                if h2[0] != h[0] and _usable(slot2)[0]:
-                    parts.append((windows(h2, WORDS), np.array([k]), np.array([0])))
+            for p in ok.tolist():  # whether a sentence's first word is a name hangs on the rest of the document
+                if start[p : p + WORDS].any():
+                    other = np.concatenate([windows(x, WORDS) for x in _forms(h[p : p + WORDS], start[p : p + WORDS])])
+                    parts.append((other, np.full(len(other), k), np.full(len(other), p)))
         joined = [np.concatenate(x) if x else np.empty(0) for x in zip(*parts, strict=True)] if parts else [np.empty(0)] * 3
         order = np.argsort(joined[0].astype(np.uint64), kind="stable")
         self.hash, self.item, self.pos = joined[0].astype(np.uint64)[order], joined[1].astype(np.int64)[order], joined[2].astype(np.int64)[order]
@@ -117,7 +140,8 @@ class Block:
 
     def hits(self, words: list[bytes]) -> dict[int, list[tuple[int, int]]]:
         """By item: (position in the document, position in the item) of equal windows."""
-        w = windows(template(words)[0], WORDS)
+        h, _, _, names = template(words)
+        w = windows(named(h, names), WORDS)
         at = np.flatnonzero(self.bits[w >> np.uint64(64 - BITS)])
         found: dict[int, list[tuple[int, int]]] = defaultdict(list)
         if len(at):
@@ -134,7 +158,8 @@ class Block:
             if len({p for _, p in pairs}) < SIMILARITY * self.need[k]:
                 continue
             item_id, own = self.items[k]
-            _, slot = template(own)
+            _, slot, start, _ = template(own)
+            slot = slot | start
             least, best = SIMILARITY * self.need[k], None
             for group in _occurrences(pairs, len(own), least):
                 held, changed = _consistent(group, own, words, slot)
