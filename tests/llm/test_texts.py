@@ -229,3 +229,11 @@ def test_decontamination_of_names_at_sentence_starts():
     assert found_by(f"we ask them How to do it . {other} They said so", item) == {0}
     assert found_by(f"he said {item}", item) == {0} and found_by(" ".join(item.split()[:8]), item) == set()
     assert found_by(other.replace("Bill buys", "Jack buys").replace("does Bill", "does Mary").replace("Bill has", "Rob has"), item) == set()
+
+
+def test_decontamination_of_items_without_usable_windows():
+    items = ["name the capital", "The Quick Brown Fox Jumps Over The Lazy Dog Again", "12 7 Ann 9 Bob 15 Eve 8 20 times 3 4", "", "four words are here"]
+    filler = "some other words stand here"
+    for i, item in enumerate(items):
+        assert found_by(f"{filler} {item.lower() if i % 2 else item}, {filler}", *items) == ({i} if item else set())
+    assert found_by("name a capital", *items) == set() and found_by("12 7 Ann 9 Carl 15 Mia 8 21 times 3 4", *items) == set() and found_by("", *items) == set()

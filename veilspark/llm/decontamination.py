@@ -15,9 +15,10 @@ which is broadcast (a proven bound: 16 bytes a window and the block's words) and
 all documents in one pass without a shuffle. Neither documents nor hits are gathered anywhere.
 
 Windows with fewer than three literal words are no evidence and are left out. Items without any
-other window (under five words, for instance) cannot be searched and never match.
+other window (under five words, in title case, or dense in numbers and names) are searched by windows of their
+lower-cased words as they are, without placeholders; those under five words by all their words at once.
 
-Defined results: null and empty texts hold no window; repeated documents are each reported;
+Defined results: null and empty texts hold no window and items without words never match; repeated documents are each reported;
 repeated items match each under their own item_id; empty tables give no rows; items with a null
 item_id are searched and reported with a null item_id; other columns are ignored.
 """
@@ -109,6 +110,11 @@ def _forms(h: np.ndarray, start: np.ndarray) -> Iterator[np.ndarray]:
         yield out
 
 
+def plain(words: list[bytes]) -> np.ndarray:
+    """Hash of each bare lower-cased word."""
+    return np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words)) & ~np.uint64(15)
+
+
 def _usable(slot: np.ndarray) -> np.ndarray:
     """Which windows have enough literal words."""
     total = np.concatenate(([0], np.cumsum(~slot)))
@@ -121,10 +127,20 @@ class Block:
     def __init__(self, items: list[tuple[int | None, list[bytes]]]):
         self.items = items
         self.need: list[int] = []
+        self.plain: dict[int, dict[int, list[tuple[int, int]]]] = {}  # by size of the window: (item, position) by hash
+        self.exact: set[int] = set()
         parts = []
         for k, (_, words) in enumerate(items):
             h, slot, start, _ = template(words)
             ok = np.flatnonzero(_usable(slot)) if len(words) >= WORDS else np.empty(0, dtype=np.int64)
+            size = min(WORDS, len(words))
+            if not len(ok) and size:
+                own = windows(plain(words), size).tolist()
+                self.need.append(len(own))
+                self.exact.add(k)
+                for p, x in enumerate(own):
+                    self.plain.setdefault(size, defaultdict(list))[x].append((k, p))
+                continue
             self.need.append(len(ok))
             w = windows(h, WORDS)
             parts.append((w[ok], np.full(len(ok), k), ok))
@@ -149,6 +165,13 @@ class Block:
             for d, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
                 for x in range(a, b):
                     found[int(self.item[x])].append((d, int(self.pos[x])))
+        if self.plain:
+            h = plain(words)
+        for size, index in self.plain.items():
+            w = windows(h, size)
+            for d in np.flatnonzero(np.isin(w, np.fromiter(index, dtype=np.uint64, count=len(index)))).tolist():
+                for k, p in index[int(w[d])]:
+                    found[k].append((d, p))
         return found
 
     def leaks(self, words: list[bytes]) -> list[tuple[int | None, int, int, float, bool]]:
@@ -160,6 +183,8 @@ class Block:
             item_id, own = self.items[k]
             _, slot, start, _ = template(own)
             slot = slot | start
+            if k in self.exact:
+                slot = np.zeros(len(own) + WORDS, dtype=bool)
             least, best = SIMILARITY * self.need[k], None
             for group in _occurrences(pairs, len(own), least):
                 held, changed = _consistent(group, own, words, slot)
