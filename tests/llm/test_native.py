@@ -115,3 +115,9 @@ def test_license_scan(spark):
 def test_no_python(spark, operator):
     plan = operator(frame(spark, ["a"]), spark)._jdf.queryExecution().toString()
     assert not re.search("MapInArrow|ArrowEval|BatchEvalPython|MapInPandas", plan)
+
+
+def test_license_scan_reaches_the_longest_rule(spark):
+    text = "all of it is under the terms of the do what the fuck you want to public license"
+    row = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["labels"] == "wtfpl" and row["score"] == pytest.approx(0.8)

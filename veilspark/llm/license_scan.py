@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import let
 
-#: Words looked at on either side of an anchor; every rule's match is shorter.
-REACH = 12
+#: Words looked at on either side of an anchor; every rule's match is shorter (13 words before, for the wtfpl).
+REACH = 16
 
 
 class Signature(NamedTuple):
