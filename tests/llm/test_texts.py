@@ -237,3 +237,13 @@ def test_decontamination_of_items_without_usable_windows():
     for i, item in enumerate(items):
         assert found_by(f"{filler} {item.lower() if i % 2 else item}, {filler}", *items) == ({i} if item else set())
     assert found_by("name a capital", *items) == set() and found_by("12 7 Ann 9 Carl 15 Mia 8 21 times 3 4", *items) == set() and found_by("", *items) == set()
+
+
+def test_n_best_segmentations_reach_the_report(spark):
+    seg = sentencepieces.Segmenter(sentencepieces.Vocabulary.load())
+    text = "the nations of this world"
+    row = sentencepieces.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    best = seg.n_best(text)
+    assert len(best) > 1 and row["nbest_sha256"][0] == row["ids_sha256"] and len(set(row["nbest_sha256"])) == len(best)
+    assert row["nbest_scores"] == pytest.approx([s for s, _ in best]) and all(seg.decode(ids) == text for _, ids in best)
+    assert row["nbest_sha256"] == [sentencepieces._digest(ids) for _, ids in best]

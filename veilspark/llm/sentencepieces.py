@@ -264,7 +264,10 @@ class Segmenter:
 
     def n_best(self, text: str, n: int = N_BEST) -> list[tuple[float, list[int]]]:
         """The n best segmentations of the whole text, best first."""
-        ids, score, losses = self.encode(text)
+        return self.segmentations(*self.encode(text), n)
+
+    def segmentations(self, ids: list[int], score: float, losses: list[tuple[str, float]], n: int = N_BEST) -> list[tuple[float, list[int]]]:
+        """The same from encode()'s result."""
         if n <= 1:
             return [(score, ids)]
         chosen = sorted(heapq.nsmallest(n - 1, range(len(losses)), key=lambda k: losses[k][1]))
@@ -315,11 +318,15 @@ def _segmenter(v: Vocabulary) -> Segmenter:
     return _kept[0]
 
 
-REPORT = "doc_id long, n_chars long, n_pieces long, score double, nbest_scores array<double>, ids_sha256 string, round_trip boolean"
+def _digest(ids: list[int]) -> str:
+    return hashlib.sha256(np.array(ids, dtype="<i4").tobytes()).hexdigest()
+
+
+REPORT = "doc_id long, n_chars long, n_pieces long, score double, nbest_scores array<double>, nbest_sha256 array<string>, ids_sha256 string, round_trip boolean"
 
 
 def report(docs: DataFrame, path: str = DEFAULT_MODEL, n: int = N_BEST) -> DataFrame:
-    """One row for each document: digest of its best pieces, scores of its n best, and the round trip's result."""
+    """One row for each document: digest of its best pieces, scores and digests of its n best segmentations, and the round trip's result."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,9 +336,10 @@ def report(docs: DataFrame, path: str = DEFAULT_MODEL, n: int = N_BEST) -> DataF
             for d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 t = t or ""
                 ids, score, losses = seg.encode(t)
-                digest = hashlib.sha256(np.array(ids, dtype="<i4").tobytes()).hexdigest()
-                rows.append((d, len(t), len(ids), score, seg.scores(losses, score, n), digest, seg.decode(ids) == t))
-            kinds = [pa.int64()] * 3 + [pa.float64(), pa.list_(pa.float64()), pa.string(), pa.bool_()]
+                digest = _digest(ids)
+                best = seg.segmentations(ids, score, losses, n)
+                rows.append((d, len(t), len(ids), score, [s for s, _ in best], [_digest(x) for _, x in best], digest, seg.decode(ids) == t))
+            kinds = [pa.int64()] * 3 + [pa.float64(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.string(), pa.bool_()]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split(" ")[0] for x in REPORT.split(", ")])
 
