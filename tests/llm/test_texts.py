@@ -73,15 +73,38 @@ def test_pieces(spark):
         scores = brute(" " + text)
         best = seg.n_best(text, 4)
         assert [s for s, _ in best] == scores[:4] and all(seg.decode(ids) == text for _, ids in best) and len({tuple(i) for _, i in best}) == len(best)
-        assert seg.scores(seg.encode(text)[2], seg.encode(text)[1], 4) == scores[:4]
+        assert seg.encode(text) == (best[0][1], best[0][0])
     for text in ["", " ", "  a ", "▁x▁ y", "a\n\tb", "日本語 テキスト😀", "a" * 300, " "]:
         assert seg.decode(seg.encode(text)[0]) == text
     docs = spark.createDataFrame([(1, "the cat", "p"), (2, None, "p"), (3, "", "p")], "doc_id long, text string, pieces string")
-    rows = {r["doc_id"]: r for r in sentencepieces.encoded(docs).collect()}
-    assert seg.decode(rows[1]["pieces"]) == "the cat" and rows[2]["pieces"] is None and rows[3]["pieces"] == []
+    rows = {r["doc_id"]: r for r in sentencepieces.encoded(docs, into="ids").collect()}
+    assert seg.decode(rows[1]["ids"]) == "the cat" and rows[2]["ids"] is None and rows[3]["ids"] == [] and rows[3]["pieces"] == "p"
+    with pytest.raises(ValueError):
+        sentencepieces.encoded(docs)
     assert all(r["round_trip"] for r in sentencepieces.report(docs).collect()) and sentencepieces.report(docs.limit(0)).count() == 0
 
 
+def test_pieces_of_odd_and_long_texts():
+    v = sentencepieces.Vocabulary.load()
+    seg = sentencepieces.Segmenter(v, table=300)
+    random.seed(3)
+    alphabet = "ab etnaioE,.-0 \n\t" + "é日😀\u2581\x00"
+    texts = ["".join(random.choice(alphabet) for _ in range(random.randint(0, 90))) for _ in range(300)] + ["a" * 4000, "xY/+9" * 5000, " " * 3000, "日本" * 2000, "", " "]
+    e = seg.encode_all(texts)
+    for k, text in enumerate(texts):
+        ids, score, _ = sentencepieces.forward(" " + text, v) if text else ((), 0.0, 0.0)  # the whole text as one lattice
+        best = seg.segmentations(e, k, 4)
+        assert best[0][0] == score == e.score[k] and len(best[0][1]) == len(ids)
+        assert all(seg.decode(i.tolist()) == text for _, i in best) and len({tuple(i.tolist()) for _, i in best}) == len(best)
+        if text and len(text) < 60:
+            want = sentencepieces.n_best(sentencepieces.lattice(" " + text, v), 4)
+            assert [s for s, _ in best] == [s for s, _ in want]
+    few, number, score, loss = sentencepieces.forward_many([x for x in texts if 8 < len(x) < 16], v)
+    want = [sentencepieces.forward(x, v) for x in texts if 8 < len(x) < 16]
+    assert few.tolist() == [i for w in want for i in w[0]] and number.tolist() == [len(w[0]) for w in want]
+    assert score.tolist() == [w[1] for w in want] and loss.tolist() == [w[2] for w in want]
+
+
 ITEM = "If Alice buys 12 apples for 3 dollars each in the market, then how much money does Alice spend on the apples in total today?"
 
 

@@ -1,26 +1,32 @@
 """Operator 8: SentencePiece encoding and decoding with exact N-best segmentations.
 
 A text is segmented into pieces of a public vocabulary (its file is a parameter; nothing is trained) so
-that the sum of the pieces' scores is greatest. The text gets a leading space, and what no piece covers falls back to its UTF-8 bytes. No piece crosses from a word into the next
-run of spaces, so the lattice of a text is a chain of small lattices, one for each run of spaces with the
-word behind it, which repeat a lot and are kept in a bounded table.
-
-N best: a forward Viterbi pass gives every node the best score from the start, which is the exact
+that the sum of the pieces' scores is greatest. The text gets a leading space, and what no piece covers falls
+back to its UTF-8 bytes. No piece crosses from a word into the next run of spaces, so the lattice of a text is a
+chain of small lattices, its links: one for each run of spaces with the word behind it; words over LONG
+characters are cut further, where no piece can cross. Links repeat a lot: a batch of texts becomes
+numbers of distinct links, the new ones are segmented by one forward Viterbi pass in numpy for each width, and
+the ids of the texts are gathered from theirs.
+
+N best: the forward pass gives every node the best score from the start, which is the exact
 heuristic for an A-star search backward from the end: paths leave its heap in order of their total
-score. For whole texts, only the n - 1 links of the chain with the least loss to their second-best path
-can differ from the best in the n best; A-star runs on those.
+score, and among equal ones what is nearest to the start comes first, so ties are not all expanded. For whole
+texts, only the n - 1 links of the chain with the least loss to their second-best path can differ from the
+best in the n best; A-star runs on those.
 
 decode(encode(text)) == text for every text: U+2581, which the file has for spaces, is kept apart as bytes.
 
 Defined results: a null text gives null pieces and counts as empty; an empty text has no pieces and
 score 0; repeated rows get equal results; among equal scores the segmentation with fewer, then earlier
-longer pieces wins; an empty table gives no rows; columns other than doc_id and text are ignored.
+longer pieces wins; an empty table gives no rows; columns other than doc_id and text are ignored by report()
+and kept by encoded(), which refuses docs that have the new column already.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,18 +37,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.llm.words import slices
+from veilspark.llm.words import MIX, mixed, slices
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Stands for a space in the vocabulary file; here pieces hold the space itself.
-MARK = "\u2581"
+MARK = "▁"
 SPACE = " "
 N_BEST = 4
 #: What an uncovered character costs below the least score of any piece.
 UNKNOWN_PENALTY = 10.0
 #: Files give reserved pieces (runs of spaces) scores below this; here they rank just below all others.
 LEAST_SCORE = -1e6
-TABLE = 120_000
+#: Distinct links kept between batches, and characters in them; beyond, the table starts anew.
+TABLE, TABLE_CHARS = 200_000, 8_000_000
+#: Links longer than this are cut where no piece can cross, and what still is longer goes one by one.
+LONG = 64
+CHUNK = 16_384
+BITS = 20
+NONE = float("-inf")
+CODE = np.uint64(0xD6E8FEB86659FD93)
 
 
 @dataclass
@@ -67,6 +80,17 @@ class Vocabulary:
         for p in self.pieces:
             if SPACE in p.lstrip(SPACE):
                 raise ValueError(f"piece {p!r} crosses words")
+        h = np.array([_hash(p) for p in self.pieces], dtype=np.uint64)
+        order = np.argsort(_place(h), kind="stable")
+        self.hash = h[order]
+        self.id = np.array([i for i, _ in self.pieces.values()], dtype=np.int32)[order]
+        self.score = np.array([s for _, s in self.pieces.values()], dtype=np.float64)[order]
+        places, first, here = np.unique(_place(self.hash), return_index=True, return_counts=True)
+        self.most = int(here.max())  # pieces that share a place
+        self.there = np.zeros(1 << BITS, dtype=bool)
+        self.there[places] = True
+        self.slot = np.zeros(1 << BITS, dtype=np.int32)
+        self.slot[places] = first
 
     def fallback(self, c: str) -> tuple[int, ...]:
         return tuple(self.bytes_[b] for b in c.encode("utf-8", "surrogatepass"))
@@ -89,6 +113,22 @@ class Vocabulary:
         return cls(pieces, bytes_, texts)
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _hash(piece: str) -> np.uint64:
+    """Polynomial hash of the mixed code points, as forward_many() builds it up step by step."""
+    h = np.uint64(0)
+    for c in mixed(_codes(piece).astype(np.uint64) + CODE):
+        h = h * MIX + c
+    return h
+
+
+def _place(h: np.ndarray) -> np.ndarray:
+    return (h * CODE) >> np.uint64(64 - BITS)
+
+
 @dataclass
 class Lattice:
     """Arcs of one link of the chain with forward scores; node j lies after j characters."""
@@ -102,7 +142,7 @@ class Lattice:
 def lattice(link: str, v: Vocabulary) -> Lattice:
     pieces, longest, n = v.pieces, v.longest, len(link)
     into: list = [[] for _ in range(n + 1)]
-    best = [0.0] + [float("-inf")] * n
+    best = [0.0] + [NONE] * n
     back: list = [(0, ())] * (n + 1)
     count = [0] * (n + 1)
     for j in range(1, n + 1):
@@ -132,9 +172,9 @@ def n_best(x: Lattice, n: int) -> list[tuple[float, tuple[int, ...]]]:
     """The n best segmentations, best first, by A-star from the end; the first is viterbi's."""
     first = viterbi(x)
     out, ties = [], 0
-    heap: list = [(-x.best[x.size], 0, x.size, 0.0, None)]
+    heap: list = [(-x.best[x.size], x.size, 0, 0.0, None)]
     while heap and len(out) < n + 1:
-        _, _, j, behind, path = heapq.heappop(heap)
+        _, j, _, behind, path = heapq.heappop(heap)
         if j == 0:
             ids: list[int] = []
             while path is not None:
@@ -144,14 +184,14 @@ def n_best(x: Lattice, n: int) -> list[tuple[float, tuple[int, ...]]]:
             continue
         for i, score, ids in x.into[j]:
             ties += 1
-            heapq.heappush(heap, (-(x.best[i] + score + behind), ties, i, score + behind, (ids, path)))
+            heapq.heappush(heap, (-(x.best[i] + score + behind), i, ties, score + behind, (ids, path)))
     return [first, *(p for p in out if p[1] != first[1])][:n]
 
 
 def forward(link: str, v: Vocabulary) -> tuple[tuple[int, ...], float, float]:
     """The best segmentation, its score, and how much less the second best scores: one forward pass."""
-    n, table, none = len(link), v.prefixes, float("-inf")
-    best, second, count = [none] * (n + 1), [none] * (n + 1), [0] * (n + 1)
+    n, table = len(link), v.prefixes
+    best, second, count = [NONE] * (n + 1), [NONE] * (n + 1), [0] * (n + 1)
     back: list = [None] * (n + 1)
     best[0] = 0.0
     for i in range(n):
@@ -192,116 +232,230 @@ def forward(link: str, v: Vocabulary) -> tuple[tuple[int, ...], float, float]:
     return tuple(i for ids in reversed(parts) for i in ids), best[n], best[n] - second[n]
 
 
+def forward_many(links: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """forward() of many links of similar length at once: all ids one link after the other, their number, score and loss by link."""
+    k, n = len(links), max(map(len, links))
+    size = np.fromiter(map(len, links), dtype=np.int64, count=k)
+    codes = np.ascontiguousarray(_codes("".join(x.ljust(n, "\0") for x in links)).reshape(k, n).T)
+    char = mixed(codes.astype(np.uint64) + CODE)
+    arcs: list[tuple[np.ndarray, np.ndarray] | None] = [None]  # by length of the piece: scores and ids of those that start at a place
+    h = np.zeros((n, k), dtype=np.uint64)
+    for length in range(1, min(n, v.longest) + 1):
+        m = n - length + 1
+        h = h[:m] * MIX + char[length - 1 :]
+        place = _place(h).ravel()
+        at = np.flatnonzero(v.there[place])
+        own, p = h.ravel()[at], v.slot[place[at]]
+        for _ in range(v.most - 1):
+            p = np.where(v.hash[p] == own, p, np.minimum(p + 1, len(v.hash) - 1))
+        hit = v.hash[p] == own
+        at, p = at[hit], p[hit]
+        if length > 1 and not len(at):
+            arcs.append(None)
+            continue
+        score = np.full(m * k, v.unknown if length == 1 else NONE)
+        ids = np.full(m * k, -1, dtype=np.int32)
+        score[at], ids[at] = v.score[p], v.id[p]
+        arcs.append((score.reshape(m, k), ids.reshape(m, k)))
+    wide = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)  # UTF-8 bytes of each character
+    weight = np.where(arcs[1][1] < 0, wide, 1)  # pieces that an arc of one character brings
+    best, second = np.full((n + 1, k), NONE), np.full((n + 1, k), NONE)
+    count, back = np.zeros((n + 1, k), dtype=np.int64), np.zeros((n + 1, k), dtype=np.int64)
+    best[0] = 0.0
+    for j in range(1, n + 1):
+        b, s, c, taken = best[j], second[j], count[j], back[j]
+        for length in range(min(j, len(arcs) - 1), 0, -1):  # from the longest piece on
+            if arcs[length] is None:
+                continue
+            i, score = j - length, arcs[length][0][j - length]
+            total = best[i] + score
+            new = count[i] + (weight[i] if length == 1 else 1)
+            better = (total > b) | ((total == b) & (total > NONE) & (new < c))
+            np.maximum(s, np.where(better, b, total), out=s)
+            np.maximum(s, second[i] + score, out=s)
+            np.copyto(b, total, where=better)
+            np.copyto(c, new, where=better)
+            np.copyto(taken, length, where=better)
+    row = np.arange(k)
+    number = count[size, row]
+    ends = np.cumsum(number)
+    ids = np.empty(int(ends[-1]), dtype=np.int32)
+    at, place = size.copy(), ends.copy()
+    while len(row):
+        length = back[at, row]
+        at = at - length
+        own = np.empty(len(row), dtype=np.int32)
+        for x in np.unique(length):
+            of = length == x
+            own[of] = arcs[x][1][at[of], row[of]]
+        place = place - np.where(own < 0, wide[at, row], 1)
+        ids[place] = own
+        for q in np.flatnonzero(own < 0).tolist():
+            bytes_ = v.fallback(chr(codes[at[q], row[q]]))
+            ids[place[q] : place[q] + len(bytes_)] = bytes_
+        more = at > 0
+        row, at, place = row[more], at[more], place[more]
+    total = best[size, np.arange(k)]
+    return ids, number, total, total - second[size, np.arange(k)]
+
+
+class _Numbers(dict):
+    """Number of each link in order of first sight."""
+
+    def __missing__(self, link: str | tuple[str]) -> int:
+        n = self[link] = len(self)
+        return n
+
+
+def _gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of runs that begin at starts, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+@dataclass
+class Encoded:
+    """A batch of texts: their links by number, and ids, number of ids and score by text."""
+
+    links: np.ndarray
+    first: np.ndarray  # of each text's links, and one more
+    ids: np.ndarray
+    start: np.ndarray  # of each text's ids, and one more
+    score: np.ndarray
+
+
 class Segmenter:
-    """Encodes and decodes whole texts; keeps the links of two generations of a bounded table."""
+    """Encodes and decodes whole texts; keeps the links it has seen in a bounded table."""
 
     def __init__(self, v: Vocabulary, table: int = TABLE):
         self.v, self.table = v, table
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
-        self.parts: dict[str, tuple] = {}
-        self.old_parts: dict[str, tuple] = {}
-        self.listed: dict[tuple[str, int], list[float]] = {}
-
-    def _link(self, link: str) -> tuple[tuple[int, ...], float, float]:
-        found = self.old.get(link)
-        if found is None:
-            found = self._whole(link)
-        if len(link) <= 64:
-            if len(self.young) >= self.table:
-                self.old, self.young = self.young, {}
-            self.young[link] = found
-        return found
-
-    def _whole(self, link: str) -> tuple[tuple[int, ...], float, float]:
-        """A link cut where no piece can cross: parts (stems, punctuation) repeat more than links do."""
-        pairs, a, parts = self.v.pairs, 0, []
+        self._anew()
+
+    def _anew(self) -> None:
+        self.numbers, self.names, self.chars = _Numbers(), [], 0
+        self.ids = np.empty(0, dtype=np.int32)
+        self.start, self.size = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self.score, self.loss = np.empty(0), np.empty(0)
+        self.listed: dict[tuple[int, int], list] = {}
+
+    def parts(self, link: str) -> list[str]:
+        """A long link cut where no piece can cross."""
+        pairs, a, out = self.v.pairs, 0, []
         for i in range(1, len(link)):
             if link[i - 1 : i + 1] not in pairs:
-                parts.append(self._part(link[a:i]))
+                out.append(link[a:i])
                 a = i
-        last = self._part(link[a:])
-        if not parts:
-            return last
-        parts.append(last)
-        return tuple(i for p in parts for i in p[0]), sum(p[1] for p in parts), min(p[2] for p in parts)
-
-    def _part(self, part: str) -> tuple[tuple[int, ...], float, float]:
-        found = self.parts.get(part)
-        if found is None:
-            found = self.old_parts.get(part) or forward(part, self.v)
-            if len(part) <= 64:
-                if len(self.parts) >= self.table:
-                    self.old_parts, self.parts = self.parts, {}
-                self.parts[part] = found
-        return found
+        return [*out, link[a:]]
 
-    def links(self, text: str) -> list[str]:
+    def chain(self, text: str) -> list[int]:
+        """Numbers of the text's links. A link goes by its word if one space is before it, by all its characters
+        (which begin with a space) if more are, and parts of long ones by a tuple."""
         if not text:
             return []
-        parts = text.split(" ")
+        words, numbers = text.split(SPACE), self.numbers
+        if "" not in words and max(map(len, words)) < LONG:
+            return list(map(numbers.__getitem__, words))
         out, spaces = [], 1
-        for part in parts:
-            if part:
-                out.append(SPACE * spaces + part)
-                spaces = 1
-            else:
+        for word in words:
+            if not word:
                 spaces += 1
-        return out if spaces == 1 else [*out, SPACE * (spaces - 1)]
-
-    def encode(self, text: str) -> tuple[list[int], float, list[tuple[str, float]]]:
-        """Ids of the best segmentation, its score, and the links with their losses."""
-        young, ids, score, losses = self.young, [], 0.0, []
-        for link in self.links(text):
-            found = young.get(link)
-            if found is None:
-                found = self._link(link)
-                young = self.young
-            ids += found[0]
-            score += found[1]
-            losses.append((link, found[2]))
-        return ids, score, losses
+                continue
+            if len(word) + spaces > LONG:
+                out += [numbers[(p,)] for p in self.parts(SPACE * spaces + word)]
+            else:
+                out.append(numbers[word if spaces == 1 else SPACE * spaces + word])
+            spaces = 1
+        if spaces > LONG:
+            out += [numbers[(p,)] for p in self.parts(SPACE * (spaces - 1))]
+        elif spaces > 1:
+            out.append(numbers[SPACE * (spaces - 1)])
+        return out
 
-    def n_best(self, text: str, n: int = N_BEST) -> list[tuple[float, list[int]]]:
-        """The n best segmentations of the whole text, best first."""
-        return self.segmentations(*self.encode(text), n)
+    def _settle(self) -> None:
+        """Segment the links seen since the last time."""
+        done = len(self.names)
+        new = [k[0] if isinstance(k, tuple) else k if k[0] == SPACE else SPACE + k for k in itertools.islice(self.numbers, done, None)]
+        if not new:
+            return
+        self.names += new
+        self.chars += sum(map(len, new))
+        groups: dict[int, list[int]] = {}
+        for k, x in enumerate(new):
+            n = len(x)
+            groups.setdefault(n if n <= 12 else -(-n // 4) * 4 if n <= LONG else 0, []).append(k)
+        start, size = np.empty(len(new), dtype=np.int64), np.empty(len(new), dtype=np.int64)
+        score, loss = np.empty(len(new)), np.empty(len(new))
+        flat, at = [self.ids], len(self.ids)
+        for width, members in groups.items():
+            for a in range(0, len(members), CHUNK if width else 1):
+                own = np.array(members[a : a + (CHUNK if width else 1)])
+                if width:
+                    ids, number, best, less = forward_many([new[k] for k in own], self.v)
+                else:
+                    one = forward(new[own[0]], self.v)
+                    ids, number, best, less = np.array(one[0], dtype=np.int32), np.array([len(one[0])]), one[1], one[2]
+                start[own], size[own], score[own], loss[own] = at + np.cumsum(number) - number, number, best, less
+                flat.append(ids)
+                at += len(ids)
+        self.ids = np.concatenate(flat)
+        self.start, self.size = np.concatenate((self.start, start)), np.concatenate((self.size, size))
+        self.score, self.loss = np.concatenate((self.score, score)), np.concatenate((self.loss, loss))
+
+    def encode_all(self, texts: list[str]) -> Encoded:
+        """The best segmentations of a batch of texts."""
+        if len(self.names) > self.table or self.chars > TABLE_CHARS:
+            self._anew()
+        chains = list(map(self.chain, texts))
+        self._settle()
+        of = np.fromiter(map(len, chains), dtype=np.int64, count=len(chains))
+        links = np.fromiter(itertools.chain.from_iterable(chains), dtype=np.int64, count=int(of.sum()))
+        first = np.concatenate(([0], np.cumsum(of)))
+        size = self.size[links]
+        ids = self.ids[_gathered(self.start[links], size)]
+        start = np.concatenate(([0], np.cumsum(size)))[first]
+        score = np.bincount(np.repeat(np.arange(len(texts)), of), weights=self.score[links], minlength=len(texts))
+        return Encoded(links, first, ids, start, score)
+
+    def _options(self, link: int, n: int) -> list[tuple[float, np.ndarray]]:
+        """Losses and ids of the n best segmentations of a link."""
+        found = self.listed.get((link, n))
+        if found is None:
+            best = n_best(lattice(self.names[link], self.v), n)
+            found = self.listed[link, n] = [(best[0][0] - s, np.array(ids, dtype=np.int32)) for s, ids in best]
+        return found
 
-    def segmentations(self, ids: list[int], score: float, losses: list[tuple[str, float]], n: int = N_BEST) -> list[tuple[float, list[int]]]:
-        """The same from encode()'s result."""
-        if n <= 1:
+    def segmentations(self, e: Encoded, k: int, n: int = N_BEST) -> list[tuple[float, np.ndarray]]:
+        """The n best segmentations of the k-th text of a batch, best first."""
+        links, ids, score = e.links[e.first[k] : e.first[k + 1]], e.ids[e.start[k] : e.start[k + 1]], float(e.score[k])
+        if n <= 1 or not len(links):
             return [(score, ids)]
-        chosen = sorted(heapq.nsmallest(n - 1, range(len(losses)), key=lambda k: losses[k][1]))
-        lists = {k: n_best(lattice(losses[k][0], self.v), n) for k in chosen if losses[k][1] < float("inf")}
-        sums: list[tuple[float, dict[int, int]]] = [(0.0, {})]
-        for k, options in lists.items():
-            merged = [(loss + options[0][0] - s, {**pick, k: o}) for loss, pick in sums for o, (s, _) in enumerate(options)]
+        loss = self.loss[links]
+        among = np.flatnonzero(loss <= np.partition(loss, n - 2)[n - 2]) if len(loss) >= n else np.arange(len(loss))
+        among = among[np.argsort(loss[among], kind="stable")][: n - 1]
+        chosen = sorted(among[loss[among] < float("inf")].tolist())
+        sums: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
+        for q in chosen:
+            merged = [(a + b, (*pick, o)) for a, pick in sums for o, (b, _) in enumerate(self._options(int(links[q]), n))]
             sums = heapq.nsmallest(n, merged, key=lambda x: x[0])
+        ends = np.cumsum(self.size[links])
         out = []
-        for loss, pick in sums:
-            if not any(pick.values()):
-                out.append((score - loss, ids))
-                continue
-            new: list[int] = []
-            for k, (link, _) in enumerate(losses):
-                new += lists[k][pick[k]][1] if k in pick else self._link(link)[0]
-            out.append((score - loss, new))
+        for less, pick in sums:
+            parts, a = [], 0
+            for q, o in zip(chosen, pick, strict=True):
+                if o:
+                    parts += [ids[a : ends[q] - self.size[links[q]]], self._options(int(links[q]), n)[o][1]]
+                    a = ends[q]
+            out.append((score - less, np.concatenate([*parts, ids[a:]]) if parts else ids))
         return out
 
-    def scores(self, losses: list[tuple[str, float]], score: float, n: int = N_BEST) -> list[float]:
-        """The scores of the n best segmentations, from encode()'s links."""
-        sums = [0.0]
-        for loss, link in heapq.nsmallest(n - 1, ((loss, link) for link, loss in losses)):
-            if loss < float("inf"):
-                losses_of = self.listed.get((link, n))
-                if losses_of is None:
-                    options = n_best(lattice(link, self.v), n)
-                    losses_of = [options[0][0] - s for s, _ in options]
-                    if len(self.listed) >= self.table:
-                        self.listed.clear()
-                    if len(link) <= 64:
-                        self.listed[link, n] = losses_of
-                sums = heapq.nsmallest(n, (a + x for a in sums for x in losses_of))
-        return [score - x for x in sums]
+    def encode(self, text: str) -> tuple[list[int], float]:
+        """Ids of the best segmentation and its score."""
+        e = self.encode_all([text])
+        return e.ids.tolist(), float(e.score[0])
+
+    def n_best(self, text: str, n: int = N_BEST) -> list[tuple[float, list[int]]]:
+        """The n best segmentations of the whole text, best first."""
+        return [(s, ids.tolist()) for s, ids in self.segmentations(self.encode_all([text]), 0, n)]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.v.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")
@@ -318,8 +472,8 @@ def _segmenter(v: Vocabulary) -> Segmenter:
     return _kept[0]
 
 
-def _digest(ids: list[int]) -> str:
-    return hashlib.sha256(np.array(ids, dtype="<i4").tobytes()).hexdigest()
+def _digest(ids: np.ndarray | list[int]) -> str:
+    return hashlib.sha256(np.asarray(ids, dtype="<i4").tobytes()).hexdigest()
 
 
 REPORT = "doc_id long, n_chars long, n_pieces long, score double, nbest_scores array<double>, nbest_sha256 array<string>, ids_sha256 string, round_trip boolean"
@@ -332,13 +486,14 @@ def report(docs: DataFrame, path: str = DEFAULT_MODEL, n: int = N_BEST) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = _segmenter(shared.value)
         for batch in slices(batches):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            e = seg.encode_all(texts)
             rows = []
-            for d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                t = t or ""
-                ids, score, losses = seg.encode(t)
-                digest = _digest(ids)
-                best = seg.segmentations(ids, score, losses, n)
-                rows.append((d, len(t), len(ids), score, [s for s, _ in best], [_digest(x) for _, x in best], digest, seg.decode(ids) == t))
+            for k, (d, t) in enumerate(zip(batch.column(0).to_pylist(), texts, strict=True)):
+                best = seg.segmentations(e, k, n)
+                digests = [_digest(ids) for _, ids in best]
+                whole = seg.decode(best[0][1].tolist()) == t
+                rows.append((d, len(t), len(best[0][1]), best[0][0], [s for s, _ in best], digests, digests[0], whole))
             kinds = [pa.int64()] * 3 + [pa.float64(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.string(), pa.bool_()]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split(" ")[0] for x in REPORT.split(", ")])
@@ -347,16 +502,20 @@ def report(docs: DataFrame, path: str = DEFAULT_MODEL, n: int = N_BEST) -> DataF
 
 
 def encoded(docs: DataFrame, path: str = DEFAULT_MODEL, into: str = "pieces") -> DataFrame:
-    """docs with the ids of each text's best segmentation in the column `into` (replaced if there is one)."""
+    """docs with the ids of each text's best segmentation in the new column `into`."""
+    if into.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs have a column {into!r} already; name another one")
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
-    docs = docs.drop(into) if into in docs.columns else docs
     at = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = _segmenter(shared.value)
         for batch in slices(batches):
-            ids = [None if t is None else seg.encode(t)[0] for t in batch.column(at).to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, into])
+            texts = batch.column(at).to_pylist()
+            e = seg.encode_all([t or "" for t in texts])
+            none = np.array([t is None for t in texts] + [False])
+            ids = pa.ListArray.from_arrays(pa.array(e.start.astype(np.int32), pa.int32(), mask=none), pa.array(e.ids, pa.int32()))
+            yield pa.record_batch([*batch.columns, ids], names=[*batch.schema.names, into])
 
     return docs.mapInArrow(run, schema)
