@@ -1,21 +1,22 @@
 """Operator 5: a hashed maximum-entropy language model with a class-factored softmax.
 
 Tokens are the words (A-Z lower-cased) and one end for each text. All tokens are counted, by hash, in one
-aggregation. The most frequent training words form classes; log P(w | history) is log P(class | history) +
-log P(word | class, history), each a softmax whose logits sum hashed weights of three features: the previous
-word, the previous two, and the one before the previous (a skip). All other words are one more class, which a tree of
-nested classes divides: each of its nodes is a softmax of FAN children over the same features. The frequent ones (below)
-have a leaf each; the others are dealt to the remaining leaves by hash, and inside such a leaf they follow their
-smoothed counts. Every word is thus predicted from its history, and the model is a proper distribution.
-
-Sizes follow the counted words: the tree has at least as many leaves as other words, and the weights as many rows as
-words (four times as many in the tree), until the bounds of what is broadcast: FAN ** MOST_LEVELS leaves, 2 ** MOST_BITS rows. Beyond
-them more words share a leaf and more histories a row; none is left out.
-
-Training runs over all training texts: in each round the workers start from the broadcast weights, take
-stochastic gradient steps over their own texts in sparse numpy batches, and emit their weights in blocks;
-blocks are averaged by the number of tokens behind them, one task a block, and only the averaged
-weights (a fixed size) come to the driver.
+aggregation. Words are classed by frequency: sorted by their counts they are cut into FAN classes of near equal
+mass, each of these into FAN again, down to single leaves. log P(w | history) is the sum of log P(class | class
+around it, history) over the nested classes of w, each a softmax of FAN whose logits are the counts' own and the sum of
+hashed weights of three features: the previous word, the previous two, and the one before the previous (a
+skip) on the upper levels, and of the previous word alone below them. Frequent words (below) have a leaf each; the others are dealt to shared leaves by hash, and inside such
+a leaf they follow their smoothed counts. Every word is thus predicted from its history, by about as many
+softmaxes as its count says in digits, and the model is a proper distribution.
+
+Sizes follow the counted words: there are at least as many leaves as words and as many rows of weights as words,
+until the bounds of what is broadcast: HOT + MOST_SHARED leaves, 2 ** MOST_BITS rows. Beyond them more words share a
+leaf and more histories a row; none is left out.
+
+Training reads every training text once, half of them in each of two rounds: the workers start from the broadcast
+weights, take stochastic gradient steps over their own texts in sparse numpy batches (a row's steps shrink with the root of
+how often it was met), and emit what their steps changed in blocks of rows. The changes of a row are averaged by how often each worker met it, a task taking some blocks; only
+the averaged weights (a fixed size) come to the driver.
 
 Counts of frequent tokens are broadcast: those with at least 1/HOT of all tokens, of which there cannot be
 more than HOT. Occurrences of the others are joined with the count table by hash; each has few
@@ -30,7 +31,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -45,22 +45,19 @@ from veilspark.llm.common import stored
 from veilspark.llm.words import MIX, hashes_of, mixed, slices, texts
 
 HOT = 1 << 18
-CLASSES = 32
-PER_CLASS = 32
-FAN = 16
-FAN_BITS = 4
-MOST_LEVELS = 5
-LEAST_BITS, MOST_BITS = 14, 16
-TREE_BITS = 2  # more bits for the tree's weights
+MOST_SHARED = 1 << 18
+FAN = 8
+LEAST_BITS, MOST_BITS = 14, 18
+UPPER = 2  # levels whose classes see all three features; the classes below them see the previous word
 ROUNDS = 2
 RATE = 0.25
 BATCH = 8192
-BLOCKS = 16
-LEAST_TASKS = 16  # of a round: each emits the weights once, so their number follows the cores, not the files
+LEAST_TASKS, PER_TASK = 16, 4  # of a round, and input partitions for each: every task emits the weights once
 SMOOTHING = 0.1
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end"))
 START = np.uint64(xxhash.xxh3_64_intdigest(b"\x00start"))
 SALT = [np.uint64(xxhash.xxh3_64_intdigest(b"salt%d" % i) | 1) for i in range(6)]
+ONES = np.ones(FAN, dtype=np.float32)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -105,74 +102,61 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """Counts of the frequent tokens, the classes and the weights."""
+    """Counts of the frequent tokens, the nested classes and the weights."""
 
     token: np.ndarray  # sorted hashes of the frequent tokens
     count: np.ndarray  # their counts in training texts
     n: int  # training tokens
     v: int  # distinct training tokens
-    slot: np.ndarray = field(init=False)  # place among the class words, or -1
-    bias_c: np.ndarray = field(init=False)
-    bias_w: np.ndarray = field(init=False)
-    w_c: np.ndarray = field(init=False)
-    w_w: np.ndarray = field(init=False)
+    leaf: np.ndarray = field(init=False)  # own leaf of each frequent token, or -1
+    own: int = field(init=False)  # number of these; the shared leaves follow
+    mass: np.ndarray = field(init=False)  # of each leaf
+    w: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        order = np.lexsort((self.token, -self.count))[: CLASSES * PER_CLASS]
+        order = np.lexsort((self.token, -self.count))
         order = order[self.count[order] > 0]
-        self.slot = np.full(len(self.token), -1, dtype=np.int64)
-        self.slot[order] = np.arange(len(order))
-        size = CLASSES * PER_CLASS
-        mass = np.full(size, 0.0)
-        mass[: len(order)] = self.count[order]
-        self.rare_n = self.n - int(mass.sum())
-        self.rare_v = self.v - len(order)
-        per_class = np.append(mass.reshape(CLASSES, PER_CLASS).sum(axis=1), self.rare_n + 1.0)
-        with np.errstate(divide="ignore"):
-            self.bias_c = np.maximum(np.log(per_class / per_class.sum()), -30.0 - 1e3 * (per_class == 0)).astype(np.float32)
-            self.bias_w = np.maximum(np.log(mass.reshape(CLASSES, PER_CLASS)), -1e3 * (mass.reshape(CLASSES, PER_CLASS) == 0)).astype(np.float32)
-        bits = weight_bits(self.v)
-        self.w_c = np.zeros((1 << bits, CLASSES + 1), dtype=np.float32)
-        self.w_w = np.zeros((1 << bits, PER_CLASS), dtype=np.float32)
-        self.w_t = np.zeros((1 << (bits + TREE_BITS), FAN), dtype=np.float32)
-        others = np.lexsort((self.token, -self.count))[len(order) :]
-        others = others[self.count[others] > 0]
-        self.leaf = np.full(len(self.token), -1, dtype=np.int64)  # own leaf of the frequent ones among the other words
-        self.leaf[others] = np.arange(len(others))
-        self.own = len(others)
-        self.levels = levels(self.own, self.rare_v - self.own)
+        self.own = len(order)
+        self.leaf = np.full(len(self.token), -1, dtype=np.int64)
+        self.leaf[order] = np.arange(self.own)
+        self.mass = np.full(self.own + min(max(1, self.v - self.own), MOST_SHARED), SMOOTHING)  # an unseen word may fall into any shared leaf
+        self.mass[: self.own] = self.count[order]
+        self.w = np.zeros((1 << weight_bits(self.v), FAN), dtype=np.float32)
+        self._classes()
 
     def grow(self, leaf: np.ndarray, n: np.ndarray, v: np.ndarray) -> None:
-        """Plant the tree, from the occurrences and the number of the words that share each leaf."""
-        mass = np.full(FAN**self.levels, SMOOTHING)  # an unseen word may fall into any shared leaf
-        mass[leaf] += n + SMOOTHING * v
-        there = self.leaf >= 0
-        mass[self.leaf[there]] = self.count[there]
-        self.log_whole = np.log10(np.where(np.arange(len(mass)) < self.own, 1.0, mass)).astype(np.float32)
-        parts = []
-        for _ in range(self.levels):
-            rows = mass.reshape(-1, FAN)
-            parts.append(np.log(rows).astype(np.float32))
-            mass = rows.sum(axis=1)
-        self.bias_t = np.concatenate(parts[::-1])
-
-    def leaf_of(self, h: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
-        """Leaf of each token that is in no class: its own, or a shared one."""
-        shared = tail_leaf(h, self.own, self.levels)
-        if not len(self.token):
-            return shared
-        own = np.where(there, self.leaf[at], -1)
-        return np.where(own >= 0, own, shared)
-
-    def path(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Nodes from the root of the tree to each leaf, and the child taken at each, level by level."""
-        nodes, taken, first = [], [], 0
-        for k in range(self.levels):
-            prefix = leaf >> (FAN_BITS * (self.levels - k))
-            nodes.append(first + prefix)
-            taken.append((leaf >> (FAN_BITS * (self.levels - k - 1))) & (FAN - 1))
-            first += FAN**k
-        return np.concatenate(nodes), np.concatenate(taken)
+        """Class the words again, with the occurrences and the number of the words that share each leaf."""
+        self.mass[leaf] += n + SMOOTHING * v
+        self._classes()
+
+    def _classes(self) -> None:
+        """Node and child of each leaf on each level, and the bias of each node's children."""
+        order = np.argsort(-self.mass, kind="stable")
+        ends = np.concatenate(([0.0], np.cumsum(self.mass[order])))
+        self.paths: list[tuple[np.ndarray, np.ndarray]] = []
+        biases, first = [], 0
+        lo, hi = np.array([0]), np.array([len(order)])
+        steps = np.arange(1, FAN)
+        while len(lo):
+            cuts = np.searchsorted(ends, ends[lo][:, None] + (ends[hi] - ends[lo])[:, None] * steps / FAN)
+            cuts = np.maximum.accumulate(np.maximum(cuts, lo[:, None] + steps) - steps, axis=1) + steps  # one leaf at least in each
+            cuts = np.minimum(np.minimum(cuts, np.maximum(hi[:, None] - FAN, lo[:, None]) + steps), hi[:, None])
+            edges = np.concatenate((lo[:, None], cuts, hi[:, None]), axis=1)
+            part = ends[edges[:, 1:]] - ends[edges[:, :-1]]
+            with np.errstate(divide="ignore"):
+                biases.append(np.maximum(np.log(part / part.sum(axis=1, keepdims=True)), -1e3).astype(np.float32))
+            sizes = (edges[:, 1:] - edges[:, :-1]).ravel()
+            at = np.repeat(np.arange(len(sizes)), sizes)  # child of each leaf below, numbered through the level
+            leaves = order[np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange(int((hi - lo).sum()))]
+            node, child = np.full(len(order), -1, dtype=np.int32), np.zeros(len(order), dtype=np.int8)
+            node[leaves], child[leaves] = first + at // FAN, at % FAN
+            self.paths.append((node, child))
+            first += len(lo)
+            more = np.flatnonzero(sizes > 1)
+            lo, hi = edges[:, :-1].ravel()[more], edges[:, 1:].ravel()[more]
+        self.bias = np.concatenate(biases)
+        self.node_hash = mixed(np.arange(1, first + 1, dtype=np.uint64) * SALT[4])
+        self.log_mass = np.log10(np.where(np.arange(len(self.mass)) < self.own, 1.0, self.mass))
 
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index among the frequent tokens, and which are there."""
@@ -181,28 +165,21 @@ class Model:
         at = np.minimum(np.searchsorted(self.token, h), len(self.token) - 1)
         return at, self.token[at] == h
 
-    def places(self, at: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class of each token (CLASSES: all others) and place in it."""
+    def leaf_of(self, h: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """Leaf of each token: its own, or a shared one."""
+        shared = shared_leaf(h, self.own, len(self.mass))
         if not len(self.token):
-            return np.full(len(at), CLASSES), np.zeros(len(at), dtype=np.int64)
-        slot = np.where(there, self.slot[at], -1)
-        return np.where(slot >= 0, slot // PER_CLASS, CLASSES), np.where(slot >= 0, slot % PER_CLASS, 0)
+            return shared
+        own = np.where(there, self.leaf[at], -1)
+        return np.where(own >= 0, own, shared)
 
     def __getstate__(self) -> dict:
-        """What is broadcast: the weights with half the bytes."""
-        return self.__dict__ | {k: getattr(self, k).astype(np.float16) for k in ("w_c", "w_w", "w_t")}
+        """What is broadcast: the counts, and the weights with half the bytes; the classes follow from the masses."""
+        return {k: getattr(self, k) for k in ("token", "count", "n", "v", "leaf", "own", "mass")} | {"w": self.w.astype(np.float16)}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__ = state | {k: state[k].astype(np.float32) for k in ("w_c", "w_w", "w_t")}
-
-    def pack(self) -> np.ndarray:
-        return np.concatenate([self.w_c.ravel(), self.w_w.ravel(), self.w_t.ravel()])
-
-    def add(self, flat: np.ndarray) -> None:
-        done = 0
-        for w in (self.w_c, self.w_w, self.w_t):
-            w += flat[done : done + w.size].reshape(w.shape)
-            done += w.size
+        self.__dict__ = state | {"w": state["w"].astype(np.float32)}
+        self._classes()
 
 
 def weight_bits(v: int) -> int:
@@ -210,14 +187,9 @@ def weight_bits(v: int) -> int:
     return min(max(int(v).bit_length(), LEAST_BITS), MOST_BITS)
 
 
-def levels(own: int, shared: int) -> int:
-    """Levels of a tree with a leaf for each of the other words, within the bound; one leaf at least is shared."""
-    return next((k for k in range(1, MOST_LEVELS) if FAN**k >= own + shared + 1), MOST_LEVELS)
-
-
-def tail_leaf(h: np.ndarray, own: int, depth: int) -> np.ndarray:
-    """Shared leaf of each word: the leaves from `own` on, by hash."""
-    return own + (mixed(h * SALT[5]) % np.uint64(FAN**depth - own)).astype(np.int64)
+def shared_leaf(h: np.ndarray, own: int, leaves: int) -> np.ndarray:
+    """Shared leaf of each word: those from `own` on, by hash."""
+    return own + (mixed(h * SALT[5]) % np.uint64(leaves - own)).astype(np.int64)
 
 
 def histories(h: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
@@ -229,84 +201,43 @@ def histories(h: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     return [mixed(before * SALT[0]), mixed(before * SALT[1] + skip * SALT[2]), mixed(skip * SALT[3])]
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    return z / z.sum(axis=1, keepdims=True)
-
-
-def _step(w: np.ndarray, rows: list[np.ndarray], g: np.ndarray) -> None:
-    """Subtract each row's gradient, tempered by how often the batch names the row."""
-    for r in rows:
-        order = np.argsort(r, kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], np.diff(r[order]) != 0)))
-        total = np.add.reduceat(g[order], first, axis=0)
-        n = np.diff(np.append(first, len(r)))
-        w[r[order][first]] -= RATE * total / np.sqrt(n)[:, None].astype(np.float32)
-
-
-def _logits(bias: np.ndarray, w: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    z = bias + w[rows[0]]
-    for r in rows[1:]:
-        z += w[r]
-    return z
-
-
-def _rows(features: list[np.ndarray], w: np.ndarray) -> list[np.ndarray]:
-    shift = np.uint64(65 - len(w).bit_length())  # len(w) is a power of two
-    return [(f >> shift).astype(np.int64) for f in features]
-
-
-def _word_rows(features: list[np.ndarray], cls: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
-    own = cls.astype(np.uint64) * SALT[4]
-    return _rows([mixed(f + own) for f in features], w)
-
-
-def _tree_rows(m: Model, features: list[np.ndarray], leaf: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Rows of the weights, node and child taken, for each level of each leaf's path."""
-    node, child = m.path(leaf)
-    return _word_rows([np.tile(f, m.levels) for f in features], node + CLASSES + 1, m.w_t), node, child
-
-
-def train_batch(m: Model, features: list[np.ndarray], cls: np.ndarray, place: np.ndarray, leaf: np.ndarray | None = None) -> None:
-    rows = _rows(features, m.w_c)
-    g = _softmax(_logits(m.bias_c, m.w_c, rows))
-    g[np.arange(len(cls)), cls] -= 1
-    _step(m.w_c, rows, g)
-    k = np.flatnonzero(cls < CLASSES)
-    if len(k):
-        rows = _word_rows([f[k] for f in features], cls[k], m.w_w)
-        g = _softmax(_logits(m.bias_w[cls[k]], m.w_w, rows))
-        g[np.arange(len(k)), place[k]] -= 1
-        _step(m.w_w, rows, g)
-    k = np.flatnonzero(cls == CLASSES)
-    if leaf is not None and len(k):
-        rows, node, child = _tree_rows(m, [f[k] for f in features], leaf[k])
-        g = _softmax(_logits(m.bias_t[node], m.w_t, rows))
-        g[np.arange(len(node)), child] -= 1
-        _step(m.w_t, rows, g)
-
-
-def _log_softmax(z: np.ndarray, taken: np.ndarray) -> np.ndarray:
-    top = z.max(axis=1)
-    return z[np.arange(len(z)), taken] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
-
-
-def score_batch(m: Model, features: list[np.ndarray], cls: np.ndarray, place: np.ndarray, leaf: np.ndarray | None = None) -> np.ndarray:
-    """log10 P(class | history) + log10 P(word | class, history) of each token; for other words, P(leaf | class, history) if leaves are given."""
-    out = np.zeros(len(cls))
-    for a in range(0, len(cls), BATCH):
-        b = slice(a, a + BATCH)
-        out[b] = _log_softmax(_logits(m.bias_c, m.w_c, _rows([f[b] for f in features], m.w_c)).astype(np.float64), cls[b])
-        k = a + np.flatnonzero(cls[b] < CLASSES)
-        if len(k):
-            z = _logits(m.bias_w[cls[k]], m.w_w, _word_rows([f[k] for f in features], cls[k], m.w_w))
-            out[k] += _log_softmax(z.astype(np.float64), place[k])
-        k = a + np.flatnonzero(cls[b] == CLASSES)
-        if leaf is not None and len(k):
-            rows, node, child = _tree_rows(m, [f[k] for f in features], leaf[k])
-            z = _logits(m.bias_t[node], m.w_t, rows)
-            out[k] += _log_softmax(z.astype(np.float64), child).reshape(m.levels, -1).sum(axis=0)
-    return out / math.log(10)
+def _levels(m: Model, features: list[np.ndarray], leaf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
+    """For each level of the classes: the tokens that reach it, the child each takes, its rows of weights, and the logits' exponentials."""
+    shift = np.uint64(65 - len(m.w).bit_length())  # len(m.w) is a power of two
+    for k, (nodes, children) in enumerate(m.paths):
+        node = nodes.take(leaf)
+        at = np.flatnonzero(node >= 0)
+        if not len(at):
+            return
+        node = node.take(at)
+        own = m.node_hash.take(node)
+        rows = [(((f.take(at) ^ own) * MIX) >> shift).astype(np.int64) for f in (features if k < UPPER else features[:1])]
+        z = m.bias.take(node, axis=0)
+        for r in rows:
+            z += m.w.take(r, axis=0)
+        yield at, children.take(leaf.take(at)), rows, np.exp(np.minimum(z, 60.0, out=z), out=z)
+
+
+def train_batch(m: Model, features: list[np.ndarray], leaf: np.ndarray, met: np.ndarray) -> None:
+    """One gradient step; a row's steps shrink with the root of how often it was met (met, which this adds to)."""
+    flat, columns = m.w.reshape(-1), np.arange(FAN)
+    for _, child, rows, g in _levels(m, features, leaf):
+        g /= (g @ ONES)[:, None]
+        g[np.arange(len(child)), child] -= 1
+        for r in rows:
+            np.add.at(met, r, np.float32(1))
+            step = g * (np.float32(-RATE) / np.sqrt(met.take(r)))[:, None]
+            np.add.at(flat, (r[:, None] * FAN + columns).ravel(), step.ravel())
+
+
+def score_batch(m: Model, features: list[np.ndarray], leaf: np.ndarray) -> np.ndarray:
+    """log10 P(leaf | history) of each token."""
+    out = np.zeros(len(leaf))
+    for a in range(0, len(leaf), BATCH):
+        own = out[a : a + BATCH]
+        for at, child, _, e in _levels(m, [f[a : a + BATCH] for f in features], leaf[a : a + BATCH]):
+            own[at] += np.log10(e[np.arange(len(child)), child] / (e @ ONES))
+    return out
 
 
 def _flat(batch: pa.RecordBatch, train_only: bool) -> tuple[list[int], np.ndarray, np.ndarray]:
@@ -326,48 +257,52 @@ def _flat(batch: pa.RecordBatch, train_only: bool) -> tuple[list[int], np.ndarra
 def _train(docs: DataFrame, model: Model, part: int) -> Model:
     """One round over the training texts of one part: local steps, then the average of the workers' weights."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    tasks = max(LEAST_TASKS, 2 * docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // PER_TASK)
+    n_blocks = min(4 * tasks, len(model.w) // 16)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         mine = Model.__new__(Model)
         mine.__dict__ = dict(m.__dict__)
-        mine.w_c, mine.w_w, mine.w_t = m.w_c.copy(), m.w_w.copy(), m.w_t.copy()
-        done = 0
+        mine.w = m.w.copy()
+        met = np.zeros(len(m.w), dtype=np.float32)
         for batch in slices(batches):
             _, h, starts = _flat(batch, train_only=True)
             if not len(h):
                 continue
             features = histories(h, starts)
-            at, there = mine.lookup(h)
-            cls, place = mine.places(at, there)
-            leaf = mine.leaf_of(h, at, there)
+            leaf = mine.leaf_of(h, *mine.lookup(h))
             for a in range(0, len(h), BATCH):
                 b = slice(a, a + BATCH)
-                train_batch(mine, [f[b] for f in features], cls[b], place[b], leaf[b])
-            done += len(h)
-        if done:
-            blocks = np.array_split((mine.pack() - m.pack()).astype(np.float16), BLOCKS)  # what the steps changed
-            yield pa.record_batch([pa.array(range(BLOCKS), pa.int32()), pa.array([done] * BLOCKS, pa.int64()), pa.array([x.tobytes() for x in blocks], pa.binary())], names=["block", "n", "weights"])
+                train_batch(mine, [f[b] for f in features], leaf[b], met)
+        if met.any():
+            changed = (mine.w - m.w).astype(np.float16)
+            for a in range(0, n_blocks, 64):  # some blocks at a time, to bound the size of a row batch
+                blocks = range(a, min(a + 64, n_blocks))
+                parts = [slice(k * len(met) // n_blocks, (k + 1) * len(met) // n_blocks) for k in blocks]
+                yield pa.record_batch([pa.array(blocks, pa.int32()), pa.array([met[x].tobytes() for x in parts], pa.binary()), pa.array([changed[x].tobytes() for x in parts], pa.binary())], names=["block", "met", "changed"])
 
     def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        n: Counter = Counter()
+        total: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for k, c, w in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                x = np.frombuffer(w, dtype=np.float16).astype(np.float32) * np.float32(c)
-                total[k] = total[k] + x if k in total else x
-                n[k] += c
+            for k, n, x in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                n = np.frombuffer(n, dtype=np.float32)
+                x = np.frombuffer(x, dtype=np.float16).astype(np.float32).reshape(-1, FAN) * n[:, None]
+                if k in total:
+                    total[k][0] += n
+                    total[k][1] += x
+                else:
+                    total[k] = [n.copy(), x]
         if total:
             keys = sorted(total)
-            yield pa.record_batch([pa.array(keys, pa.int32()), pa.array([n[k] for k in keys], pa.int64()), pa.array([(total[k] / np.float32(n[k])).tobytes() for k in keys], pa.binary())], names=["block", "n", "weights"])
+            yield pa.record_batch([pa.array(keys, pa.int32()), pa.array([(total[k][1] / np.maximum(total[k][0], 1)[:, None]).astype(np.float16).tobytes() for k in keys], pa.binary())], names=["block", "changed"])
 
-    schema = "block int, n long, weights binary"
     half = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == part)
-    tasks = max(LEAST_TASKS, 2 * docs.sparkSession.sparkContext.defaultParallelism)
-    rows = half.coalesce(tasks).mapInArrow(local, schema).repartition(BLOCKS, "block").mapInArrow(averaged, schema).collect()  # BLOCKS rows of fixed size
+    changes = half.coalesce(tasks).mapInArrow(local, "block int, met binary, changed binary").repartition(tasks, "block").mapInArrow(averaged, "block int, changed binary")
+    rows = sorted(changes.collect(), key=lambda r: r["block"])  # the weights, a fixed size
     shared.destroy()
     if rows:
-        model.add(np.concatenate([np.frombuffer(r["weights"], dtype=np.float32) for r in sorted(rows, key=lambda r: r["block"])]))
+        model.w += np.concatenate([np.frombuffer(r["changed"], dtype=np.float16) for r in rows]).astype(np.float32).reshape(model.w.shape)
     return model
 
 
@@ -387,13 +322,12 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
                 continue
             owner = np.repeat(np.arange(n), np.diff(np.append(starts, len(h))))
             at, there = m.lookup(h)
-            cls, place = m.places(at, there)
             logs = np.where(there, log_c[at] if len(log_c) else 0.0, 0.0)
             known = there & (m.count[at] > 0) if len(log_c) else there
-            rare, leaf = cls == CLASSES, m.leaf_of(h, at, there)
-            dealt = rare & (leaf >= m.own)
+            leaf = m.leaf_of(h, at, there)
+            dealt = leaf >= m.own
             per = lambda x: np.bincount(owner, weights=x, minlength=n)
-            sums = [per(known), per(logs), per(score_batch(m, histories(h, starts), cls, place, leaf) - np.where(dealt, m.log_whole[leaf], 0.0)), per(np.where(dealt, logs, 0.0))]
+            sums = [per(known), per(logs), per(score_batch(m, histories(h, starts), leaf) - m.log_mass[leaf]), per(np.where(dealt, logs, 0.0))]
             tails, counts = [], []
             off = np.flatnonzero(~there)
             cut = np.searchsorted(owner[off], np.arange(n + 1))
@@ -420,12 +354,12 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, SCORED)
 
 
-def _leaf_counts(counts: DataFrame, least: Column, own: int, depth: int) -> pa.Table:
-    """(leaf, n, v): occurrences and number of the training words that share each leaf; FAN ** MOST_LEVELS rows at most."""
+def _leaf_counts(counts: DataFrame, least: Column, own: int, leaves: int) -> pa.Table:
+    """(leaf, n, v): occurrences and number of the training words that share each leaf; MOST_SHARED rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaf = tail_leaf(batch.column(0).to_numpy().view(np.uint64), own, depth)
+            leaf = shared_leaf(batch.column(0).to_numpy().view(np.uint64), own, leaves)
             yield pa.record_batch([pa.array(leaf, pa.int64()), batch.column(1)], names=["leaf", "c"])
 
     shared = counts.filter(~least & (F.col("c") > 0)).select("token", "c")
@@ -442,7 +376,7 @@ def score(docs: DataFrame) -> DataFrame:
     hashes = frequent.column("token").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     model = Model(hashes[order], frequent.column("c").to_numpy().astype(np.int64)[order], n, v)
-    tail_counts = _leaf_counts(counts, least, model.own, model.levels)
+    tail_counts = _leaf_counts(counts, least, model.own, len(model.mass))
     model.grow(*(tail_counts.column(k).to_numpy() for k in ("leaf", "n", "v")))
     for part in range(ROUNDS):
         model = _train(docs, model, part)
