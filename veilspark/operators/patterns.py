@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -46,6 +47,13 @@ class Pattern:
     gate: str | None = None
     keep: Callable[[Column, Column], Column] | None = None
 
+    @property
+    def led(self) -> str:
+        """The regex with what stands before the value as its first group."""
+        flags = "(?i)" if self.regex.startswith("(?i)") else ""
+        at = next(m.start() for m in re.finditer(r"\\.|\[(?:\\.|[^\]])*\]|\((?!\?)", self.regex) if m[0] == "(")
+        return f"{flags}({self.regex[len(flags) : at]})(?:{self.regex[at + 1 :]}"
+
 
 def _one_break(value: Column, breaks: Column) -> Column:
     return breaks <= 1

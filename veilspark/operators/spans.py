@@ -1,7 +1,8 @@
 """Pages and a rule book into spans: one wide projection, no join, no shuffle.
 
 Pages are (doc_id, page, text). Every matcher is an array expression over the normalised text, behind a cheap
-gate; exact rules are matched the same way up to MANY_EXACT of them, beyond that by one Aho-Corasick pass.
+gate; exact rules are matched the same way up to MANY_EXACT of them, beyond that by one Aho-Corasick pass with
+the same results.
 Spans have half-open ranges in the normalised text, and on request in the original.
 """
 
@@ -29,61 +30,80 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+def _located(text: Column, regex: Column | str, whole: Column, body) -> Column:
+    """body(start, match, its number) for each match of regex in text, whole being all matches; nulls are left out.
 
+    Starts are folded once: what lies between the matches is what splitting the text leaves.
+    """
 
-def hits(text: Column, breaks: Column, pattern: Pattern, engine_no: int) -> Column:
-    """All non-overlapping matches of one pattern, as spans of its value."""
+    def folded(parts: Column) -> Column:
+        lead, hit = parts["lead"], parts["whole"]
+
+        def step(state: Column, w: Column) -> Column:
+            i = F.size(state["out"])
+            start = state["at"] + F.length(F.get(lead, i))
+            return F.struct((start + F.length(w)).alias("at"), F.array_append(state["out"], start).alias("out"))
+
+        starts = F.aggregate(hit, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step)["out"]
+        return _let(starts, lambda st: F.filter(F.transform(hit, lambda w, i: body(F.get(st, i), w, i)), lambda x: x.isNotNull()))
 
-    def located(parts: Column) -> Column:
-        lead, whole, value = parts["lead"], parts["whole"], parts["value"]
-        size = F.transform(whole, lambda w: F.length(w))
-        ahead = F.transform(lead, lambda w: F.length(w))
-        start = F.transform(whole, lambda w, i: _sum(F.slice(ahead, 1, i + 1)) + _sum(F.slice(size, 1, i)))
+    parts = F.struct(F.split(text, regex, -1).alias("lead"), whole.alias("whole"))
+    return F.when(F.size(whole) > 0, _let(parts, folded)).otherwise(F.array().cast(SPAN))
 
-        def one(w: Column, i: Column) -> Column:
-            v = F.get(value, i)
-            begin = F.get(start, i)
-            inner = begin if pattern.group == 0 else begin + F.call_function("locate", v, w) - F.lit(1)
-            skipped = F.substring(breaks, begin + F.lit(1), inner - begin)
-            n = 2 * F.length(skipped) - F.length(F.replace(skipped, F.lit("\n"), F.lit(""))) - F.length(F.replace(skipped, F.lit(PARAGRAPH), F.lit("")))
-            n = n + F.length(skipped) - F.length(F.replace(skipped, F.lit(PARAGRAPH), F.lit("")))
-            found = F.struct(inner.cast("int").alias("start"), (inner + F.length(v)).cast("int").alias("stop"), v.alias("matched_text"), F.lit(engine_no).alias("engine_no"))
-            return F.when(pattern.keep(v, n), found) if pattern.keep else found
 
-        return F.filter(F.transform(whole, one), lambda x: x.isNotNull())
+def _span(start: Column, value: Column, engine_no: int) -> Column:
+    return F.struct(start.cast("int").alias("start"), (start + F.length(value)).cast("int").alias("stop"), value.alias("matched_text"), F.lit(engine_no).alias("engine_no"))
 
+
+def hits(text: Column, breaks: Column, pattern: Pattern, engine_no: int) -> Column:
+    """All non-overlapping matches of one pattern, as spans of its value."""
     regex = F.lit(pattern.regex)
-    parts = F.struct(F.split(text, pattern.regex, -1).alias("lead"), F.regexp_extract_all(text, regex, 0).alias("whole"), F.regexp_extract_all(text, regex, pattern.group).alias("value"))
-    found = _let(parts, located)
-    gate = F.rlike(text, regex) if pattern.gate is None else F.contains(text, F.lit(pattern.gate))
-    return F.when(gate, found).otherwise(F.array().cast(SPAN))
 
+    def found(whole: Column) -> Column:
+        if pattern.group == 0:
+            keep = lambda start, w, i: F.when(pattern.keep(w, F.lit(0)), _span(start, w, engine_no)) if pattern.keep else _span(start, w, engine_no)
+            return _located(text, pattern.regex, whole, keep)
+        # What stands before the value in each match has a length of its own: the value may stand in its label too.
+        inner = F.struct(F.regexp_extract_all(text, F.lit(pattern.led), 1).alias("led"), F.regexp_extract_all(text, regex, 1).alias("value"))
 
-def _literal_pattern(rule: Rule) -> Column:
-    needle = normalized(F.lit(rule.literal))
-    quoted = F.concat(F.lit("" if rule.is_case_sensitive else "(?iu)"), F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    return quoted
+        def one(x: Column) -> Column:
+            def span(start: Column, w: Column, i: Column) -> Column:
+                size, value = F.length(F.get(x["led"], i)), F.get(x["value"], i)
+                if pattern.keep is None:
+                    return _span(start + size, value, engine_no)
+                skipped = F.substring(breaks, start + F.lit(1), size)
+                lines, paragraphs = (size - F.length(F.replace(skipped, F.lit(c), F.lit(""))) for c in ("\n", PARAGRAPH))
+                return F.when(pattern.keep(value, lines + 2 * paragraphs), _span(start + size, value, engine_no))
 
+            return _located(text, pattern.regex, whole, span)
+
+        return F.when(F.size(whole) > 0, _let(inner, one)).otherwise(F.array().cast(SPAN))
+
+    every = _let(F.regexp_extract_all(text, regex, 0), found)
+    gate = F.rlike(text, regex) if pattern.gate is None else F.contains(text, F.lit(pattern.gate))
+    return F.when(gate, every).otherwise(F.array().cast(SPAN))
 
-def exact_hits(text: Column, rule: Rule, engine_no: int) -> Column:
-    """All non-overlapping occurrences of a literal, as substrings."""
-    pattern = _literal_pattern(rule)
-    needle = normalized(F.lit(rule.literal))
 
-    def located(parts: Column) -> Column:
-        size, ahead = F.transform(parts["whole"], lambda w: F.length(w)), F.transform(parts["lead"], lambda w: F.length(w))
+def literal_hits(text: Column, literal: Column, sensitive: Column | bool, engine_no: int) -> Column:
+    """All non-overlapping occurrences of a literal, as substrings; case is folded letter by letter unless it counts."""
+    flags = F.when(F.lit(sensitive) if isinstance(sensitive, bool) else sensitive, F.lit("")).otherwise(F.lit("(?iu)"))
 
-        def one(w: Column, i: Column) -> Column:
-            begin = _sum(F.slice(ahead, 1, i + 1)) + _sum(F.slice(size, 1, i))
-            return F.struct(begin.cast("int").alias("start"), (begin + F.length(w)).cast("int").alias("stop"), w.alias("matched_text"), F.lit(engine_no).alias("engine_no"))
+    def found(needle: Column) -> Column:
+        pattern = F.concat(flags, F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+        whole = F.call_function("regexp_extract_all", text, pattern, F.lit(0))
+        return F.when(needle == "", F.array().cast(SPAN)).otherwise(_let(whole, lambda w: _located(text, pattern, w, lambda start, x, i: _span(start, x, engine_no))))
 
-        return F.transform(parts["whole"], one)
+    return _let(normalized(literal), found)
 
-    parts = F.struct(F.split(text, pattern, -1).alias("lead"), F.regexp_extract_all(text, pattern, 0).alias("whole"))
-    there = F.contains(text, needle) if rule.is_case_sensitive else F.contains(F.lower(text), F.lower(needle))
-    return F.when((needle != "") & there, _let(parts, located)).otherwise(F.array().cast(SPAN))
+
+def exact_hits(text: Column, rule: Rule, engine_no: int) -> Column:
+    """literal_hits() of a rule, whose pattern is folded when the query is planned."""
+    needle = normalized(F.lit(rule.literal))
+    pattern = F.concat(F.lit("" if rule.is_case_sensitive else "(?iu)"), F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    whole = F.call_function("regexp_extract_all", text, pattern, F.lit(0))
+    there = F.contains(text, needle) if rule.is_case_sensitive else F.rlike(text, pattern)
+    found = _let(whole, lambda w: _located(text, pattern, w, lambda start, x, i: _span(start, x, engine_no)))
+    return F.when((needle != "") & there, found).otherwise(F.array().cast(SPAN))
 
 
 def first_of_equal_ranges(spans: Column) -> Column:
@@ -157,16 +177,17 @@ def spans(pages: DataFrame, book: RuleBook, unlabelled: int | None = None) -> Da
         found = base.select("doc_id", "page", F.explode(F.array(*sources)).alias("s")).select("doc_id", "page", "s.*")
         out = found.select("doc_id", "page", "source_kind", "category", "rule_description", "rule_line", F.explode("spans").alias("m")).select("*", "m.*").drop("m")
     if len(book.exact) > MANY_EXACT:
-        many = _many_exact(base.select("doc_id", "page", "n"), book.exact)
+        many = many_exact(base.select("doc_id", "page", "n"), book.exact)
         out = many if out is None else out.unionByName(many)
-    for category in supported(book):
-        if category in COLUMNS:
-            out = out.unionByName(column_spans(pages, category, lines[category]))
-    if any(c in COLUMNS and c in DISTINCT for c in supported(book)):
-        keys = ["doc_id", "page", "rule_line", "start", "stop"]
-        labelled = out.filter(F.col("category").isin(*[c for c in COLUMNS if c in DISTINCT]))
-        once = labelled.groupBy(*keys, "source_kind", "category", "rule_description").agg(F.min("engine_no").alias("engine_no"), F.min("matched_text").alias("matched_text"))
-        out = out.filter(F.col("category").isNull() | ~F.col("category").isin(*[c for c in COLUMNS if c in DISTINCT])).unionByName(once)
+    named = {c: lines[c] for c in supported(book) if c in COLUMNS}
+    if named:
+        cells = column_spans(pages, named)
+        distinct = [c for c in named if c in DISTINCT]
+        if distinct:  # a range that a pattern has found already is not reported again
+            keys = ["doc_id", "page", "rule_line", "start", "stop"]
+            seen = _pattern_spans_of_tables(pages, book, [lines[c] for c in distinct], unlabelled).select(*keys)
+            cells = cells.filter(~F.col("category").isin(distinct)).unionByName(cells.filter(F.col("category").isin(distinct)).join(seen, keys, "left_anti"))
+        out = cells if out is None else out.unionByName(cells)
     return out
 
 
@@ -183,53 +204,84 @@ def _source(kind: str, category: str | None, description: str, line: int, found:
     )
 
 
-def column_spans(pages: DataFrame, category: str, line: int) -> DataFrame:
-    """Spans of table cells under a header that names the category. Ranges are given in the normalised text."""
-    header, value = COLUMNS[category]
-    with_tables = pages.filter(F.rlike("text", F.lit(r"(?m)^[ \t]*\|")))
-    cells = table_cells(with_tables).filter(F.rlike("header", F.lit(f"(?i)^(?:{header})$")) & F.rlike("cell", F.lit(f"^(?:{value})$")))
-    if category == "accountNumbers":
-        cells = cells.filter(has_adjacent_digits(F.col("cell")))
-    return cells.select(
-        "doc_id", "page", F.lit("category").alias("source_kind"), F.lit(category).alias("category"), F.lit(CANONICAL[category]).alias("rule_description"), F.lit(line).alias("rule_line"),
-        F.col("start"), F.col("stop"), F.col("cell").alias("matched_text"), F.lit(9).alias("engine_no"),
-    )
+def _with_tables(pages: DataFrame) -> DataFrame:
+    return pages.filter(F.rlike("text", F.lit(r"(?m)^[ \t]*\|")))
+
+
+def _pattern_spans_of_tables(pages: DataFrame, book: RuleBook, rule_lines: list[int], unlabelled: int | None) -> DataFrame:
+    """Spans by the patterns of some categories, on the few pages that hold tables."""
+    own = {r.line_number: r.category for r in book.rules if r.kind == "category" and r.line_number in rule_lines}
+    base = _with_tables(pages).select("doc_id", "page", normalized(F.col("text")).alias("n"), normalized_breaks(F.col("text")).alias("nb"))
+    sources = [_source("category", c, CANONICAL[c], line, category_hits(c, F.col("n"), F.col("nb"), unlabelled)) for line, c in own.items()]
+    return base.select("doc_id", "page", F.explode(F.array(*sources)).alias("s")).select("doc_id", "page", "s.rule_line", F.explode("s.spans").alias("m")).select("doc_id", "page", "rule_line", "m.start", "m.stop")
+
+
+def column_spans(pages: DataFrame, lines: dict[str, int]) -> DataFrame:
+    """Spans of table cells under a header that names one of the categories. Ranges are given in the normalised text."""
+    cells = table_cells(_with_tables(pages))
+    fits = []
+    for category, line in lines.items():
+        header, value = COLUMNS[category]
+        fit = F.rlike("header", F.lit(f"(?i)^(?:{header})$")) & F.rlike("cell", F.lit(f"^(?:{value})$"))
+        fit = fit & has_adjacent_digits(F.col("cell")) if category == "accountNumbers" else fit
+        fits.append(F.when(fit, F.struct(F.lit(category).alias("category"), F.lit(CANONICAL[category]).alias("rule_description"), F.lit(line).alias("rule_line"))))
+    found = cells.select("doc_id", "page", "start", "stop", "cell", F.explode(F.filter(F.array(*fits), lambda x: x.isNotNull())).alias("c"))
+    return found.select("doc_id", "page", F.lit("category").alias("source_kind"), "c.category", "c.rule_description", "c.rule_line", "start", "stop", F.col("cell").alias("matched_text"), F.lit(9).alias("engine_no"))
+
+
+class _Folded(dict):
+    """What each character becomes when case is folded letter by letter: lower case of its upper case, if these are single."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        upper = c.upper() if len(c.upper()) == 1 else c
+        self[code] = "i" if c == "\u0130" else upper.lower() if len(upper.lower()) == 1 else upper
+        return self[code]
+
+
+_folded = _Folded()
+
+
+def many_exact(base: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """One pass of an Aho-Corasick automaton for many literals over (doc_id, page, n); each rule's own hits do not overlap.
+
+    The automaton is built on the driver, once, and broadcast; it is as large as the rule book.
+    """
+    import ahocorasick
 
+    from veilspark.operators.offsets import normalize
 
-def _many_exact(base: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """One pass of an Aho-Corasick automaton for many literals; each rule's own hits do not overlap."""
-    rows = [(r.literal, r.is_case_sensitive, r.description, r.line_number) for r in rules]
     schema = T.StructType([*base.select("doc_id", "page").schema.fields, *T._parse_datatype_string("source_kind string, category string, rule_description string, rule_line int, start int, stop int, matched_text string, engine_no int").fields])
+    words: dict[bool, dict[str, list[int]]] = {True: {}, False: {}}
+    rows = []
+    for k, r in enumerate(rules):
+        needle = normalize(r.literal)[0]
+        rows.append((r.description, r.line_number, len(needle)))
+        if needle:
+            words[r.is_case_sensitive].setdefault(needle if r.is_case_sensitive else needle.translate(_folded), []).append(k)
+    trees = {}
+    for sensitive, own in words.items():
+        if own:
+            trees[sensitive] = ahocorasick.Automaton()
+            for needle, ks in own.items():
+                trees[sensitive].add_word(needle, tuple(ks))
+            trees[sensitive].make_automaton()
+    shared = base.sparkSession.sparkContext.broadcast((trees, rows))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        from veilspark.operators.offsets import normalize
-
-        trees = {True: ahocorasick.Automaton(), False: ahocorasick.Automaton()}
-        for k, (literal, sensitive, _, _) in enumerate(rows):
-            needle = normalize(literal)[0]
-            needle = needle if sensitive else needle.lower()
-            if needle:
-                trees[sensitive].add_word(needle, (*trees[sensitive].get(needle, ()), k))
-        for tree in trees.values():
-            tree.make_automaton()
+        trees, rows = shared.value
         for pdf in batches:
             out = []
             for doc, page, text in zip(pdf["doc_id"], pdf["page"], pdf["n"], strict=True):
                 for sensitive, tree in trees.items():
-                    if not len(tree):
-                        continue
-                    low = text if sensitive else text.lower()
-                    low = low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
                     free: dict[int, int] = {}
-                    for last, ks in tree.iter(low):
+                    for last, ks in tree.iter(text if sensitive else text.translate(_folded)):
                         for k in ks:
-                            size = len(normalize(rows[k][0])[0])
+                            description, line, size = rows[k]
                             a = last - size + 1
                             if a >= free.get(k, 0):
                                 free[k] = a + size
-                                out.append((doc, page, "exact", None, rows[k][2], rows[k][3], a, a + size, text[a : a + size], 0))
+                                out.append((doc, page, "exact", None, description, line, a, a + size, text[a : a + size], 0))
             yield pd.DataFrame(out, columns=schema.names)
 
     return base.mapInPandas(run, schema)

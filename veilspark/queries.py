@@ -236,9 +236,9 @@ def benchmark_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = documents(spark, sf_dir).select("doc_id", "page", normalized(F.col("text")).alias("n"))
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").toLocalIterator()
     rules = (R.Rule("exact", r["text"], False, None, int(r["item_id"])) for r in items)
-    found = S._many_exact(pages, tuple(islice(rules, LITERALS)))
+    found = S.many_exact(pages, tuple(islice(rules, LITERALS)))
     while block := tuple(islice(rules, LITERALS)):
-        found = found.unionByName(S._many_exact(pages, block))
+        found = found.unionByName(S.many_exact(pages, block))
     return found.groupBy("rule_line").agg(F.count(F.lit(1)).alias("n_spans"))
 
 
