@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 BREAKS = frozenset("\n\x0b\x0c\r\x85\u2028\u2029")
+#: Unicode's white space, as the patterns of functions/text.py have it.
+SPACES = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def normalize(text: str) -> tuple[str, list[int], list[int]]:
@@ -20,7 +22,7 @@ def normalize(text: str) -> tuple[str, list[int], list[int]]:
     space_from = -1
     while i < n:
         c = text[i]
-        if c.isspace():
+        if c in SPACES:
             space_from = i if space_from < 0 else space_from
             i += 1
             continue
@@ -32,7 +34,7 @@ def normalize(text: str) -> tuple[str, list[int], list[int]]:
             space_from = -1
         if c == "-":
             j = i + 1
-            while j < n and text[j].isspace():
+            while j < n and text[j] in SPACES:
                 j += 1
             if j < n and any(x in BREAKS for x in text[i + 1 : j]):
                 if not (i and text[i - 1].isalpha() and text[j].isalpha()):

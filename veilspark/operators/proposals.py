@@ -11,11 +11,11 @@ from pyspark.sql import types as T
 
 from veilspark.functions import proposals as P
 from veilspark.functions.text import normalized
-from veilspark.operators.spans import with_pages
+from veilspark.operators.spans import literal_hits, with_pages
 
 CHUNK = 1200
 LEAST_CHUNK = 240
-PROPOSAL = "text string, kind string, reason string"
+PROPOSAL = "text string, kind string, reason string, n_unread int"
 
 
 class TooLong(Exception):
@@ -50,16 +50,23 @@ def halves(text: str) -> tuple[str, str] | None:
     return text[:middle], text[middle:]
 
 
-def _asked(text: str, propose: Callable[[str], list[tuple[str, str, str]]]) -> list[tuple[str, str, str]]:
+def _asked(text: str, propose: Callable[[str], list[tuple[str, str, str]]]) -> tuple[list[tuple[str, str, str]], int]:
+    """What propose says about a chunk, and how many characters stayed too long for it."""
     try:
-        return propose(text)
+        return propose(text), 0
     except TooLong:
         cut = halves(text) if len(text) > LEAST_CHUNK else None
-        return [] if cut is None else _asked(cut[0], propose) + _asked(cut[1], propose)
+        if cut is None:
+            return [], len(text)
+        (a, m), (b, n) = (_asked(half, propose) for half in cut)
+        return a + b, m + n
 
 
 def proposed(pages: DataFrame, propose: Callable[[str], list[tuple[str, str, str]]]) -> DataFrame:
-    """doc_id, page, text, kind, reason: what propose says about each chunk, one row a distinct text of a page."""
+    """doc_id, page, text, kind, reason, n_unread: what propose says about each chunk, one row a distinct text of a page.
+
+    A page with characters that no chunk could bring to propose has one more row, without text, that tells how many.
+    """
     base = with_pages(pages)
     schema = T.StructType([*base.select("doc_id", "page").schema.fields, *T._parse_datatype_string(PROPOSAL).fields])
 
@@ -68,16 +75,36 @@ def proposed(pages: DataFrame, propose: Callable[[str], list[tuple[str, str, str
             rows = []
             for doc, page, text in zip(pdf["doc_id"], pdf["page"], pdf["text"], strict=True):
                 seen: set[str] = set()
+                unread = 0
                 for chunk in chunks(text):
-                    for value, kind, reason in _asked(chunk, propose):
+                    said, missed = _asked(chunk, propose)
+                    unread += missed
+                    for value, kind, reason in said:
                         if value.strip() not in seen:
                             seen.add(value.strip())
-                            rows.append((doc, page, value, kind, reason))
+                            rows.append((doc, page, value, kind, reason, 0))
+                if unread:
+                    rows.append((doc, page, None, None, None, unread))
             yield pd.DataFrame(rows, columns=schema.names)
 
     return base.mapInPandas(run, schema)
 
 
+def spans_of_proposals(pages: DataFrame, propose: Callable[[str], list[tuple[str, str, str]]], found: DataFrame, residue: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(spans for redact()'s extra, proposals not located, pages not fully read): propose, filter, locate, drop what rules cover."""
+    rows = stored_rows(proposed(pages, propose))
+    asked = filtered(rows.filter("n_unread = 0").drop("n_unread"), residue)
+    placed, unlocated = located(without_rule_hits(asked, found), pages)
+    return not_covered(placed, found), unlocated, rows.filter("n_unread > 0").select("doc_id", "page", "n_unread")
+
+
+def stored_rows(rows: DataFrame) -> DataFrame:
+    """A proposer may be dear and may answer otherwise the next time: its rows are asked for once and stored."""
+    from veilspark.sources.tables import Store
+
+    return Store(rows.sparkSession).kept(rows, "proposals")
+
+
 def filtered(rows: DataFrame, residue: bool = False) -> DataFrame:
     """Proposals worth acting on. Residue must look like a value before its caption goes, first passes after."""
     if residue:
@@ -91,17 +118,9 @@ def filtered(rows: DataFrame, residue: bool = False) -> DataFrame:
 def located(rows: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(spans, unlocated): proposals found as text on their page, each non-overlapping occurrence a span."""
     base = with_pages(pages).select("doc_id", "page", normalized(F.col("text")).alias("n"))
-    needle = normalized(F.col("text"))
-    joined = rows.join(base, ["doc_id", "page"]).withColumn("needle", needle)
-    pattern = F.concat(F.lit("(?iu)\\Q"), F.replace("needle", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    joined = joined.withColumn("whole", F.when(F.col("needle") != "", F.regexp_extract_all("n", pattern, 0)).otherwise(F.array().cast("array<string>"))).withColumn("lead", F.split("n", pattern, -1))
-
-    def total(x):
-        return F.aggregate(x, F.lit(0), lambda a, s: a + F.length(s))
-
-    start = F.transform("whole", lambda w, i: F.struct((total(F.slice("lead", 1, i + 1)) + total(F.slice("whole", 1, i))).cast("int").alias("start"), w.alias("w")))
-    spans = joined.select("doc_id", "page", "text", "kind", F.explode(start).alias("s")).select("doc_id", "page", "text", "kind", "s.start", (F.col("s.start") + F.length("s.w")).cast("int").alias("stop"), F.col("s.w").alias("matched_text"))
-    return spans, joined.filter(F.size("whole") == 0).select(rows.columns)
+    joined = rows.join(base, ["doc_id", "page"]).withColumn("hits", literal_hits(F.col("n"), F.col("text"), False, 0))
+    spans = joined.select("doc_id", "page", "text", "kind", F.explode("hits").alias("s")).select("doc_id", "page", "text", "kind", "s.start", "s.stop", "s.matched_text")
+    return spans, joined.filter(F.size("hits") == 0).select(rows.columns)
 
 
 def not_covered(candidates: DataFrame, found: DataFrame) -> DataFrame:

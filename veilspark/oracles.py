@@ -94,7 +94,7 @@ ORACLES: dict[str, str] = {
         AS t(line_number, kind)""",
     "plan_parse": """SELECT * FROM (VALUES (4, true, 'Ann Lee', 'names', 2), (5, false, '12', '', 2), (6, true, 'plain value', 'note', 2), (10, true, 'zz', '', NULL), (12, true, 'Ann Lee', '', 1)) AS t(pos, is_selected, value, label, page)""",
     "plan_usable": "SELECT * FROM (VALUES ('Ann Lee', true), ('plain value', true), ('zz', false)) AS t(value, used)",
-    "plan_of_emails": f"{PLAN} SELECT doc_id::VARCHAR AS source_name, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INT AS pos, matched_text AS value, 'ip addresses' AS label FROM v",
+    "plan_of_addresses": f"{PLAN} SELECT doc_id::VARCHAR AS source_name, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INT AS pos, matched_text AS value, 'ip addresses' AS label FROM v",
     "plan_merge": f"{PLAN} SELECT doc_id::VARCHAR AS source_name, count(*) + 1 AS n_items, count(*) FILTER (matched_text NOT LIKE '1%') + 1 AS n_ticked FROM v GROUP BY doc_id",
     "masked_findings": f"""{EVERY}, every AS (
         SELECT doc_id, matched_text AS m, 'email addresses' AS rule FROM email UNION ALL SELECT doc_id, matched_text, 'ip addresses' FROM ip UNION ALL SELECT doc_id, matched_text, 'credit card numbers' FROM cards

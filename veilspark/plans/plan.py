@@ -6,7 +6,7 @@ unticked line for each item under a heading for its page.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Limits and the text form.
@@ -72,6 +72,19 @@ def merged(fresh: DataFrame, edited: DataFrame) -> DataFrame:
     return kept.select(columns).unionByName(extra.select(columns))
 
 
+def counts(items: DataFrame) -> DataFrame:
+    """(source_name, n_items, n_ticked), as a plan that was edited outside is read again."""
+    return items.groupBy("source_name").agg(F.count(F.lit(1)).alias("n_items"), F.count_if("is_selected").alias("n_ticked"))
+
+
+def read_guidance(spark: SparkSession, path: str) -> DataFrame:
+    """guidance() of a text file of rules for all documents; an absent file is an empty guidance."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    body = spark.read.text(path, wholetext=True).select(F.lit(path).alias("rules_id"), F.col("value").alias("body")) if there else spark.createDataFrame([(path, "")], "rules_id string, body string")
+    return guidance(body)
+
+
 def usable_values(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(used, refused): ticked distinct values; those under three characters or without letter or number are refused."""
     blank = F.regexp_replace("value", r"(?U)\s+", "") == ""

@@ -1,23 +1,29 @@
 """Redaction of text with read-back: mask, read again, match again, at most a few passes, then verify.
 
 Masking is an expression over each page and its spans; pages without spans are copied through. A pass looks only at
-pages that still have residue. Every pass is written to the run's folder, so lineage stays short and a
-lost executor repeats one pass at most.
+pages that still have residue: what rules, plan values or an inspector still find there outside the ranges masked so
+far. Every pass is written to the run's folder, so lineage stays short and a lost executor repeats one pass at most.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.text import has_text, normalized
-from veilspark.operators.spans import RUNAWAY, merged, refused, spans, with_pages
+from veilspark.operators.spans import RUNAWAY, any_hit, literal_hits, merged, refused, spans, with_pages
+from veilspark.plans import plan
 from veilspark.sources.rules import RuleBook
+from veilspark.sources.tables import Store, published
+from veilspark.sources.tables import annotations as loose_strings
 
 MAX_PASSES = 3
 BLOCK = "█"
+RANGES = "array<struct<start:int,stop:int>>"
+FOUND = ("doc_id", "page", "rule_line", "rule_description", "start", "stop", "matched_text", "origin")
 
 
 class NothingMatched(ValueError):
@@ -41,7 +47,7 @@ def located_elsewhere(found: DataFrame, pages: DataFrame) -> DataFrame:
     """Spans whose recorded text is not what their range holds: they must not be masked blindly."""
     joined = found.join(with_pages(pages), ["doc_id", "page"])
     held = F.substring(normalized(F.col("text")), F.col("start") + F.lit(1), F.col("stop") - F.col("start"))
-    return joined.filter(held != F.col("matched_text")).drop("text")
+    return joined.filter(held != F.col("matched_text")).select(found.columns)
 
 
 def worth_acting_on(reported: Column, intended: Column) -> Column:
@@ -59,70 +65,178 @@ def worth_acting_on(reported: Column, intended: Column) -> Column:
 class Redaction:
     pages: DataFrame  # doc_id, page, text (masked, normalised), status, items, passes, reason
     findings: DataFrame  # one row a span that was masked, with its origin
+    annotations: DataFrame  # doc_id, page, value: annotations that hold a hit and must be deleted with it
     problems: DataFrame  # doc_id, page, problem
     documents: DataFrame  # one row a document: totals, disposition
 
 
-def redact(pages: DataFrame, book: RuleBook, extra: DataFrame | None = None, max_passes: int = MAX_PASSES, verify: bool = True, hold: bool = False, folder: str | None = None) -> Redaction:
-    """Mask what the book (and extra spans, as from a reviewer) finds, read back, and judge each document.
-
-    extra: doc_id, page, start, stop, matched_text in the normalised text. folder: where passes are stored.
+def redact(
+    pages: DataFrame,
+    book: RuleBook | None = None,
+    extra: DataFrame | None = None,
+    values: DataFrame | None = None,
+    inspector: Callable[[DataFrame], DataFrame] | None = None,
+    max_passes: int = MAX_PASSES,
+    verify: bool = True,
+    hold: bool = False,
+    folder: str | None = None,
+) -> Redaction:
+    """Mask what is to go, read back, and judge each document.
+
+    What goes: hits of the book's rules; extra spans, as from a reviewer (doc_id, page, start, stop, matched_text in the
+    normalised text: those whose range holds another text are reported, not masked); and all occurrences of a document's values
+    (doc_id, value). inspector gets the masked pages (doc_id, page, text) and returns what it can still read there
+    (doc_id, page, value); reports that contain or are contained in what was meant to go are masked, too.
+    pages may have annotations (array<struct<value, contents>>): hits there are listed for deletion. folder: where passes are stored.
     """
-    from veilspark.sources.tables import Store
-
+    if book is None and values is None and extra is None:
+        raise ValueError("nothing says what to redact")
+    if book is not None:
+        book.required()
     store = Store(pages.sparkSession, folder)
-    book.required()
     base = with_pages(pages)
-    found, away = refused(spans(base, book), RUNAWAY)
+    found, away = _hits(base, book, values)
     away = store.kept(away, "refused")
-    found = found.select("doc_id", "page", "rule_line", "rule_description", "start", "stop", "matched_text", F.lit("rule").alias("origin"))
+    wrong = None
     if extra is not None:
-        found = found.unionByName(extra.select("doc_id", "page", F.lit(0).alias("rule_line"), F.lit("proposal").alias("rule_description"), "start", "stop", "matched_text", F.lit("proposal").alias("origin")))
-    found = store.kept(found, "findings-1")
-    findings = found.withColumn("pass", F.lit(1))
-    done = _apply(base.select("doc_id", "page", normalized(F.col("text")).alias("text"), has_text(F.col("text")).alias("readable")), found)
-    done = store.kept(done.withColumn("passes", F.when(F.col("n") > 0, 1).otherwise(0)), "pages-1")
-    for n in range(2, max_passes + 1) if verify else ():
-        residue = store.kept(_residue(done, book, away), f"residue-{n}")
-        if residue.isEmpty():
+        extra = extra.select("doc_id", "page", F.lit(0).alias("rule_line"), F.lit("proposal").alias("rule_description"), "start", "stop", "matched_text", F.lit("proposal").alias("origin"))
+        wrong = store.kept(located_elsewhere(extra, base), "located-elsewhere")
+        fine = extra.join(wrong.select("doc_id", "page", "start", "stop"), ["doc_id", "page", "start", "stop"], "left_anti").select(*FOUND)
+        found = found.unionByName(fine)
+    findings = found = store.kept(found, "findings-1")
+    findings = findings.withColumn("pass", F.lit(1))
+    start = base.select("doc_id", "page", normalized(F.col("text")).alias("text"), has_text(F.col("text")).alias("readable"), F.array().cast(RANGES).alias("cover"), F.lit(0).alias("passes"), F.lit(0).cast("long").alias("n"))
+    done = store.kept(_apply(start, found, 1), "pages-1")
+    left, unlocated = findings.drop("pass").limit(0), None
+    for n in range(2, max(max_passes, 1) + 2) if verify else ():
+        residue, unlocated = _residue(done, findings, book, values, away, inspector)
+        left = store.kept(residue, f"residue-{n}")
+        if n > max_passes or left.isEmpty():
             break
-        again = _apply(done.select("doc_id", "page", "text", "readable", "passes", F.col("n").alias("before")), residue)
-        done = store.kept(again.select("doc_id", "page", "text", "readable", F.when(F.col("n") > 0, n).otherwise(F.col("passes")).alias("passes"), (F.col("before") + F.col("n")).alias("n")), f"pages-{n}")
-        findings = findings.unionByName(residue.withColumn("origin", F.lit("residue")).withColumn("pass", F.lit(n)))
-    left = _residue(done, book, away) if verify else findings.limit(0)
+        done = store.kept(_apply(done, left, n), f"pages-{n}")
+        findings = findings.unionByName(left.withColumn("pass", F.lit(n)))
     problems = away.select("doc_id", "page", F.concat(F.col("rule_description"), F.lit(" matched "), F.col("n").cast("string"), F.lit(" times on one page and was refused")).alias("problem"))
     problems = problems.unionByName(left.select("doc_id", "page", F.concat(F.col("rule_description"), F.lit(" can still be read")).alias("problem")))
+    if unlocated is not None:
+        problems = problems.unionByName(unlocated.select("doc_id", "page", F.lit("the inspector reports a value that is not found on the page").alias("problem")))
+    if wrong is not None:
+        problems = problems.unionByName(wrong.select("doc_id", "page", F.lit("a proposal's range holds another text; it was not masked").alias("problem")))
     problems = store.kept(problems, "problems")
     status = F.when(F.col("n") > 0, "redacted").when(~F.col("readable"), "not_examined").otherwise("no_matches")
     out = done.select("doc_id", "page", "text", status.alias("status"), F.col("n").alias("items"), "passes", F.when(status == "not_examined", "no text layer").alias("reason"))
-    return Redaction(out, findings, problems, documents(out, problems, hold))
+    return Redaction(out, findings, store.kept(_annotations(pages, book), "annotations"), problems, documents(out, problems, hold, left))
+
+
+def _hits(base: DataFrame, book: RuleBook | None, values: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(spans of rules and values, refused (page, rule) pairs)."""
+    empty = base.select("doc_id", "page").limit(0)
+    if book is None:
+        found = empty.selectExpr("doc_id", "page", "0 rule_line", "'' rule_description", "0 start", "0 stop", "'' matched_text", "'rule' origin")
+        away = empty.selectExpr("doc_id", "page", "'' source_kind", "0 rule_line", "'' rule_description", "cast(0 as long) n")
+    else:
+        found, away = refused(spans(base, book), RUNAWAY)
+        found = found.withColumn("origin", F.lit("rule")).select(*FOUND)
+    return (found if values is None else found.unionByName(value_spans(base, values))), away
+
 
+def value_spans(pages: DataFrame, values: DataFrame) -> DataFrame:
+    """All occurrences on a document's pages of its own values (doc_id, value), in any case. A document's values are as few as its plan."""
+    own = values.groupBy("doc_id").agg(F.collect_set("value").alias("values"))
+    base = with_pages(pages).join(own, "doc_id").select("doc_id", "page", normalized(F.col("text")).alias("t"), F.explode("values").alias("v"))
+    hit = base.select("doc_id", "page", "v", F.explode(literal_hits(F.col("t"), F.col("v"), False, 0)).alias("m"))
+    return hit.select("doc_id", "page", F.lit(0).alias("rule_line"), F.lit("plan value").alias("rule_description"), "m.start", "m.stop", "m.matched_text", F.lit("plan").alias("origin"))
 
-def _residue(done: DataFrame, book: RuleBook, away: DataFrame) -> DataFrame:
-    """What rules still find on masked pages; refused (page, rule) pairs stay refused in every pass."""
-    seen = spans(done.filter("n > 0").select("doc_id", "page", "text"), book)
-    seen = seen.join(away.select("doc_id", "page", "source_kind", "rule_line"), ["doc_id", "page", "source_kind", "rule_line"], "left_anti")
-    seen = seen.filter(~F.contains("matched_text", F.lit(BLOCK)))
-    return seen.select("doc_id", "page", "rule_line", "rule_description", "start", "stop", "matched_text")
 
+def _annotations(pages: DataFrame, book: RuleBook | None) -> DataFrame:
+    if "annotations" not in pages.columns or book is None:
+        return pages.select("doc_id").limit(0).selectExpr("doc_id", "1 page", "'' value")
+    numbered = pages if "page" in pages.columns else pages.withColumn("page", F.lit(1))
+    strings = loose_strings(numbered.select("doc_id", F.col("page").cast("int").alias("page"), "annotations"))
+    return strings.filter(any_hit(F.col("value"), book))
 
-def _apply(base: DataFrame, found: DataFrame) -> DataFrame:
-    """base with text masked and n, the number of spans. A page's spans are bounded by its text."""
-    grouped = found.groupBy("doc_id", "page").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"), F.count(F.lit(1)).alias("n"))
+
+def _residue(done: DataFrame, findings: DataFrame, book: RuleBook | None, values: DataFrame | None, away: DataFrame, inspector: Callable[[DataFrame], DataFrame] | None) -> tuple[DataFrame, DataFrame | None]:
+    """What is still found on masked pages outside the ranges masked so far, and what an inspector reports but no page holds.
+
+    Refused (page, rule) pairs stay refused in every pass.
+    """
+    read = done.filter("n > 0").select("doc_id", "page", "text")
+    seen, _ = _hits(read, book, values)
+    seen = seen.join(away.select("doc_id", "page", "rule_line").distinct(), ["doc_id", "page", "rule_line"], "left_anti").select(*FOUND)
+    unlocated = None
+    if inspector is not None:
+        meant = findings.groupBy("doc_id").agg(F.collect_set("matched_text").alias("meant"))
+        reports = inspector(done.select("doc_id", "page", "text")).select("doc_id", "page", "value").distinct().join(meant, "doc_id").filter(worth_acting_on(F.col("value"), F.col("meant")))
+        placed = reports.join(done.select("doc_id", "page", "text"), ["doc_id", "page"], "left").withColumn("hits", F.coalesce(literal_hits(F.coalesce("text", F.lit("")), F.col("value"), False, 0), F.array()))
+        unlocated = placed.filter(F.size("hits") == 0).select("doc_id", "page", "value")
+        hit = placed.select("doc_id", "page", F.explode("hits").alias("m"))
+        seen = seen.unionByName(hit.select("doc_id", "page", F.lit(0).alias("rule_line"), F.lit("inspector").alias("rule_description"), "m.start", "m.stop", "m.matched_text", F.lit("inspector").alias("origin")))
+    with_cover = seen.join(done.select("doc_id", "page", "cover"), ["doc_id", "page"])
+    hidden = F.exists("cover", lambda c: (c["start"] <= F.col("start")) & (F.col("stop") <= c["stop"]))
+    return with_cover.filter(~hidden).withColumn("origin", F.when(F.col("origin") == "inspector", "inspector").otherwise("residue")).select(*FOUND), unlocated
+
+
+def _apply(base: DataFrame, found: DataFrame, number: int) -> DataFrame:
+    """base with text masked, the ranges masked so far, the last pass that masked, and n, the number of spans. A page's spans are bounded by its text."""
+    grouped = found.groupBy("doc_id", "page").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"), F.count(F.lit(1)).alias("more"))
     joined = base.join(grouped, ["doc_id", "page"], "left")
-    text = F.when(F.col("ranges").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("ranges")))
-    return joined.select(*[c for c in base.columns if c != "text"], text.alias("text"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    new = F.col("ranges").isNotNull()
+    return joined.select(
+        "doc_id", "page", F.when(new, masked(F.col("text"), F.col("ranges"))).otherwise(F.col("text")).alias("text"), "readable",
+        F.when(new, merged(F.concat("cover", "ranges"))).otherwise(F.col("cover")).alias("cover"),
+        F.when(new, number).otherwise(F.col("passes")).alias("passes"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"),
+    )
+
 
+def redact_plan(pages: DataFrame, items: DataFrame, book: RuleBook | None = None, **options) -> Redaction:
+    """Run a plan as a person left it: the ticked values of each document's items (source_name is its doc_id) go, and nothing that is not ticked.
 
-def documents(pages: DataFrame, problems: DataFrame, hold: bool = False) -> DataFrame:
-    """One row a document: items, pages redacted, worst pass, pages not examined, disposition and whether it is settled."""
+    A plan without a usable ticked value refuses to run. Values that cannot be used are reported as problems.
+    """
+    used, refused_values = plan.usable_values(items)
+    if used.isEmpty():
+        raise plan.EmptyPlan("no ticked value of the plan can be used")
+    kind = pages.schema["doc_id"].dataType
+    out = redact(pages, book, values=used.select(F.col("source_name").cast(kind).alias("doc_id"), "value"), **options)
+    unused = refused_values.select(F.col("source_name").cast(kind).alias("doc_id"), F.lit(None).cast("int").alias("page"), F.lit("a ticked value is too short to be used").alias("problem"))
+    out.problems = out.problems.unionByName(unused)
+    return out
+
+
+def committed(result: Redaction, staging: str, final: str, hold: bool = False) -> str | None:
+    """Stage the pages and move them to their place if every document is settled as written (or if they are held for review).
+
+    Refuses with NothingMatched where there is nothing to remove. Returns the final path, or nothing if the copy was withdrawn.
+    """
+    state = result.documents.agg(F.coalesce(F.sum("items"), F.lit(0)).alias("items"), F.count_if(F.col("n_problems") > 0).alias("bad")).first()
+    if not state["items"] and result.annotations.isEmpty():
+        raise NothingMatched("no rule matched anything")
+    return published(result.pages, staging, final, verified=state["bad"] == 0, hold=hold)
+
+
+def documents(pages: DataFrame, problems: DataFrame, hold: bool = False, left: DataFrame | None = None) -> DataFrame:
+    """One row a document: items, pages redacted, worst pass, pages not examined, distinct residue in order, disposition and whether it is settled."""
     whole = pages.groupBy("doc_id").agg(
         F.sum("items").alias("items"), F.count_if(F.col("status") == "redacted").alias("pages_redacted"), F.max("passes").alias("worst_pass"),
         F.array_sort(F.collect_list(F.when(F.col("status") == "not_examined", F.col("page")))).alias("unexamined_pages"),
     )
     bad = problems.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_problems"))
     out = whole.join(bad, "doc_id", "left").withColumn("n_problems", F.coalesce("n_problems", F.lit(0)))
+    none = F.array().cast("array<string>")
+    if left is None:
+        out = out.withColumn("residue", none)
+    else:
+        rest = left.groupBy("doc_id").agg(F.array_sort(F.collect_set("matched_text")).alias("residue"))
+        out = out.join(rest, "doc_id", "left").withColumn("residue", F.coalesce("residue", none))
     unverified = F.lit("written_unverified" if hold else "failed")
     disposition = F.when(F.col("items") == 0, "nothing_matched").when(F.col("n_problems") == 0, "written").otherwise(unverified)
     settled = (disposition == "written") & (F.size("unexamined_pages") == 0)
     return out.select("*", disposition.alias("disposition"), settled.alias("is_settled"))
+
+
+def flags(documents: DataFrame) -> DataFrame:
+    """One row a run: whether all documents are settled, and whether any failed, is held unverified, or has pages not examined."""
+    return documents.agg(
+        F.coalesce(F.every("is_settled"), F.lit(False)).alias("all_settled"), F.coalesce(F.some(F.col("disposition") == "failed"), F.lit(False)).alias("any_failed"),
+        F.coalesce(F.some(F.col("disposition") == "written_unverified"), F.lit(False)).alias("any_unverified"), F.coalesce(F.some(F.size("unexamined_pages") > 0), F.lit(False)).alias("any_unexamined"),
+    )

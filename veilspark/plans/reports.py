@@ -34,7 +34,7 @@ def findings(found: DataFrame, reveal: bool = False) -> DataFrame:
     return found.select("doc_id", "page", value.alias("value"), rule.alias("rule"))
 
 
-def gaps(pages: DataFrame, book: RuleBook, problems: DataFrame | None = None, model_available: bool | None = None, omitted_characters: int = 0) -> DataFrame:
+def gaps(pages: DataFrame, book: RuleBook, problems: DataFrame | None = None, model_available: bool | None = None, omitted_characters: int = 0, too_long: DataFrame | None = None, read_back_failed: DataFrame | None = None) -> DataFrame:
     """(title, detail): everything that was not checked or was set aside. Nothing is skipped silently."""
     spark = pages.sparkSession
     out = pages.filter("status in ('not_examined', 'no_text')").groupBy("doc_id").agg(F.array_sort(F.collect_list("page")).alias("p"))
@@ -46,6 +46,10 @@ def gaps(pages: DataFrame, book: RuleBook, problems: DataFrame | None = None, mo
         out = out.unionByName(spark.createDataFrame(fixed, "title string, detail string"))
     if problems is not None:
         out = out.unionByName(problems.select(F.lit("Problem").alias("title"), F.concat(F.lit("document "), F.col("doc_id").cast("string"), F.lit(", page "), F.col("page").cast("string"), F.lit(": "), "problem").alias("detail")))
+    where = F.concat(F.lit("document "), F.col("doc_id").cast("string"), F.lit(", page "), F.col("page").cast("string"))
+    for title, rows in (("Not shown to the model", too_long), ("Not read back", read_back_failed)):  # (doc_id, page)
+        if rows is not None:
+            out = out.unionByName(rows.select("doc_id", "page").distinct().select(F.lit(title).alias("title"), where.alias("detail")))
     return out
 
 

@@ -13,7 +13,7 @@ from veilspark.functions.text import masked_line, masked_value, normalized, pass
 from veilspark.operators import spans as S
 from veilspark.plans import plan, redaction, reports
 from veilspark.sources import rules as R
-from veilspark.sources.tables import conversations, documents
+from veilspark.sources.tables import Store, conversations, documents
 
 BOOK = R.RuleBook(
     (
@@ -151,14 +151,14 @@ def plan_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.select("value", F.lit(True).alias("used")).union(refused.select("value", F.lit(False).alias("used")))
 
 
-def plan_of_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+def plan_of_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = S.spans(documents(spark, sf_dir), _book("ipAddresses"))
     return plan.proposed(found).select("source_name", "pos", "value", "label")
 
 
 def plan_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reviewer unticked every value that begins with 1, and added one of their own to each plan."""
-    fresh = plan.proposed(S.spans(documents(spark, sf_dir), _book("ipAddresses")))
+    fresh = Store(spark).kept(plan.proposed(S.spans(documents(spark, sf_dir), _book("ipAddresses"))), "fresh-plan")
     edited = fresh.filter(F.startswith("value", F.lit("1"))).withColumn("is_selected", F.lit(False))
     own = fresh.groupBy("source_name").agg(F.lit(0).alias("pos"), F.lit(True).alias("is_selected"), F.lit("by hand").alias("value"), F.lit("").alias("label"), F.lit(None).cast("int").alias("page"))
     merged = plan.merged(fresh, edited.unionByName(own))
@@ -261,7 +261,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         card_spans, normalize_text, secret_tokens, exact_rule_spans, rule_counts, unused_rules, unsupported_categories, spans_by_category, docs_without_findings, runaway_rules, kept_after_refusal, rules_parse,
-        rules_diagnostics, plan_parse, plan_usable, plan_of_emails, plan_merge, masked_findings, preview_report, page_summary, redaction_documents, redaction_residue, redacted_lengths,
+        rules_diagnostics, plan_parse, plan_usable, plan_of_addresses, plan_merge, masked_findings, preview_report, page_summary, redaction_documents, redaction_residue, redacted_lengths,
         conversation_hits_by_role, pii_vs_labels, luhn_of_keys, mask_functions, proposal_filters, benchmark_literals,
     )
 }

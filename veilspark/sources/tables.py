@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +9,10 @@ from pyspark.sql import functions as F
 
 
 class Store:
-    """Tables of one run, in the shared checkpoint folder unless a folder is given."""
+    """Tables of one run, in the shared checkpoint folder (the warehouse where none is set) unless a folder is given."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
-        root = folder or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='veilspark-')}"
+        root = folder or spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
         self.spark, self.folder = spark, f"{root.rstrip('/')}/run-{uuid.uuid4().hex}"
         target = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
@@ -82,10 +81,18 @@ def published(result: DataFrame, staging: str, final: str, verified: bool, hold:
     if files.exists(target):
         files.delete(source, True)
         raise FileExistsError(final)
-    files.rename(source, target)
+    files.mkdirs(target.getParent())
+    if not files.rename(source, target):
+        raise OSError(f"{staging} could not be moved to {final}")
     return final
 
 
 def replaced(existing: DataFrame, fresh: DataFrame, key: str = "doc_id") -> DataFrame:
     """existing with all rows of the documents in fresh replaced by fresh's."""
     return existing.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
+
+
+def withdrawn(spark: SparkSession, path: str) -> bool:
+    """Delete a plan or a redacted copy that is not wanted any more; whether there was one."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from veilspark.operators.spans import spans
 from veilspark.plans.redaction import redact
 from veilspark.sources.rules import RuleBook
+from veilspark.sources.tables import published, withdrawn
 
 PAGES = "doc_id long, page int, text string"
 
@@ -27,8 +30,10 @@ def redact_stream(pages: DataFrame, book: RuleBook, out: str, checkpoint: str, o
 
     def batch(df: DataFrame, number: int) -> None:
         result = redact(df, book, hold=True)
-        result.pages.write.mode("overwrite").parquet(f"{out}/pages/batch={number}")
-        result.documents.write.mode("overwrite").parquet(f"{out}/documents/batch={number}")
+        for name, table in (("pages", result.pages), ("documents", result.documents)):
+            final = f"{out}/{name}/batch={number}"
+            withdrawn(df.sparkSession, final)
+            published(table, f"{out}/_staging/{name}-{number}-{uuid.uuid4().hex}", final, verified=False, hold=True)
 
     writer = pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
