@@ -2,22 +2,24 @@
 
 Pages are parsed into trees by a tolerant parser. The trees of one host are merged: a node of the site
 style tree is a path of tags, classes, ids and places among like siblings; each page adds to it the sequence of child tags it has there (its
-presentation) and the text it has there (its content). A node's importance is the larger of the two
+presentation) and the text it has there (its content). A node's importance is the mean of the two
 normalised entropies over the host's distinct pages: navigation and notices look and read alike everywhere
-and score near 0, articles near 1. Branches of low importance are removed from each page, with
-branches that name themselves as something else than the article (by tag, role, class or id: menus, headers,
-footers, sidebars, notices, adverts, forms, reader comments). What a page declares to be its article is
-kept: inside it only containers, never paragraphs or headings, are removed for low importance.
+and score low, articles near 1. A branch goes if its importance is below its bar, and what it says of itself (by tag,
+role, class or id) sets the bar: LOW for plain containers; HIGH, the importance of what differs in looks and
+words on every page, for menus, headers, footers, sidebars, notices and adverts, and for all that lies outside what
+the page declares to be its article; none for that article and its paragraphs. Scripts, styles, forms and reader comments
+(whose entropy is that of an article) go always. On hosts with fewer than LEAST_PAGES pages importance is not known: bars of
+HIGH are not reached, those of LOW are.
 
 Text of blocks has its character references decoded and white space runs turned into one space, and is
 joined in page order by one space. Nothing else is dropped or capped.
 
-Node statistics are plain aggregations over (host, path), pre-aggregated before their shuffle. The
-low-importance nodes are broadcast if they are few (checked), else joined with each page's own nodes.
+Node statistics are plain aggregations over (host, path), pre-aggregated before their shuffle. What they decide of
+nodes (of low importance, of high importance with a high bar) is broadcast if it is little (checked), else joined with each
+page's own nodes.
 
-Defined results: null or empty html gives an empty text; a page alone on its host has importance 1
-everywhere; a null url is a host of its own; repeated rows count once in the statistics and get equal
-results; an empty table gives no rows; columns other than page_id, url and html are ignored.
+Defined results: null or empty html gives an empty text; a null url is a host of its own; repeated rows count once in
+the statistics and get equal results; an empty table gives no rows; columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +29,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import stored
@@ -38,7 +39,8 @@ from veilspark.llm.words import slices
 
 LEAST_PAGES = 5
 LOW = 0.35
-BROADCAST_LOW = 1_000_000
+HIGH = 0.999
+BROADCAST_DECIDED = 1_000_000
 
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,7 +49,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr tbody thead br hr".split()) | INLINE
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLING = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr", ("table", "tbody", "thead", "tfoot")), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
-NEVER = frozenset("script style noscript template title head nav footer aside form button select input textarea iframe object embed svg canvas menu dialog audio video map datalist option".split())
+NEVER = frozenset("script style noscript template title head form button select input textarea iframe object embed svg canvas dialog audio video map datalist option".split())
+ASIDE = frozenset("nav footer aside menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 #: Words in class or id of what is not the article.
 NAMES = frozenset(
@@ -55,6 +58,7 @@ NAMES = frozenset(
     "footer masthead topbar toolbar cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "comment comments commentlist respond reply replies discussion disqus related recommended recommendations widget pagination pager search skiplink hidden".split()
 )
+REMARKS = frozenset("comment comments commentlist respond reply replies discussion disqus".split())
 CONTENT = frozenset("article articlebody content maincontent main post postbody entry entrycontent story storybody".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>|</?[a-zA-Z][^>]*+>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -62,13 +66,15 @@ WORD = re.compile(r"[A-Za-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "label", "children", "parent", "drop", "holds")
+    __slots__ = ("tag", "names", "role", "label", "children", "parent", "drop", "doubt", "holds", "around")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.children: list[Node | str] = []
         self.names: tuple[str, ...] = ()
-        self.role, self.label, self.drop, self.holds = "", tag, False, False
+        self.role, self.label = "", tag
+        self.drop = self.doubt = False  # whether it goes always, and whether its bar is high
+        self.holds = self.around = False  # whether a declared article is below it, and whether the chosen one is
         if attributes and "=" in attributes:
             found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
             own = f"{found.get('class', '')} {found.get('id', '')}"
@@ -151,7 +157,7 @@ def walk(node: Node) -> Iterator[Node]:
 
 
 def mark(root: Node) -> list[Node]:
-    """Set drop on branches that are not the article by their own account; return the article's nodes."""
+    """Set drop, doubt and around by what branches say of themselves; return what the page declares to be its article."""
     every = list(walk(root))
     declared = [x for x in every if (x.tag in ("article", "main") or x.role in ("article", "main")) and not (x.tag == "article" and x.named(NAMES))]
     for x in declared:
@@ -164,18 +170,15 @@ def mark(root: Node) -> list[Node]:
         here = x.parent is not None and id(x.parent) in inside
         if here or x in declared:
             inside.add(id(x))
-        if x.tag in NEVER or x.role in ROLES:
-            x.drop = True
-        elif x.tag == "header":
-            x.drop = not here
-        elif x.tag not in ("#root", "html", "body", "main") and x.named(NAMES):
-            x.drop = x not in declared
         if x.holds and x.tag not in ("script", "style"):
-            x.drop = False
+            continue
+        named = x.tag not in ("#root", "html", "body", "main") and x.named(NAMES) and x not in declared
+        x.drop = x.tag in NEVER or x.role == "form" or (named and x.named(REMARKS))
+        x.doubt = not x.drop and (x.tag in ASIDE or x.role in ROLES or (x.tag == "header" and not here) or named)
     alive = []
     gone: set[int] = set()
     for x in every:
-        if x.drop or (x.parent is not None and id(x.parent) in gone):
+        if x.drop or x.doubt or (x.parent is not None and id(x.parent) in gone):
             gone.add(id(x))
         else:
             alive.append(x)
@@ -185,7 +188,7 @@ def mark(root: Node) -> list[Node]:
             break
     else:
         chosen = [x for x in alive if x.tag in ("div", "section", "td") and any(n.replace("-", "").replace("_", "") in CONTENT for n in x.names)]
-    outer = []
+    outer: list[Node] = []
     for x in chosen:
         up, nested = x.parent, False
         while up is not None and not nested:
@@ -193,11 +196,16 @@ def mark(root: Node) -> list[Node]:
             up = up.parent
         if not nested:
             outer.append(x)
+    for x in outer:
+        up = x.parent
+        while up is not None and not up.around:
+            up.around = True
+            up = up.parent
     return outer
 
 
-def blocks(tops: list[Node], skip=lambda node: False) -> list[str]:
-    """Texts of the blocks below tops in page order, dropped and skipped branches left out."""
+def blocks(top: Node, skip=lambda node: False) -> list[str]:
+    """Texts of the blocks below top in page order, without dropped and skipped branches and what stands loose around an article."""
     out: list[str] = []
     line: list[str] = []
 
@@ -207,24 +215,28 @@ def blocks(tops: list[Node], skip=lambda node: False) -> list[str]:
             out.append(" ".join(words))
         line.clear()
 
-    for top in tops:
-        stack: list[Node | str | None] = [top]
-        while stack:
-            x = stack.pop()
-            if x is None:
-                ended()
-            elif isinstance(x, str):
-                line.append(x)
-            elif x.drop or skip(x):
-                if x.tag not in INLINE:
-                    ended()
-            elif x.tag in INLINE:
-                stack += reversed(x.children)
-            else:
+    stack: list[Node | str | None] = [top]
+    while stack:
+        x = stack.pop()
+        if x is None:
+            ended()
+        elif isinstance(x, str):
+            line.append(x)
+        elif x.drop or skip(x):
+            if x.tag not in INLINE:
                 ended()
-                stack.append(None)
-                stack += reversed(x.children)
-        ended()
+        elif x.around:
+            ended()
+            for c in reversed(x.children):
+                if isinstance(c, Node):
+                    stack += (None, c)
+        elif x.tag in INLINE:
+            stack += reversed(x.children)
+        else:
+            ended()
+            stack.append(None)
+            stack += reversed(x.children)
+    ended()
     return out
 
 
@@ -254,70 +266,100 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def candidates(root: Node, tops: list[Node]) -> list[Node]:
-    """Nodes that low importance may remove: below the article only containers, without one all branches."""
-    if tops:
-        return [x for t in tops for x in walk(t) if x is not t and x.tag not in FLOW and not x.drop]
-    return [x for x in walk(root) if x.tag not in ("#root", "html", "body") and x.tag not in INLINE and not x.drop]
+def candidates(root: Node, tops: list[Node]) -> list[tuple[Node, bool]]:
+    """Branches that importance decides on, and whether their bar is HIGH (what lies below these is not looked at)."""
+    chosen = {id(t) for t in tops}
+    out: list[tuple[Node, bool]] = []
+    stack = [(root, not tops)]
+    while stack:
+        x, inside = stack.pop()
+        if x.drop:
+            continue
+        if id(x) in chosen:
+            inside = True
+        elif not (x.around or x.tag in ("#root", "html", "body")):
+            if x.doubt or not inside:
+                out.append((x, True))
+                continue
+            if x.tag not in (FLOW if tops else INLINE):
+                out.append((x, False))
+        stack += [(c, inside) for c in reversed(x.children) if isinstance(c, Node)]
+    return out
+
+
+def contents(root: Node) -> dict[int, int]:
+    """Hash of the text at and below each node, by the node's id(), from the leaves up."""
+    out: dict[int, int] = {}
+    for x in reversed(list(walk(root))):
+        parts = []
+        for c in () if x.drop else x.children:
+            if isinstance(c, str):
+                parts += html.unescape(c).split()
+            elif out[id(c)]:
+                parts.append(f"\0{out[id(c)]}")
+        out[id(x)] = xxhash.xxh3_64_intdigest(" ".join(parts).encode("utf-8", "replace")) if parts else 0
+    return out
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, page, style, content): for each page and each of its places in the style tree."""
+    """(key, page, style, content, high): for each page and each of its places in the style tree."""
     for batch in slices(batches, "html"):
-        rows: set[tuple[int, int, int, int]] = set()
+        rows: set[tuple[int, int, int, int, bool]] = set()
         for url, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if not text:
                 continue
             root = parse(text)
             tops = mark(root)
-            keys = keys_of(root, host_of(url))
-            page = xxhash.xxh3_64_intdigest(" ".join(blocks(tops or [root])).encode("utf-8", "replace"))
-            merged: dict[int, tuple[list[str], list[str]]] = {}
-            for x in candidates(root, tops):
-                style, content = merged.setdefault(keys[id(x)], ([], []))
-                style.append(",".join(c.tag for c in x.children if isinstance(c, Node)))
-                content += blocks([x])
-            for k, (style, content) in merged.items():
-                rows.add((k, page, xxhash.xxh3_64_intdigest("|".join(style).encode()), xxhash.xxh3_64_intdigest("|".join(content).encode("utf-8", "replace"))))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-        yield pa.record_batch([pa.array([_signed(v) for v in c], pa.int64()) for c in columns], names=["key", "page", "style", "content"])
+            keys, content_of = keys_of(root, host_of(url)), contents(root)
+            page = content_of[id(root)]
+            merged: dict[int, list] = {}
+            for x, high in candidates(root, tops):
+                own = merged.setdefault(keys[id(x)], [[], [], False])
+                own[0].append(",".join(c.tag for c in x.children if isinstance(c, Node)))
+                own[1].append(str(content_of[id(x)]))
+                own[2] |= high
+            for k, (style, content, high) in merged.items():
+                rows.add((_signed(k), _signed(page), _signed(xxhash.xxh3_64_intdigest("|".join(style).encode())), _signed(xxhash.xxh3_64_intdigest("|".join(content).encode())), high))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.bool_()], strict=True)], names=["key", "page", "style", "content", "high"])
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """(key, pages, importance) of each node of the style trees."""
-    nodes = stored(pages.select("url", "html").mapInArrow(_nodes, "key long, page long, style long, content long").distinct(), "style-nodes")
+    """(key, pages, high, importance) of each node of the style trees; high: whether some page sets it the bar HIGH."""
+    nodes = stored(pages.select("url", "html").mapInArrow(_nodes, "key long, page long, style long, content long, high boolean").distinct(), "style-nodes")
 
-    def entropy(column: str) -> DataFrame:
-        c = nodes.groupBy("key", column).agg(F.count(F.lit(1)).alias("c"))
-        total = c.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
-        return total.select("key", "m", F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log("m"))).otherwise(1.0).alias(column))
+    def entropy(column: str, *more: Column) -> DataFrame:
+        c = nodes.groupBy("key", column).agg(F.count(F.lit(1)).alias("c"), F.max("high").alias("high"))
+        total = c.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"), *more)
+        return total.withColumn(column, F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log("m"))).otherwise(1.0)).drop("s")
 
-    both = entropy("style").join(entropy("content").drop("m"), "key")
-    return both.select("key", F.col("m").alias("pages"), F.greatest("style", "content").alias("importance"))
+    both = entropy("style", F.max("high").alias("high")).join(entropy("content").drop("m"), "key")
+    return both.select("key", F.col("m").alias("pages"), "high", ((F.col("style") + F.col("content")) / 2).alias("importance"))
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    low = stored(importance(pages).filter((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LOW)).select("key"), "low")
+    worth = F.col("importance") >= F.lit(high)
+    known = importance(pages).filter((F.col("pages") >= LEAST_PAGES) & ((F.col("importance") < F.lit(low)) | (F.col("high") & worth)))
+    decided = stored(known.select("key", worth.alias("worth")), "decided-nodes")
     schema = "page_id long, url string, text string, n_chars long"
-    few = low.limit(BROADCAST_LOW + 1).count() <= BROADCAST_LOW
-    shared = pages.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in low.collect()) if few else frozenset())
+    few = decided.limit(BROADCAST_DECIDED + 1).count() <= BROADCAST_DECIDED
+    shared = pages.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in decided.collect()} if few else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            ids, urls, bodies = (batch.column(i).to_pylist() for i in range(3))
-            own = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * len(ids)
+            urls, bodies = (batch.column(i).to_pylist() for i in (1, 2))
+            own = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * len(urls)
             out = []
-            for url, text, lows in zip(urls, bodies, own, strict=True):
-                bad = frozenset(lows or ()) or shared.value
+            for url, text, mine in zip(urls, bodies, own, strict=True):
+                known = {x["key"]: x["worth"] for x in mine} if mine else shared.value
                 root = parse(text or "")
                 tops = mark(root)
-                skip: set[int] = set()
-                if bad:
-                    keys = keys_of(root, host_of(url))
-                    skip = {id(x) for x in candidates(root, tops) if _signed(keys[id(x)]) in bad}
-                out.append(" ".join(blocks(tops or [root], lambda x, skip=skip: id(x) in skip)))
+                found = candidates(root, tops)
+                keys = keys_of(root, host_of(url)) if known and found else {}
+                skip = {id(x) for x, high in found if known.get(_signed(keys[id(x)]) if keys else None, not high) is False}
+                out.append(" ".join(blocks(root, lambda x, skip=skip: id(x) in skip)))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     if few:
@@ -330,10 +372,10 @@ def extract(pages: DataFrame) -> DataFrame:
             for r, url, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 root = parse(text or "")
                 keys = keys_of(root, host_of(url))
-                rows += {(r, _signed(keys[id(x)])) for x in candidates(root, mark(root))}
+                rows += {(r, _signed(keys[id(x)])) for x, _ in candidates(root, mark(root))}
             columns = list(zip(*rows, strict=True)) if rows else [(), ()]
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["row", "key"])
 
-    mine = pages.select(row.alias("row"), "url", "html").mapInArrow(own_keys, "row long, key long").distinct().join(low, "key")
-    lows = mine.groupBy("row").agg(F.collect_list("key").alias("lows"))
-    return pages.withColumn("row", row).join(lows, "row", "left").select("page_id", "url", "html", "lows").mapInArrow(run, schema)
+    mine = pages.select(row.alias("row"), "url", "html").mapInArrow(own_keys, "row long, key long").distinct().join(decided, "key")
+    own = mine.groupBy("row").agg(F.collect_list(F.struct("key", "worth")).alias("own"))
+    return pages.withColumn("row", row).join(own, "row", "left").select("page_id", "url", "html", "own").mapInArrow(run, schema)
