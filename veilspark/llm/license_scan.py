@@ -6,8 +6,9 @@ keyword prefilter passes over texts that hold no anchor at all; in the others ea
 only at its own anchor word, on a window of words around it, so the cost is linear in the text.
 
 Rules are ordered by priority (1 is most specific). A detection that lies inside another one of
-higher priority, or inside a longer one of equal priority, is suppressed; the base phrases never are. The
-rules are generated from license families, versions and ways to state them: some hundreds.
+higher priority, or inside a longer one of equal priority, is suppressed; the base phrases never are. There are some
+hundreds of rules: sentences of license texts written out one by one (grants, conditions, disclaimers, notices), and
+ways to name a license, which follow from lists of families and versions.
 
 Defined results: a null or empty text has no words and no detections; repeated rows get equal
 results; an empty table gives no rows; columns other than doc_id and text are ignored.
@@ -16,6 +17,7 @@ results; an empty table gives no rows; columns other than doc_id and text are ig
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 from typing import NamedTuple
 
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import let
 
-#: Words looked at on either side of an anchor; every rule's match is shorter (13 words before, for the wtfpl).
-REACH = 16
+#: Words looked at on either side of an anchor; every rule's match is shorter.
+REACH = 24
 
 
 class Signature(NamedTuple):
@@ -96,6 +98,101 @@ OTHER = (
 )
 
 
+#: Sentences of license texts, as label, priority and words with the anchor word in brackets.
+SENTENCES = (
+    ("mit", 2, "permission is hereby [granted] free of charge to any person obtaining a copy of this software"),
+    ("mit", 2, "the above copyright notice and this [permission] notice shall be included in all copies or substantial portions"),
+    ("mit-0", 2, "[permission] is hereby granted free of charge to deal in this software without restriction"),
+    ("as-is", 4, "software is provided as is without [warranty] of any kind(?: express or implied)?"),
+    ("as-is", 4, "software is provided as is and any express(?:ed)? or implied [warranties]"),
+    ("as-is", 4, "without even the implied [warranty] of merchantability or fitness for a particular purpose"),
+    ("bsd", 2, "[redistribution] and use in source and binary forms with or without modification are permitted"),
+    ("bsd", 3, "[redistributions] of source code must retain the above copyright notice"),
+    ("bsd", 3, "[redistributions] in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", 2, "names of its [contributors] may be used to endorse or promote products derived from this software"),
+    ("bsd-3-clause", 2, "(?:the )?name of the author may not be used to endorse or promote products derived from this [software]"),
+    ("bsd-4-clause", 2, "all advertising materials mentioning features or use of this [software] must display"),
+    ("bsd-4-clause", 2, "this product includes [software] developed by the university of california"),
+    ("bsd-0-clause", 2, "[permission] to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", 2, "[permission] to use copy modify and (?:or )?distribute this software for any purpose .* provided that the above copyright notice"),
+    ("hpnd", 2, "[permission] to use copy modify and distribute this software and its documentation for any purpose"),
+    ("x11", 2, "shall not be used in advertising or otherwise to promote the sale use or other dealings in this [software]"),
+    ("ncsa", 2, "to deal with the [software] without restriction"),
+    ("gpl", 2, "this program is free [software] you can redistribute it and or modify it"),
+    ("gpl", 3, "this program is distributed in the hope that it will be useful but without any [warranty]"),
+    ("gpl", 2, "you should have received a copy of the gnu general public [license] along with this program"),
+    ("gpl", 3, "everyone is [permitted] to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gpl", 3, "when we speak of free [software] we are referring to freedom not price"),
+    ("gpl", 2, "the gnu general public [license] is a free copyleft license for software and other kinds of works"),
+    ("lgpl", 2, "this library is free [software] you can redistribute it and or modify it"),
+    ("lgpl", 2, "you should have received a copy of the gnu (?:lesser|library) general public [license] along with this library"),
+    ("lgpl-3", 2, "this version of the gnu lesser general public [license] incorporates the terms and conditions"),
+    ("agpl", 2, "the gnu affero general public [license] is a free copyleft license for software and other kinds of works"),
+    ("agpl", 2, "your modified version must prominently offer all users interacting with it remotely .* the corresponding source .* [license]"),
+    ("gfdl", 2, "[permission] is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gcc-exception", 2, "under section 7 of gpl version 3 you are [granted] additional permissions described in the gcc runtime library exception"),
+    ("classpath-exception", 2, "as a special exception the copyright holders of this library give you [permission] to link this library with independent modules"),
+    ("apache-2.0", 2, "you may not use this file except in compliance with the [license]"),
+    ("apache-2.0", 2, "unless required by applicable law or agreed to in writing [software] distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", 2, "see the [license] for the specific language governing permissions and limitations under the license"),
+    ("apache-2.0", 2, "conditions of this license each [contributor] hereby grants to you a perpetual worldwide non exclusive"),
+    ("apache-1.1", 2, "this product includes [software] developed by the apache software foundation"),
+    ("mpl-2.0", 2, "this source code form is subject to the terms of the mozilla public [license] v 2 0"),
+    ("mpl-2.0", 2, "each [contributor] hereby grants you a world wide royalty free non exclusive license"),
+    ("mpl-1.1", 2, "the contents of this file are subject to the mozilla public [license] version 1 1"),
+    ("epl", 2, "the accompanying program is provided under the terms of this eclipse public [license]"),
+    ("epl", 2, "the accompanying materials are made available under the terms of the eclipse public [license]"),
+    ("cddl", 2, "the contents of this file are subject to the terms of the common development and distribution [license]"),
+    ("eupl", 2, "[licensed] under the eupl"),
+    ("bsl-1.0", 2, "permission is hereby [granted] free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("zlib", 2, "altered source versions must be plainly marked as such and must not be misrepresented as being the original [software]"),
+    ("zlib", 2, "the origin of this [software] must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", 3, "[permission] is granted to anyone to use this software for any purpose including commercial applications"),
+    ("unlicense", 2, "this is free and unencumbered [software] released into the public domain"),
+    ("unlicense", 2, "anyone is free to copy modify publish use compile sell or distribute this [software]"),
+    ("wtfpl", 2, "everyone is [permitted] to copy and distribute verbatim or modified copies of this license document"),
+    ("beerware", 2, "as long as you retain this [notice] you can do whatever you want with this stuff"),
+    ("json", 2, "the [software] shall be used for good not evil"),
+    ("cc0", 2, "has dedicated the work to the public [domain] by waiving all of his or her rights to the work"),
+    ("cc0", 2, "irrevocably and unconditionally waives .* all of affirmer s [copyright] and related rights"),
+    ("cc-by", 3, "you must give appropriate credit provide a link to the [license] and indicate if changes were made"),
+    ("cc-by-sa", 3, "build upon the material you must distribute your contributions under the same [license] as the original"),
+    ("cc-by-nd", 3, "if you remix transform or build upon the material you may not distribute the modified material .* [license]"),
+    ("cc", 4, "this work is [licensed] under a creative commons(?: [a-z]+){0,6}"),
+    ("artistic-1.0", 2, "the intent of this document is to state the conditions under which a package may be copied such that the [copyright] holder maintains"),
+    ("artistic-2.0", 2, "this [license] establishes the terms under which a given free software package may be copied modified distributed"),
+    ("ofl", 2, "the goals of the open font [license] ofl are to stimulate worldwide development of collaborative font projects"),
+    ("ofl", 2, "[copyright] .* with reserved font name"),
+    ("odbl", 2, "any derivative database that you publicly use must be only under the terms of .* [license]"),
+    ("psf-2", 2, "psf hereby grants licensee a nonexclusive royalty free world wide [license] to reproduce analyze test"),
+    ("php", 2, "this product includes php [software] freely available from"),
+    ("openssl", 2, "this product includes [software] developed by the openssl project"),
+    ("ssleay", 2, "this product includes cryptographic [software] written by eric young"),
+    ("ms-pl", 2, "if you bring a patent claim against any [contributor] over patents that you claim are infringed by the software"),
+    ("lppl", 2, "this work may be distributed and or modified under the conditions of the latex project public [license]"),
+    ("sspl", 2, "server side public [license]"),
+    ("busl", 2, "business source [license](?: 1 1)?"),
+    ("elastic", 2, "elastic [license](?: 2 0)?"),
+    ("commons-clause", 2, "subject to the commons clause [license] condition"),
+    ("rail", 2, "(?:creativeml |bigscience |bigcode )?open ?rail(?: ?[ms+]+)? [license]"),
+    ("llama", 2, "llama(?: [0-9]+)* community [license](?: agreement)?"),
+    ("public-domain", 2, "work of the (?:us|u s|united states) government .* not subject to [copyright] protection"),
+    ("proprietary", 2, "this [software] is the confidential and proprietary information of"),
+    ("proprietary", 2, "unauthorized copying of this file via any medium is strictly prohibited .* [copyright]"),
+    ("proprietary", 3, "no part of this (?:publication|document|work) may be reproduced .* without (?:the )?(?:prior )?(?:written )?[permission]"),
+    ("proprietary", 3, "reproduction in whole or in part without [permission] is prohibited"),
+    ("eula", 2, "by installing copying or otherwise using (?:the|this) [software] you agree to be bound by"),
+    ("eula", 3, "end user [license] agreement"),
+    ("academic-only", 2, "for non ?commercial research (?:and|or) educational use only .* [permission]"),
+    ("academic-only", 3, "[permission] is granted for (?:personal|academic|research|educational) use(?: only)?"),
+)
+
+
+def _sentence(label: str, priority: int, words: str) -> Signature:
+    before, anchor, after = re.fullmatch(r"(.*?)\[([a-z]+)\](.*)", words).groups()
+    return Signature(anchor, before, after, label, priority)
+
+
 def signatures() -> tuple[Signature, ...]:
     """All rules in order; generated, so that each family has every way to state each version."""
     out = list(BASE)
@@ -104,7 +201,7 @@ def signatures() -> tuple[Signature, ...]:
             words = name.split(" ")
             for v in versions:
                 tag = f"{label}-{v.replace(' ', '.')}"
-                number = f"(?: version| v)? {v}" if label != "python" else f" {v}"
+                number = f"(?: version| v)? {v}"
                 for anchor in ("license", "licence"):
                     out.append(Signature(anchor, f"{name} ", f"{number} or (?:any )?later(?: version)?", f"{tag}-or-later", 1))
                     out.append(Signature(anchor, f"{name} ", f"{number}(?: only)?", tag, 2))
@@ -127,11 +224,11 @@ def signatures() -> tuple[Signature, ...]:
             out.append(Signature("commons", "creative ", f" {name} license(?: version)? {v}", f"{tag}-{v.replace(' ', '.')}", 1))
         out.append(Signature("cc", "", f" {code}", tag, 3))
         out.append(Signature("commons", "creative ", f" {name}", tag, 3))
-    return tuple(out) + OTHER
+    return (*out, *(_sentence(*x) for x in SENTENCES), *OTHER)
 
 
 #: What some word of every rule's anchor holds: the keyword prefilter.
-GATES = ("licen", "copyright", "rights", "domain", "cc", "commons", "gpl", "wtfpl")
+GATES = ("licen", "copyright", "rights", "domain", "cc", "commons", "gpl", "wtfpl", "permi", "granted", "redistribution", "software", "warrant", "contributor", "notice")
 
 
 def _gates(anchors: set[str]) -> list[str]:
