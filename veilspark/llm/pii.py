@@ -35,15 +35,19 @@ IP_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD_CHAIN = re.compile(r"[0-9](?:[\x20-]?[0-9])*")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SSN = re.compile(r"[0-9]{3}([- ])[0-9]{2}\1[0-9]{4}(?![-0-9])")
-SCHEME_LEFT = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{0,30}$")
+SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 URL_RIGHT = re.compile(r"[^\s<>\"'`|{}\\^]+")
-ACCOUNT = re.compile(r"(?:[\s#:=.-]|no\b|nr\b|number|num\b|nummer|numéro|número|is\b){0,12}([A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{2,4}){3,8}|[0-9](?:[ -]?[0-9]){4,33})", re.I)
+ACCOUNT_GAP = re.compile(r"(?:[\s#:=.-]|no\b|nr\b|number|num\b|nummer|numéro|número|is\b){0,12}", re.I)
+ACCOUNT = re.compile(r"[0-9](?:[ -]?[0-9]){5,}")
+IBAN_CHAIN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9])+")
+#: Lengths of IBANs by country; those of other countries are found by their check digits alone.
+IBAN_LENGTHS = dict(zip("AD AE AT BE BG CH CY CZ DE DK EE ES FI FR GB GI GR HR HU IE IL IS IT LI LT LU LV MC MT NL NO PL PT RO SA SE SI SK SM TR".split(), map(int, "24 23 20 16 22 21 28 24 22 18 20 24 18 27 22 23 27 21 28 22 23 26 27 21 20 20 21 27 31 18 15 28 25 24 24 24 19 24 27 26".split()), strict=True))
 STREET_LEFT = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[A-Za-z]?,?(?: [A-Z][\w'’.-]{0,30}){1,4} $")
 STREET_RIGHT = re.compile(r"\.?(?:,? (?:Apt|Suite|Ste|Unit|#)\.? ?[0-9A-Za-z-]{1,6})?(?:,? [A-Z][A-Za-z]{1,20}(?: [A-Z][A-Za-z]{1,20}){0,2},? [A-Z]{2} [0-9]{5}(?:-[0-9]{4})?)?")
 STRASSE = re.compile(r" [0-9]{1,4}[a-z]?(?:, [0-9]{5} [A-ZÄÖÜ][a-zäöüß]{1,30})?(?![0-9A-Za-z])")
-HEX_TOKEN = re.compile(r"\s*[=:]\s*[\"']([0-9A-Za-z_-]{16,128})[\"']")
+HEX_TOKEN = re.compile(r"\s*[=:]\s*[\"']([0-9A-Za-z_-]{16,})[\"']")
 AWS_KEY = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])")
-PREFIXED_KEY = re.compile(r"(?:ghp_|gho_|xoxb-|xoxp-|sk_live_|sk_test_|whsec_)[0-9A-Za-z-]{10,200}")
+PREFIXED_KEY = re.compile(r"(?:ghp_|gho_|xoxb-|xoxp-|sk_live_|sk_test_|whsec_)[0-9A-Za-z-]{10,}")
 ACCOUNT_CUES = ("iban", "account", "acct", "konto", "cuenta", "compte")
 STREET_CUES = ("street", "avenue", "road", "boulevard", "lane", "drive", "court", "highway")
 STRASSE_CUES = ("straße", "strasse", "platz", "gasse")
@@ -75,9 +79,20 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _iban(s: str) -> bool:
-    s = s.replace(" ", "").upper()
-    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+def iban_end(text: str, p: int) -> int:
+    """Where the IBAN that begins at p ends (groups may be apart by a space or hyphen), or -1: its country's length, else the longest run that passes."""
+    m = IBAN_CHAIN.match(text, p, p + 80)  # 34 characters and what is between them
+    if m is None:
+        return -1
+    at = [i for i in range(p, m.end()) if text[i] not in " -"][:34]
+    known = IBAN_LENGTHS.get(text[p : p + 2].upper())
+    for n in (known,) if known else range(len(at), 14, -1):
+        end = at[n - 1] + 1 if n <= len(at) else -1
+        if end > 0 and not (text[end : end + 1].isalnum() and text[end : end + 1].isascii()):
+            code = "".join(text[i] for i in at[:n]).upper()
+            if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+                return end
+    return -1
 
 
 def _folded(text: str) -> str:
@@ -126,15 +141,24 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 if 10 <= len(_digits(m[0])) <= 15:
                     out.append((p, phone_from, "phone"))
         elif kind == "url":
-            if p >= url_from and (left := SCHEME_LEFT.search(text, max(url_from, p - 31), p)) and (m := URL_RIGHT.match(text, q)):
-                url_from = q + len(m[0].rstrip(".,;:!?)]"))
-                if url_from > q:
-                    out.append((left.start(), url_from, "url"))
+            if p >= url_from and (m := URL_RIGHT.match(text, q)):
+                start = p
+                while start > url_from and text[start - 1] in SCHEME:
+                    start -= 1
+                while start < p and not text[start].isalpha():
+                    start += 1
+                end = q + len(m[0].rstrip(".,;:!?)]"))
+                if start < p and end > q:
+                    url_from = end
+                    out.append((start, end, "url"))
         elif kind == "account":
-            if (p == 0 or not text[p - 1].isalnum()) and (m := ACCOUNT.match(text, q)):
-                value = m[1]
-                if _iban(value) if value[0].isalpha() else len(_digits(value)) >= 6:
-                    out.append((m.start(1), m.end(1), "account"))
+            if p == 0 or not text[p - 1].isalnum():
+                start = ACCOUNT_GAP.match(text, q).end()
+                end = iban_end(text, start)
+                if end < 0 and (m := ACCOUNT.match(text, start)) and len(_digits(m[0])) <= 34:
+                    end = m.end()
+                if end > 0:
+                    out.append((start, end, "account"))
         elif kind == "street":
             if not text[q : q + 1].isalnum() and text[p].isupper() and (left := STREET_LEFT.search(text, max(0, p - 160), p)):
                 out.append((left.start(), STREET_RIGHT.match(text, q).end(), "address"))
