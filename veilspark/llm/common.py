@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,7 +10,6 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, the only separators of words: space and \x09 to \x0D.
 WORD = r"[^\x20\x09-\x0D]+"
-_own_root: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        root = _own_root.setdefault(app, f"file://{tempfile.mkdtemp(prefix='veilspark-')}")
+    """The shared folder named in spark.checkpoint.dir; the warehouse, which executors share too, where it is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     return root.rstrip("/")
 
 
