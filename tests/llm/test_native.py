@@ -87,6 +87,38 @@ def test_slot_map(spark, tmp_path):
     assert sharding.SlotMap.load(spark, str(tmp_path / "map")) == grown and sharding.SlotMap.load(spark, str(tmp_path / "map"), 1) == first
 
 
+def test_sharding_on_a_store(spark, tmp_path):
+    """A second run starts from the stored map, and edits it as little as it can; a stored map routes records by itself."""
+    store = f"file://{tmp_path}/store"
+    docs = frame(spark, [f"text {i} " * (i % 50) for i in range(600)])
+    hot = docs.union(spark.createDataFrame([(10_000 + i, "hot text " * 20, "k", "w", "f") for i in range(400)], SCHEMA))
+    where = lambda df: {r["doc_id"]: r["shard"] for r in df.collect()}
+    one = sharding.shard(docs, 4, 64, store)
+    first = where(one)
+    assert where(sharding.shard(docs, 4, 999, store)) == first and sharding.SlotMap.load(spark, store).version == 1
+    grown = where(sharding.shard(docs, 5, 64, store))
+    assert sharding.SlotMap.load(spark, store).version == 2 and 0 < sum(grown[k] != first[k] for k in first) < len(first) / 3
+    assert all(grown[k] == 4 for k in first if grown[k] != first[k])
+    skewed = sharding.shard(hot, 5, 64, store).collect()
+    latest = sharding.SlotMap.load(spark, store)
+    assert latest.version == 3 and max(latest.parts) > 1 and sum(latest.parts) == len(latest.shards)
+    load = Counter()
+    for r in skewed:
+        load[r["shard"]] += r["size"]
+    assert max(load.values()) < 1.3 * sum(load.values()) / 5
+    routed = hot.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"))
+    unit = latest.unit(F.pmod("h", F.lit(64)).cast("int"), F.xxhash64("doc_id", "size", "crc"))
+    assert where(routed.select("doc_id", latest.shard(unit).alias("shard"))) == {r["doc_id"]: r["shard"] for r in skewed}
+    assert sharding.SlotMap.load(spark, store, 1).n_shards == 4
+
+
+def test_sharding_of_one_row_repeated(spark):
+    rows = sharding.shard(spark.range(3000).selectExpr("cast(7 as long) doc_id", "'same' text"), 8, 16).collect()
+    shards = {r["shard"] for r in rows}
+    assert len(shards) == 1  # equal records stay together, with a place each
+    assert sorted(r["position"] for r in rows) == list(range(3000))
+
+
 LICENSES = [
     "Licensed under the Apache License, Version 2.0.", "This is under the MIT-license and under the MIT License", "CC BY NC cc-by-nc 4.0", "GNU General Public License, version 3 or any later version", "", None, "no words of that kind",
     "the license " * 300, "Copyright (c) 2020 Some One. All rights reserved.", "Apache License Version 2 apache license version 2", "Creative Commons Attribution-ShareAlike 3.0",
@@ -111,12 +143,62 @@ def test_license_scan(spark):
     assert len(license_scan.signatures()) > 200 and license_scan.scan(frame(spark, []).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("operator", [lambda d, s: quality_rules.statistics(d), lambda d, s: license_scan.scan(d)])
+LABELS = "doc_id long, quality int, toxic int"
+
+
+@pytest.mark.parametrize("operator", [lambda d, s: quality_rules.statistics(d), lambda d, s: license_scan.scan(d), lambda d, s: quality_rules.judge(d, s.createDataFrame([(0, 1, 0), (3, 0, 0)], LABELS)), lambda d, s: sharding.shard(d)])
 def test_no_python(spark, operator):
     plan = operator(frame(spark, ["a"]), spark)._jdf.queryExecution().toString()
     assert not re.search("MapInArrow|ArrowEval|BatchEvalPython|MapInPandas", plan)
 
 
+def test_sentences_of_license_texts(spark):
+    plain = lambda x: re.sub(r"\(\?:([^()|]*)[^()]*\)[?]?(?:\{0,6\})?", r"\1", x.replace("[", "").replace("]", "")).replace(" .* ", " as well as ").replace("?", "")
+    texts = [plain(x[2]) for x in license_scan.SENTENCES if "(" not in x[2]]
+    labels = [x[0] for x in license_scan.SENTENCES if "(" not in x[2]]
+    rows = license_scan.scan(spark.createDataFrame([(i, f"so it says {t}, and more") for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert len(rows) > 60
+    for r in rows:
+        assert labels[r["doc_id"]] in r["labels"].split(","), (texts[r["doc_id"]], r["labels"])
+    long_ = "x " * 200_000 + "licensed under the zero clause bsd license " + "permission " * 20_000
+    row = license_scan.scan(spark.createDataFrame([(1, long_)], "doc_id long, text string")).first()
+    assert row["n_words"] == 220_007 and row["labels"] == "bsd-0-clause,license-statement"
+
+
+def detections(text, rules):
+    """All matches of all rules and what stays after suppression, in plain Python."""
+    words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()) if w]
+    found = []
+    for k, r in enumerate(rules):
+        for i, w in enumerate(words):
+            if w != r.anchor:
+                continue
+            left, right = " ".join(words[max(0, i - license_scan.REACH) : i]) + " ", " " + " ".join(words[i + 1 : i + 1 + license_scan.REACH])
+            a = re.search(rf"(?:^| ){r.before}$", left) if r.before else True
+            b = re.search(rf"^{r.after}(?= |$)", right) if r.after else True
+            if a and b:
+                lead = a[0].strip().count(" ") + 1 if r.before else 0
+                found.append((i - lead, -(i + (b[0].count(" ") if r.after else 0)), r.priority, k, r.label, r.base))
+    kept = []
+    for x in sorted(found):
+        if x[5] or not any(y[2] <= x[2] and y[1] <= x[1] for y in kept):
+            kept.append(x)
+    return sorted({x[4] for x in kept}), len(kept)
+
+
+def test_license_scan_against_plain_python(spark):
+    import random
+
+    random.seed(2)
+    rules = license_scan.signatures()
+    some = ["gnu general public license", "version 3", "or later", "mit license", "apache license version 2 0", "all rights reserved", "copyright c 2020", "cc by nc sa 4 0", "creative commons attribution share alike 3 0", "licensed under the", "gpl v2 only", "public domain", "permission is hereby granted free of charge to any person obtaining a copy of this software", "words", "and", "under the mit license"]
+    texts = [" ".join(random.choice(some) for _ in range(random.randint(1, 8))) for _ in range(150)]
+    got = {r["doc_id"]: (r["labels"], r["n_detections"]) for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        labels, n = detections(text, rules)
+        assert got[i] == (",".join(labels), n), text
+
+
 def test_license_scan_reaches_the_longest_rule(spark):
     text = "all of it is under the terms of the do what the fuck you want to public license"
     row = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()

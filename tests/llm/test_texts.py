@@ -51,6 +51,21 @@ def test_pii_other_kinds_and_redaction(spark):
     assert pii.redacted("abcdef", [(0, 2, "ip"), (1, 3, "card"), (4, 5, "email")]) == "[IP]d[EMAIL]f"
 
 
+def test_pii_accounts_and_long_values():
+    only = lambda text, kind: [text[a:b] for a, b, k in pii.find(text) if k == kind]
+    for iban in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "MU17BOMM0101101030300200000MUR", "NO93 8601 1117 947"):
+        for text in (f"IBAN {iban} for payment", f"IBAN {iban} or x", f"iban: {iban}.", f"IBAN {iban}"):
+            assert only(text, "account") == [iban], text
+    assert only("IBAN DE89370400440532013001 or x", "account") == [] and only("IBAN DE893704004405320130001234", "account") == []
+    assert only("account no. 12345678 and acct 12-34 56", "account") == ["12345678", "12-34 56"]
+    assert only("account " + "1" * 40, "account") == []
+    scheme, token, key = "x" * 100, "ab1_" * 100, "ghp_" + "Q" * 1000
+    assert only(f"see {scheme}://host/a, now", "url") == [f"{scheme}://host/a"] and only("1+://x 9a+b://y", "url") == ["a+b://y"]
+    assert only(f'token = "{token}"', "secret") == [token] and only(f"so {key} it is", "secret") == [key]
+    text = "a@b.example " * 40_000 + "://" * 30_000 + "9." * 60_000 + "account " * 20_000
+    assert len(only(text, "email")) == 40_000  # linear in the text
+
+
 def test_pieces(spark):
     v = sentencepieces.Vocabulary.load()
     seg = sentencepieces.Segmenter(v, table=50)
@@ -138,14 +153,50 @@ def test_main_text(spark):
         assert got[10 + i]["text"] == f"Unlike text number {i} stands {i * i} here"
     assert [got[k]["text"] for k in (30, 31, 32, 33)] == ["", "", "<", "ab c"]
     try:
-        html_extraction.BROADCAST_LOW, before = -1, html_extraction.BROADCAST_LOW
+        html_extraction.BROADCAST_DECIDED, before = -1, html_extraction.BROADCAST_DECIDED
         joined = {r["page_id"]: r["text"] for r in html_extraction.extract(df).collect()}
     finally:
-        html_extraction.BROADCAST_LOW = before
+        html_extraction.BROADCAST_DECIDED = before
     assert joined == {k: r["text"] for k, r in got.items()}
     assert html_extraction.extract(df.limit(0)).count() == 0
 
 
+def test_importance_decides(spark):
+    """On the given pages the style tree removes the branches: without importance they stay."""
+    import os
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet") if os.path.isdir("/root/testdata/sf0.01") else pytest.skip("no tables")
+    nodes = html_extraction.importance(pages).filter("pages >= 5").selectExpr("count(*) n", "count_if(high and importance < 0.999) low").first()
+    assert nodes["low"] > 30
+    with_it = {r["page_id"]: r["text"] for r in html_extraction.extract(pages).collect()}
+    without = {r["page_id"]: r["text"] for r in html_extraction.extract(pages, low=0.0, high=0.0).collect()}
+    changed = [k for k, t in with_it.items() if without[k] != t]
+    assert len(changed) > len(with_it) // 2 and all(with_it[k] in without[k] for k in changed)
+    for r in pages.collect():
+        article = html_extraction.parse(r["html"][r["html"].index("<article") : r["html"].index("</article>")])
+        assert with_it[r["page_id"]] == " ".join(html_extraction.blocks(article))
+
+
+def test_importance_sets_bars(spark):
+    def page(i, menu, aside):
+        return f"<body><div id=m><a>Start</a> <a>News</a>{menu}</div><div><p>Article {i * 7} of {i} tells {i * i}</p>{''.join(f'<p>more {i}.{j}</p>' for j in range(i))}</div><aside><p>{aside}</p></aside></body>"
+
+    rows = [(i, "http://c.example/1", page(i, "", "see our offers")) for i in range(8)] + [(20 + i, "http://d.example/1", page(i, "", "x")) for i in range(2)]
+    rows += [(40 + i, "http://e.example/1", f"<body><aside>{f'<p>Notes {i}</p>' * (i + 1)}</aside><div>Same</div></body>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Article {i * 7} of {i} tells {i * i}" + "".join(f" more {i}.{j}" for j in range(i)) for i in range(8))
+    assert got[20] == "Start News Article 0 of 0 tells 0"  # two pages tell nothing of the menu; the aside's own word counts
+    assert got[42] == " ".join(["Notes 2"] * 3)  # an aside that differs everywhere is the text, what is the same is not
+
+
+def test_main_text_of_long_and_deep_pages(spark):
+    deep = "<div>" * 20_000 + "x" + "</div>" * 20_000
+    long_ = "<article>" + "<p>word &amp; word</p>" * 100_000 + "</article>"
+    df = spark.createDataFrame([(i, "http://f.example", h) for i, h in enumerate((deep, long_, "<" * 50_000, "&" * 1000))], "page_id long, url string, html string")
+    got = {r["page_id"]: r["n_chars"] for r in html_extraction.extract(df).collect()}
+    assert got == {0: 1, 1: 100_000 * 12 - 1, 2: 50_000, 3: 1000}
+
+
 @pytest.mark.parametrize("hot", [1 << 18, 60])
 def test_language_model(spark, hot):
     random.seed(5)
@@ -174,61 +225,71 @@ def test_language_model(spark, hot):
         assert sum(r["score"] for r in out) > 0.9 * sum(r["base_score"] for r in out)  # higher than the unigrams' on held-out texts
 
 
-def test_language_model_is_a_distribution():
+def _model(frequent, tail, seed):
+    """A model of `frequent` words with own leaves and `tail` words that share some, which occur twice each."""
     import numpy as np
 
-    token = np.sort(np.random.default_rng(1).integers(1, 1 << 62, 50).astype(np.uint64))
-    m = maxent_lm.Model(token, np.arange(1, 51), 1275 + 10, 55)
-    m.w_c += np.random.default_rng(2).normal(size=m.w_c.shape).astype(np.float32)
-    m.w_w += np.random.default_rng(3).normal(size=m.w_w.shape).astype(np.float32)
-    h = np.concatenate([[token[3], token[7]]] * 1).astype(np.uint64)
-    each = [np.concatenate((h, [t])) for t in [*token, np.uint64(5)]]
-    total = 0.0
-    for k, x in enumerate(each):
-        f = [a[2:] for a in maxent_lm.histories(x, np.array([0]))]
-        cls, place = m.places(*m.lookup(x[2:]))
-        total += 10 ** maxent_lm.score_batch(m, f, cls, place)[0]
-    assert total == pytest.approx(1.0, abs=1e-4)
-
-
-def test_language_model_tells_other_words_apart():
+    token = np.sort(np.random.default_rng(seed).integers(1, 1 << 62, frequent).astype(np.uint64))
+    count = np.where(np.arange(frequent) < frequent // 3, 50, 5)
+    m = maxent_lm.Model(token, count, int(count.sum()) + 2 * tail, frequent + tail)
+    words = np.arange(7, 7 + tail, dtype=np.uint64)
+    leaf, n = np.unique(maxent_lm.shared_leaf(words, m.own, len(m.mass)), return_counts=True)
+    m.grow(leaf, 2 * n, n)
+    return m, token, words
+
+
+def _prob(m, before, words):
     import numpy as np
 
-    size = maxent_lm.CLASSES * maxent_lm.PER_CLASS
-    token = np.sort(np.random.default_rng(4).integers(1, 1 << 62, size + 100).astype(np.uint64))
-    count = np.where(np.arange(size + 100) < size, 50, 5)
-    m = maxent_lm.Model(token, count, int(count.sum()) + 40, size + 100 + 20)
-    tail = np.arange(7, 27, dtype=np.uint64)  # twenty words that occur twice and are not broadcast
-    leaf, n = np.unique(maxent_lm.tail_leaf(tail, m.own, m.levels), return_counts=True)
-    m.grow(leaf, 2 * n, n)
-    held = np.zeros(len(m.log_whole))
-    held[leaf] = n
-
-    def prob(before, words):
-        out = []
-        for w in words:
-            h = np.array([before, w], dtype=np.uint64)
-            f = [x[1:] for x in maxent_lm.histories(h, np.array([0]))]
-            at, there = m.lookup(h[1:])
-            cls, place = m.places(at, there)
-            out.append(maxent_lm.score_batch(m, f, cls, place, m.leaf_of(h[1:], at, there))[0])
-        return 10 ** np.array(out)
-
-    pairs = np.array([token[size], token[size + 1], tail[0], tail[1]] * 200, dtype=np.uint64)
-    starts = np.arange(0, len(pairs), 2)
-    at, there = m.lookup(pairs)
-    cls, place = m.places(at, there)
-    assert (cls == maxent_lm.CLASSES).all()
-    before = prob(token[size], [token[size + 1], token[size + 2]])
+    out = []
+    for w in words:
+        h = np.array([before, w], dtype=np.uint64)
+        f = [x[1:] for x in maxent_lm.histories(h, np.array([0]))]
+        out.append(maxent_lm.score_batch(m, f, m.leaf_of(h[1:], *m.lookup(h[1:])))[0])
+    return 10 ** np.array(out)
+
+
+@pytest.mark.parametrize(("frequent", "tail"), [(0, 0), (1, 0), (3, 4), (700, 40)])
+def test_language_model_is_a_distribution(frequent, tail):
+    import pickle
+
+    import numpy as np
+
+    m, token, words = _model(frequent, tail, 1)
+    m.w += np.random.default_rng(2).normal(size=m.w.shape).astype(np.float16).astype(np.float32)
+    history = np.array([3, 9], dtype=np.uint64)
+    h = np.concatenate([np.append(history, np.uint64(0))] * len(m.mass))
+    f = [x[2::3] for x in maxent_lm.histories(h, np.arange(0, len(h), 3))]
+    p = 10 ** maxent_lm.score_batch(m, f, np.arange(len(m.mass)))
+    assert len(p) == m.own + max(1, tail) and p.sum() == pytest.approx(1.0, abs=1e-4)
+    inside = np.bincount(maxent_lm.shared_leaf(words, m.own, len(m.mass)), weights=np.full(tail, 2 + maxent_lm.SMOOTHING), minlength=len(m.mass))
+    assert inside[m.own :] + maxent_lm.SMOOTHING == pytest.approx(m.mass[m.own :])  # its words' and an unseen one's share
+    again = pickle.loads(pickle.dumps(m))
+    assert (maxent_lm.score_batch(again, f, np.arange(len(m.mass))) == maxent_lm.score_batch(m, f, np.arange(len(m.mass)))).all()
+
+
+def test_language_model_tells_all_words_apart():
+    import numpy as np
+
+    m, token, tail = _model(1100, 20, 4)
+    before = _prob(m, token[1000], [token[1001], token[1002]])
     assert before[0] == pytest.approx(before[1], rel=1e-4)
+    pairs = np.array([token[1000], token[1001], tail[0], tail[1]] * 200, dtype=np.uint64)
+    starts = np.arange(0, len(pairs), 2)
+    met = np.zeros(len(m.w), dtype=np.float32)
     for _ in range(5):
-        maxent_lm.train_batch(m, maxent_lm.histories(pairs, starts), cls, place, m.leaf_of(pairs, at, there))
-    after = prob(token[size], [token[size + 1], token[size + 2]])
+        maxent_lm.train_batch(m, maxent_lm.histories(pairs, starts), m.leaf_of(pairs, *m.lookup(pairs)), met)
+    assert met.sum() >= 15 * len(pairs)
+    after = _prob(m, token[1000], [token[1001], token[1002]])
     assert after[0] > 10 * after[1]
-    assert prob(tail[0], [tail[1]])[0] > 10 * prob(token[size], [tail[1]])[0]
-    rest = [w for w in range(27, 200_000) if held[k := maxent_lm.tail_leaf(np.array([w], dtype=np.uint64), m.own, m.levels)[0]] == 0 and not held.__setitem__(k, -1)]
-    assert len(rest) + len(leaf) == len(held) - m.own  # one word of each leaf; together with the classes, all there is
-    assert prob(token[size], [*token, *rest, *(tail[np.unique(maxent_lm.tail_leaf(tail, m.own, m.levels), return_index=True)[1]])]).sum() == pytest.approx(1.0, abs=1e-3)
+    assert _prob(m, tail[0], [tail[1]])[0] > 10 * _prob(m, token[1000], [tail[1]])[0]
+
+
+def test_language_model_of_empty_tables_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", 3, 4.0), (11, "a " * 3000 + "x" * 50_000, 3, 4.0)], "doc_id long, text string, n_tokens int, score double")
+    assert maxent_lm.score(docs.limit(0)).count() == 0
+    got = {r["doc_id"]: r for r in maxent_lm.score(docs).collect()}
+    assert got[1]["n_tokens"] == 3 and got[11]["n_tokens"] == 3002 and all(r["score"] < 0 for r in got.values())
 
 
 def found_by(text, *items):
