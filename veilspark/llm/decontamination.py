@@ -10,16 +10,20 @@ holds for each occurrence on its own: hits whose offsets (position in the docume
 equal or close, and also all hits together, for an item that is spread over a document. A leak is a
 document in which one of these holds at least 0.75 of an item's windows with consistent slots.
 
+Items that differ in their slots' values only (and repeat them alike) are one class, which is searched once; a leak of it
+is reported under the item whose values the document has, else under the least item_id, with the number of
+items in the class.
+
 The benchmark is a stated query set: it is read in blocks of at most BLOCK_WINDOWS windows, each of
 which is broadcast (a proven bound: 16 bytes a window and the block's words) and held against
-all documents in one pass without a shuffle. Neither documents nor hits are gathered anywhere.
+all documents in one pass without a shuffle, one block after the other. Neither documents nor hits are gathered anywhere.
 
 Windows with fewer than three literal words are no evidence and are left out. Items without any
 other window (under five words, in title case, or dense in numbers and names) are searched by windows of their
 lower-cased words as they are, without placeholders; those under five words by all their words at once.
 
 Defined results: null and empty texts hold no window and items without words never match; repeated documents are each reported;
-repeated items match each under their own item_id; empty tables give no rows; items with a null
+repeated items are one class with the least item_id; empty tables give no rows; items with a null
 item_id are searched and reported with a null item_id; other columns are ignored.
 """
 
@@ -35,6 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.llm.common import stored
 from veilspark.llm.words import TABLE_LIMIT, slices, texts, windows
 
 WORDS = 5
@@ -122,20 +127,39 @@ def _usable(slot: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Windows of some items, sorted by hash."""
+    """Windows of some classes of items, sorted by hash."""
 
     def __init__(self, items: list[tuple[int | None, list[bytes]]]):
-        self.items = items
+        self.words: list[list[bytes]] = []  # of one item of each class
+        self.slot: list[np.ndarray] = []  # its words whose values may differ
+        self.members: list[dict[tuple[bytes, ...], int | None]] = []  # least item_id by the slots' values
+        self.sizes: list[int] = []
         self.need: list[int] = []
-        self.plain: dict[int, dict[int, list[tuple[int, int]]]] = {}  # by size of the window: (item, position) by hash
+        self.plain: dict[int, dict[int, list[tuple[int, int]]]] = {}  # by size of the window: (class, position) by hash
         self.exact: set[int] = set()
+        classes: dict[bytes, int] = {}
         parts = []
-        for k, (_, words) in enumerate(items):
+        for item_id, words in items:
             h, slot, start, _ = template(words)
             ok = np.flatnonzero(_usable(slot)) if len(words) >= WORDS else np.empty(0, dtype=np.int64)
+            plainly = not len(ok)
+            slot = np.zeros(len(words) + WORDS, dtype=bool) if plainly else slot | start
+            values = tuple(_bare(words[p]) for p in np.flatnonzero(slot).tolist())
+            seen: dict[bytes, int] = {}
+            kind = plain(words).tobytes() + b"plain" if plainly else h.tobytes() + bytes(slot) + repr([seen.setdefault(v, len(seen)) for v in values]).encode()
+            k = classes.setdefault(kind, len(self.words))
+            if k < len(self.words):
+                self.sizes[k] += 1
+                there = self.members[k].get(values, item_id)
+                self.members[k][values] = item_id if there is None or (item_id is not None and item_id < there) else there
+                continue
+            self.words.append(words)
+            self.slot.append(slot)
+            self.members.append({values: item_id})
+            self.sizes.append(1)
             size = min(WORDS, len(words))
-            if not len(ok) and size:
-                own = windows(plain(words), size).tolist()
+            if plainly:
+                own = windows(plain(words), size).tolist() if size else []
                 self.need.append(len(own))
                 self.exact.add(k)
                 for p, x in enumerate(own):
@@ -155,7 +179,7 @@ class Block:
         self.bits[self.hash >> np.uint64(64 - BITS)] = True
 
     def hits(self, words: list[bytes]) -> dict[int, list[tuple[int, int]]]:
-        """By item: (position in the document, position in the item) of equal windows."""
+        """By class: (position in the document, position in the item) of equal windows."""
         h, _, _, names = template(words)
         w = windows(named(h, names), WORDS)
         at = np.flatnonzero(self.bits[w >> np.uint64(64 - BITS)])
@@ -174,24 +198,26 @@ class Block:
                     found[k].append((d, p))
         return found
 
-    def leaks(self, words: list[bytes]) -> list[tuple[int | None, int, int, float, bool]]:
-        """(item_id, windows needed, windows held, similarity, reparameterised) of each leak."""
+    def leaks(self, words: list[bytes]) -> list[tuple[int | None, int, int, float, bool, int]]:
+        """(item_id, windows needed, windows held, similarity, reparameterised, items of the class) of each leak."""
         out = []
         for k, pairs in self.hits(words).items():
-            if len({p for _, p in pairs}) < SIMILARITY * self.need[k]:
-                continue
-            item_id, own = self.items[k]
-            _, slot, start, _ = template(own)
-            slot = slot | start
-            if k in self.exact:
-                slot = np.zeros(len(own) + WORDS, dtype=bool)
             least, best = SIMILARITY * self.need[k], None
+            if len({p for _, p in pairs}) < least:
+                continue
+            own, slot = self.words[k], self.slot[k]
             for group in _occurrences(pairs, len(own), least):
-                held, changed = _consistent(group, own, words, slot)
-                if held >= least and (best is None or (held, not changed) > (best[0], not best[1])):
-                    best = held, changed
+                held, chosen = _consistent(group, own, words, slot)
+                if held < least:
+                    continue
+                values = tuple(chosen.get(v := _bare(own[p]), v) for p in np.flatnonzero(slot).tolist())
+                same = values in self.members[k]
+                if best is None or (held, same) > best[:2]:
+                    best = held, same, values
             if best is not None:
-                out.append((item_id, self.need[k], best[0], best[0] / self.need[k], best[1]))
+                held, same, values = best
+                ids = [self.members[k][values]] if same else [i for i in self.members[k].values() if i is not None]
+                out.append((min(ids, default=None), self.need[k], held, held / self.need[k], not same, self.sizes[k]))
         return out
 
 
@@ -211,18 +237,17 @@ def _occurrences(pairs: list[tuple[int, int]], size: int, least: float) -> Itera
         yield pairs
 
 
-def _consistent(pairs: list[tuple[int, int]], own: list[bytes], words: list[bytes], slot: np.ndarray) -> tuple[int, bool]:
-    """Windows of the item whose slots hold the values chosen for them, and whether a value differs from the item's."""
+def _consistent(pairs: list[tuple[int, int]], own: list[bytes], words: list[bytes], slot: np.ndarray) -> tuple[int, dict[bytes, bytes]]:
+    """Windows of the item whose slots hold the values chosen for them, and the value chosen for each of the item's."""
     votes: dict[bytes, Counter] = defaultdict(Counter)
-    changed: dict[tuple[int, int], list[tuple[bytes, bytes]]] = {}
+    filled: dict[tuple[int, int], list[tuple[bytes, bytes]]] = {}
     for d, p in pairs:
-        filled = [(_bare(own[p + j]), _bare(words[d + j])) for j in range(WORDS) if slot[p + j]]
-        changed[d, p] = filled
-        for a, b in filled:
+        both = [(_bare(own[p + j]), _bare(words[d + j])) for j in range(WORDS) if slot[p + j]]
+        filled[d, p] = both
+        for a, b in both:
             votes[a][b] += 1
     best = {a: min(c, key=lambda b: (-c[b], b)) for a, c in votes.items()}
-    held = {p for (d, p), filled in changed.items() if all(best[a] == b for a, b in filled)}
-    return len(held), any(a != b for a, b in best.items())
+    return len({p for (d, p), both in filled.items() if all(best[a] == b for a, b in both)}), best
 
 
 def _bare(word: bytes) -> bytes:
@@ -243,33 +268,40 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WINDOWS) -> Iterator[Block]:
         yield Block(items)
 
 
-LEAKS = "doc_id long, item_id long, n_windows long, n_held long, similarity double, reparameterised boolean"
+LEAKS = "doc_id long, item_id long, n_windows long, n_held long, similarity double, reparameterised boolean, n_items long"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_WINDOWS) -> DataFrame:
-    """One row for each document and each item that it leaks."""
-    sc = docs.sparkSession.sparkContext
-    out = docs.select(F.col("doc_id").cast("long"), "text").limit(0).selectExpr("doc_id", *(f"cast(null as {x.split(' ')[1]}) {x.split(' ')[0]}" for x in LEAKS.split(", ")[1:]))
-    for i, block in enumerate(blocks(benchmark, most)):
-        shared = sc.broadcast(block)
+    """One row for each document and each class of items that it leaks."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = None
+    for block in blocks(benchmark, most):
+        if out is not None:
+            out = stored(out, "leaks")  # so that only one block is held at a time
+            shared.unpersist()
+        shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
                 rows = [(d, *x) for d, t in zip(batch.column(0).to_pylist(), texts(batch), strict=True) for x in shared.value.leaks(t.split())]
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-                kinds = [pa.int64()] * 4 + [pa.float64(), pa.bool_()]
+                columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+                kinds = [pa.int64()] * 4 + [pa.float64(), pa.bool_(), pa.int64()]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split(" ")[0] for x in LEAKS.split(", ")])
 
-        one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, LEAKS)
-        out = one if i == 0 else out.unionByName(one)
-    return out
+        one = docs.mapInArrow(run, LEAKS)
+        out = one if out is None else out.unionByName(one)
+    return spark.createDataFrame([], LEAKS) if out is None else out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_WINDOWS) -> DataFrame:
     """The documents that leak no item, all columns kept."""
     sc = docs.sparkSession.sparkContext
-    at = docs.columns.index("text")
+    at, shared = docs.columns.index("text"), None
     for block in blocks(benchmark, most):
+        if shared is not None:
+            docs = stored(docs, "not-leaking")
+            shared.unpersist()
         shared = sc.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
