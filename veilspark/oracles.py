@@ -117,3 +117,34 @@ ORACLES: dict[str, str] = {
     "benchmark_literals": f"""WITH {DOCS}, b AS (SELECT item_id, {_norm('text')} AS lit FROM benchmark)
         SELECT item_id::INT AS rule_line, sum((length(n) - length(replace(lower(n), lower(lit), ''))) / length(lit))::BIGINT AS n_spans FROM n JOIN b ON contains(lower(n), lower(lit)) GROUP BY item_id""",
 }
+
+_NINE = "lpad(o_orderkey::VARCHAR, 9, '0')"
+ORACLES |= {
+    "table_column_spans": f"""
+      WITH c AS (SELECT o_orderkey AS doc_id, {_NINE} AS account, '1990-01-' || lpad((o_orderkey % 28 + 1)::VARCHAR, 2, '0') AS born, 'E-' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') AS staff,
+                        length('Staff list | Account | DOB | Staff no. | Room | |---|---|:-:|---| | ') AS a FROM orders)
+      SELECT doc_id, 1 AS rule_line, a::INT AS start, (a + 9)::INT AS stop, account AS matched_text FROM c
+      UNION ALL SELECT doc_id, 2, (a + 12)::INT, (a + 22)::INT, born FROM c
+      UNION ALL SELECT doc_id, 3, (a + 27)::INT, (a + 33)::INT, staff FROM c""",
+    "value_offsets": """
+      WITH c AS (SELECT o_orderkey AS doc_id, 'API_TOKEN_' || lpad(o_orderkey::VARCHAR, 8, '0') AS token, '12-' || lpad(o_orderkey::VARCHAR, 7, '0') AS ein FROM orders WHERE o_orderkey % 2 = 0)
+      SELECT doc_id, 2 AS rule_line, 19 AS start, 37 AS stop, token AS matched_text FROM c
+      UNION ALL SELECT doc_id, 3, 54, 64, ein FROM c""",
+    "original_offsets": """
+      WITH c AS (SELECT o_orderkey AS doc_id, (o_orderkey % 5 + 1)::INT AS gap, '10.0.0.' || (o_orderkey % 250)::VARCHAR AS ip FROM orders)
+      SELECT doc_id, 18 AS start, (18 + length(ip))::INT AS stop, (24 + gap)::INT AS original_start, (24 + gap + length(ip))::INT AS original_stop, ip AS original_text FROM c""",
+    "plan_text": PLAN + """, p AS (SELECT doc_id, arg_min(matched_text, start) AS value FROM v GROUP BY doc_id)
+      SELECT doc_id::VARCHAR AS source_name, '# Redaction plan: ' || doc_id || chr(10) || chr(10) || '1 of 1 items are ticked and will be removed.' || chr(10) || chr(10)
+             || '## Page 1' || chr(10) || chr(10) || '- [x] `' || value || '` — ip addresses' || chr(10) AS body, value, 1 AS page FROM p""",
+    "guidance_budget": """
+      SELECT r_regionkey AS rules_id, (least(r_regionkey * 20 + 1, 3000 // 49) * 49 - 1)::BIGINT AS n_kept, (greatest(r_regionkey * 20 + 1 - 3000 // 49, 0) * 49)::BIGINT AS omitted_character_count FROM region""",
+    "chunked_texts": "SELECT doc_id, 0::BIGINT AS n_over FROM documents WHERE text <> ''",
+    "overlap_anti_join": """
+      SELECT c.l_orderkey AS doc_id, c.l_linenumber::BIGINT AS line, (c.l_suppkey % 200)::BIGINT AS start FROM lineitem c WHERE c.l_linenumber % 2 = 0 AND NOT EXISTS (
+        SELECT 1 FROM lineitem r WHERE r.l_orderkey = c.l_orderkey AND r.l_linenumber % 2 = 1 AND c.l_suppkey % 200 < r.l_partkey % 200 + 30 AND r.l_partkey % 200 < c.l_suppkey % 200 + 10)""",
+    "recognised_boxes": """
+      SELECT o_orderkey AS doc_id, unnest([60.0, 200.0])::DOUBLE AS x, unnest([0.0, 20.0])::DOUBLE AS y, unnest([10.0 * length(o_orderkey::VARCHAR), 30.0])::DOUBLE AS w, 10::DOUBLE AS h FROM orders WHERE o_orderkey % 3 <> 0
+      UNION ALL SELECT o_orderkey, 60::DOUBLE, 0::DOUBLE, 10.0 * length(o_orderkey::VARCHAR), 10::DOUBLE FROM orders WHERE o_orderkey % 3 = 0""",
+    "plan_values_redacted": PLAN + ", t AS (SELECT DISTINCT doc_id, matched_text FROM v WHERE NOT starts_with(matched_text, '1')) "
+    "SELECT doc_id, sum(c * length(matched_text))::BIGINT AS n_masked FROM (SELECT doc_id, matched_text, (length(n) - length(replace(n, matched_text, ''))) // length(matched_text) AS c FROM t JOIN n USING (doc_id)) GROUP BY doc_id",
+}

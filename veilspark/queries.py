@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from itertools import islice
 
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import proposals as P
 from veilspark.functions.text import masked_line, masked_value, normalized, passes_luhn
+from veilspark.operators import proposals, recognition
 from veilspark.operators import spans as S
+from veilspark.operators.offsets import in_original
 from veilspark.plans import plan, redaction, reports
 from veilspark.sources import rules as R
 from veilspark.sources.tables import Store, conversations, documents
@@ -227,6 +230,106 @@ def proposal_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _order_pages(spark: SparkSession, sf_dir: str, text) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), text.alias("text"))
+
+
+def table_column_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of pipe tables whose headers name a category, with ranges in the normalised text; the last column names none."""
+    key = F.col("o_orderkey").cast("string")
+    text = F.concat(
+        F.lit("Staff list\n| Account | DOB | Staff no. | Room |\n|---|---|:-:|---|\n| "), F.lpad(key, 9, "0"), F.lit(" | 1990-01-"), F.lpad((F.col("o_orderkey") % 28 + 1).cast("string"), 2, "0"),
+        F.lit(" | **E-"), F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0"), F.lit("** | "), F.lpad(key, 9, "0"), F.lit(" |\n"),
+    )
+    found = S.spans(_order_pages(spark, sf_dir, text), _book("accountNumbers", "datesOfBirth", "employeeIdentifiers"))
+    return found.select("doc_id", "rule_line", "start", "stop", "matched_text")
+
+
+def value_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that also stand in their labels, and shapes that are near to a value but are none; odd keys only have the latter."""
+    key, odd = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 2 == 1
+    text = F.when(odd, F.concat(F.lit("ref 1123-45-6789, 123-45 6789; EIN: 12345678; password only; born in 1990; "), key)).otherwise(
+        F.concat(F.lit("API_TOKEN_"), F.lpad(key, 8, "0"), F.lit("=API_TOKEN_"), F.lpad(key, 8, "0"), F.lit(" and employer id\n12-"), F.lpad(key, 7, "0"), F.lit(", not 112-"), F.lpad(key, 7, "0"))
+    )
+    found = S.spans(_order_pages(spark, sf_dir, text), _book("socialSecurityNumbers", "secrets", "employerIdentificationNumbers", "datesOfBirth"))
+    return found.select("doc_id", "rule_line", "start", "stop", "matched_text")
+
+
+def original_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges in the text as it was: broken lines, runs of blanks and a word cut by a hyphen lie before the value."""
+    gap = F.repeat(F.lit(" "), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    text = F.concat(F.lit("\n  Har-\nbour"), gap, F.lit("view\t\n\nfrom 10.0.0."), (F.col("o_orderkey") % 250).cast("string"), gap)
+    pages = _order_pages(spark, sf_dir, text)
+    return in_original(pages, S.spans(pages, _book("ipAddresses"))).select("doc_id", "start", "stop", "original_start", "original_stop", "original_text")
+
+
+def plan_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Markdown of each document's plan, and the same plan read back from it."""
+    fresh = plan.proposed(S.spans(documents(spark, sf_dir), _book("ipAddresses")))
+    body = plan.written(fresh.filter("pos = 0"))
+    again = plan.parse(body).groupBy("source_name").agg(F.first("value").alias("value"), F.first("page").alias("page"))
+    return body.join(again, "source_name").select("source_name", "body", "value", "page")
+
+
+def guidance_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of growing length: whole lines while they fit."""
+    lines = F.transform(F.sequence(F.lit(1), F.col("r_regionkey") * 20 + 1), lambda i: F.concat(F.lit("- note "), F.lpad(i.cast("string"), 43, "0")))
+    notes = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").alias("rules_id"), F.array_join(lines, "\n").alias("body"))
+    return plan.guidance(notes).select("rules_id", F.length("guidance").cast("long").alias("n_kept"), "omitted_character_count")
+
+
+def chunked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks for a model: joined they give the text back, and only a line that is longer alone is over the size."""
+
+    def said(text: str) -> list[tuple[str, str, str]]:
+        whole = len(text) <= proposals.CHUNK or "\n" not in text
+        return [(hashlib.md5(text.encode()).hexdigest(), "fits" if whole else "over", "")]
+
+    asked = proposals.proposed(documents(spark, sf_dir), said)
+    return asked.groupBy("doc_id").agg(F.count_if(F.col("kind") == "over").alias("n_over")).select("doc_id", "n_over")
+
+
+def overlap_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate ranges that touch no rule's range on their page; ranges that only meet do not overlap."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    at = (F.col("l_partkey") % 200).cast("int")
+    rules = lines.filter("l_linenumber % 2 = 1").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), at.alias("start"), (at + 30).alias("stop"))
+    start = (F.col("l_suppkey") % 200).cast("int")
+    asked = lines.filter("l_linenumber % 2 = 0").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), "l_linenumber", start.alias("start"), (start + 10).alias("stop"))
+    return proposals.not_covered(asked, rules).select("doc_id", F.col("l_linenumber").cast("long").alias("line"), F.col("start").cast("long").alias("start"))
+
+
+def recognised_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of a value on recognised lines: its tokens' union; an unsure line does not count, and boxes within drawn ones are not new."""
+    key = F.col("o_orderkey").cast("string")
+    size = F.length(key)
+
+    def box(x, y, w):
+        return F.struct(x.cast("double").alias("x"), F.lit(float(y)).alias("y"), w.cast("double").alias("w"), F.lit(10.0).alias("h"))
+
+    def line(text, sure, own, *tokens):
+        return F.struct(text.alias("text"), F.lit(sure).cast("float").alias("confidence"), own.alias("box"), F.array(*(F.struct(a.cast("int").alias("start"), b.cast("int").alias("stop"), c.alias("box")) for a, b, c in tokens)).alias("tokens"))
+
+    whole = box(F.lit(0), 0, F.lit(300))
+    lines = F.array(
+        line(F.concat(F.lit("Order "), key, F.lit(" paid")), 0.9, whole, (F.lit(0), F.lit(5), box(F.lit(0), 0, F.lit(50))), (F.lit(6), 6 + size, box(F.lit(60), 0, 10 * size)), (7 + size, 11 + size, box(F.lit(150), 0, F.lit(40)))),
+        line(key, 0.9, box(F.lit(200), 20, F.lit(30)), (F.lit(0), size, box(F.lit(200), 20, F.lit(30)))),
+        line(key, 0.1, box(F.lit(0), 40, F.lit(30))),
+    )
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), key.alias("value"), lines.alias("lines"))
+    found = recognition.located(orders, orders).withColumn("drawn", F.when(F.col("doc_id") % 3 == 0, F.array(box(F.lit(190), 15, F.lit(50)).withField("h", F.lit(20.0)))).otherwise(F.array().cast("array<struct<x:double,y:double,w:double,h:double>>")))
+    return recognition.new_boxes(found).select("doc_id", F.inline("boxes"))
+
+
+def plan_values_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans run as they were left: ticked values go from their own document and from no other."""
+    docs = documents(spark, sf_dir)
+    fresh = Store(spark).kept(plan.proposed(S.spans(docs, _book("ipAddresses"))), "plan")
+    items = fresh.withColumn("is_selected", ~F.startswith("value", F.lit("1")))
+    out = redaction.redact_plan(docs, items)
+    return out.pages.filter("items > 0").select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("█"), F.lit("")))).cast("long").alias("n_masked"))
+
+
 #: Literals of one automaton.
 LITERALS = 2000
 
@@ -262,6 +365,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         card_spans, normalize_text, secret_tokens, exact_rule_spans, rule_counts, unused_rules, unsupported_categories, spans_by_category, docs_without_findings, runaway_rules, kept_after_refusal, rules_parse,
         rules_diagnostics, plan_parse, plan_usable, plan_of_addresses, plan_merge, masked_findings, preview_report, page_summary, redaction_documents, redaction_residue, redacted_lengths,
-        conversation_hits_by_role, pii_vs_labels, luhn_of_keys, mask_functions, proposal_filters, benchmark_literals,
+        conversation_hits_by_role, pii_vs_labels, luhn_of_keys, mask_functions, proposal_filters, benchmark_literals, table_column_spans, value_offsets, original_offsets, plan_text, guidance_budget,
+        chunked_texts, overlap_anti_join, recognised_boxes, plan_values_redacted,
     )
 }
