@@ -60,4 +60,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_decontamination, op2_quality_rules, op3_html_extraction, op4_pii, op5_maxent_lm, op6_sharding, op7_license_scan, op8_sentencepieces, op9_minhash, op10_suffix_dedup)
 }
-ORACLES: dict[str, str] = {}
+#: Exact near-duplicates: all pairs that share a shingle, and their components.
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+u AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w WHERE len(ws) >= 5),
+v AS (SELECT doc_id, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS g, lead(x, 4) OVER o AS last FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT DISTINCT doc_id, hash(g) AS g FROM v WHERE last IS NOT NULL UNION ALL SELECT doc_id, hash(array_to_string(ws, ' ')) FROM w WHERE len(ws) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(g) AS n, bit_xor(g) AS h, sum(g % 1000003) AS h2 FROM documents LEFT JOIN g USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY n, h, h2, CASE WHEN n = 0 THEN doc_id END) AS rep FROM n),
+f AS (SELECT doc_id, g FROM g SEMI JOIN (SELECT rep AS doc_id FROM c) r USING (doc_id)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM f a JOIN f b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS node, doc_id AS root FROM n UNION SELECT t.b, r.root FROM r JOIN (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) t ON t.a = r.node),
+m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT c.doc_id, c.n::BIGINT AS n_shingles, m.root AS component_id, c.doc_id = m.root AS kept FROM c JOIN m ON m.node = c.rep"""
+#: Strings of 100 bytes by hashes of hashes of their halves, byte by byte.
+REPEATS = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+x AS (SELECT doc_id, regexp_extract_all(hex(t), '..') AS bs FROM d),
+b AS (SELECT doc_id, unnest(bs) AS b, generate_subscripts(bs, 1) AS i FROM x),
+h1 AS (SELECT doc_id, i, b, hash(b, lead(b, 1) OVER o) AS h FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h2 AS (SELECT doc_id, i, b, hash(h, lead(h, 2) OVER o) AS h FROM h1 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h3 AS (SELECT doc_id, i, b, h AS h4, hash(h, lead(h, 4) OVER o) AS h FROM h2 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h4 AS (SELECT doc_id, i, b, h4, hash(h, lead(h, 8) OVER o) AS h FROM h3 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h5 AS (SELECT doc_id, i, b, h4, hash(h, lead(h, 16) OVER o) AS h FROM h4 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h6 AS (SELECT doc_id, i, b, h4, h AS h32, hash(h, lead(h, 32) OVER o) AS h FROM h5 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, i, b, CASE WHEN lead(b, 99) OVER o IS NOT NULL THEN hash(h, lead(h32, 64) OVER o, lead(h4, 96) OVER o) END AS h FROM h6 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, b, h IS NOT NULL AND row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1 AS again FROM s),
+c AS (SELECT doc_id, i, b, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM r),
+e AS (SELECT doc_id, i, b, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c),
+k AS (SELECT doc_id, count(*) AS n, count_if(gone) AS removed, count_if(opens) AS spans, sha256(unhex(coalesce(string_agg(b, '' ORDER BY i) FILTER (WHERE NOT gone), ''))) AS digest FROM e GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, coalesce(digest, sha256('')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+ORACLES: dict[str, str] = {"op9_minhash": NEAR_DUPLICATES, "op10_suffix_dedup": REPEATS}
