@@ -45,6 +45,7 @@ TABLE = 200_000  # entries of a task's tables
 HOT_ANCHORS = 1 << 18  # at most so many anchors are hot
 LEAST_HOT = 5_000
 CHUNK = 60_000  # suffixes sorted at a time
+PART_BYTES = 32 << 20  # of text for each partition
 LAST = (1 << 63) - 1
 FACTOR = 0x9E3779B97F4A7C15
 #: digest = own, said so that it stays a filter: as a second join key it would have the texts shuffled anew.
@@ -383,8 +384,10 @@ def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row for each row of docs."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text"), F.lit(""))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    # A task gathers what meets in its partition: their number follows the input.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -int(-size // PART_BYTES))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"),
@@ -395,6 +398,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     name = f"texts_{uuid.uuid4().hex}"
     rows.repartition(parts, "d").write.option("path", scratch_path(spark, "texts")).option("compression", "zstd").bucketBy(parts, "d").saveAsTable(name)
     whole = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files and the plans that read them stay
 
     known = whole.select("d", "digest", F.octet_length("text").alias("n")).groupBy("d", "digest").agg(F.max("n").alias("n"))
     first = known.groupBy("digest").agg(F.min("d").alias("least"))
