@@ -60,6 +60,18 @@ def test_near_duplicates(spark):
     check_near(spark, rows)
 
 
+def test_near_duplicates_of_long_texts_and_clashing_columns(spark):
+    random.seed(12)
+    long_ = [f"w{random.randint(0, 10**6)}" for _ in range(60_000)]
+    near = [w if i % 60 else "changed" for i, w in enumerate(long_)]
+    rows = [(3, " ".join(long_), 1, 2, 3), (2, " ".join(near), 1, 2, 3), (9, "x" * 500_000, 1, 2, 3), (4, " ".join(long_[:30_000]), 1, 2, 3), (7, "a " * 100_000, 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node long, bands long, kept long")
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()}
+    assert got == {2: (2, True), 3: (2, False), 4: (4, True), 7: (7, True), 9: (9, True)}
+    kept = minhash.deduplicated(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {2, 4, 7, 9}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -153,3 +165,20 @@ def test_pipeline(spark, tmp_path):
     rows = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(rows) == set(range(40)) - set() | {43} and "[EMAIL]" in rows[43]["text"] and rows[43]["n_chars"] == len(rows[43]["text"]) and rows[0]["pieces"]
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "minhash_near_dedup", "benchmark_decontamination", "pii", "sentencepieces"]
+
+
+def test_pipeline_of_empty_tables_and_clashing_columns(spark, tmp_path):
+    """Stages keep columns whose names they use themselves; an empty table gives no rows; without items or labels no document goes for them."""
+    random.seed(5)
+    texts = [" ".join(f"word{random.randint(0, 3000)}" for _ in range(60)) for _ in range(4)]
+    rows = [(i, t, "en", "s", len(t), 1, 2, "p", 4.0) for i, t in enumerate([*texts, texts[0], texts[1]])] + [(None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, item_id long, node long, pieces string, score double")
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    for part in "ab":
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{part}/benchmark.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{part}/labels.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/a")
+    assert out.columns == [*docs.columns, "pieces_2"] and sorted(r["doc_id"] for r in out.collect()) == [0, 1, 2, 3]
+    assert {(r["node"], r["pieces"], r["score"]) for r in out.collect()} == {(2, "p", 4.0)}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0

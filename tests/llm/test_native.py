@@ -14,6 +14,9 @@ TEXTS = ["", None, " \n\t ", "a b c", "one two three four five six seven eight "
 SCHEMA = "doc_id long, text string, kept string, words string, found string"
 
 
+LABELS = "doc_id long, quality int, toxic int"
+
+
 def frame(spark, texts):
     rows = [(i, t, "k", "w", "f") for i, t in enumerate(texts)]
     return spark.createDataFrame(rows + rows[:2] + [(None, "no id", None, None, None)], SCHEMA)
@@ -55,6 +58,33 @@ def test_learned_rules(spark):
     assert kept.columns == ["doc_id", "text", "n_words"] and {r["doc_id"] for r in kept.collect()} == set(range(150))
 
 
+def test_decision_list_against_plain_python(spark):
+    """Each verdict is that of the first rule whose conditions the statistics meet, and held-out labels are judged like the others."""
+    import random
+
+    random.seed(4)
+    word = lambda n: "".join(random.choice("abcdefgh") for _ in range(n))
+    kinds = [lambda: " ".join(word(random.randint(3, 7)) for _ in range(60)), lambda: " ".join(word(14) for _ in range(60)), lambda: " ".join(word(5) + random.choice(("#", "%", "$$", "")) for _ in range(60)), lambda: " ".join(word(5).upper() for _ in range(60))]
+    texts = [(i, kinds[0 if i % 2 else 1 + i // 2 % 3]()) for i in range(480)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(480) if i % 4 < 2], LABELS)
+    rows = quality_rules.judge(docs, labels).collect()
+    stats = {r["doc_id"]: r for r in quality_rules.statistics(docs).collect()}
+    rules = {r["rule"]: r["rule_text"] for r in rows if r["rule"]}
+    assert len(rules) >= 2
+
+    def fits(s, rule):
+        names = {"mean_word": s["word_chars"] / max(s["n_words"], 1), "symbol_rate": s["n_symbols"] / max(s["n_words"], 1), "repeat_rate": s["n_repeat_words"] / max(s["n_words"], 1), "dup_line_rate": s["n_dup_lines"] / max(s["n_lines"], 1), "upper_rate": s["n_upper"] / max(s["word_chars"], 1)}
+        parts = [c.split(" ") for c in rule.split(" and ")]
+        return all(names[f] > float(t) if o == ">" else names[f] <= float(t) for f, o, t in parts)
+
+    for r in rows:
+        first = next((k for k in sorted(rules) if fits(stats[r["doc_id"]], rules[k])), None)
+        assert (r["kept"], r["rule"] or None) == (first is None, first) if not r["base_failed"] else not r["kept"]
+    unseen = [r for r in rows if r["doc_id"] % 4 >= 2]
+    assert sum(r["kept"] == (r["doc_id"] % 2 == 1) for r in unseen) > 0.97 * len(unseen)
+
+
 def test_sharding(spark):
     texts = TEXTS + [f"text {i} " * (i % 50) for i in range(400)] + ["hot copy of a text"] * 300
     rows = sharding.shard(frame(spark, texts)).collect()
@@ -143,9 +173,6 @@ def test_license_scan(spark):
     assert len(license_scan.signatures()) > 200 and license_scan.scan(frame(spark, []).limit(0)).count() == 0
 
 
-LABELS = "doc_id long, quality int, toxic int"
-
-
 @pytest.mark.parametrize("operator", [lambda d, s: quality_rules.statistics(d), lambda d, s: license_scan.scan(d), lambda d, s: quality_rules.judge(d, s.createDataFrame([(0, 1, 0), (3, 0, 0)], LABELS)), lambda d, s: sharding.shard(d)])
 def test_no_python(spark, operator):
     plan = operator(frame(spark, ["a"]), spark)._jdf.queryExecution().toString()

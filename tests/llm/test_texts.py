@@ -9,6 +9,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from veilspark.llm import decontamination, html_extraction, maxent_lm, pii, sentencepieces
 
@@ -92,10 +93,9 @@ def test_pieces(spark):
     for text in ["", " ", "  a ", "▁x▁ y", "a\n\tb", "日本語 テキスト😀", "a" * 300, " "]:
         assert seg.decode(seg.encode(text)[0]) == text
     docs = spark.createDataFrame([(1, "the cat", "p"), (2, None, "p"), (3, "", "p")], "doc_id long, text string, pieces string")
-    rows = {r["doc_id"]: r for r in sentencepieces.encoded(docs, into="ids").collect()}
-    assert seg.decode(rows[1]["ids"]) == "the cat" and rows[2]["ids"] is None and rows[3]["ids"] == [] and rows[3]["pieces"] == "p"
-    with pytest.raises(ValueError):
-        sentencepieces.encoded(docs)
+    rows = {r["doc_id"]: r for r in sentencepieces.encoded(docs).collect()}
+    assert seg.decode(rows[1]["pieces_2"]) == "the cat" and rows[2]["pieces_2"] is None and rows[3]["pieces_2"] == [] and rows[3]["pieces"] == "p"
+    assert sentencepieces.encoded(docs.withColumn("Pieces_2", F.lit(1))).columns[-1] == "pieces_3" and sentencepieces.encoded(docs.drop("pieces")).columns[-1] == "pieces"
     assert all(r["round_trip"] for r in sentencepieces.report(docs).collect()) and sentencepieces.report(docs.limit(0)).count() == 0
 
 
@@ -268,6 +268,37 @@ def test_language_model_is_a_distribution(frequent, tail):
     assert (maxent_lm.score_batch(again, f, np.arange(len(m.mass))) == maxent_lm.score_batch(m, f, np.arange(len(m.mass)))).all()
 
 
+def test_language_model_against_plain_python():
+    """Scores of whole texts, token by token and level by level, without numpy batches."""
+    import numpy as np
+
+    m, token, words = _model(60, 9, 6)
+    m.w += np.random.default_rng(7).normal(size=m.w.shape).astype(np.float32)
+    rng = np.random.default_rng(8)
+    text = rng.choice(np.concatenate((token, words, np.array([1 << 40], dtype=np.uint64))), 50)
+    starts = np.array([0, 17, 18])
+    leaf = m.leaf_of(text, *m.lookup(text))
+    got = maxent_lm.score_batch(m, maxent_lm.histories(text, starts), leaf)
+    mask, bits = (1 << 64) - 1, len(m.w).bit_length() - 1
+    mix = lambda x: int(maxent_lm.mixed(np.array([x & mask], dtype=np.uint64))[0])
+    salt = [int(x) for x in maxent_lm.SALT]
+    for i in range(50):
+        begin = max(s for s in starts.tolist() if s <= i)
+        before = int(text[i - 1]) if i - 1 >= begin else int(maxent_lm.START)
+        skip = int(text[i - 2]) if i - 2 >= begin else int(maxent_lm.START)
+        features = [mix(before * salt[0]), mix(before * salt[1] + skip * salt[2]), mix(skip * salt[3])]
+        total = 0.0
+        for level, (nodes, children) in enumerate(m.paths):
+            node = int(nodes[leaf[i]])
+            if node < 0:
+                break
+            own = mix((node + 1) * salt[4])
+            rows = [(((f ^ own) * int(maxent_lm.MIX)) & mask) >> (64 - bits) for f in (features if level < maxent_lm.UPPER else features[:1])]
+            z = [float(m.bias[node][c]) + sum(float(m.w[r][c]) for r in rows) for c in range(maxent_lm.FAN)]
+            total += z[children[leaf[i]]] / math.log(10) - math.log10(sum(math.exp(x) for x in z))
+        assert got[i] == pytest.approx(total, abs=1e-4)
+
+
 def test_language_model_tells_all_words_apart():
     import numpy as np
 
@@ -296,6 +327,61 @@ def found_by(text, *items):
     return {x[0] for x in decontamination.Block([(i, t.encode().split()) for i, t in enumerate(items)]).leaks(text.encode().split())}
 
 
+def brute_leaks(words, own):
+    """Whether one alignment of a whole item with a text holds 0.75 of its usable windows, each slot value standing for one value."""
+    clean = lambda w: (w.strip(decontamination.EDGES) or w).lower()
+    kind = lambda w: "number" if w.isdigit() else "name" if w[:1].isupper() else clean(w)
+    _, slot, start, _ = decontamination.template(own)
+    usable = [p for p in range(len(own) - 4) if 5 - sum(slot[p : p + 5]) >= 3]
+    slot = slot | start
+    for at in range(-len(own), len(words)):
+        there = [p for p in usable if 0 <= at + p and at + p + 5 <= len(words) and all(kind(words[at + p + j]) == kind(own[p + j]) for j in range(5))]
+        votes = collections.defaultdict(collections.Counter)
+        for p in there:
+            for j in range(5):
+                if slot[p + j]:
+                    votes[clean(own[p + j])][clean(words[at + p + j])] += 1
+        best = {a: min(c, key=lambda b: (-c[b], b)) for a, c in votes.items()}
+        held = [p for p in there if all(best[clean(own[p + j])] == clean(words[at + p + j]) for j in range(5) if slot[p + j])]
+        if usable and len(held) >= 0.75 * len(usable):
+            return True
+    return False
+
+
+def test_decontamination_against_brute_force():
+    """Random items, copies with other values, mixed-up values and broken copies: each aligned leak is found, and what no alignment holds is not."""
+    random.seed(9)
+    names, plainly = ["Ann", "Bob", "Cleo", "Dan"], [f"w{chr(97 + i)}x" for i in range(20)]
+    wrong = 0
+    for _ in range(150):
+        item = ["so"] + [random.choice(plainly) if random.random() < 0.7 else random.choice(names) if random.random() < 0.5 else str(random.randint(2, 60)) for _ in range(random.randint(12, 30))]
+        other = dict(zip(names, random.sample(["Eve", "Fay", "Gus", "Hal"], 4), strict=True))
+        copy = [other.get(w, str(int(w) + 7) if w.isdigit() else w) for w in item]
+        kind = random.randrange(4)
+        if kind == 1:  # some values of its own
+            copy = [random.choice(["Ida", "Jon", "Kim"]) if w in other.values() and random.random() < 0.7 else w for w in copy]
+        if kind == 2:  # some words of its own
+            copy = [f"own{i}" if random.random() < 0.12 else w for i, w in enumerate(copy)]
+        text = [f"pad{i}" for i in range(random.randint(0, 8))] + copy + [f"end{i}" for i in range(5)]
+        encoded = [w.encode() for w in text], [w.encode() for w in item]
+        found = bool(decontamination.Block([(1, encoded[1])]).leaks(encoded[0]))
+        want = brute_leaks(*encoded)
+        assert found or not want, (text, item)
+        wrong += found and not want
+    assert wrong <= 8  # spread items may be held by several alignments together
+
+
+def test_decontamination_of_families_and_repeats(spark):
+    family = [f"Maria has {a} red apples and buys {b} more from the market near her house so how many apples does Maria have" for a, b in ((3, 4), (5, 9), (8, 8), (3, 4), (6, 6))]
+    bench = spark.createDataFrame([(10 + i, t) for i, t in enumerate(family)] + [(1, "unlike any other text that is here in the list of items we keep")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, family[1]), (2, family[3]), (3, family[0].replace("Maria", "Paula").replace("3", "21")), (4, family[4]), (4, family[4]), (5, "x " * 100_000 + family[0] + " y" * 100_000)], "doc_id long, text string")
+    rows = sorted((r["doc_id"], r["item_id"], r["n_items"], r["reparameterised"]) for r in decontamination.leaks(docs, bench).collect())
+    # (8, 8) and (6, 6) are a class of their own: there one value stands twice.
+    pairs = [x for x in rows if x[2] == 3]
+    assert pairs == [(1, 11, 3, False), (2, 10, 3, False), (3, 10, 3, True), (4, 10, 3, True), (4, 10, 3, True), (5, 10, 3, False)]
+    assert [x for x in rows if x[2] == 2 and x[0] == 4] == [(4, 14, 2, False), (4, 14, 2, False)]
+
+
 def test_decontamination_of_several_copies():
     item = "Ann has 12 hens and Bob has 7 ducks while Eve sold 3 of her 9 geese to Max for 20 coins so who of Ann and Bob and Eve owns more than 5 birds today"
     values = ("Cat Zed Moe Abe 30 21 18 11 44 88", "Dot Abe Cat Zed 14 88 61 30 12 31", "Abe Moe Zed Cat 99 11 42 70 35 17")

@@ -19,7 +19,7 @@ decode(encode(text)) == text for every text: U+2581, which the file has for spac
 Defined results: a null text gives null pieces and counts as empty; an empty text has no pieces and
 score 0; repeated rows get equal results; among equal scores the segmentation with fewer, then earlier
 longer pieces wins; an empty table gives no rows; columns other than doc_id and text are ignored by report()
-and kept by encoded(), which refuses docs that have the new column already.
+and kept by encoded(), whose new column takes the first free one of the names pieces, pieces_2, pieces_3 and so on.
 """
 
 from __future__ import annotations
@@ -502,9 +502,9 @@ def report(docs: DataFrame, path: str = DEFAULT_MODEL, n: int = N_BEST) -> DataF
 
 
 def encoded(docs: DataFrame, path: str = DEFAULT_MODEL, into: str = "pieces") -> DataFrame:
-    """docs with the ids of each text's best segmentation in the new column `into`."""
-    if into.lower() in (c.lower() for c in docs.columns):
-        raise ValueError(f"docs have a column {into!r} already; name another one")
+    """docs with the ids of each text's best segmentation in the new column `into`, or into_2 and so on if docs have that."""
+    taken = {c.lower() for c in docs.columns}
+    into = next(name for name in (into, *(f"{into}_{k}" for k in range(2, len(taken) + 3))) if name.lower() not in taken)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
     at = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))])
