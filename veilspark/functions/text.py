@@ -18,13 +18,14 @@ BREAKS = r"\n\x0B\x0C\r\x{85}\x{2028}\x{2029}"
 
 def _joined_lines(text: Column) -> Column:
     text = F.regexp_replace(text, r"^\x{FEFF}", "")
-    text = F.regexp_replace(text, rf"(?U)(?<=\p{{L}})-\s*[{BREAKS}]\s*(?=\p{{L}})", "")
-    return F.regexp_replace(text, rf"(?U)-\s*[{BREAKS}]\s*(?=\S)", "-")
+    joined = F.regexp_replace(text, rf"(?U)(?<=\p{{L}})-\s*[{BREAKS}]\s*(?=\p{{L}})", "")
+    joined = F.regexp_replace(joined, rf"(?U)-\s*[{BREAKS}]\s*(?=\S)", "-")
+    return F.when(F.rlike(text, F.lit(rf"(?U)-\s*[{BREAKS}]")), joined).otherwise(text)
 
 
 def normalized(text: Column) -> Column:
-    """The text that matchers run over."""
-    return F.trim(F.regexp_replace(_joined_lines(text), r"(?U)\s+", " "))
+    """The text that matchers run over. Single spaces, most of all white space, are left as they are."""
+    return F.trim(F.regexp_replace(_joined_lines(text), r"(?U) \s+|[^\S ]\s*", " "))
 
 
 def normalized_breaks(text: Column) -> Column:

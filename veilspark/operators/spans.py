@@ -55,8 +55,13 @@ def _span(start: Column, value: Column, engine_no: int) -> Column:
     return F.struct(start.cast("int").alias("start"), (start + F.length(value)).cast("int").alias("stop"), value.alias("matched_text"), F.lit(engine_no).alias("engine_no"))
 
 
-def hits(text: Column, breaks: Column, pattern: Pattern, engine_no: int) -> Column:
-    """All non-overlapping matches of one pattern, as spans of its value."""
+def digit_runs(text: Column) -> Column:
+    """Length of the longest run of ASCII digits, up to 9: worked out once a page, most patterns need some."""
+    return F.when(~F.rlike(text, F.lit("[0-9]")), F.lit(0)).otherwise(F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit("[0-9]{1,9}"), 0), lambda x: F.length(x))), F.lit(0)))
+
+
+def hits(text: Column, raw: Column, runs: Column, pattern: Pattern, engine_no: int) -> Column:
+    """All non-overlapping matches of one pattern, as spans of its value. raw: the text before it was normalised; runs: its digit_runs()."""
     regex = F.lit(pattern.regex)
 
     def found(whole: Column) -> Column:
@@ -64,14 +69,15 @@ def hits(text: Column, breaks: Column, pattern: Pattern, engine_no: int) -> Colu
             keep = lambda start, w, i: F.when(pattern.keep(w, F.lit(0)), _span(start, w, engine_no)) if pattern.keep else _span(start, w, engine_no)
             return _located(text, pattern.regex, whole, keep)
         # What stands before the value in each match has a length of its own: the value may stand in its label too.
-        inner = F.struct(F.regexp_extract_all(text, F.lit(pattern.led), 1).alias("led"), F.regexp_extract_all(text, regex, 1).alias("value"))
+        inner = F.struct(F.regexp_extract_all(text, F.lit(pattern.led), 1).alias("led"), F.regexp_extract_all(text, regex, 1).alias("value"), (normalized_breaks(raw) if pattern.breaks else F.lit(None)).alias("breaks"))
 
         def one(x: Column) -> Column:
             def span(start: Column, w: Column, i: Column) -> Column:
                 size, value = F.length(F.get(x["led"], i)), F.get(x["value"], i)
-                if pattern.keep is None:
-                    return _span(start + size, value, engine_no)
-                skipped = F.substring(breaks, start + F.lit(1), size)
+                if not pattern.breaks:
+                    found = _span(start + size, value, engine_no)
+                    return F.when(pattern.keep(value, F.lit(0)), found) if pattern.keep else found
+                skipped = F.substring(x["breaks"], start + F.lit(1), size)
                 lines, paragraphs = (size - F.length(F.replace(skipped, F.lit(c), F.lit(""))) for c in ("\n", PARAGRAPH))
                 return F.when(pattern.keep(value, lines + 2 * paragraphs), _span(start + size, value, engine_no))
 
@@ -80,7 +86,8 @@ def hits(text: Column, breaks: Column, pattern: Pattern, engine_no: int) -> Colu
         return F.when(F.size(whole) > 0, _let(inner, one)).otherwise(F.array().cast(SPAN))
 
     every = _let(F.regexp_extract_all(text, regex, 0), found)
-    gate = F.rlike(text, regex) if pattern.gate is None else F.contains(text, F.lit(pattern.gate))
+    gate = (runs >= pattern.digits) if pattern.digits else F.lit(True)
+    gate = gate & (F.rlike(text, regex) if pattern.gate is None else F.contains(text, F.lit(pattern.gate)))
     return F.when(gate, every).otherwise(F.array().cast(SPAN))
 
 
@@ -139,11 +146,11 @@ def merged(spans: Column) -> Column:
     return F.aggregate(ranges, F.array().cast(kind), step)
 
 
-def category_hits(category: str, text: Column, breaks: Column, unlabelled: int | None = None) -> Column:
+def category_hits(category: str, text: Column, raw: Column, runs: Column, unlabelled: int | None = None) -> Column:
     patterns = PATTERNS[category]
     if category == "accountNumbers" and unlabelled is not None:
         patterns = (*patterns, unlabelled_digits(unlabelled))
-    found = F.concat(*(hits(text, breaks, p, i) for i, p in enumerate(patterns)))
+    found = F.concat(*(hits(text, raw, runs, p, i) for i, p in enumerate(patterns)))
     if category in WIDEST:
         return widest_of_overlapping(found)
     if category in DISTINCT:
@@ -164,14 +171,14 @@ def spans(pages: DataFrame, book: RuleBook, unlabelled: int | None = None) -> Da
     """doc_id, page, source_kind, category, rule_description, rule_line, start, stop, matched_text, engine_no."""
     book.required()
     pages = with_pages(pages)
-    base = pages.select("doc_id", "page", "text", normalized(F.col("text")).alias("n"), normalized_breaks(F.col("text")).alias("nb"))
+    base = _read(pages)
     exact = [] if len(book.exact) > MANY_EXACT else list(book.exact)
     sources = []
     for rule in exact:
         sources.append(_source("exact", None, rule.description, rule.line_number, exact_hits(F.col("n"), rule, 0)))
     lines = {r.category: r.line_number for r in book.rules if r.kind == "category"}
     for category in supported(book):
-        sources.append(_source("category", category, CANONICAL[category], lines[category], category_hits(category, F.col("n"), F.col("nb"), unlabelled)))
+        sources.append(_source("category", category, CANONICAL[category], lines[category], category_hits(category, F.col("n"), F.col("text"), F.col("runs"), unlabelled)))
     out = None
     if sources:
         found = base.select("doc_id", "page", F.explode(F.array(*sources)).alias("s")).select("doc_id", "page", "s.*")
@@ -191,6 +198,11 @@ def spans(pages: DataFrame, book: RuleBook, unlabelled: int | None = None) -> Da
     return out
 
 
+def _read(pages: DataFrame) -> DataFrame:
+    """Pages with n, the normalised text, and the longest run of digits in it."""
+    return pages.select("doc_id", "page", "text", normalized(F.col("text")).alias("n")).withColumn("runs", digit_runs(F.col("n")))
+
+
 def with_pages(pages: DataFrame) -> DataFrame:
     """Pages with a page column; a table without one has one page a document."""
     page = F.col("page").cast("int") if "page" in pages.columns else F.lit(1)
@@ -211,8 +223,8 @@ def _with_tables(pages: DataFrame) -> DataFrame:
 def _pattern_spans_of_tables(pages: DataFrame, book: RuleBook, rule_lines: list[int], unlabelled: int | None) -> DataFrame:
     """Spans by the patterns of some categories, on the few pages that hold tables."""
     own = {r.line_number: r.category for r in book.rules if r.kind == "category" and r.line_number in rule_lines}
-    base = _with_tables(pages).select("doc_id", "page", normalized(F.col("text")).alias("n"), normalized_breaks(F.col("text")).alias("nb"))
-    sources = [_source("category", c, CANONICAL[c], line, category_hits(c, F.col("n"), F.col("nb"), unlabelled)) for line, c in own.items()]
+    base = _read(_with_tables(pages))
+    sources = [_source("category", c, CANONICAL[c], line, category_hits(c, F.col("n"), F.col("text"), F.col("runs"), unlabelled)) for line, c in own.items()]
     return base.select("doc_id", "page", F.explode(F.array(*sources)).alias("s")).select("doc_id", "page", "s.rule_line", F.explode("s.spans").alias("m")).select("doc_id", "page", "rule_line", "m.start", "m.stop")
 
 
@@ -311,6 +323,9 @@ def unused_rules(book: RuleBook, found: DataFrame) -> DataFrame:
 
 def any_hit(text: Column, book: RuleBook) -> Column:
     """Whether any rule hits a text: for annotations and other loose strings."""
-    n, nb = normalized(text), normalized_breaks(text)
-    found = [F.size(exact_hits(n, r, 0)) > 0 for r in book.exact] + [F.size(category_hits(c, n, nb)) > 0 for c in supported(book)]
-    return reduce(lambda a, b: a | b, found, F.lit(False))
+
+    def any_of(x: Column) -> Column:
+        found = [F.size(exact_hits(x["n"], r, 0)) > 0 for r in book.exact] + [F.size(category_hits(c, x["n"], text, x["runs"])) > 0 for c in supported(book)]
+        return reduce(lambda a, b: a | b, found, F.lit(False))
+
+    return _let(normalized(text), lambda n: _let(F.struct(n.alias("n"), digit_runs(n).alias("runs")), any_of))
