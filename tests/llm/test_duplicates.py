@@ -2,12 +2,15 @@
 
 import collections
 import hashlib
+import os
 import random
 
+import duckdb
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from veilspark.llm import minhash, suffix_dedup
+from veilspark.llm import minhash, queries, suffix_dedup
 
 
 def near(rows):
@@ -182,3 +185,13 @@ def test_pipeline_of_empty_tables_and_clashing_columns(spark, tmp_path):
     assert out.columns == [*docs.columns, "pieces_2"] and sorted(r["doc_id"] for r in out.collect()) == [0, 1, 2, 3]
     assert {(r["node"], r["pieces"], r["score"]) for r in out.collect()} == {(2, "p", 4.0)}
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+@pytest.mark.parametrize("name", ["op9_minhash", "op10_suffix_dedup"])
+def test_query_against_sql(spark, name):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    cursor = con.execute(queries.ORACLES[name])
+    columns = [d[0] for d in cursor.description]
+    assert sorted(cursor.fetchall()) == sorted(tuple(r[c] for c in columns) for r in queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect())
