@@ -335,3 +335,15 @@ def test_table_columns_of_several_categories(spark):
     text = "| Account | DOB | Staff no. | Note |\n|---|---|---|---|\n| 123-456-789 | 1990-01-02 | E-1234 | Account 5551234 |\n"
     found = S.spans(pages(spark, text), book_of("accountNumbers", "datesOfBirth", "employeeIdentifiers")).collect()
     assert sorted((r["rule_line"], r["matched_text"]) for r in found) == [(1, "123-456-789"), (1, "5551234"), (2, "1990-01-02"), (3, "E-1234")]
+
+
+def test_spans_of_a_stream(spark, tmp_path):
+    from veilspark.streaming.pages import page_stream, span_stream
+
+    docs = spark.createDataFrame([(1, 1, "at 10.0.0.1 and a@b.example"), (2, 1, None), (3, 2, "10.0.0.2")], "doc_id long, page int, text string")
+    docs.write.parquet(f"{tmp_path}/in")
+    book = book_of("ipAddresses", "emailAddresses")
+    query = span_stream(page_stream(spark, f"{tmp_path}/in"), book).writeStream.format("memory").queryName("streamed").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    columns = ["doc_id", "page", "start", "stop", "matched_text"]
+    assert sorted(map(tuple, spark.table("streamed").select(columns).collect())) == sorted(map(tuple, S.spans(docs, book).select(columns).collect()))
