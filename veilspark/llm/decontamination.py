@@ -59,7 +59,7 @@ class _Words(dict):
     """Hash of the bare word and flags, packed in one integer."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= TABLE_LIMIT:
+        if len(self) >= TABLE_LIMIT // 2:
             self.clear()
         bare = word.strip(EDGES) or word
         low = bare.lower()

@@ -29,6 +29,7 @@ import heapq
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +50,11 @@ UNKNOWN_PENALTY = 10.0
 #: Files give reserved pieces (runs of spaces) scores below this; here they rank just below all others.
 LEAST_SCORE = -1e6
 #: Distinct links kept between batches, and characters in them; beyond, the table starts anew.
-TABLE, TABLE_CHARS = 200_000, 8_000_000
+TABLE, TABLE_CHARS = 60_000, 4_000_000
 #: Links longer than this are cut where no piece can cross, and what still is longer goes one by one.
 LONG = 64
-CHUNK = 16_384
+SLICE = 2 << 20  # bytes of text that are worked on at once
+CELLS = 100_000  # characters of the links that are segmented at once
 BITS = 20
 NONE = float("-inf")
 CODE = np.uint64(0xD6E8FEB86659FD93)
@@ -65,7 +67,6 @@ class Vocabulary:
     texts: list[str | int | None]  # by id: text, byte, or nothing (control)
     longest: int = field(init=False)
     unknown: float = field(init=False)
-    prefixes: dict[str, tuple[int, float] | None] = field(init=False)  # pieces and what pieces begin with
     pairs: set[str] = field(init=False)  # neighbours inside pieces
     raw: list[bytes] = field(init=False)  # by id: what it decodes to
 
@@ -76,7 +77,6 @@ class Vocabulary:
         self.unknown = least - UNKNOWN_PENALTY
         self.pairs = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         self.raw = [b"" if t is None else bytes([t]) if isinstance(t, int) else t.encode() for t in self.texts]
-        self.prefixes = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | self.pieces
         for p in self.pieces:
             if SPACE in p.lstrip(SPACE):
                 raise ValueError(f"piece {p!r} crosses words")
@@ -92,6 +92,11 @@ class Vocabulary:
         self.slot = np.zeros(1 << BITS, dtype=np.int32)
         self.slot[places] = first
 
+    @cached_property
+    def prefixes(self) -> dict[str, tuple[int, float] | None]:
+        """Pieces and what pieces begin with; only links that go one by one need it."""
+        return {p[:k]: None for p in self.pieces for k in range(1, len(p))} | self.pieces
+
     def fallback(self, c: str) -> tuple[int, ...]:
         return tuple(self.bytes_[b] for b in c.encode("utf-8", "surrogatepass"))
 
@@ -307,6 +312,11 @@ class _Numbers(dict):
         return n
 
 
+def _link(key: str | tuple[str]) -> str:
+    """The characters of a link, from what it goes by in Segmenter.chain()."""
+    return key[0] if isinstance(key, tuple) else key if key[0] == SPACE else SPACE + key
+
+
 def _gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Positions of runs that begin at starts, one run after the other."""
     ends = np.cumsum(sizes)
@@ -374,10 +384,11 @@ class Segmenter:
     def _settle(self) -> None:
         """Segment the links seen since the last time."""
         done = len(self.names)
-        new = [k[0] if isinstance(k, tuple) else k if k[0] == SPACE else SPACE + k for k in itertools.islice(self.numbers, done, None)]
-        if not new:
+        keys = list(itertools.islice(self.numbers, done, None))
+        if not keys:
             return
-        self.names += new
+        self.names += keys
+        new = list(map(_link, keys))
         self.chars += sum(map(len, new))
         groups: dict[int, list[int]] = {}
         for k, x in enumerate(new):
@@ -387,8 +398,9 @@ class Segmenter:
         score, loss = np.empty(len(new)), np.empty(len(new))
         flat, at = [self.ids], len(self.ids)
         for width, members in groups.items():
-            for a in range(0, len(members), CHUNK if width else 1):
-                own = np.array(members[a : a + (CHUNK if width else 1)])
+            step = max(1, CELLS // width) if width else 1
+            for a in range(0, len(members), step):
+                own = np.array(members[a : a + step])
                 if width:
                     ids, number, best, less = forward_many([new[k] for k in own], self.v)
                 else:
@@ -420,7 +432,7 @@ class Segmenter:
         """Losses and ids of the n best segmentations of a link."""
         found = self.listed.get((link, n))
         if found is None:
-            best = n_best(lattice(self.names[link], self.v), n)
+            best = n_best(lattice(_link(self.names[link]), self.v), n)
             found = self.listed[link, n] = [(best[0][0] - s, np.array(ids, dtype=np.int32)) for s, ids in best]
         return found
 
@@ -485,7 +497,7 @@ def report(docs: DataFrame, path: str = DEFAULT_MODEL, n: int = N_BEST) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = _segmenter(shared.value)
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=SLICE):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             e = seg.encode_all(texts)
             rows = []
@@ -511,7 +523,7 @@ def encoded(docs: DataFrame, path: str = DEFAULT_MODEL, into: str = "pieces") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = _segmenter(shared.value)
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=SLICE):
             texts = batch.column(at).to_pylist()
             e = seg.encode_all([t or "" for t in texts])
             none = np.array([t is None for t in texts] + [False])
