@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import decontamination, html_extraction, license_scan, maxent_lm, minhash, pii, quality_rules, sentencepieces, sharding, suffix_dedup
+from veilspark.llm import decontamination, fill_in_middle, filter_audit, html_extraction, license_scan, maxent_lm, minhash, pii, quality_rules, secret_scan, sentencepieces, sharding, suffix_dedup
 from veilspark.llm.common import table
 
 
@@ -56,10 +56,26 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.report(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each source, order of the five filters, and step."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_quality_rules, op3_html_extraction, op4_pii, op5_maxent_lm, op6_sharding, op7_license_scan, op8_sentencepieces, op9_minhash, op10_suffix_dedup)
-}
+    for f in (
+        op1_decontamination, op2_quality_rules, op3_html_extraction, op4_pii, op5_maxent_lm, op6_sharding, op7_license_scan, op8_sentencepieces, op9_minhash, op10_suffix_dedup, op11_fill_in_middle,
+        op12_filter_audit, op13_secret_scan,
+    )
+}
 #: Exact near-duplicates: all pairs that share a shingle, and their components.
 NEAR_DUPLICATES = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -91,4 +107,28 @@ c AS (SELECT doc_id, i, b, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS
 e AS (SELECT doc_id, i, b, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c),
 k AS (SELECT doc_id, count(*) AS n, count_if(gone) AS removed, count_if(opens) AS spans, sha256(unhex(coalesce(string_agg(b, '' ORDER BY i) FILTER (WHERE NOT gone), ''))) AS digest FROM e GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, coalesce(digest, sha256('')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
-ORACLES: dict[str, str] = {"op9_minhash": NEAR_DUPLICATES, "op10_suffix_dedup": REPEATS}
+#: Units as lists, cut by list slices.
+FILL_IN_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id::VARCHAR) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS us, ('0x' || h[1:8])::UBIGINT AS h1, ('0x' || h[9:16])::UBIGINT AS h2, ('0x' || h[17:24])::UBIGINT AS h3, ('0x' || h[25:32])::UBIGINT AS h4 FROM d),
+c AS (SELECT *, len(us) AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1))::BIGINT AS lo, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1))::BIGINT AS hi,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, coalesce(array_to_string(us[1:lo], ''), '') AS p, coalesce(array_to_string(us[lo + 1:hi], ''), '') AS m, coalesce(array_to_string(us[hi + 1:n], ''), '') AS s FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+#: Each order walked step by step over the documents' failures.
+FILTER_AUDIT = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+f AS (SELECT doc_id, part, (CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+        + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+        + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END)::INT AS mask FROM d),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS b),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bs FROM x p, x q, x r, x s, x t WHERE len(list_distinct([p.b, q.b, r.b, s.b, t.b])) = 5),
+k AS (SELECT filter_order, step, bs[step] AS own, coalesce(list_sum(bs[1:step - 1]), 0)::INT AS earlier FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (SELECT part, filter_order, step::INT AS step, own, coalesce(sum(n) FILTER (mask & (earlier + own) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & earlier = 0 AND mask & own <> 0), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (mask & earlier <> 0 AND mask & own <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+        coalesce(sum(good) FILTER (mask & earlier = 0 AND mask & own <> 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & earlier = 0 AND mask & own <> 0), 0)::BIGINT AS toxic_lost FROM c, k GROUP BY part, filter_order, step, own)
+SELECT * EXCLUDE (own), sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM r"""
+ORACLES: dict[str, str] = {"op11_fill_in_middle": FILL_IN_MIDDLE, "op12_filter_audit": FILTER_AUDIT, "op9_minhash": NEAR_DUPLICATES, "op10_suffix_dedup": REPEATS}
