@@ -9,7 +9,6 @@ Spans have half-open ranges in the normalised text, and on request in the origin
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,7 +17,8 @@ from pyspark.sql import types as T
 
 from veilspark.functions.text import PARAGRAPH, has_adjacent_digits, normalized, normalized_breaks
 from veilspark.operators.patterns import COLUMNS, DISTINCT, PATTERNS, UNSUPPORTED, WIDEST, Pattern, unlabelled_digits
-from veilspark.operators.tables import table_cells
+from veilspark.operators.matchers import Matchers
+from veilspark.operators.tables import TABLE_ROW, table_cells
 from veilspark.sources.rules import CANONICAL, Rule, RuleBook
 
 MANY_EXACT = 64
@@ -93,14 +93,16 @@ def hits(text: Column, raw: Column, runs: Column, pattern: Pattern, engine_no: i
 
 def literal_hits(text: Column, literal: Column, sensitive: Column | bool, engine_no: int) -> Column:
     """All non-overlapping occurrences of a literal, as substrings; case is folded letter by letter unless it counts."""
-    flags = F.when(F.lit(sensitive) if isinstance(sensitive, bool) else sensitive, F.lit("")).otherwise(F.lit("(?iu)"))
+    return _let(normalized(literal), lambda needle: needle_hits(text, needle, sensitive, engine_no))
+
 
-    def found(needle: Column) -> Column:
-        pattern = F.concat(flags, F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-        whole = F.call_function("regexp_extract_all", text, pattern, F.lit(0))
-        return F.when(needle == "", F.array().cast(SPAN)).otherwise(_let(whole, lambda w: _located(text, pattern, w, lambda start, x, i: _span(start, x, engine_no))))
+def needle_hits(text: Column, needle: Column, sensitive: Column | bool, engine_no: int) -> Column:
+    """literal_hits() of a literal that is normalised already."""
+    flags = F.when(F.lit(sensitive) if isinstance(sensitive, bool) else sensitive, F.lit("")).otherwise(F.lit("(?iu)"))
 
-    return _let(normalized(literal), found)
+    pattern = F.concat(flags, F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    whole = F.call_function("regexp_extract_all", text, pattern, F.lit(0))
+    return F.when(needle == "", F.array().cast(SPAN)).otherwise(_let(whole, lambda w: _located(text, pattern, w, lambda start, x, i: _span(start, x, engine_no))))
 
 
 def exact_hits(text: Column, rule: Rule, engine_no: int) -> Column:
@@ -146,11 +148,12 @@ def merged(spans: Column) -> Column:
     return F.aggregate(ranges, F.array().cast(kind), step)
 
 
-def category_hits(category: str, text: Column, raw: Column, runs: Column, unlabelled: int | None = None) -> Column:
+def category_hits(category: str, text: Column, raw: Column, runs: Column, unlabelled: int | None = None, cells: Column | None = None) -> Column:
+    """Spans of a category on a page, those of its tables' columns with them; a cell that a pattern has found already is not reported again."""
     patterns = PATTERNS[category]
     if category == "accountNumbers" and unlabelled is not None:
         patterns = (*patterns, unlabelled_digits(unlabelled))
-    found = F.concat(*(hits(text, raw, runs, p, i) for i, p in enumerate(patterns)))
+    found = F.concat(*(hits(text, raw, runs, p, i) for i, p in enumerate(patterns)), *([] if cells is None else [column_hits(category, cells)]))
     if category in WIDEST:
         return widest_of_overlapping(found)
     if category in DISTINCT:
@@ -167,46 +170,49 @@ def unsupported(book: RuleBook) -> tuple[str, ...]:
     return tuple(CANONICAL[c] for c in book.categories if c in UNSUPPORTED)
 
 
-def spans(pages: DataFrame, book: RuleBook, unlabelled: int | None = None) -> DataFrame:
-    """doc_id, page, source_kind, category, rule_description, rule_line, start, stop, matched_text, engine_no."""
+def spans(pages: DataFrame, book: RuleBook, unlabelled: int | None = None, carry: tuple[str, ...] = (), matchers: Matchers | None = None) -> DataFrame:
+    """doc_id, page, columns to carry along, source_kind, category, rule_description, rule_line, start, stop, matched_text, engine_no.
+
+    matchers: what categories of the book that are none of the fixed ones look for.
+    """
     book.required()
-    pages = with_pages(pages)
-    base = _read(pages)
-    exact = [] if len(book.exact) > MANY_EXACT else list(book.exact)
+    base = _read(pages, carry)
+    keys = ["doc_id", "page", *carry]
+    lines = {r.category: r.line_number for r in book.rules if r.kind == "category"}
+    own = matchers.named(book) if matchers else {}
+    for category in own:
+        base = base.withColumn(f"own {category}", own[category].found(F.col("n")))
+    if any(c in COLUMNS for c in supported(book)):  # only pages that hold tables go through Python
+        base = base.withColumn("cells", table_cells(F.when(F.rlike("text", F.lit(TABLE_ROW)), F.col("text"))))
     sources = []
-    for rule in exact:
+    for rule in book.exact if len(book.exact) <= MANY_EXACT else ():
         sources.append(_source("exact", None, rule.description, rule.line_number, exact_hits(F.col("n"), rule, 0)))
-    lines = {r.category: r.line_number for r in book.rules if r.kind == "category"}
     for category in supported(book):
-        sources.append(_source("category", category, CANONICAL[category], lines[category], category_hits(category, F.col("n"), F.col("text"), F.col("runs"), unlabelled)))
+        if category in own:
+            sources.append(_source("category", category, own[category].description, lines[category], own[category].hits(F.col("n"), F.col(f"own {category}"))))
+            continue
+        found = category_hits(category, F.col("n"), F.col("text"), F.col("runs"), unlabelled, F.col("cells") if category in COLUMNS else None)
+        sources.append(_source("category", category, CANONICAL[category], lines[category], found))
     out = None
     if sources:
-        found = base.select("doc_id", "page", F.explode(F.array(*sources)).alias("s")).select("doc_id", "page", "s.*")
-        out = found.select("doc_id", "page", "source_kind", "category", "rule_description", "rule_line", F.explode("spans").alias("m")).select("*", "m.*").drop("m")
+        found = base.select(*keys, F.explode(F.array(*sources)).alias("s")).select(*keys, "s.*")
+        out = found.select(*keys, "source_kind", "category", "rule_description", "rule_line", F.explode("spans").alias("m")).select("*", "m.*").drop("m")
     if len(book.exact) > MANY_EXACT:
-        many = many_exact(base.select("doc_id", "page", "n"), book.exact)
+        many = many_exact(base.select(*keys, "n"), book.exact)
         out = many if out is None else out.unionByName(many)
-    named = {c: lines[c] for c in supported(book) if c in COLUMNS}
-    if named:
-        cells = column_spans(pages, named)
-        distinct = [c for c in named if c in DISTINCT]
-        if distinct:  # a range that a pattern has found already is not reported again
-            keys = ["doc_id", "page", "rule_line", "start", "stop"]
-            seen = _pattern_spans_of_tables(pages, book, [lines[c] for c in distinct], unlabelled).select(*keys)
-            cells = cells.filter(~F.col("category").isin(distinct)).unionByName(cells.filter(F.col("category").isin(distinct)).join(seen, keys, "left_anti"))
-        out = cells if out is None else out.unionByName(cells)
     return out
 
 
-def _read(pages: DataFrame) -> DataFrame:
+def _read(pages: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Pages with n, the normalised text, and the longest run of digits in it."""
-    return pages.select("doc_id", "page", "text", normalized(F.col("text")).alias("n")).withColumn("runs", digit_runs(F.col("n")))
+    pages = with_pages(pages, carry)
+    return pages.select("*", normalized(F.col("text")).alias("n")).withColumn("runs", digit_runs(F.col("n")))
 
 
-def with_pages(pages: DataFrame) -> DataFrame:
+def with_pages(pages: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Pages with a page column; a table without one has one page a document."""
     page = F.col("page").cast("int") if "page" in pages.columns else F.lit(1)
-    return pages.select("doc_id", page.alias("page"), F.coalesce("text", F.lit("")).alias("text"))
+    return pages.select("doc_id", page.alias("page"), *carry, F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _source(kind: str, category: str | None, description: str, line: int, found: Column) -> Column:
@@ -216,29 +222,16 @@ def _source(kind: str, category: str | None, description: str, line: int, found:
     )
 
 
-def _with_tables(pages: DataFrame) -> DataFrame:
-    return pages.filter(F.rlike("text", F.lit(r"(?m)^[ \t]*\|")))
-
+def column_hits(category: str, cells: Column) -> Column:
+    """Cells of a page's tables under a header that names the category, as spans; null cells (no table) give none."""
+    header, value = COLUMNS[category]
 
-def _pattern_spans_of_tables(pages: DataFrame, book: RuleBook, rule_lines: list[int], unlabelled: int | None) -> DataFrame:
-    """Spans by the patterns of some categories, on the few pages that hold tables."""
-    own = {r.line_number: r.category for r in book.rules if r.kind == "category" and r.line_number in rule_lines}
-    base = _read(_with_tables(pages))
-    sources = [_source("category", c, CANONICAL[c], line, category_hits(c, F.col("n"), F.col("text"), F.col("runs"), unlabelled)) for line, c in own.items()]
-    return base.select("doc_id", "page", F.explode(F.array(*sources)).alias("s")).select("doc_id", "page", "s.rule_line", F.explode("s.spans").alias("m")).select("doc_id", "page", "rule_line", "m.start", "m.stop")
+    def fits(c: Column) -> Column:
+        fit = F.rlike(c["header"], F.lit(f"(?i)^(?:{header})$")) & F.rlike(c["cell"], F.lit(f"^(?:{value})$"))
+        return fit & has_adjacent_digits(c["cell"]) if category == "accountNumbers" else fit
 
-
-def column_spans(pages: DataFrame, lines: dict[str, int]) -> DataFrame:
-    """Spans of table cells under a header that names one of the categories. Ranges are given in the normalised text."""
-    cells = table_cells(_with_tables(pages))
-    fits = []
-    for category, line in lines.items():
-        header, value = COLUMNS[category]
-        fit = F.rlike("header", F.lit(f"(?i)^(?:{header})$")) & F.rlike("cell", F.lit(f"^(?:{value})$"))
-        fit = fit & has_adjacent_digits(F.col("cell")) if category == "accountNumbers" else fit
-        fits.append(F.when(fit, F.struct(F.lit(category).alias("category"), F.lit(CANONICAL[category]).alias("rule_description"), F.lit(line).alias("rule_line"))))
-    found = cells.select("doc_id", "page", "start", "stop", "cell", F.explode(F.filter(F.array(*fits), lambda x: x.isNotNull())).alias("c"))
-    return found.select("doc_id", "page", F.lit("category").alias("source_kind"), "c.category", "c.rule_description", "c.rule_line", "start", "stop", F.col("cell").alias("matched_text"), F.lit(9).alias("engine_no"))
+    found = F.transform(F.filter(cells, fits), lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), c["cell"].alias("matched_text"), F.lit(9).alias("engine_no")))
+    return F.coalesce(found, F.array().cast(SPAN))
 
 
 class _Folded(dict):
@@ -255,7 +248,7 @@ _folded = _Folded()
 
 
 def many_exact(base: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """One pass of an Aho-Corasick automaton for many literals over (doc_id, page, n); each rule's own hits do not overlap.
+    """One pass of an Aho-Corasick automaton for many literals over (keys and carried columns, n); each rule's own hits do not overlap.
 
     The automaton is built on the driver, once, and broadcast; it is as large as the rule book.
     """
@@ -263,7 +256,8 @@ def many_exact(base: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
     from veilspark.operators.offsets import normalize
 
-    schema = T.StructType([*base.select("doc_id", "page").schema.fields, *T._parse_datatype_string("source_kind string, category string, rule_description string, rule_line int, start int, stop int, matched_text string, engine_no int").fields])
+    keys = [c for c in base.columns if c != "n"]
+    schema = T.StructType([*base.select(*keys).schema.fields, *T._parse_datatype_string("source_kind string, category string, rule_description string, rule_line int, start int, stop int, matched_text string, engine_no int").fields])
     words: dict[bool, dict[str, list[int]]] = {True: {}, False: {}}
     rows = []
     for k, r in enumerate(rules):
@@ -284,7 +278,7 @@ def many_exact(base: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         trees, rows = shared.value
         for pdf in batches:
             out = []
-            for doc, page, text in zip(pdf["doc_id"], pdf["page"], pdf["n"], strict=True):
+            for *row, text in zip(*(pdf[k] for k in keys), pdf["n"], strict=True):
                 for sensitive, tree in trees.items():
                     free: dict[int, int] = {}
                     for last, ks in tree.iter(text if sensitive else text.translate(_folded)):
@@ -293,7 +287,7 @@ def many_exact(base: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
                             a = last - size + 1
                             if a >= free.get(k, 0):
                                 free[k] = a + size
-                                out.append((doc, page, "exact", None, description, line, a, a + size, text[a : a + size], 0))
+                                out.append((*row, "exact", None, description, line, a, a + size, text[a : a + size], 0))
             yield pd.DataFrame(out, columns=schema.names)
 
     return base.mapInPandas(run, schema)
@@ -319,13 +313,3 @@ def unused_rules(book: RuleBook, found: DataFrame) -> DataFrame:
     spark = found.sparkSession
     every = spark.createDataFrame([(r.line_number, r.description) for r in book.rules if r.kind == "exact" or r.category not in UNSUPPORTED], "rule_line int, rule_description string")
     return every.join(found.select("rule_line").distinct(), "rule_line", "left_anti")
-
-
-def any_hit(text: Column, book: RuleBook) -> Column:
-    """Whether any rule hits a text: for annotations and other loose strings."""
-
-    def any_of(x: Column) -> Column:
-        found = [F.size(exact_hits(x["n"], r, 0)) > 0 for r in book.exact] + [F.size(category_hits(c, x["n"], text, x["runs"])) > 0 for c in supported(book)]
-        return reduce(lambda a, b: a | b, found, F.lit(False))
-
-    return _let(normalized(text), lambda n: _let(F.struct(n.alias("n"), digit_runs(n).alias("runs")), any_of))

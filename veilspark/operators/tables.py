@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
 import re
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Pages that hold a line like this may hold a table.
+TABLE_ROW = r"(?m)^[ \t]*\|"
 
 ROW = re.compile(r"^[ \t]*\|")
 RULE = re.compile(r"^[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
@@ -49,22 +52,24 @@ def cells(text: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
-def table_cells(pages: DataFrame) -> DataFrame:
-    """doc_id, page, header, cell, original_start, original_stop, start, stop (in the normalised text)."""
-    schema = T.StructType([*pages.select("doc_id", "page").schema.fields, *T._parse_datatype_string("header string, cell string, original_start int, original_stop int, start int, stop int").fields])
+CELLS = "array<struct<header:string,cell:string,original_start:int,original_stop:int,start:int,stop:int>>"
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import bisect
+def table_cells(text: Column) -> Column:
+    """The cells of a page's tables, with their ranges in the original and in the normalised text; null for null."""
+    return F.arrow_udf(_table_cells, CELLS)(text)
 
-        from veilspark.operators.offsets import normalize
 
-        for pdf in batches:
-            rows = []
-            for doc, page, text in zip(pdf["doc_id"], pdf["page"], pdf["text"], strict=True):
-                found = cells(text)
-                if found:
-                    _, starts, ends = normalize(text)
-                    rows += [(doc, page, h, c, a, b, bisect.bisect_left(starts, a), bisect.bisect_left(ends, b) + 1) for h, c, a, b in found]
-            yield pd.DataFrame(rows, columns=schema.names)
+def _table_cells(texts: pa.Array) -> pa.Array:
+    from veilspark.operators.offsets import normalize
 
-    return pages.select("doc_id", "page", "text").mapInPandas(run, schema)
+    names = [field.split(":")[0] for field in CELLS.removeprefix("array<struct<").split(",")]
+    out = []
+    for text in texts.to_pylist():
+        found = cells(text) if text is not None else None
+        if found:
+            _, starts, ends = normalize(text)
+            found = [dict(zip(names, (h, c, a, b, bisect.bisect_left(starts, a), bisect.bisect_left(ends, b) + 1), strict=True)) for h, c, a, b in found]
+        out.append(found)
+    kinds = [pa.string()] * 2 + [pa.int32()] * 4
+    return pa.array(out, pa.list_(pa.struct(list(zip(names, kinds, strict=True)))))

@@ -14,16 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.text import has_text, normalized
-from veilspark.operators.spans import RUNAWAY, any_hit, literal_hits, merged, refused, spans, with_pages
+from veilspark.operators.matchers import Matchers
+from veilspark.operators.spans import RUNAWAY, literal_hits, merged, refused, spans, with_pages
 from veilspark.plans import plan
 from veilspark.sources.rules import RuleBook
 from veilspark.sources.tables import Store, published
-from veilspark.sources.tables import annotations as loose_strings
 
 MAX_PASSES = 3
 BLOCK = "█"
 RANGES = "array<struct<start:int,stop:int>>"
-FOUND = ("doc_id", "page", "rule_line", "rule_description", "start", "stop", "matched_text", "origin")
+FOUND = ("doc_id", "page", "place", "rule_line", "rule_description", "start", "stop", "matched_text", "origin")
 
 
 class NothingMatched(ValueError):
@@ -63,9 +63,9 @@ def worth_acting_on(reported: Column, intended: Column) -> Column:
 
 @dataclass
 class Redaction:
-    pages: DataFrame  # doc_id, page, text (masked, normalised), status, items, passes, reason
-    findings: DataFrame  # one row a span that was masked, with its origin
-    annotations: DataFrame  # doc_id, page, value: annotations that hold a hit and must be deleted with it
+    pages: DataFrame  # doc_id, page, text (masked, normalised), status, items, passes, reason; annotations that stay, if pages have some
+    findings: DataFrame  # one row a span that was masked or dooms an annotation (place > 0), with its origin
+    annotations: DataFrame  # doc_id, page, annotation (its number from 0), value: annotations that hold a hit and went with it
     problems: DataFrame  # doc_id, page, problem
     documents: DataFrame  # one row a document: totals, disposition
 
@@ -80,111 +80,171 @@ def redact(
     verify: bool = True,
     hold: bool = False,
     folder: str | None = None,
+    matchers: Matchers | None = None,
 ) -> Redaction:
     """Mask what is to go, read back, and judge each document.
 
-    What goes: hits of the book's rules; extra spans, as from a reviewer (doc_id, page, start, stop, matched_text in the
-    normalised text: those whose range holds another text are reported, not masked); and all occurrences of a document's values
-    (doc_id, value). inspector gets the masked pages (doc_id, page, text) and returns what it can still read there
-    (doc_id, page, value); reports that contain or are contained in what was meant to go are masked, too.
-    pages may have annotations (array<struct<value, contents>>): hits there are listed for deletion. folder: where passes are stored.
+    What goes: hits of the book's rules (with a user's matchers, if it names some); extra spans, as from a reviewer (doc_id,
+    page, start, stop, matched_text in the normalised text: those whose range holds another text are reported, not masked);
+    and all occurrences of a document's values (doc_id, value). inspector gets the masked pages (doc_id, page, text) and
+    returns what it can still read there (doc_id, page, value); reports that contain or are contained in what was meant to
+    go are masked, too. folder: where passes are stored.
+
+    pages may have annotations (array<struct<value, contents>>), a second source of strings: each string is a place of its
+    page, as the page's text is place 0, and all that goes is looked for in both, reviewers' texts and inspectors' reports
+    included. An annotation with a hit in either string goes as a whole and counts once; a rule that runs away on a page's text is
+    refused there, not in its annotations.
     """
     if book is None and values is None and extra is None:
         raise ValueError("nothing says what to redact")
     if book is not None:
         book.required()
     store = Store(pages.sparkSession, folder)
-    base = with_pages(pages)
-    found, away = _hits(base, book, values)
-    away = store.kept(away, "refused")
+    noted = "annotations" in pages.columns
+    base = with_pages(pages, ("annotations",) if noted else ())
     wrong = None
     if extra is not None:
-        extra = extra.select("doc_id", "page", F.lit(0).alias("rule_line"), F.lit("proposal").alias("rule_description"), "start", "stop", "matched_text", F.lit("proposal").alias("origin"))
+        extra = extra.select("doc_id", "page", F.lit(0).alias("place"), F.lit(0).alias("rule_line"), F.lit("proposal").alias("rule_description"), "start", "stop", "matched_text", F.lit("proposal").alias("origin"))
         wrong = store.kept(located_elsewhere(extra, base), "located-elsewhere")
-        fine = extra.join(wrong.select("doc_id", "page", "start", "stop"), ["doc_id", "page", "start", "stop"], "left_anti").select(*FOUND)
-        found = found.unionByName(fine)
-    findings = found = store.kept(found, "findings-1")
-    findings = findings.withColumn("pass", F.lit(1))
-    start = base.select("doc_id", "page", normalized(F.col("text")).alias("text"), has_text(F.col("text")).alias("readable"), F.array().cast(RANGES).alias("cover"), F.lit(0).alias("passes"), F.lit(0).cast("long").alias("n"))
-    done = store.kept(_apply(start, found, 1), "pages-1")
-    left, unlocated = findings.drop("pass").limit(0), None
+        extra = store.kept(extra.join(wrong.select("doc_id", "page", "start", "stop"), ["doc_id", "page", "start", "stop"], "left_anti").select(*FOUND), "extra")
+    raw = store.kept(_hits(_places(base), book, values, extra, matchers), "spans-1")
+    found, away = _refused(raw)
+    away = store.kept(away, "refused-1")
+    findings = store.kept(found, "findings-1").withColumn("pass", F.lit(1))
+    start = base.select(
+        "doc_id", "page", normalized(F.col("text")).alias("text"), has_text(F.col("text")).alias("readable"), F.array().cast(RANGES).alias("cover"), F.lit(0).alias("passes"), F.lit(0).cast("long").alias("n"),
+        F.lit(0).alias("misplaced"), F.array().cast("array<int>").alias("gone"), *(["annotations"] if noted else []),
+    )
+    done = store.kept(_apply(start, findings.drop("pass"), 1), "pages-1")
+    left, unlocated, refusals = findings.drop("pass").limit(0), None, away
     for n in range(2, max(max_passes, 1) + 2) if verify else ():
-        residue, unlocated = _residue(done, findings, book, values, away, inspector)
+        residue, unlocated, late = _residue(done, findings, book, values, extra, refusals, inspector, matchers, store, n)
+        refusals = refusals.unionByName(late)
         left = store.kept(residue, f"residue-{n}")
         if n > max_passes or left.isEmpty():
             break
         done = store.kept(_apply(done, left, n), f"pages-{n}")
         findings = findings.unionByName(left.withColumn("pass", F.lit(n)))
-    problems = away.select("doc_id", "page", F.concat(F.col("rule_description"), F.lit(" matched "), F.col("n").cast("string"), F.lit(" times on one page and was refused")).alias("problem"))
+    problems = refusals.select("doc_id", "page", F.concat(F.col("rule_description"), F.lit(" matched "), F.col("n").cast("string"), F.lit(" times on one page and was refused")).alias("problem"))
     problems = problems.unionByName(left.select("doc_id", "page", F.concat(F.col("rule_description"), F.lit(" can still be read")).alias("problem")))
+    problems = problems.unionByName(done.filter("misplaced > 0").select("doc_id", "page", F.concat(F.col("misplaced").cast("string"), F.lit(" ranges hold another text; they were not masked")).alias("problem")))
     if unlocated is not None:
         problems = problems.unionByName(unlocated.select("doc_id", "page", F.lit("the inspector reports a value that is not found on the page").alias("problem")))
     if wrong is not None:
         problems = problems.unionByName(wrong.select("doc_id", "page", F.lit("a proposal's range holds another text; it was not masked").alias("problem")))
     problems = store.kept(problems, "problems")
     status = F.when(F.col("n") > 0, "redacted").when(~F.col("readable"), "not_examined").otherwise("no_matches")
-    out = done.select("doc_id", "page", "text", status.alias("status"), F.col("n").alias("items"), "passes", F.when(status == "not_examined", "no text layer").alias("reason"))
-    return Redaction(out, findings, store.kept(_annotations(pages, book), "annotations"), problems, documents(out, problems, hold, left))
+    stay = [F.filter("annotations", lambda a, i: ~F.array_contains("gone", i)).alias("annotations")] if noted else []
+    out = done.select("doc_id", "page", "text", status.alias("status"), F.col("n").alias("items"), "passes", F.when(status == "not_examined", "no text layer").alias("reason"), *stay)
+    doomed = _doomed(findings).groupBy("doc_id", "page", "annotation").agg(F.min_by("place", F.struct("pass", "place")).alias("place"))
+    if noted:
+        texts = done.select("doc_id", "page", F.posexplode(_strings(F.col("annotations"))).alias("at", "value")).withColumn("place", F.col("at") + 1)
+        doomed = doomed.join(texts, ["doc_id", "page", "place"]).select("doc_id", "page", "annotation", "value")
+    else:
+        doomed = doomed.select("doc_id", "page", "annotation", F.lit("").alias("value"))
+    return Redaction(out, findings, store.kept(doomed, "annotations"), problems, documents(out, problems, hold, left))
 
 
-def _hits(base: DataFrame, book: RuleBook | None, values: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(spans of rules and values, refused (page, rule) pairs)."""
-    empty = base.select("doc_id", "page").limit(0)
-    if book is None:
-        found = empty.selectExpr("doc_id", "page", "0 rule_line", "'' rule_description", "0 start", "0 stop", "'' matched_text", "'rule' origin")
-        away = empty.selectExpr("doc_id", "page", "'' source_kind", "0 rule_line", "'' rule_description", "cast(0 as long) n")
-    else:
-        found, away = refused(spans(base, book), RUNAWAY)
-        found = found.withColumn("origin", F.lit("rule")).select(*FOUND)
-    return (found if values is None else found.unionByName(value_spans(base, values))), away
+def _strings(annotations: Column) -> Column:
+    """Both strings of each annotation, in order: that of annotation i are at 2 i and 2 i + 1."""
+    return F.flatten(F.transform(F.coalesce(annotations, F.array().cast("array<struct<value:string,contents:string>>")), lambda a: F.array(a["value"].cast("string"), a["contents"].cast("string"))))
 
 
-def value_spans(pages: DataFrame, values: DataFrame) -> DataFrame:
-    """All occurrences on a document's pages of its own values (doc_id, value), in any case. A document's values are as few as its plan."""
-    own = values.groupBy("doc_id").agg(F.collect_set("value").alias("values"))
-    base = with_pages(pages).join(own, "doc_id").select("doc_id", "page", normalized(F.col("text")).alias("t"), F.explode("values").alias("v"))
-    hit = base.select("doc_id", "page", "v", F.explode(literal_hits(F.col("t"), F.col("v"), False, 0)).alias("m"))
-    return hit.select("doc_id", "page", F.lit(0).alias("rule_line"), F.lit("plan value").alias("rule_description"), "m.start", "m.stop", "m.matched_text", F.lit("plan").alias("origin"))
+def _places(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, place, text): a page's text at place 0, and the strings of its annotations at the places from 1 on."""
+    if "annotations" not in pages.columns:
+        return pages.select("doc_id", "page", F.lit(0).alias("place"), "text")
+    places = F.concat(F.array("text"), _strings(F.col("annotations")))
+    each = pages.select("doc_id", "page", F.posexplode(places).alias("place", "text"))
+    return each.filter("place = 0 or text <> ''")
+
+
+def _doomed(found: DataFrame) -> DataFrame:
+    return found.filter("place > 0").withColumn("annotation", F.expr("cast((place - 1) div 2 as int)"))
+
+
+def _hits(places: DataFrame, book: RuleBook | None, values: DataFrame | None, extra: DataFrame | None, matchers: Matchers | None) -> DataFrame:
+    """Spans of rules and values in all places; in annotations also of the texts of extra spans, which have a range on the page only."""
+    out = None
+    if book is not None:
+        out = spans(places, book, carry=("place",), matchers=matchers).withColumn("origin", F.lit("rule")).select(*FOUND)
+    if values is not None:
+        own = value_spans(places, values)
+        out = own if out is None else out.unionByName(own)
+    if extra is not None:
+        noted = value_spans(places.filter("place > 0"), extra.select("doc_id", F.col("matched_text").alias("value"))).withColumn("rule_description", F.lit("proposal")).withColumn("origin", F.lit("proposal"))
+        noted = noted.unionByName(extra)
+        out = noted if out is None else out.unionByName(noted)
+    return out.select(*FOUND)
 
 
-def _annotations(pages: DataFrame, book: RuleBook | None) -> DataFrame:
-    if "annotations" not in pages.columns or book is None:
-        return pages.select("doc_id").limit(0).selectExpr("doc_id", "1 page", "'' value")
-    numbered = pages if "page" in pages.columns else pages.withColumn("page", F.lit(1))
-    strings = loose_strings(numbered.select("doc_id", F.col("page").cast("int").alias("page"), "annotations"))
-    return strings.filter(any_hit(F.col("value"), book))
+def _refused(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(spans that count, (page, rule) pairs refused): only rules can run away, and only on the text of a page."""
+    away = refused(found.filter("place = 0 and origin = 'rule'").withColumn("source_kind", F.lit("rule")), RUNAWAY)[1].drop("source_kind")
+    keys = away.select("doc_id", "page", "rule_line", F.lit(0).alias("place"), F.lit("rule").alias("origin"))
+    return found.join(keys, ["doc_id", "page", "rule_line", "place", "origin"], "left_anti").select(*FOUND), away
 
 
-def _residue(done: DataFrame, findings: DataFrame, book: RuleBook | None, values: DataFrame | None, away: DataFrame, inspector: Callable[[DataFrame], DataFrame] | None) -> tuple[DataFrame, DataFrame | None]:
-    """What is still found on masked pages outside the ranges masked so far, and what an inspector reports but no page holds.
+def value_spans(pages: DataFrame, values: DataFrame) -> DataFrame:
+    """All occurrences in a document's places of its own values (doc_id, value), in any case. A document's values are as few as its plan."""
+    own = values.groupBy("doc_id").agg(F.collect_set("value").alias("values"))
+    places = pages if "place" in pages.columns else pages.withColumn("place", F.lit(0))
+    base = with_pages(places, ("place",)).join(own, "doc_id").select("doc_id", "page", "place", normalized(F.col("text")).alias("t"), F.explode("values").alias("v"))
+    hit = base.select("doc_id", "page", "place", "v", F.explode(literal_hits(F.col("t"), F.col("v"), False, 0)).alias("m"))
+    return hit.select("doc_id", "page", "place", F.lit(0).alias("rule_line"), F.lit("plan value").alias("rule_description"), "m.start", "m.stop", "m.matched_text", F.lit("plan").alias("origin"))
+
+
+def _residue(
+    done: DataFrame, findings: DataFrame, book: RuleBook | None, values: DataFrame | None, extra: DataFrame | None, away: DataFrame, inspector: Callable[[DataFrame], DataFrame] | None, matchers: Matchers | None, store: Store, n: int
+) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """What is still found in what would be written, outside the ranges masked so far; what an inspector reports but no page holds; rules refused only now.
 
     Refused (page, rule) pairs stay refused in every pass.
     """
-    read = done.filter("n > 0").select("doc_id", "page", "text")
-    seen, _ = _hits(read, book, values)
-    seen = seen.join(away.select("doc_id", "page", "rule_line").distinct(), ["doc_id", "page", "rule_line"], "left_anti").select(*FOUND)
+    read = done.filter("n > 0")
+    if "annotations" in done.columns:  # those that are gone keep their number, without strings
+        read = read.withColumn("annotations", F.transform("annotations", lambda a, i: F.when(~F.array_contains("gone", i), a)))
+    places = _places(read)
+    seen, late = _refused(store.kept(_hits(places, book, values, extra, matchers), f"spans-{n}"))
+    late = store.kept(late.join(away.select("doc_id", "page", "rule_line").distinct(), ["doc_id", "page", "rule_line"], "left_anti").select(*away.columns), f"refused-{n}")
+    known = away.select("doc_id", "page", "rule_line", F.lit(0).alias("place"), F.lit("rule").alias("origin")).distinct()
+    seen = seen.join(known, ["doc_id", "page", "rule_line", "place", "origin"], "left_anti").select(*FOUND)
     unlocated = None
     if inspector is not None:
         meant = findings.groupBy("doc_id").agg(F.collect_set("matched_text").alias("meant"))
         reports = inspector(done.select("doc_id", "page", "text")).select("doc_id", "page", "value").distinct().join(meant, "doc_id").filter(worth_acting_on(F.col("value"), F.col("meant")))
-        placed = reports.join(done.select("doc_id", "page", "text"), ["doc_id", "page"], "left").withColumn("hits", F.coalesce(literal_hits(F.coalesce("text", F.lit("")), F.col("value"), False, 0), F.array()))
-        unlocated = placed.filter(F.size("hits") == 0).select("doc_id", "page", "value")
-        hit = placed.select("doc_id", "page", F.explode("hits").alias("m"))
-        seen = seen.unionByName(hit.select("doc_id", "page", F.lit(0).alias("rule_line"), F.lit("inspector").alias("rule_description"), "m.start", "m.stop", "m.matched_text", F.lit("inspector").alias("origin")))
+        reports = store.kept(reports.select("doc_id", "page", "value"), f"reports-{n}")
+        placed = reports.join(_places(read.unionByName(done.filter("n <= 0"))), ["doc_id", "page"], "left").withColumn("hits", F.coalesce(literal_hits(normalized(F.coalesce("text", F.lit(""))), F.col("value"), False, 0), F.array()))
+        unlocated = placed.groupBy("doc_id", "page", "value").agg(F.sum(F.size("hits")).alias("k")).filter("k = 0").select("doc_id", "page", "value")
+        hit = placed.select("doc_id", "page", "place", F.explode("hits").alias("m"))
+        seen = seen.unionByName(hit.select("doc_id", "page", "place", F.lit(0).alias("rule_line"), F.lit("inspector").alias("rule_description"), "m.start", "m.stop", "m.matched_text", F.lit("inspector").alias("origin")))
     with_cover = seen.join(done.select("doc_id", "page", "cover"), ["doc_id", "page"])
-    hidden = F.exists("cover", lambda c: (c["start"] <= F.col("start")) & (F.col("stop") <= c["stop"]))
-    return with_cover.filter(~hidden).withColumn("origin", F.when(F.col("origin") == "inspector", "inspector").otherwise("residue")).select(*FOUND), unlocated
+    hidden = (F.col("place") == 0) & F.exists("cover", lambda c: (c["start"] <= F.col("start")) & (F.col("stop") <= c["stop"]))
+    return with_cover.filter(~hidden).withColumn("origin", F.when(F.col("origin") == "inspector", "inspector").otherwise("residue")).select(*FOUND), unlocated, late
 
 
 def _apply(base: DataFrame, found: DataFrame, number: int) -> DataFrame:
-    """base with text masked, the ranges masked so far, the last pass that masked, and n, the number of spans. A page's spans are bounded by its text."""
-    grouped = found.groupBy("doc_id", "page").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"), F.count(F.lit(1)).alias("more"))
-    joined = base.join(grouped, ["doc_id", "page"], "left")
-    new = F.col("ranges").isNotNull()
-    return joined.select(
-        "doc_id", "page", F.when(new, masked(F.col("text"), F.col("ranges"))).otherwise(F.col("text")).alias("text"), "readable",
-        F.when(new, merged(F.concat("cover", "ranges"))).otherwise(F.col("cover")).alias("cover"),
-        F.when(new, number).otherwise(F.col("passes")).alias("passes"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"),
+    """base with text masked and annotations gone, the ranges masked so far, the last pass that did something, and n, the number of items.
+
+    A range that does not hold its recorded text is not masked; misplaced counts those. A page's spans are bounded by its text.
+    """
+    on_page = F.when(F.col("place") == 0, F.struct("start", "stop", "matched_text"))
+    doomed = F.when(F.col("place") > 0, F.expr("cast((place - 1) div 2 as int)"))
+    grouped = found.groupBy("doc_id", "page").agg(F.collect_list(on_page).alias("spans"), F.collect_set(doomed).alias("more_gone"))
+    joined = base.join(grouped, ["doc_id", "page"], "left").withColumn("new", F.col("spans").isNotNull())
+    spans_here, more = F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int,matched_text:string>>")), F.coalesce("more_gone", F.array().cast("array<int>"))
+    rest = [c for c in base.columns if c not in ("text", "cover", "passes", "n", "misplaced", "gone")]
+
+    def holds(m: Column) -> Column:
+        return F.substring("text", m["start"] + F.lit(1), m["stop"] - m["start"]) == m["matched_text"]
+
+    checked = joined.withColumn("right", F.filter(spans_here, holds)).withColumn("ranges", F.transform("right", lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"))))
+    fresh = F.array_except(more, F.col("gone"))
+    return checked.select(
+        *rest, F.when(F.size("ranges") > 0, masked(F.col("text"), F.col("ranges"))).otherwise(F.col("text")).alias("text"),
+        F.when(F.size("ranges") > 0, merged(F.concat("cover", "ranges"))).otherwise(F.col("cover")).alias("cover"),
+        F.when(F.col("new"), number).otherwise(F.col("passes")).alias("passes"), (F.col("n") + F.size("right") + F.size(fresh)).alias("n"),
+        (F.col("misplaced") + F.size(spans_here) - F.size("right")).alias("misplaced"), F.array_union("gone", more).alias("gone"),
     )
 
 
@@ -209,7 +269,7 @@ def committed(result: Redaction, staging: str, final: str, hold: bool = False) -
     Refuses with NothingMatched where there is nothing to remove. Returns the final path, or nothing if the copy was withdrawn.
     """
     state = result.documents.agg(F.coalesce(F.sum("items"), F.lit(0)).alias("items"), F.count_if(F.col("n_problems") > 0).alias("bad")).first()
-    if not state["items"] and result.annotations.isEmpty():
+    if not state["items"]:
         raise NothingMatched("no rule matched anything")
     return published(result.pages, staging, final, verified=state["bad"] == 0, hold=hold)
 

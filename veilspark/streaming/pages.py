@@ -21,7 +21,7 @@ def page_stream(spark: SparkSession, folder: str, files_a_batch: int = 100) -> D
 
 
 def span_stream(pages: DataFrame, book: RuleBook) -> DataFrame:
-    """Spans of arriving pages. Categories named by table columns need batches: use redact_stream for those."""
+    """Spans of arriving pages: one projection, table columns included."""
     return spans(pages, book)
 
 
