@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark import queries
+from veilspark import book_queries
 from veilspark.functions import proposals as P
 from veilspark.functions.text import normalized, normalized_breaks
 from veilspark.operators import offsets, proposals, recognition, tables
@@ -200,11 +200,11 @@ def test_stream(spark, tmp_path):
     assert rows == {1: "redacted", 2: "no_matches"}
 
 
-def test_benchmark_literals_beyond_one_block(spark, tmp_path):
+def test_benchmark_literals_of_a_large_table(spark, tmp_path):
     rows = [(i, f"item number {i} of many.") for i in range(4100)]
     spark.createDataFrame(rows, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([(i, rows[i][1], "en", "s", 1) for i in (0, 1999, 2000, 4099)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["rule_line"]: r["n_spans"] for r in queries.benchmark_literals(spark, str(tmp_path)).collect()}
+    got = {r["rule_line"]: r["n_spans"] for r in book_queries.benchmark_literals(spark, str(tmp_path)).collect()}
     assert got == {0: 1, 1999: 1, 2000: 1, 4099: 1}
 
 

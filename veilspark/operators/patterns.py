@@ -134,7 +134,6 @@ COLUMNS = {
 DISTINCT = frozenset({"accountNumbers", "employerIdentificationNumbers", "healthInformation", "secrets", "streetAddresses"})
 #: Categories in which only the widest span of an overlapping run is kept.
 WIDEST = frozenset({"phoneNumbers", "streetAddresses"})
-UNSUPPORTED = frozenset({"personNames"})
 
 
 def unlabelled_digits(least: int = 8) -> Pattern:

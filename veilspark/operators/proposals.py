@@ -38,6 +38,19 @@ def chunks(text: str, most: int = CHUNK) -> list[str]:
     return [*out, held]
 
 
+def chunked(pages: DataFrame, most: int = CHUNK) -> DataFrame:
+    """doc_id, page, number (from 0), chunk: each page's chunks()."""
+    base = with_pages(pages)
+    schema = T.StructType([*base.select("doc_id", "page").schema.fields, *T._parse_datatype_string("number int, chunk string").fields])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(doc, page, k, c) for doc, page, text in zip(pdf["doc_id"], pdf["page"], pdf["text"], strict=True) for k, c in enumerate(chunks(text, most))]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return base.mapInPandas(run, schema)
+
+
 def halves(text: str) -> tuple[str, str] | None:
     """Cut at the line break nearest the middle, else at white space, else in the middle."""
     middle = len(text) // 2

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspark.functions.text import PARAGRAPH, has_adjacent_digits, normalized, normalized_breaks
-from veilspark.operators.patterns import COLUMNS, DISTINCT, PATTERNS, UNSUPPORTED, WIDEST, Pattern, unlabelled_digits
+from veilspark.operators.patterns import COLUMNS, DISTINCT, PATTERNS, WIDEST, Pattern, unlabelled_digits
 from veilspark.operators.matchers import Matchers
 from veilspark.operators.tables import TABLE_ROW, table_cells
-from veilspark.sources.rules import CANONICAL, Rule, RuleBook
+from veilspark.sources.rules import CANONICAL, UNSUPPORTED, Rule, RuleBook
 
 MANY_EXACT = 64
 SPAN = "array<struct<start:int,stop:int,matched_text:string,engine_no:int>>"

@@ -82,18 +82,11 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT doc_id, 'phone numbers', 1 FROM phones UNION ALL SELECT doc_id, '“license”', {_occurrences('license', 'lower(n)')}::BIGINT FROM n UNION ALL SELECT doc_id, '“The”', {_occurrences('The')}::BIGINT FROM n)
         SELECT rule_description, sum(k)::BIGINT AS n_spans, count(DISTINCT doc_id) AS n_docs FROM every WHERE k > 0 GROUP BY rule_description""",
     "unused_rules": "SELECT '“no such words here”' AS rule_description WHERE NOT EXISTS (SELECT 1 FROM documents WHERE contains(lower(text), 'no such words here'))",
-    "unsupported_categories": "SELECT 'person names' AS category",
     "spans_by_category": f"""{EVERY}, every AS (SELECT doc_id, 'emailAddresses' AS category FROM email UNION ALL SELECT doc_id, 'ipAddresses' FROM ip UNION ALL SELECT doc_id, 'creditCardNumbers' FROM cards UNION ALL SELECT doc_id, 'phoneNumbers' FROM phones)
         SELECT category, count(*) AS n_spans, count(DISTINCT doc_id) AS n_docs FROM every GROUP BY category""",
     "docs_without_findings": f"{BOTH} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hits)",
     "runaway_rules": f"{THE} SELECT doc_id, '“the”' AS rule_description, n FROM c WHERE n > 40",
     "kept_after_refusal": f"{THE} SELECT sum(n)::BIGINT AS n_spans, count(*) AS n_docs FROM c WHERE n BETWEEN 1 AND 40",
-    "rules_parse": """SELECT * FROM (VALUES (2, 'exact', 'Alpha', false, NULL), (3, 'exact', 'Beta', true, NULL), (4, 'category', NULL, false, 'emailAddresses'), (12, 'exact', 'Alpha', true, NULL), (13, 'category', NULL, false, 'phoneNumbers'))
-        AS t(line_number, kind, literal, is_case_sensitive, category)""",
-    "rules_diagnostics": """SELECT * FROM (VALUES (5, 'duplicateRule'), (6, 'duplicateRule'), (7, 'unknownCategory'), (8, 'caseSensitiveMarkerRequiresQuotes'), (9, 'strayQuote'), (10, 'unterminatedQuote'), (11, 'emptyExactMatch'))
-        AS t(line_number, kind)""",
-    "plan_parse": """SELECT * FROM (VALUES (4, true, 'Ann Lee', 'names', 2), (5, false, '12', '', 2), (6, true, 'plain value', 'note', 2), (10, true, 'zz', '', NULL), (12, true, 'Ann Lee', '', 1)) AS t(pos, is_selected, value, label, page)""",
-    "plan_usable": "SELECT * FROM (VALUES ('Ann Lee', true), ('plain value', true), ('zz', false)) AS t(value, used)",
     "plan_of_addresses": f"{PLAN} SELECT doc_id::VARCHAR AS source_name, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INT AS pos, matched_text AS value, 'ip addresses' AS label FROM v",
     "plan_merge": f"{PLAN} SELECT doc_id::VARCHAR AS source_name, count(*) + 1 AS n_items, count(*) FILTER (matched_text NOT LIKE '1%') + 1 AS n_ticked FROM v GROUP BY doc_id",
     "masked_findings": f"""{EVERY}, every AS (
@@ -109,13 +102,6 @@ ORACLES: dict[str, str] = {
     "pii_vs_labels": f"{BOTH} SELECT quality, count(*) AS n_docs, count(*) FILTER (doc_id IN (SELECT doc_id FROM hits)) AS n_hit FROM labels GROUP BY quality",
     "luhn_of_keys": f"SELECT o_orderkey, {LUHN} AS valid FROM (SELECT o_orderkey, string_split(o_orderkey::VARCHAR, '') AS d FROM orders)",
     "mask_functions": "SELECT n_nationkey, least(length(n_name), 12)::BIGINT AS n_line, least(greatest(length(n_name), 4), 18)::BIGINT AS n_value FROM nation",
-    "proposal_filters": """SELECT * FROM (VALUES
-        ('$1,234.00', true, '$1,234.00', false, false, true, false, true), ('12345678901', false, '12345678901', false, true, false, false, true), ('Name: Ann Lee', false, 'Ann Lee', false, true, false, false, true),
-        ('Form 1040', true, 'Form 1040', false, false, true, false, true), ('lower case words', false, 'lower case words', false, true, false, true, true), ('12a', false, '12a', true, false, true, false, false),
-        ('Box 1', true, 'Box 1', false, false, true, false, true), ('Schedule K Ann Lee', false, 'Schedule K Ann Lee', false, true, false, false, true))
-        AS t(text, not_identifying, bare, slight, allowed, excluded, odd_name, value_like)""",
-    "benchmark_literals": f"""WITH {DOCS}, b AS (SELECT item_id, {_norm('text')} AS lit FROM benchmark)
-        SELECT item_id::INT AS rule_line, sum((length(n) - length(replace(lower(n), lower(lit), ''))) / length(lit))::BIGINT AS n_spans FROM n JOIN b ON contains(lower(n), lower(lit)) GROUP BY item_id""",
 }
 
 _NINE = "lpad(o_orderkey::VARCHAR, 9, '0')"
@@ -138,7 +124,6 @@ ORACLES |= {
              || '## Page 1' || chr(10) || chr(10) || '- [x] `' || value || '` — ip addresses' || chr(10) AS body, value, 1 AS page FROM p""",
     "guidance_budget": """
       SELECT r_regionkey AS rules_id, (least(r_regionkey * 20 + 1, 3000 // 49) * 49 - 1)::BIGINT AS n_kept, (greatest(r_regionkey * 20 + 1 - 3000 // 49, 0) * 49)::BIGINT AS omitted_character_count FROM region""",
-    "chunked_texts": "SELECT doc_id, 0::BIGINT AS n_over FROM documents WHERE text <> ''",
     "overlap_anti_join": """
       SELECT c.l_orderkey AS doc_id, c.l_linenumber::BIGINT AS line, (c.l_suppkey % 200)::BIGINT AS start FROM lineitem c WHERE c.l_linenumber % 2 = 0 AND NOT EXISTS (
         SELECT 1 FROM lineitem r WHERE r.l_orderkey = c.l_orderkey AND r.l_linenumber % 2 = 1 AND c.l_suppkey % 200 < r.l_partkey % 200 + 30 AND r.l_partkey % 200 < c.l_suppkey % 200 + 10)""",

@@ -17,6 +17,7 @@ from veilspark.functions.text import has_text, normalized
 from veilspark.operators.matchers import Matchers
 from veilspark.operators.spans import RUNAWAY, literal_hits, merged, refused, spans, with_pages
 from veilspark.plans import plan
+from veilspark.sources import copies
 from veilspark.sources.rules import RuleBook
 from veilspark.sources.tables import Store, published
 
@@ -274,6 +275,18 @@ def committed(result: Redaction, staging: str, final: str, hold: bool = False) -
     return published(result.pages, staging, final, verified=state["bad"] == 0, hold=hold)
 
 
+def copied(result: Redaction, root: str, hold: bool = False, source: str | None = None, buckets: int = copies.BUCKETS) -> int | None:
+    """Put a run's pages among the copies at root, in place of earlier copies of the same documents; the version's number, or nothing if the run was withdrawn.
+
+    Refuses with NothingMatched where there is nothing to remove, and never writes to the source.
+    """
+    state = result.documents.agg(F.coalesce(F.sum("items"), F.lit(0)).alias("items"), F.count_if(F.col("n_problems") > 0).alias("bad")).first()
+    if not state["items"]:
+        raise NothingMatched("no rule matched anything")
+    run = copies.staged(result.pages, root, buckets=buckets, source=source)
+    return copies.published(result.pages.sparkSession, run, verified=state["bad"] == 0, hold=hold)
+
+
 def documents(pages: DataFrame, problems: DataFrame, hold: bool = False, left: DataFrame | None = None) -> DataFrame:
     """One row a document: items, pages redacted, worst pass, pages not examined, distinct residue in order, disposition and whether it is settled."""
     whole = pages.groupBy("doc_id").agg(

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
-from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.functions import proposals as P
 from veilspark.functions.text import masked_line, masked_value, normalized, passes_luhn
 from veilspark.operators import proposals, recognition
 from veilspark.operators import spans as S
@@ -30,8 +27,6 @@ BOOK = R.RuleBook(
         R.Rule("category", None, False, "personNames", 8),
     )
 )
-RULES_TEXT = '# rules\n"Alpha"\n!"Beta"\nemails\nE-Mail  Addresses\n"Alpha"\nfoo bar\n!phone\nx "y" z\n"open\n""\n! "Alpha"\nphone numbers\n'
-PLAN_TEXT = "# Plan\n\n## Page 2\n\n- [x] `Ann Lee` — names\n- [ ] `12`\n* [X] plain value - note\nnot an item\n\n## Added by hand\n- [x] `zz`\n## Page 1\n- [x] `Ann Lee`\n"
 
 
 def _book(*categories: str) -> R.RuleBook:
@@ -100,10 +95,6 @@ def unused_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.unused_rules(BOOK, _found(spark, sf_dir)).select("rule_description")
 
 
-def unsupported_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(c,) for c in S.unsupported(BOOK)], "category string")
-
-
 def spans_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _found(spark, sf_dir).filter("category is not null")
     return found.groupBy("category").agg(F.count(F.lit(1)).alias("n_spans"), F.count_distinct("doc_id").alias("n_docs"))
@@ -133,27 +124,6 @@ def kept_after_refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.refused(found)[0].agg(F.count(F.lit(1)).alias("n_spans"), F.count_distinct("doc_id").alias("n_docs"))
 
 
-def _texts(spark: SparkSession, text: str, name: str) -> DataFrame:
-    return spark.createDataFrame([("a", text)], f"{name} string, body string")
-
-
-def rules_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.rules(_texts(spark, RULES_TEXT, "rules_id")).select("line_number", "kind", "literal", "is_case_sensitive", "category")
-
-
-def rules_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.diagnostics(_texts(spark, RULES_TEXT, "rules_id")).select("line_number", "kind")
-
-
-def plan_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.parse(_texts(spark, PLAN_TEXT, "source_name")).select("pos", "is_selected", "value", "label", "page")
-
-
-def plan_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used, refused = plan.usable_values(plan.parse(_texts(spark, PLAN_TEXT, "source_name")))
-    return used.select("value", F.lit(True).alias("used")).union(refused.select("value", F.lit(False).alias("used")))
-
-
 def plan_of_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = S.spans(documents(spark, sf_dir), _book("ipAddresses"))
     return plan.proposed(found).select("source_name", "pos", "value", "label")
@@ -220,16 +190,6 @@ def mask_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("n_nationkey", F.length(masked_line(F.col("n_name"))).cast("long").alias("n_line"), F.length(masked_value(F.col("n_name"))).cast("long").alias("n_value"))
 
 
-def proposal_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("$1,234.00", "amount"), ("12345678901", "account number"), ("Name: Ann Lee", "name"), ("Form 1040", "form"), ("lower case words", "full name"), ("12a", "code"), ("Box 1", "box"), ("Schedule K Ann Lee", "name")]
-    df = spark.createDataFrame(rows, "text string, kind string")
-    t, k = F.col("text"), F.col("kind")
-    return df.select(
-        "text", P.is_not_identifying(t).alias("not_identifying"), P.value_without_label(t).alias("bare"), P.is_too_slight(t).alias("slight"), P.is_allowed_kind(k).alias("allowed"),
-        P.is_excluded_kind(k).alias("excluded"), P.is_implausible_name(t, k).alias("odd_name"), P.looks_like_a_value(t).alias("value_like"),
-    )
-
-
 def _order_pages(spark: SparkSession, sf_dir: str, text) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), text.alias("text"))
 
@@ -278,17 +238,6 @@ def guidance_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.guidance(notes).select("rules_id", F.length("guidance").cast("long").alias("n_kept"), "omitted_character_count")
 
 
-def chunked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks for a model: joined they give the text back, and only a line that is longer alone is over the size."""
-
-    def said(text: str) -> list[tuple[str, str, str]]:
-        whole = len(text) <= proposals.CHUNK or "\n" not in text
-        return [(hashlib.md5(text.encode()).hexdigest(), "fits" if whole else "over", "")]
-
-    asked = proposals.proposed(documents(spark, sf_dir), said)
-    return asked.groupBy("doc_id").agg(F.count_if(F.col("kind") == "over").alias("n_over")).select("doc_id", "n_over")
-
-
 def overlap_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate ranges that touch no rule's range on their page; ranges that only meet do not overlap."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -330,21 +279,6 @@ def plan_values_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.pages.filter("items > 0").select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("█"), F.lit("")))).cast("long").alias("n_masked"))
 
 
-#: Literals of one automaton.
-LITERALS = 2000
-
-
-def benchmark_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Many exact rules, from a whole table of literals: one automaton pass for each block of them."""
-    pages = documents(spark, sf_dir).select("doc_id", "page", normalized(F.col("text")).alias("n"))
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").toLocalIterator()
-    rules = (R.Rule("exact", r["text"], False, None, int(r["item_id"])) for r in items)
-    found = S.many_exact(pages, tuple(islice(rules, LITERALS)))
-    while block := tuple(islice(rules, LITERALS)):
-        found = found.unionByName(S.many_exact(pages, block))
-    return found.groupBy("rule_line").agg(F.count(F.lit(1)).alias("n_spans"))
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "email_spans": _category("emailAddresses"),
     "ip_spans": _category("ipAddresses"),
@@ -363,9 +297,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 } | {
     f.__name__: f
     for f in (
-        card_spans, normalize_text, secret_tokens, exact_rule_spans, rule_counts, unused_rules, unsupported_categories, spans_by_category, docs_without_findings, runaway_rules, kept_after_refusal, rules_parse,
-        rules_diagnostics, plan_parse, plan_usable, plan_of_addresses, plan_merge, masked_findings, preview_report, page_summary, redaction_documents, redaction_residue, redacted_lengths,
-        conversation_hits_by_role, pii_vs_labels, luhn_of_keys, mask_functions, proposal_filters, benchmark_literals, table_column_spans, value_offsets, original_offsets, plan_text, guidance_budget,
-        chunked_texts, overlap_anti_join, recognised_boxes, plan_values_redacted,
+        card_spans, normalize_text, secret_tokens, exact_rule_spans, rule_counts, unused_rules, spans_by_category, docs_without_findings, runaway_rules, kept_after_refusal,
+        plan_of_addresses, plan_merge, masked_findings, preview_report, page_summary, redaction_documents, redaction_residue, redacted_lengths,
+        conversation_hits_by_role, pii_vs_labels, luhn_of_keys, mask_functions, table_column_spans, value_offsets, original_offsets, plan_text, guidance_budget,
+        overlap_anti_join, recognised_boxes, plan_values_redacted,
     )
 }
