@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import proposals as P
-from veilspark.operators import literals, proposals
+from veilspark.operators import intervals, literals, proposals
 from veilspark.operators import spans as S
 from veilspark.operators.matchers import Matcher, Matchers
 from veilspark.oracles import BOTH, DOCS, IP, _norm, _places
@@ -210,11 +210,47 @@ def replaced_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.visible(spark, root).select("doc_id", F.length("text").cast("long").alias("n_chars"), masked.cast("long").alias("n_masked"))
 
 
+# --- ranges and boxes ---
+def hot_page_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of all orders as ranges of one page: those of even number that no range of an odd one touches."""
+    at = F.col("l_orderkey") * 40 + F.col("l_partkey") % 200
+    lines = _table(spark, sf_dir, "lineitem").select(F.lit(0).alias("doc_id"), F.lit(1).alias("page"), "l_orderkey", "l_linenumber", "l_suppkey", at.alias("start"))
+    rules = lines.filter("l_linenumber % 2 = 1").withColumn("stop", F.col("start") + 5 + F.col("l_suppkey") % 20)
+    asked = lines.filter("l_linenumber % 2 = 0").withColumn("stop", F.col("start") + 3)
+    return proposals.not_covered(asked, rules).select("l_orderkey", "l_linenumber", "start")
+
+
+def _box(x: Column, y: Column, w: Column, h: Column) -> Column:
+    return F.struct(*(v.cast("double").alias(n) for v, n in zip((x, y, w, h), "xywh", strict=True)))
+
+
+def read_and_drawn_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes read on a page (lines of odd number of an order) with those drawn there, small ones and very large ones: who meets whom, who agrees, who is held."""
+    c = F.col
+    lines = _table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), c("l_linenumber").alias("line"), c("l_partkey").alias("p"), c("l_suppkey").alias("s"), c("l_quantity").cast("long").alias("q"))
+    read = lines.filter("line % 2 = 1").select("doc_id", "page", F.struct("line", _box(c("p") % 90 - 10, c("s") % 40, c("q") % 30 + 5, F.lit(8)).alias("box")).alias("a"))
+    large = F.when(c("q") % 7 == 0, 4000).otherwise(c("q") % 45 + 4)
+    drawn = lines.filter("line % 2 = 0").select("doc_id", "page", F.struct("line", _box(c("p") % 80 - 20, c("s") % 50 - 5, large, c("q") % 15 + 1).alias("box")).alias("b"))
+    a, b = c("a.box"), c("b.box")
+    met = intervals.met_boxes(read, drawn)
+    return met.select("doc_id", c("a.line").alias("read_line"), c("b.line").alias("drawn_line"), intervals.agrees(a, b).alias("agrees"), intervals.contains(b, a).alias("held"))
+
+
+def token_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The box of each value on a recognised line: an order's lines are its tokens, six places each, and a value covers a run of them."""
+    c = F.col
+    lines = _table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("line"), c("l_linenumber").alias("k"), c("l_partkey").alias("p"))
+    tokens = lines.select("doc_id", "page", "line", (c("k") * 6).alias("start"), (c("k") * 6 + 5).alias("stop"), _box(c("k") * 10, c("p") % 5, F.lit(9), F.lit(4)).alias("box"))
+    hits = _table(spark, sf_dir, "orders").select(c("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("line"), F.lit(1).alias("hit"), (c("o_custkey") % 20).alias("start"), (c("o_custkey") % 20 + 13).alias("stop"))
+    return intervals.boxes_covering(hits, tokens).select("doc_id", c("box.x").alias("x"), c("box.y").alias("y"), c("box.w").alias("w"), c("box.h").alias("h"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         rules_parse, rules_diagnostics, unsupported_categories, benchmark_literals, book_literal_spans, tenant_book_spans, plan_parse, plan_usable, plan_pages, proposal_filters, chunked_texts, own_matcher_spans, redact_with_annotations,
-        annotations_deleted, plan_with_annotations, published_copies, replaced_copies,
+        annotations_deleted, plan_with_annotations, published_copies, replaced_copies, hot_page_overlap, read_and_drawn_boxes,
+        token_boxes,
     )
 }
 
@@ -265,4 +301,18 @@ ORACLES: dict[str, str] = {
       SELECT unnest(['verified', 'failed']) AS step, n_pages, n_chars, n_masked FROM c""",
     "replaced_copies": f"""{BOTH}, m AS (SELECT doc_id, sum(length(matched_text)) AS k FROM hits WHERE category = 'ipAddresses' OR doc_id % 10 = 0 GROUP BY doc_id)
       SELECT n.doc_id, length(n)::BIGINT AS n_chars, coalesce(k, 0)::BIGINT AS n_masked FROM n LEFT JOIN m USING (doc_id)""",
+    "hot_page_overlap": """
+      WITH l AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_orderkey * 40 + l_partkey % 200 AS a FROM lineitem), r AS (SELECT a, a + 5 + l_suppkey % 20 AS b FROM l WHERE l_linenumber % 2 = 1),
+      e AS (SELECT a AS pos, 1 AS k, b FROM r UNION ALL SELECT a + 3, 0, NULL FROM l WHERE l_linenumber % 2 = 0), w AS (SELECT DISTINCT pos, k, max(b) OVER (ORDER BY pos, k) AS b FROM e)
+      SELECT l_orderkey, l_linenumber, l.a AS start FROM l JOIN w ON w.pos = l.a + 3 AND w.k = 0 WHERE l_linenumber % 2 = 0 AND coalesce(w.b, l.a) <= l.a""",
+    "read_and_drawn_boxes": """
+      WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_quantity::BIGINT AS q FROM lineitem),
+      a AS (SELECT o, n, p % 90 - 10 AS x, s % 40 AS y, q % 30 + 5 AS w, 8 AS h FROM l WHERE n % 2 = 1), b AS (SELECT o, n, p % 80 - 20 AS x, s % 50 - 5 AS y, CASE WHEN q % 7 = 0 THEN 4000 ELSE q % 45 + 4 END AS w, q % 15 + 1 AS h FROM l WHERE n % 2 = 0),
+      m AS (SELECT a.o, a.n AS rn, b.n AS dn, a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h AS meets, b.w <= 1.5 * a.w AND b.h <= 1.5 * a.h AS small,
+              b.x <= a.x AND b.y <= a.y AND b.x + b.w >= a.x + a.w AND b.y + b.h >= a.y + a.h AS held FROM a JOIN b USING (o))
+      SELECT o AS doc_id, rn AS read_line, dn AS drawn_line, meets AND small AS agrees, held FROM m WHERE meets""",
+    "token_boxes": """
+      WITH t AS (SELECT l_orderkey AS o, l_linenumber * 6 AS s, l_linenumber * 10 AS x, l_partkey % 5 AS y FROM lineitem), h AS (SELECT o_orderkey AS o, o_custkey % 20 AS a FROM orders),
+      u AS (SELECT h.o, min(x) AS x, min(y) AS y, max(x + 9) - min(x) AS w, max(y + 4) - min(y) AS h FROM h JOIN t ON t.o = h.o AND s < a + 13 AND a < s + 5 GROUP BY h.o)
+      SELECT h.o AS doc_id, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w, u.h::DOUBLE AS h FROM h LEFT JOIN u USING (o)""",
 }
