@@ -1,22 +1,27 @@
 """Operator 3: main text by a site style tree.
 
-Pages are parsed into trees by a tolerant parser. The trees of one host are merged: a node of the site
-style tree is a path of tags, classes, ids and places among like siblings; each page adds to it the sequence of child tags it has there (its
-presentation) and the text it has there (its content). A node's importance is the mean of the two
-normalised entropies over the host's distinct pages: navigation and notices look and read alike everywhere
-and score low, articles near 1. A branch goes if its importance is below its bar, and what it says of itself (by tag,
-role, class or id) sets the bar: LOW for plain containers; HIGH, the importance of what differs in looks and
-words on every page, for menus, headers, footers, sidebars, notices and adverts, and for all that lies outside what
-the page declares to be its article; none for that article and its paragraphs. Scripts, styles, forms and reader comments
-(whose entropy is that of an article) go always. On hosts with fewer than LEAST_PAGES pages importance is not known: bars of
-HIGH are not reached, those of LOW are.
+Pages are parsed into trees by a tolerant parser. The trees of one host are merged: a node of the site style tree is a path
+of tags, classes, ids and places among like siblings; each page adds to it the sequence of child tags it has there (its
+presentation) and the text it has there (its content). A node's importance is the mean of the two normalised entropies over
+the host's distinct pages. Menus, notices and footers look alike everywhere and score 0.5 at most, however their words
+differ; what differs in looks and words from page to page, as articles do, scores near 1.
+
+On a host of LEAST_PAGES pages or more importance alone decides, of articles as of all else: text stays if it is in a
+container that reaches BAR, and a branch goes if neither it nor a container in it does. Within a container that reaches
+it, containers below LOW go, and so do those that call themselves menus, adverts, notices or the like and do not reach BAR. Where
+nothing on a page reaches it, only containers below LOW go. Paragraphs, headings, lists and tables are the
+text of their container and are not judged apart. On hosts with fewer pages, what branches say of themselves (by tag,
+role, class or id) decides. Scripts, styles, forms and reader comments (whose entropy is that of an article) go always.
+
+A host may have any number of pages but its articles only so many layouts, so the entropy of looks counts as full once it
+is that of FULL different ones.
 
 Text of blocks has its character references decoded and white space runs turned into one space, and is
 joined in page order by one space. Nothing else is dropped or capped.
 
 Node statistics are plain aggregations over (host, path), pre-aggregated before their shuffle. What they decide of
-nodes (of low importance, of high importance with a high bar) is broadcast if it is little (checked), else joined with each
-page's own nodes.
+nodes (that they reach BAR, are below LOW, or that a host is known) is broadcast if it is little (checked), else joined with
+each page's own nodes.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its own; repeated rows count once in
 the statistics and get equal results; an empty table gives no rows; columns other than page_id, url and html are ignored.
@@ -38,8 +43,9 @@ from veilspark.llm.common import stored
 from veilspark.llm.words import slices
 
 LEAST_PAGES = 5
+BAR = 0.7
 LOW = 0.35
-HIGH = 0.999
+FULL = 16
 BROADCAST_DECIDED = 1_000_000
 
 # Kinds of elements.
@@ -47,6 +53,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr tbody thead br hr".split()) | INLINE
+TEXTUAL = FLOW | frozenset("ul ol dl table tfoot caption colgroup col figcaption address".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLING = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr", ("table", "tbody", "thead", "tfoot")), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 NEVER = frozenset("script style noscript template title head form button select input textarea iframe object embed svg canvas dialog audio video map datalist option".split())
@@ -73,7 +80,7 @@ class Node:
         self.children: list[Node | str] = []
         self.names: tuple[str, ...] = ()
         self.role, self.label = "", tag
-        self.drop = self.doubt = False  # whether it goes always, and whether its bar is high
+        self.drop = self.doubt = False  # whether it goes always, and whether it says that it is no text
         self.holds = self.around = False  # whether a declared article is below it, and whether the chosen one is
         if attributes and "=" in attributes:
             found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
@@ -266,10 +273,23 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def candidates(root: Node, tops: list[Node]) -> list[tuple[Node, bool]]:
-    """Branches that importance decides on, and whether their bar is HIGH (what lies below these is not looked at)."""
+def containers(root: Node) -> list[Node]:
+    """Nodes that importance is worked out of, parents first: the page itself, then all but text, its parts, and what goes always."""
+    out: list[Node] = []
+    stack = [root]
+    while stack:
+        x = stack.pop()
+        if not x.drop:
+            if x.parent is None or x.tag not in TEXTUAL:
+                out.append(x)
+            stack += [c for c in reversed(x.children) if isinstance(c, Node)]
+    return out
+
+
+def declared_skips(root: Node, tops: list[Node]) -> set[int]:
+    """Branches that go by what the page says of itself, by their id()."""
     chosen = {id(t) for t in tops}
-    out: list[tuple[Node, bool]] = []
+    out: set[int] = set()
     stack = [(root, not tops)]
     while stack:
         x, inside = stack.pop()
@@ -277,12 +297,45 @@ def candidates(root: Node, tops: list[Node]) -> list[tuple[Node, bool]]:
             continue
         if id(x) in chosen:
             inside = True
-        elif not (x.around or x.tag in ("#root", "html", "body")):
-            if x.doubt or not inside:
-                out.append((x, True))
+        elif not (x.around or x.tag in ("#root", "html", "body")) and (x.doubt or not inside):
+            out.add(id(x))
+            continue
+        stack += [(c, inside) for c in reversed(x.children) if isinstance(c, Node)]
+    return out
+
+
+def judged_skips(root: Node, keys: dict[int, int], decided: dict[int, bool]) -> set[int]:
+    """Branches that go by their importance, by their id(); sets around on what is kept for what is in it only.
+
+    decided: by key, whether a node reaches BAR (true) or is below LOW (false).
+    """
+    boxes = containers(root)[1:]
+    reaching = {id(x) for x in boxes if decided.get(_signed(keys[id(x)])) is True}
+    leads: set[int] = set()
+    for x in boxes:
+        if id(x) in reaching:
+            while x is not None and id(x) not in leads:
+                leads.add(id(x))
+                x = x.parent
+    for x in walk(root):
+        x.around = False
+    out: set[int] = set()
+    stack = [(root, not reaching)]
+    while stack:
+        x, inside = stack.pop()
+        if x.drop:
+            continue
+        if id(x) in reaching:
+            inside = True
+        elif inside:
+            if x.parent is not None and x.tag not in TEXTUAL and id(x) not in leads and (x.doubt and reaching or decided.get(_signed(keys[id(x)])) is False):
+                out.add(id(x))
                 continue
-            if x.tag not in (FLOW if tops else INLINE):
-                out.append((x, False))
+        elif id(x) in leads:
+            x.around = True
+        else:
+            out.add(id(x))
+            continue
         stack += [(c, inside) for c in reversed(x.children) if isinstance(c, Node)]
     return out
 
@@ -302,47 +355,46 @@ def contents(root: Node) -> dict[int, int]:
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, page, style, content, high): for each page and each of its places in the style tree."""
+    """(key, page, style, content, host): for each page and each of its places in the style tree; host: it is the root's."""
     for batch in slices(batches, "html"):
         rows: set[tuple[int, int, int, int, bool]] = set()
         for url, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if not text:
                 continue
             root = parse(text)
-            tops = mark(root)
+            mark(root)
             keys, content_of = keys_of(root, host_of(url)), contents(root)
             page = content_of[id(root)]
-            merged: dict[int, list] = {}
-            for x, high in candidates(root, tops):
-                own = merged.setdefault(keys[id(x)], [[], [], False])
+            merged: dict[int, tuple[list[str], list[str]]] = {}
+            for x in containers(root):
+                own = merged.setdefault(keys[id(x)], ([], []))
                 own[0].append(",".join(c.tag for c in x.children if isinstance(c, Node)))
                 own[1].append(str(content_of[id(x)]))
-                own[2] |= high
-            for k, (style, content, high) in merged.items():
-                rows.add((_signed(k), _signed(page), _signed(xxhash.xxh3_64_intdigest("|".join(style).encode())), _signed(xxhash.xxh3_64_intdigest("|".join(content).encode())), high))
+            for k, (style, content) in merged.items():
+                rows.add((_signed(k), _signed(page), _signed(xxhash.xxh3_64_intdigest("|".join(style).encode())), _signed(xxhash.xxh3_64_intdigest("|".join(content).encode())), k == keys[id(root)]))
         columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.bool_()], strict=True)], names=["key", "page", "style", "content", "high"])
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.bool_()], strict=True)], names=["key", "page", "style", "content", "host"])
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """(key, pages, high, importance) of each node of the style trees; high: whether some page sets it the bar HIGH."""
-    nodes = stored(pages.select("url", "html").mapInArrow(_nodes, "key long, page long, style long, content long, high boolean").distinct(), "style-nodes")
+    """(key, host, pages, importance) of each node of the style trees; host: it is the root of its host's tree."""
+    nodes = stored(pages.select("url", "html").mapInArrow(_nodes, "key long, page long, style long, content long, host boolean").distinct(), "style-nodes")
 
-    def entropy(column: str, *more: Column) -> DataFrame:
-        c = nodes.groupBy("key", column).agg(F.count(F.lit(1)).alias("c"), F.max("high").alias("high"))
-        total = c.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"), *more)
-        return total.withColumn(column, F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log("m"))).otherwise(1.0)).drop("s")
+    def entropy(column: str, full: Column, *more: Column) -> DataFrame:
+        c = nodes.groupBy("key", column).agg(F.count(F.lit(1)).alias("c"), F.max("host").alias("host"))
+        total = c.groupBy("key").agg(*more, F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
+        bits = F.log("m") - F.col("s") / F.col("m")
+        return total.withColumn(column, F.when(F.col("m") > 1, F.least(bits / full, F.lit(1.0))).otherwise(1.0)).drop("s")
 
-    both = entropy("style", F.max("high").alias("high")).join(entropy("content").drop("m"), "key")
-    return both.select("key", F.col("m").alias("pages"), "high", ((F.col("style") + F.col("content")) / 2).alias("importance"))
+    both = entropy("style", F.log(F.least("m", F.lit(FULL))), F.max("host").alias("host")).join(entropy("content", F.log("m")).drop("m"), "key")
+    return both.select("key", "host", F.col("m").alias("pages"), ((F.col("style") + F.col("content")) / 2).alias("importance"))
 
 
-def extract(pages: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+def extract(pages: DataFrame, bar: float = BAR, low: float = LOW) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    worth = F.col("importance") >= F.lit(high)
-    known = importance(pages).filter((F.col("pages") >= LEAST_PAGES) & ((F.col("importance") < F.lit(low)) | (F.col("high") & worth)))
-    decided = stored(known.select("key", worth.alias("worth")), "decided-nodes")
+    known = importance(pages).filter((F.col("pages") >= LEAST_PAGES) & (F.col("host") | (F.col("importance") >= F.lit(bar)) | (F.col("importance") < F.lit(low))))
+    decided = stored(known.select("key", F.when(~F.col("host"), F.col("importance") >= F.lit(bar)).alias("worth")), "decided-nodes")
     schema = "page_id long, url string, text string, n_chars long"
     few = decided.limit(BROADCAST_DECIDED + 1).count() <= BROADCAST_DECIDED
     shared = pages.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in decided.collect()} if few else {})
@@ -356,9 +408,8 @@ def extract(pages: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame
                 known = {x["key"]: x["worth"] for x in mine} if mine else shared.value
                 root = parse(text or "")
                 tops = mark(root)
-                found = candidates(root, tops)
-                keys = keys_of(root, host_of(url)) if known and found else {}
-                skip = {id(x) for x, high in found if known.get(_signed(keys[id(x)]) if keys else None, not high) is False}
+                keys = keys_of(root, host_of(url)) if known else {}
+                skip = judged_skips(root, keys, known) if known and _signed(keys[id(root)]) in known else declared_skips(root, tops)
                 out.append(" ".join(blocks(root, lambda x, skip=skip: id(x) in skip)))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
@@ -371,8 +422,9 @@ def extract(pages: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame
             rows = []
             for r, url, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 root = parse(text or "")
+                mark(root)
                 keys = keys_of(root, host_of(url))
-                rows += {(r, _signed(keys[id(x)])) for x, _ in candidates(root, mark(root))}
+                rows += {(r, _signed(keys[id(x)])) for x in containers(root)}
             columns = list(zip(*rows, strict=True)) if rows else [(), ()]
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["row", "key"])
 
