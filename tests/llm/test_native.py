@@ -195,17 +195,29 @@ def test_sentences_of_license_texts(spark):
 def detections(text, rules):
     """All matches of all rules and what stays after suppression, in plain Python."""
     words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()) if w]
-    found = []
+    found, parts = [], []
     for k, r in enumerate(rules):
         for i, w in enumerate(words):
             if w != r.anchor:
                 continue
-            left, right = " ".join(words[max(0, i - license_scan.REACH) : i]) + " ", " " + " ".join(words[i + 1 : i + 1 + license_scan.REACH])
+            left, right = " ".join(words[:i]) + " ", " " + " ".join(words[i + 1 :])
             a = re.search(rf"(?:^| ){r.before}$", left) if r.before else True
             b = re.search(rf"^{r.after}(?= |$)", right) if r.after else True
             if a and b:
                 lead = a[0].strip().count(" ") + 1 if r.before else 0
-                found.append((i - lead, -(i + (b[0].count(" ") if r.after else 0)), r.priority, k, r.label, r.base))
+                (found if r.open < 0 else parts).append((i - lead, -(i + (b[0].count(" ") if r.after else 0)), r.priority, k, r.label, r.base))
+    chains = {}
+    for start, minus_end, priority, k, label, base in sorted(parts):
+        r = rules[k]
+        before = chains.get((r.open, r.part - 1))
+        if r.part and (before is None or before[1] > start):
+            continue
+        chains.pop((r.open, r.part - 1), None)
+        begin = before[0] if r.part else start
+        if r.last:
+            found.append((begin, minus_end, priority, k, label, base))
+        else:
+            chains[r.open, r.part] = (begin, -minus_end)
     kept = []
     for x in sorted(found):
         if x[5] or not any(y[2] <= x[2] and y[1] <= x[1] for y in kept):
@@ -230,3 +242,19 @@ def test_license_scan_reaches_the_longest_rule(spark):
     text = "all of it is under the terms of the do what the fuck you want to public license"
     row = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert row["labels"] == "wtfpl" and row["score"] == pytest.approx(0.8)
+
+
+def test_license_rules_with_gaps(spark):
+    """However far apart their parts are."""
+    far = " ".join(f"w{i}" for i in range(300))
+    isc = "permission to use copy modify and or distribute this software for any purpose {} provided that the above copyright notice"
+    texts = [f"Copyright {far} with reserved font name", isc.format("with or without fee is hereby granted to all who ask for it and to nobody else at all " + far), "with reserved font name copyright", f"with reserved font name {far} copyright {far} with reserved font name with reserved font name", "copyright " * 3000 + "with reserved font name"]
+    texts.append(f"your modified version must prominently offer all users interacting with it remotely {far} the corresponding source {far} license")
+    rows = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [("ofl" in rows[i]["labels"].split(",")) for i in (0, 2, 3, 4)] == [True, False, True, True] and "isc" in rows[1]["labels"].split(",") and "agpl" in rows[5]["labels"].split(",")
+    rules = license_scan.signatures()
+    for i in (0, 1, 2, 3, 5):
+        labels, n = detections(texts[i], rules)
+        assert (rows[i]["labels"], rows[i]["n_detections"]) == (",".join(labels), n)
+    with pytest.raises(ValueError, match="longest"):
+        license_scan.longest("a .* b")

@@ -3,7 +3,9 @@
 A text is lower-cased and cut into words; a rule is an anchor word with a regular expression that
 must end just before it and one that must begin at it, both over words joined by single spaces. A
 keyword prefilter passes over texts that hold no anchor at all; in the others each rule is tried
-only at its own anchor word, on a window of words around it, so the cost is linear in the text.
+only at its own anchor word, on a window of words around it that is as wide as the longest match of the anchor's rules, so
+the cost is linear in the text. A rule with a gap ("... .* ...") is as long as the text may make it: its parts are found apart, as
+rules with anchors of their own, and joined by their places, each first part with the next of the following ones.
 
 Rules are ordered by priority (1 is most specific). A detection that lies inside another one of
 higher priority, or inside a longer one of equal priority, is suppressed; the base phrases never are. There are some
@@ -26,8 +28,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import let
 
-#: Words looked at on either side of an anchor; every rule's match is shorter.
-REACH = 24
+GAP = " .* "
 
 
 class Signature(NamedTuple):
@@ -37,6 +38,9 @@ class Signature(NamedTuple):
     label: str
     priority: int
     base: bool = False
+    open: int = -1  # number of the rule with gaps that this is a part of, its place in it, and whether it is the last
+    part: int = 0
+    last: bool = False
 
 
 #: The base phrases.
@@ -175,7 +179,7 @@ SENTENCES = (
     ("elastic", 2, "elastic [license](?: 2 0)?"),
     ("commons-clause", 2, "subject to the commons clause [license] condition"),
     ("rail", 2, "(?:creativeml |bigscience |bigcode )?open ?rail(?: ?[ms+]+)? [license]"),
-    ("llama", 2, "llama(?: [0-9]+)* community [license](?: agreement)?"),
+    ("llama", 2, "llama(?: [0-9]+){0,4} community [license](?: agreement)?"),
     ("public-domain", 2, "work of the (?:us|u s|united states) government .* not subject to [copyright] protection"),
     ("proprietary", 2, "this [software] is the confidential and proprietary information of"),
     ("proprietary", 2, "unauthorized copying of this file via any medium is strictly prohibited .* [copyright]"),
@@ -188,9 +192,25 @@ SENTENCES = (
 )
 
 
-def _sentence(label: str, priority: int, words: str) -> Signature:
-    before, anchor, after = re.fullmatch(r"(.*?)\[([a-z]+)\](.*)", words).groups()
-    return Signature(anchor, before, after, label, priority)
+def _sentence(label: str, priority: int, words: str, number: int) -> list[Signature]:
+    """The rule of a sentence, or those of its parts; a part without an anchor of its own gets its longest word."""
+    parts = words.split(GAP)
+    out = []
+    for k, part in enumerate(parts):
+        if "[" not in part:
+            anchor = max(re.findall(r"(?<![^ ])[a-z]+(?![^ ])", part), key=len)
+            part = re.sub(rf"(?<![^ ]){anchor}(?![^ ])", f"[{anchor}]", part, count=1)
+        before, anchor, after = re.fullmatch(r"(.*?)\[([a-z]+)\](.*)", part).groups()
+        out.append(Signature(anchor, before, after, label, priority) if len(parts) == 1 else Signature(anchor, before, after, label, priority, False, number, k, k == len(parts) - 1))
+    return out
+
+
+def longest(pattern: str) -> int:
+    """Words that a match of a rule's pattern can have at most: alternatives count together, counted groups as often as they may repeat."""
+    repeated = re.findall(r"\(\?:([^()]*)\)\{\d+,(\d+)\}", pattern)
+    if ".*" in pattern or ".+" in pattern or re.search(r"\)[*+]", pattern):
+        raise ValueError(f"{pattern!r} has no longest match; put {GAP!r} between its parts")
+    return pattern.count(" ") + sum(x.count(" ") * (int(n) - 1) for x, n in repeated) + 1
 
 
 def signatures() -> tuple[Signature, ...]:
@@ -224,7 +244,7 @@ def signatures() -> tuple[Signature, ...]:
             out.append(Signature("commons", "creative ", f" {name} license(?: version)? {v}", f"{tag}-{v.replace(' ', '.')}", 1))
         out.append(Signature("cc", "", f" {code}", tag, 3))
         out.append(Signature("commons", "creative ", f" {name}", tag, 3))
-    return (*out, *(_sentence(*x) for x in SENTENCES), *OTHER)
+    return (*out, *(part for k, x in enumerate(SENTENCES) for part in _sentence(*x, k)), *OTHER)
 
 
 #: What some word of every rule's anchor holds: the keyword prefilter.
@@ -241,7 +261,7 @@ def _words_in(x: Column) -> Column:
 
 
 def _detections(words: Column, rules: tuple[Signature, ...]) -> Column:
-    """Array of (start, end, priority, rule, label, base), in words, from an array of words."""
+    """Array of (start, end, priority, rule, label, base), in words, from an array of words; parts of rules with gaps are joined."""
     by_anchor: dict[str, list[int]] = {}
     for i, r in enumerate(rules):
         by_anchor.setdefault(r.anchor, []).append(i)
@@ -249,6 +269,8 @@ def _detections(words: Column, rules: tuple[Signature, ...]) -> Column:
         [
             {
                 "anchor": a,
+                "left": max(longest(rules[i].before) for i in own),
+                "right": max(longest(rules[i].after) for i in own),
                 "rules": [
                     {
                         "before": f"(?:^| ){rules[i].before}$" if rules[i].before else "",
@@ -257,6 +279,9 @@ def _detections(words: Column, rules: tuple[Signature, ...]) -> Column:
                         "rule": i,
                         "label": rules[i].label,
                         "base": rules[i].base,
+                        "open": rules[i].open,
+                        "part": rules[i].part,
+                        "last": rules[i].last,
                     }
                     for i in own
                 ],
@@ -264,14 +289,17 @@ def _detections(words: Column, rules: tuple[Signature, ...]) -> Column:
             for a, own in by_anchor.items()
         ]
     )
-    one = "struct<before:string,after:string,priority:int,rule:int,label:string,base:boolean>"
-    packed = F.from_json(F.lit(text), f"array<struct<anchor:string,rules:array<{one}>>>")  # folded at planning
+    one = "struct<before:string,after:string,priority:int,rule:int,label:string,base:boolean,open:int,part:int,last:boolean>"
+    packed = F.from_json(F.lit(text), f"array<struct<anchor:string,left:int,right:int,rules:array<{one}>>>")  # folded at planning
     anchors = F.array(*map(F.lit, by_anchor))
 
     def at(a: Column) -> Column:
+        return let(F.get(F.filter(packed, lambda p: p["anchor"] == a["w"]), F.lit(0)), lambda own: around(a, own))
+
+    def around(a: Column, own: Column) -> Column:
         i = a["i"]
-        left = F.concat(F.array_join(F.slice(words, F.greatest(i - F.lit(REACH), F.lit(0)) + F.lit(1), F.least(i, F.lit(REACH))), " "), F.lit(" "))
-        right = F.concat(F.lit(" "), F.array_join(F.slice(words, i + F.lit(2), REACH), " "))
+        left = F.concat(F.array_join(F.slice(words, F.greatest(i - own["left"], F.lit(0)) + F.lit(1), F.least(i, own["left"])), " "), F.lit(" "))
+        right = F.concat(F.lit(" "), F.array_join(F.slice(words, i + F.lit(2), own["right"]), " "))
 
         def tried(ctx: Column) -> Column:
             def one(r: Column) -> Column:
@@ -280,16 +308,38 @@ def _detections(words: Column, rules: tuple[Signature, ...]) -> Column:
                 tail = F.when(r["after"] == "", F.lit(0)).otherwise(_words_in(F.call_function("regexp_extract", ctx["right"], r["after"], F.lit(0))))
                 return F.when(
                     hit,
-                    F.struct((i - lead).alias("start"), (-(i + tail)).alias("minus_end"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label"), r["base"].alias("base")),
+                    F.struct((i - lead).alias("start"), (-(i + tail)).alias("minus_end"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label"), r["base"].alias("base"), r["open"].alias("open"), r["part"].alias("part"), r["last"].alias("last")),
                 )
 
-            own = F.get(F.filter(packed, lambda p: p["anchor"] == a["w"]), F.lit(0))["rules"]
-            return F.filter(F.transform(own, one), lambda x: x.isNotNull())
+            return F.filter(F.transform(own["rules"], one), lambda x: x.isNotNull())
 
         return let(F.struct(left.alias("left"), right.alias("right")), tried)
 
     places = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(anchors, x["w"]))
-    return F.sort_array(F.flatten(F.transform(places, at)))
+    every = F.sort_array(F.flatten(F.transform(places, at)))
+    return let(every, lambda found: F.when(F.exists(found, lambda d: d["open"] >= 0), F.sort_array(F.concat(F.filter(found, lambda d: d["open"] < 0), _joined(F.filter(found, lambda d: d["open"] >= 0), rules)))).otherwise(found))
+
+
+def _joined(parts: Column, rules: tuple[Signature, ...]) -> Column:
+    """Detections of rules with gaps from those of their parts, by start: a part continues the chain of the part before it, once, if that has ended."""
+    numbers = sorted({r.open for r in rules if r.open >= 0})
+    most = max(r.part for r in rules) + 1
+    place = {n: k * most for k, n in enumerate(numbers)}
+    at = F.create_map(*(F.lit(x) for pair in place.items() for x in pair))
+    chain = "struct<start:int,end:int>"
+    empty = F.struct(F.array_repeat(F.lit(None).cast(chain), len(numbers) * most).alias("open"), F.filter(parts, lambda d: F.lit(False)).alias("out"))
+
+    def step(state: Column, d: Column) -> Column:
+        mine = F.element_at(at, d["open"]) + d["part"]
+        before = F.get(state["open"], mine - 1)
+        begins = d["part"] == 0
+        goes = begins | (before.isNotNull() & (before["end"] <= d["start"]))
+        grown = F.struct(F.when(begins, d["start"]).otherwise(before["start"]).cast("int").alias("start"), (-d["minus_end"]).cast("int").alias("end"))
+        opened = F.transform(state["open"], lambda x, k: F.when(~goes, x).when((k == mine) & ~d["last"], grown).when((k == mine - 1) & ~begins, F.lit(None).cast(chain)).otherwise(x))
+        found = F.when(goes & d["last"], F.array_append(state["out"], d.withField("start", grown["start"]))).otherwise(state["out"])
+        return F.struct(opened.alias("open"), found.alias("out"))
+
+    return F.aggregate(parts, empty, step, lambda state: state["out"])
 
 
 def scan(docs: DataFrame, rules: tuple[Signature, ...] | None = None) -> DataFrame:
@@ -300,7 +350,7 @@ def scan(docs: DataFrame, rules: tuple[Signature, ...] | None = None) -> DataFra
     gate = let(F.lower(text), lambda t: reduce(lambda a, b: a | b, (F.contains(t, F.lit(g)) for g in _gates({r.anchor for r in rules}))))
     # F.lower also lowers letters beyond ASCII, which no rule names; word ends stay the same.
     words = F.filter(F.split(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
-    none = F.array().cast("array<struct<start:int,minus_end:int,priority:int,rule:int,label:string,base:boolean>>")
+    none = F.array().cast("array<struct<start:int,minus_end:int,priority:int,rule:int,label:string,base:boolean,open:int,part:int,last:boolean>>")
     found = F.when(gate, let(words, lambda w: _detections(w, rules))).otherwise(none)
 
     def kept(dets: Column) -> Column:
