@@ -42,9 +42,11 @@ ACCOUNT = re.compile(r"[0-9](?:[ -]?[0-9]){5,}")
 IBAN_CHAIN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9])+")
 #: Lengths of IBANs by country; those of other countries are found by their check digits alone.
 IBAN_LENGTHS = dict(zip("AD AE AT BE BG CH CY CZ DE DK EE ES FI FR GB GI GR HR HU IE IL IS IT LI LT LU LV MC MT NL NO PL PT RO SA SE SI SK SM TR".split(), map(int, "24 23 20 16 22 21 28 24 22 18 20 24 18 27 22 23 27 21 28 22 23 26 27 21 20 20 21 27 31 18 15 28 25 24 24 24 19 24 27 26".split()), strict=True))
-STREET_LEFT = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[A-Za-z]?,?(?: [A-Z][\w'’.-]{0,30}){1,4} $")
-STREET_RIGHT = re.compile(r"\.?(?:,? (?:Apt|Suite|Ste|Unit|#)\.? ?[0-9A-Za-z-]{1,6})?(?:,? [A-Z][A-Za-z]{1,20}(?: [A-Z][A-Za-z]{1,20}){0,2},? [A-Z]{2} [0-9]{5}(?:-[0-9]{4})?)?")
-STRASSE = re.compile(r" [0-9]{1,4}[a-z]?(?:, [0-9]{5} [A-ZÄÖÜ][a-zäöüß]{1,30})?(?![0-9A-Za-z])")
+STREET_NUMBER = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[A-Za-z]?,?$")
+STREET_NAME = re.compile(r"[A-Z][\w'’.-]*")
+STREET_NAMES = 4
+STREET_RIGHT = re.compile(r"\.?(?:,? (?:Apt|Suite|Ste|Unit|#)\.? ?[0-9A-Za-z-]+)?(?:,? [A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+){0,2},? [A-Z]{2} [0-9]{5}(?:-[0-9]{4})?)?")
+STRASSE = re.compile(r" [0-9]{1,4}[a-z]?(?:, [0-9]{5} [A-ZÄÖÜ][a-zäöüß]+)?(?![0-9A-Za-z])")
 HEX_TOKEN = re.compile(r"\s*[=:]\s*[\"']([0-9A-Za-z_-]{16,})[\"']")
 AWS_KEY = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])")
 PREFIXED_KEY = re.compile(r"(?:ghp_|gho_|xoxb-|xoxp-|sk_live_|sk_test_|whsec_)[0-9A-Za-z-]{10,}")
@@ -95,6 +97,20 @@ def iban_end(text: str, p: int) -> int:
     return -1
 
 
+def street_start(text: str, p: int) -> int:
+    """Where the address begins whose kind of street begins at p: a number, then one to four names, of any length; -1 if there is none."""
+    names = 0
+    while p and text[p - 1] == " ":
+        at = text.rfind(" ", 0, p - 1) + 1
+        number = STREET_NUMBER.search(text, max(at - 1, p - 9, 0), p - 1) if names else None
+        if number:
+            return number.start()
+        if names == STREET_NAMES or not STREET_NAME.fullmatch(text, at, p - 1):
+            return -1
+        names, p = names + 1, at
+    return -1
+
+
 def _folded(text: str) -> str:
     """Lower case with unchanged positions."""
     low = text.lower()
@@ -160,12 +176,12 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 if end > 0:
                     out.append((start, end, "account"))
         elif kind == "street":
-            if not text[q : q + 1].isalnum() and text[p].isupper() and (left := STREET_LEFT.search(text, max(0, p - 160), p)):
-                out.append((left.start(), STREET_RIGHT.match(text, q).end(), "address"))
+            if not text[q : q + 1].isalnum() and text[p].isupper() and (start := street_start(text, p)) >= 0:
+                out.append((start, STREET_RIGHT.match(text, q).end(), "address"))
         elif kind == "strasse":
             if m := STRASSE.match(text, q):
                 start = p
-                while start > max(0, p - 40) and text[start - 1].isalpha():
+                while start and text[start - 1].isalpha():
                     start -= 1
                 if text[start].isupper():
                     out.append((start, m.end(), "address"))
