@@ -52,6 +52,33 @@ def test_pii_other_kinds_and_redaction(spark):
     assert pii.redacted("abcdef", [(0, 2, "ip"), (1, 3, "card"), (4, 5, "email")]) == "[IP]d[EMAIL]f"
 
 
+ADDRESSES = (
+    re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[A-Za-z]?,?(?: [A-Z][\w'’.-]*){1,4} (?:Street|Avenue|Road|Lane)(?![^\W_])\.?(?:,? (?:Apt|Suite|Ste|Unit|#)\.? ?[0-9A-Za-z-]+)?(?:,? [A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+){0,2},? [A-Z]{2} [0-9]{5}(?:-[0-9]{4})?)?"),
+    re.compile(r"(?<![^\W\d_])[A-ZÄÖÜ][^\W\d_]*(?:straße|platz)(?= [0-9])" + pii.STRASSE.pattern),
+)
+
+
+def own_kinds(text):
+    """Kinds of our own but accounts, by patterns over the whole text."""
+    out = [(m.start(), m.end(), "address") for p in ADDRESSES for m in p.finditer(text)]
+    out += [(m.start(), m.end(), "ssn") for m in re.finditer(r"(?<![-0-9])[0-9]{3}([- ])[0-9]{2}\1[0-9]{4}(?![-0-9])", text)]
+    return sorted(out)
+
+
+def test_pii_own_kinds_against_whole_patterns():
+    random.seed(12)
+    pieces = ["12", "5b,", "Main", "Quite" + "long" * 20, "Straßenbahnhaltestellenwartehäuschenhinterhofplatz 5", "Lindenstraße 8, 20095 Hamburg", "platz 3", "Street", "Avenue", "Road", "Lane", "streets", ".", "Apt 1234567", "Springfield, IL 62701", "Los Altos Hills CA 94022-1234", "123-45-6789", "1123-45-6789", "123 45 6789", "é", "and", "\n", "(", "7 Elm"]
+    for _ in range(3000):
+        text = random.choice((" ", " ", "")).join(random.choice(pieces) for _ in range(random.randint(1, 9))) if random.random() < 0.2 else " ".join(random.choice(pieces) for _ in range(random.randint(1, 9)))
+        got = [s for s in pii.find(text) if s[2] in ("ssn", "address")]
+        want = own_kinds(text)
+        assert {s for s in got if s[2] == "ssn"} == {s for s in want if s[2] == "ssn"}, text
+        # the operator reports an address for each kind of street, a pattern the leftmost longest only
+        assert {s[:1] for s in want if s[2] == "address"} <= {s[:1] for s in got if s[2] == "address"}, (text, got, want)
+        assert all(any(p.match(text, s[0]) and p.fullmatch(text, s[0], s[1]) for p in ADDRESSES) for s in got if s[2] == "address"), (text, got)
+    assert [s[:2] for s in pii.find("Straßenbahnhaltestellenwartehäuschenhinterhofplatz 5")] == [(0, 52)]
+
+
 def test_pii_accounts_and_long_values():
     only = lambda text, kind: [text[a:b] for a, b, k in pii.find(text) if k == kind]
     for iban in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "MU17BOMM0101101030300200000MUR", "NO93 8601 1117 947"):
@@ -346,11 +373,27 @@ def brute_leaks(words, own):
                     votes[clean(own[p + j])][clean(words[at + p + j])] += 1
         best = {a: min(c, key=lambda b: (-c[b], b)) for a, c in votes.items()}
         held = [p for p in there if all(best[clean(own[p + j])] == clean(words[at + p + j]) for j in range(5) if slot[p + j])]
-        if usable and len(held) >= 0.75 * len(usable):
+        mixed = any(len(c) > 1 for c in votes.values()) and any(a != b for a, b in best.items())
+        if usable and len(held) >= 0.75 * len(usable) and not mixed:
             return True
     return False
 
 
+def test_decontamination_judges_slots():
+    """One value of an item that takes two values makes another text, however few windows hold it."""
+    item = "so 3 apples are for Ann who lives near the old mill and 5 pears are also for Ann because she asked for them while the last of all goes to Ann too".split()
+    code = lambda words: [w.encode() for w in words]
+    block = decontamination.Block([(1, code(item))])
+    swap = lambda *names: [next(it) if w == "Ann" else {"3": "7", "5": "9"}.get(w, w) for it in [iter(names)] for w in item]
+    assert [x[4] for x in block.leaks(code(swap("Bob", "Bob", "Bob")))] == [True]
+    assert not block.leaks(code(swap("Bob", "Bob", "Eve"))) and not block.leaks(code(swap("Bob", "Eve", "Bob")))
+    assert [x[4] for x in block.leaks(code(item))] == [False]
+    slip = [w if i != len(item) - 2 else "Eve" for i, w in enumerate(item)]
+    assert [x[4] for x in block.leaks(code(slip))] == [False]  # a copy with one slip is a copy
+    long_ = code(["pad"] * 200_000 + swap("Bob", "Bob", "Bob") + ["Pad."] * 200_000)
+    assert len(block.leaks(long_)) == 1
+
+
 def test_decontamination_against_brute_force():
     """Random items, copies with other values, mixed-up values and broken copies: each aligned leak is found, and what no alignment holds is not."""
     random.seed(9)

@@ -5,10 +5,11 @@ sentence, and at its start where the text also has them inside one) and units (a
 punctuation around them. Windows of five template words are hashed; a document is joined with
 the items by the hashes of its windows. Where the windows of an item that a document holds
 are aligned, slots are checked: one value of the item must stand for one value in the document, so
-"3 apples for Ann ... Ann" may become "7 apples for Bob ... Bob" but not "... Eve". This
-holds for each occurrence on its own: hits whose offsets (position in the document less that in the item) are
-equal or close, and also all hits together, for an item that is spread over a document. A leak is a
-document in which one of these holds at least 0.75 of an item's windows with consistent slots.
+"3 apples for Ann ... Ann" may become "7 apples for Bob ... Bob" but not "... Eve": a text with other values than the item
+of which one value of the item takes two is another text. (A copy that has the item's own values may have a slip in
+one of them; it costs the windows that hold the slip.) Each occurrence is judged on its own: hits whose offsets (position
+in the document less that in the item) are equal or close, and also all hits together, for an item that is spread over a
+document. A leak is a document in which one of these holds at least 0.75 of an item's windows with consistent slots.
 
 Items that differ in their slots' values only (and repeat them alike) are one class, which is searched once; a leak of it
 is reported under the item whose values the document has, else under the least item_id, with the number of
@@ -207,11 +208,13 @@ class Block:
                 continue
             own, slot = self.words[k], self.slot[k]
             for group in _occurrences(pairs, len(own), least):
-                held, chosen = _consistent(group, own, words, slot)
+                held, chosen, mixed = _consistent(group, own, words, slot)
                 if held < least:
                     continue
                 values = tuple(chosen.get(v := _bare(own[p]), v) for p in np.flatnonzero(slot).tolist())
                 same = values in self.members[k]
+                if mixed and not same:
+                    continue
                 if best is None or (held, same) > best[:2]:
                     best = held, same, values
             if best is not None:
@@ -237,8 +240,8 @@ def _occurrences(pairs: list[tuple[int, int]], size: int, least: float) -> Itera
         yield pairs
 
 
-def _consistent(pairs: list[tuple[int, int]], own: list[bytes], words: list[bytes], slot: np.ndarray) -> tuple[int, dict[bytes, bytes]]:
-    """Windows of the item whose slots hold the values chosen for them, and the value chosen for each of the item's."""
+def _consistent(pairs: list[tuple[int, int]], own: list[bytes], words: list[bytes], slot: np.ndarray) -> tuple[int, dict[bytes, bytes], bool]:
+    """Windows of the item whose slots hold the values chosen for them, the value chosen for each of the item's, and whether one of these takes two."""
     votes: dict[bytes, Counter] = defaultdict(Counter)
     filled: dict[tuple[int, int], list[tuple[bytes, bytes]]] = {}
     for d, p in pairs:
@@ -247,7 +250,7 @@ def _consistent(pairs: list[tuple[int, int]], own: list[bytes], words: list[byte
         for a, b in both:
             votes[a][b] += 1
     best = {a: min(c, key=lambda b: (-c[b], b)) for a, c in votes.items()}
-    return len({p for (d, p), both in filled.items() if all(best[a] == b for a, b in both)}), best
+    return len({p for (d, p), both in filled.items() if all(best[a] == b for a, b in both)}), best, any(len(c) > 1 for c in votes.values())
 
 
 def _bare(word: bytes) -> bytes:
