@@ -176,8 +176,28 @@ def spans(pages: DataFrame, book: RuleBook, unlabelled: int | None = None, carry
     matchers: what categories of the book that are none of the fixed ones look for.
     """
     book.required()
-    base = _read(pages, carry)
     keys = ["doc_id", "page", *carry]
+    out, base = None, page_spans(pages, book, unlabelled, carry, matchers)
+    if len(book.exact) <= MANY_EXACT or book.categories:
+        found = base.select(*keys, F.explode("sources").alias("s")).select(*keys, "s.*")
+        out = found.select(*keys, "source_kind", "category", "rule_description", "rule_line", F.explode("spans").alias("m")).select("*", "m.*").drop("m")
+    if len(book.exact) > MANY_EXACT:
+        many = many_exact(base.select(*keys, "n"), book.exact)
+        out = many if out is None else out.unionByName(many)
+    return out
+
+
+SOURCES = f"array<struct<source_kind:string,category:string,rule_description:string,rule_line:int,spans:{SPAN}>>"
+
+
+def page_spans(pages: DataFrame, book: RuleBook | None, unlabelled: int | None = None, carry: tuple[str, ...] = (), matchers: Matchers | None = None) -> DataFrame:
+    """doc_id, page, columns to carry along, text, n (the normalised text) and sources: each rule with its spans on the page, without more than MANY_EXACT literals.
+
+    One projection: what masks a page's spans needs no join to find them.
+    """
+    base = _read(pages, carry)
+    if book is None:
+        return base.withColumn("sources", F.array().cast(SOURCES))
     lines = {r.category: r.line_number for r in book.rules if r.kind == "category"}
     own = matchers.named(book) if matchers else {}
     for category in own:
@@ -193,14 +213,7 @@ def spans(pages: DataFrame, book: RuleBook, unlabelled: int | None = None, carry
             continue
         found = category_hits(category, F.col("n"), F.col("text"), F.col("runs"), unlabelled, F.col("cells") if category in COLUMNS else None)
         sources.append(_source("category", category, CANONICAL[category], lines[category], found))
-    out = None
-    if sources:
-        found = base.select(*keys, F.explode(F.array(*sources)).alias("s")).select(*keys, "s.*")
-        out = found.select(*keys, "source_kind", "category", "rule_description", "rule_line", F.explode("spans").alias("m")).select("*", "m.*").drop("m")
-    if len(book.exact) > MANY_EXACT:
-        many = many_exact(base.select(*keys, "n"), book.exact)
-        out = many if out is None else out.unionByName(many)
-    return out
+    return base.select("doc_id", "page", *carry, "text", "n", F.array(*sources).cast(SOURCES).alias("sources"))
 
 
 def _read(pages: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:

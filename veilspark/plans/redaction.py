@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.text import has_text, normalized
 from veilspark.operators.matchers import Matchers
-from veilspark.operators.spans import RUNAWAY, literal_hits, merged, refused, spans, with_pages
+from veilspark.operators.spans import MANY_EXACT, RUNAWAY, literal_hits, merged, page_spans, refused, spans, with_pages
 from veilspark.plans import plan
 from veilspark.sources import copies
 from veilspark.sources.rules import RuleBook
@@ -108,15 +109,23 @@ def redact(
         extra = extra.select("doc_id", "page", F.lit(0).alias("place"), F.lit(0).alias("rule_line"), F.lit("proposal").alias("rule_description"), "start", "stop", "matched_text", F.lit("proposal").alias("origin"))
         wrong = store.kept(located_elsewhere(extra, base), "located-elsewhere")
         extra = store.kept(extra.join(wrong.select("doc_id", "page", "start", "stop"), ["doc_id", "page", "start", "stop"], "left_anti").select(*FOUND), "extra")
-    raw = store.kept(_hits(_places(base), book, values, extra, matchers), "spans-1")
-    found, away = _refused(raw)
-    away = store.kept(away, "refused-1")
-    findings = store.kept(found, "findings-1").withColumn("pass", F.lit(1))
-    start = base.select(
-        "doc_id", "page", normalized(F.col("text")).alias("text"), has_text(F.col("text")).alias("readable"), F.array().cast(RANGES).alias("cover"), F.lit(0).alias("passes"), F.lit(0).cast("long").alias("n"),
-        F.lit(0).alias("misplaced"), F.array().cast("array<int>").alias("gone"), *(["annotations"] if noted else []),
-    )
-    done = store.kept(_apply(start, findings.drop("pass"), 1), "pages-1")
+    more, notes = [], None
+    if book is not None and len(book.exact) > MANY_EXACT:
+        many = _refused(store.kept(_hits(_places(base.select("doc_id", "page", "text")), RuleBook(book.exact), None, None, matchers), "spans-of-many"))
+        more.append(many[0])
+    if values is not None:
+        more.append(value_spans(base, values))
+    if extra is not None:
+        more.append(extra)
+    if noted:
+        notes = store.kept(_hits(_places(base).filter("place > 0"), book, values, extra, matchers).filter("place > 0"), "spans-of-annotations")
+    done = store.kept(_first(base, book, matchers, more, notes), "pages-1")
+    found = done.select("doc_id", "page", F.explode("found").alias("f")).select("doc_id", "page", F.lit(0).alias("place"), "f.*")
+    findings = (found if notes is None else found.select(*FOUND).unionByName(notes.select(*FOUND))).select(*FOUND).withColumn("pass", F.lit(1))
+    away = done.select("doc_id", "page", F.explode("away").alias("a")).select("doc_id", "page", "a.*")
+    if book is not None and len(book.exact) > MANY_EXACT:
+        away = away.unionByName(many[1].select(*away.columns))
+    done = done.drop("found", "away")
     left, unlocated, refusals = findings.drop("pass").limit(0), None, away
     for n in range(2, max(max_passes, 1) + 2) if verify else ():
         residue, unlocated, late = _residue(done, findings, book, values, extra, refusals, inspector, matchers, store, n)
@@ -146,6 +155,48 @@ def redact(
     return Redaction(out, findings, store.kept(doomed, "annotations"), problems, documents(out, problems, hold, left))
 
 
+ONE = "array<struct<rule_line:int,rule_description:string,start:int,stop:int,matched_text:string,origin:string>>"
+AWAY = "array<struct<rule_line:int,rule_description:string,n:long>>"
+
+
+def _first(base: DataFrame, book: RuleBook | None, matchers: Matchers | None, more: list[DataFrame], notes: DataFrame | None) -> DataFrame:
+    """The first pass: pages masked, with the spans found on them and the rules refused there.
+
+    What rules find is masked in the projection that finds it; only spans that come from elsewhere (values of plans, reviewers, many
+    literals) and annotations are joined, and only if there are any.
+    """
+    carry = ("annotations",) if "annotations" in base.columns else ()
+    pages = page_spans(base, book, carry=carry, matchers=matchers)
+    kept = F.filter("sources", lambda s: F.size(s["spans"]) <= RUNAWAY)
+
+    def rows(s: Column) -> Column:
+        return F.transform(s["spans"], lambda m: F.struct(s["rule_line"], s["rule_description"], m["start"], m["stop"], m["matched_text"], F.lit("rule")))
+
+    away = F.transform(F.filter("sources", lambda s: F.size(s["spans"]) > RUNAWAY), lambda s: F.struct(s["rule_line"], s["rule_description"], F.size(s["spans"]).cast("long")))
+    pages = pages.select("doc_id", "page", *carry, F.col("n").alias("text"), has_text(F.col("text")).alias("readable"), F.flatten(F.transform(kept, rows)).cast(ONE).alias("found"), away.cast(AWAY).alias("away"))
+    if more:
+        joined = reduce(lambda a, b: a.unionByName(b), (m.select(*FOUND) for m in more))
+        grouped = joined.groupBy("doc_id", "page").agg(F.collect_list(F.struct("rule_line", "rule_description", "start", "stop", "matched_text", "origin")).cast(ONE).alias("more"))
+        pages = pages.join(grouped, ["doc_id", "page"], "left").withColumn("found", F.concat("found", F.coalesce("more", F.array().cast(ONE)))).drop("more")
+    gone = F.array().cast("array<int>")
+    if notes is not None:
+        doomed = _doomed(notes).groupBy("doc_id", "page").agg(F.array_sort(F.collect_set("annotation")).alias("noted"))
+        pages, gone = pages.join(doomed, ["doc_id", "page"], "left"), F.coalesce("noted", gone)
+    pages = pages.select("doc_id", "page", *carry, "text", "readable", "away", "found", gone.alias("gone"))
+    right = F.filter("found", lambda m: _holds(F.col("text"), m))
+    checked = pages.withColumn("right", right).withColumn("ranges", F.transform("right", lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"))))
+    items = (F.size("right") + F.size("gone")).cast("long")
+    return checked.select(
+        "doc_id", "page", *carry, masked(F.col("text"), F.col("ranges")).alias("text"), "readable", merged(F.col("ranges")).alias("cover"), F.when(items > 0, 1).otherwise(0).alias("passes"), items.alias("n"),
+        (F.size("found") - F.size("right")).alias("misplaced"), "gone", "found", "away",
+    )
+
+
+def _holds(text: Column, m: Column) -> Column:
+    """Whether a span's range holds its recorded text."""
+    return F.substring(text, m["start"] + F.lit(1), m["stop"] - m["start"]) == m["matched_text"]
+
+
 def _strings(annotations: Column) -> Column:
     """Both strings of each annotation, in order: that of annotation i are at 2 i and 2 i + 1."""
     return F.flatten(F.transform(F.coalesce(annotations, F.array().cast("array<struct<value:string,contents:string>>")), lambda a: F.array(a["value"].cast("string"), a["contents"].cast("string"))))
@@ -236,10 +287,7 @@ def _apply(base: DataFrame, found: DataFrame, number: int) -> DataFrame:
     spans_here, more = F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int,matched_text:string>>")), F.coalesce("more_gone", F.array().cast("array<int>"))
     rest = [c for c in base.columns if c not in ("text", "cover", "passes", "n", "misplaced", "gone")]
 
-    def holds(m: Column) -> Column:
-        return F.substring("text", m["start"] + F.lit(1), m["stop"] - m["start"]) == m["matched_text"]
-
-    checked = joined.withColumn("right", F.filter(spans_here, holds)).withColumn("ranges", F.transform("right", lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"))))
+    checked = joined.withColumn("right", F.filter(spans_here, lambda m: _holds(F.col("text"), m))).withColumn("ranges", F.transform("right", lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"))))
     fresh = F.array_except(more, F.col("gone"))
     return checked.select(
         *rest, F.when(F.size("ranges") > 0, masked(F.col("text"), F.col("ranges"))).otherwise(F.col("text")).alias("text"),
