@@ -11,6 +11,7 @@ from veilspark.functions.text import normalized, normalized_breaks
 from veilspark.operators import offsets, proposals, recognition, tables
 from veilspark.operators import spans as S
 from veilspark.plans import plan, redaction, reports
+from veilspark.sources import copies
 from veilspark.sources import rules as R
 from veilspark.sources import tables as sources
 
@@ -196,8 +197,13 @@ def test_stream(spark, tmp_path):
     book = R.RuleBook((R.Rule("category", None, False, "emailAddresses", 1),))
     query = stream.redact_stream(stream.page_stream(spark, f"{tmp_path}/in"), book, f"{tmp_path}/out", f"{tmp_path}/check")
     query.awaitTermination(120)
-    rows = {r["doc_id"]: r["status"] for r in spark.read.parquet(f"{tmp_path}/out/pages").collect()}
-    assert rows == {1: "redacted", 2: "no_matches"}
+    assert {r["doc_id"]: r["status"] for r in copies.visible(spark, f"{tmp_path}/out/copies").collect()} == {1: "redacted", 2: "no_matches"}
+    spark.createDataFrame([(1, 2, "c@d.example"), (2, 1, "now e@f.example"), (3, 1, "g@h.example left")], stream.PAGES).write.mode("append").parquet(f"{tmp_path}/in")
+    left = lambda p: p.filter("doc_id = 3").selectExpr("doc_id", "page", "'g@h.example' value")
+    query = stream.redact_stream(stream.page_stream(spark, f"{tmp_path}/in"), book, f"{tmp_path}/out", f"{tmp_path}/check", inspector=left, max_passes=1)
+    query.awaitTermination(120)
+    assert {(r["doc_id"], r["page"]): r["status"] for r in copies.visible(spark, f"{tmp_path}/out/copies").collect()} == {(1, 1): "redacted", (1, 2): "redacted", (2, 1): "redacted"}
+    assert [r["doc_id"] for r in copies.visible(spark, f"{tmp_path}/out/parked").collect()] == [3]
 
 
 def test_benchmark_literals_of_a_large_table(spark, tmp_path):
@@ -219,12 +225,13 @@ def placed(spark, category, *texts):
 
 def test_values_are_placed_behind_their_labels(spark):
     """A value that also stands in its label is found where it is the value."""
-    texts = ("x DB_PASSWORD=DB_PASSWORD y", "password hunter22 was `hunter22` then", "token: token_token_12345 end", "a://user:user@host")
+    texts = ("x DB_PASSWORD=DB_PASSWORD y", "password hunter22 was `hunter22` then", "token: token_token_12345 end", "a://user:user@host", "see https://u:p@ss@host/x@y")
     rows = S.spans(pages(spark, *texts), book_of("secrets")).collect()
     assert all(texts[r["doc_id"] - 1][r["start"] : r["stop"]] == r["matched_text"] for r in rows)
     assert (1, texts[0].rindex("DB_"), texts[0].rindex("DB_") + 11) in {(r["doc_id"], r["start"], r["stop"]) for r in rows}
     assert (2, texts[1].index("`") + 1, texts[1].rindex("`")) in {(r["doc_id"], r["start"], r["stop"]) for r in rows}
     assert redaction.located_elsewhere(S.spans(pages(spark, *texts), book_of("secrets")), pages(spark, *texts)).count() == 0
+    assert (5, 12, 18) in {(r["doc_id"], r["start"], r["stop"]) for r in rows}  # the password runs to the last at-sign of its part
     masked = {r["doc_id"]: r["text"] for r in redaction.redact(pages(spark, *texts), book_of("secrets")).pages.collect()}
     assert masked[1] == "x DB_PASSWORD=" + "█" * 11 + " y" and "`hunter22`" not in masked[2]
 
@@ -340,9 +347,9 @@ def test_table_columns_of_several_categories(spark):
 def test_spans_of_a_stream(spark, tmp_path):
     from veilspark.streaming.pages import page_stream, span_stream
 
-    docs = spark.createDataFrame([(1, 1, "at 10.0.0.1 and a@b.example"), (2, 1, None), (3, 2, "10.0.0.2")], "doc_id long, page int, text string")
+    docs = spark.createDataFrame([(1, 1, "at 10.0.0.1 and a@b.example"), (2, 1, None), (3, 2, "10.0.0.2"), (4, 1, "| Account |\n|---|\n| 123-456-789 |")], "doc_id long, page int, text string")
     docs.write.parquet(f"{tmp_path}/in")
-    book = book_of("ipAddresses", "emailAddresses")
+    book = book_of("ipAddresses", "emailAddresses", "accountNumbers")
     query = span_stream(page_stream(spark, f"{tmp_path}/in"), book).writeStream.format("memory").queryName("streamed").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     query.awaitTermination(120)
     columns = ["doc_id", "page", "start", "stop", "matched_text"]

@@ -176,12 +176,12 @@ def _digest(rows: DataFrame) -> tuple[int, int]:
     return got["n"], int(got["h"])
 
 
-def _bucketed(rows: DataFrame, buckets: int, key: str) -> DataFrame:
-    return rows.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+def _bucketed(rows: DataFrame, buckets: int, key: tuple[str, ...]) -> DataFrame:
+    return rows.withColumn(BUCKET, F.pmod(F.xxhash64(key[0]), F.lit(buckets)).cast("int"))
 
 
-def staged(rows: DataFrame, root: str, key: str = "doc_id", buckets: int = BUCKETS, source: str | None = None) -> Staged:
-    """Write rows, a document's pages by key, as a run: nothing of it is visible yet.
+def staged(rows: DataFrame, root: str, key: tuple[str, ...] = ("doc_id",), buckets: int = BUCKETS, source: str | None = None) -> Staged:
+    """Write rows as a run, in place of those of the same key (its first column deals them into buckets): nothing of it is visible yet.
 
     Documents that the newest version holds in the same buckets, and that rows does not replace, are written with them. rows is
     read more than once: store it first if it is dear. source: the path that rows were made from, which is refused as root.
@@ -196,7 +196,7 @@ def staged(rows: DataFrame, root: str, key: str = "doc_id", buckets: int = BUCKE
     touched = frozenset(r[0] for r in fresh.select(BUCKET).distinct().collect())  # as many as buckets at most
     old = [x for x in manifest["files"] if x["bucket"] in touched]
     if old:
-        kept = spark.read.schema(manifest["ddl"]).parquet(*(f"{root}/{x['file']}" for x in old)).join(rows.select(key).distinct(), key, "left_anti")
+        kept = spark.read.schema(manifest["ddl"]).parquet(*(f"{root}/{x['file']}" for x in old)).join(rows.select(*key).distinct(), [*key], "left_anti")
         fresh = fresh.unionByName(_bucketed(kept, buckets, key), allowMissingColumns=True)
     run = uuid.uuid4().hex
     dealt = fresh.hint("rebalance", BUCKET).sortWithinPartitions(BUCKET)  # large buckets are split and small ones put together by size

@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+class NoSharedFolder(RuntimeError):
+    """Executors do not see what the driver or another executor writes to a folder of its own machine."""
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset the warehouse, unless that is a local folder and executors are elsewhere."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    warehouse, master = spark.conf.get("spark.sql.warehouse.dir"), spark.conf.get("spark.master", "")
+    if warehouse.startswith(("file:", "/")) and not re.match(r"local($|\[)", master):
+        raise NoSharedFolder("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse}/_scratch"
+
+
 class Store:
     """Tables of one run, in the shared checkpoint folder (the warehouse where none is set) unless a folder is given."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
-        root = folder or spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+        root = folder or shared_folder(spark)
         self.spark, self.folder = spark, f"{root.rstrip('/')}/run-{uuid.uuid4().hex}"
         target = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
