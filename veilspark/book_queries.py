@@ -12,11 +12,11 @@ from veilspark.functions import proposals as P
 from veilspark.operators import intervals, literals, proposals
 from veilspark.operators import spans as S
 from veilspark.operators.matchers import Matcher, Matchers
-from veilspark.oracles import BOTH, DOCS, IP, _norm, _places
-from veilspark.plans import plan, redaction
+from veilspark.oracles import BOTH, DOCS, IP, THE, _norm, _occurrences, _places
+from veilspark.plans import plan, redaction, reports
 from veilspark.sources import copies
 from veilspark.sources import rules as R
-from veilspark.sources.tables import Store, documents
+from veilspark.sources.tables import Store, conversations, documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,6 +142,44 @@ def own_matcher_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "rule_description", "start", "stop", "matched_text")
 
 
+# --- categories with offsets, and reports ---
+def category_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of six categories where they stand, one kind an order; odd orders hold what is near to a value but is none."""
+    k = F.col("o_orderkey")
+    kinds = (
+        _text("Pay to GB29NWBK", F.lpad(k.cast("string"), 8, "0"), " now, swift code DEUTDE", F.lpad((k % 100).cast("string"), 2, "0"), "."), _text("host fe80::", F.lower(F.hex(k % 65536)), " up since 12:34:56"),
+        _text("Dx: asthma, ICD-10: J", k % 90 + 10, "; ok"), _text("cvv: ", F.lpad((k % 1000).cast("string"), 3, "0"), " exp 04/27, cvx: 123"), _text("Send to PO Box ", k % 9999 + 1, ", not to PO Box A."), _text("VAT: GB", F.lpad(k.cast("string"), 9, "0"), ", private 123456789."),
+    )
+    near = _text("Pay to DE8 3704, swift code deutdeff, 12:34:56, dxx: none, cvx: 123, exp 14/27, P Box 12, private 123456789, ", k % 7)
+    text = F.when(k % 2 == 1, near).otherwise(F.element_at(F.array(*kinds), (k / 2 % 6 + 1).cast("int")))
+    pages = _table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.lit(1).alias("page"), text.alias("text"))
+    book = R.RuleBook(tuple(R.Rule("category", None, False, c, i + 1) for i, c in enumerate(("accountNumbers", "ipAddresses", "healthInformation", "creditCardNumbers", "streetAddresses", "employerIdentificationNumbers"))))
+    return S.spans(pages, book).select("doc_id", "rule_line", "start", "stop", "matched_text")
+
+
+def _that(spark: SparkSession, sf_dir: str) -> redaction.Redaction:
+    return redaction.redact(conversations(spark, sf_dir).drop("role"), R.RuleBook((R.Rule("exact", "that", False, None, 1),)))
+
+
+def page_rail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents of many pages: each turn's status, and the page worth seeing first."""
+    return reports.page_rail(_that(spark, sf_dir).pages).select("doc_id", "page", "status", "items", "first_page")
+
+
+def conversation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of documents of many pages, with their verdicts."""
+    out = _that(spark, sf_dir)
+    rows = out.documents.select("doc_id", "items", "pages_redacted", "worst_pass", F.size("unexamined_pages").cast("long").alias("n_unexamined"), "is_settled")
+    return rows.join(reports.verdicts(out.documents).select("doc_id", "verdict"), "doc_id")
+
+
+def gap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that was not checked or was set aside in a run over the documents."""
+    book = R.RuleBook((R.Rule("exact", "the", False, None, 1), R.Rule("category", None, False, "personNames", 2)), (("unknownCategory", 3, "nonsense"),))
+    out = redaction.redact(documents(spark, sf_dir), book, hold=True)
+    return reports.gaps(out.pages, book, out.problems)
+
+
 # --- annotations ---
 def annotated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose annotations are made from their keys and addresses: form fields, notes, and a null."""
@@ -250,7 +288,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         rules_parse, rules_diagnostics, unsupported_categories, benchmark_literals, book_literal_spans, tenant_book_spans, plan_parse, plan_usable, plan_pages, proposal_filters, chunked_texts, own_matcher_spans, redact_with_annotations,
         annotations_deleted, plan_with_annotations, published_copies, replaced_copies, hot_page_overlap, read_and_drawn_boxes,
-        token_boxes,
+        token_boxes, category_offsets, page_rail, conversation_documents, gap_report,
     )
 }
 
@@ -258,6 +296,8 @@ _LITERALS = f"""b AS (SELECT item_id, {_norm('text')} AS lit FROM benchmark),
   w AS (SELECT doc_id, item_id, n, lit, parts, unnest(range(1, len(parts))) AS i FROM (SELECT *, string_split(lower(n), lower(lit)) AS parts FROM n JOIN b ON contains(lower(n), lower(lit)))),
   lits AS (SELECT doc_id, item_id, (list_sum([length(x) FOR x IN parts[1:i]]) + (i - 1) * length(lit))::INT AS start, lit, substr(n, (list_sum([length(x) FOR x IN parts[1:i]]) + (i - 1) * length(lit))::INT + 1, length(lit)) AS matched_text FROM w)"""
 _NOTES = """p AS (SELECT page_id, 'p' || page_id || '@mail.example' AS mail, CASE page_id % 5 WHEN 0 THEN ['n', 'f'] WHEN 1 THEN ['f', 'n', 'n'] WHEN 2 THEN ['n'] ELSE [] END AS notes FROM pages)"""
+_RAIL = f"""WITH n AS (SELECT conv_id AS doc_id, (turn + 1)::INT AS page, {_norm("coalesce(text, '')")} AS n FROM conversations), k AS (SELECT doc_id, page, n, {_occurrences('that', 'lower(n)')}::BIGINT AS k FROM n),
+  c AS (SELECT doc_id, page, k, CASE WHEN k <= 40 THEN k ELSE 0 END AS items, CASE WHEN k BETWEEN 1 AND 40 THEN 'redacted' WHEN n = '' THEN 'not_examined' ELSE 'no_matches' END AS status FROM k)"""
 ORACLES: dict[str, str] = {
     "rules_parse": """
       SELECT n_nationkey AS rules_id, 2 AS line_number, 'exact' AS kind, n_name AS literal, false AS is_case_sensitive, NULL AS category FROM nation UNION ALL SELECT n_nationkey, 3, 'exact', lower(n_name), true, NULL FROM nation
@@ -315,4 +355,17 @@ ORACLES: dict[str, str] = {
       WITH t AS (SELECT l_orderkey AS o, l_linenumber * 6 AS s, l_linenumber * 10 AS x, l_partkey % 5 AS y FROM lineitem), h AS (SELECT o_orderkey AS o, o_custkey % 20 AS a FROM orders),
       u AS (SELECT h.o, min(x) AS x, min(y) AS y, max(x + 9) - min(x) AS w, max(y + 4) - min(y) AS h FROM h JOIN t ON t.o = h.o AND s < a + 13 AND a < s + 5 GROUP BY h.o)
       SELECT h.o AS doc_id, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w, u.h::DOUBLE AS h FROM h LEFT JOIN u USING (o)""",
+    "category_offsets": """
+      WITH o AS (SELECT o_orderkey AS k, (o_orderkey // 2) % 6 AS g FROM orders WHERE o_orderkey % 2 = 0),
+      v AS (SELECT k, 1 AS rule_line, 7 AS start, 'GB29NWBK' || lpad(k::VARCHAR, 8, '0') AS v FROM o WHERE g = 0 UNION ALL SELECT k, 1, 40, 'DEUTDE' || lpad((k % 100)::VARCHAR, 2, '0') FROM o WHERE g = 0
+        UNION ALL SELECT k, 2, 5, 'fe80::' || lower(to_hex(k % 65536)) FROM o WHERE g = 1 UNION ALL SELECT k, 3, 4, 'asthma, ICD-10: J' || (k % 90 + 10) FROM o WHERE g = 2 UNION ALL SELECT k, 3, 20, 'J' || (k % 90 + 10) FROM o WHERE g = 2
+        UNION ALL SELECT k, 4, 5, lpad((k % 1000)::VARCHAR, 3, '0') FROM o WHERE g = 3 UNION ALL SELECT k, 4, 13, '04/27' FROM o WHERE g = 3
+        UNION ALL SELECT k, 5, 8, 'PO Box ' || (k % 9999 + 1) FROM o WHERE g = 4 UNION ALL SELECT k, 6, 5, 'GB' || lpad(k::VARCHAR, 9, '0') FROM o WHERE g = 5)
+      SELECT k AS doc_id, rule_line, start, (start + length(v))::INT AS stop, v AS matched_text FROM v""",
+    "page_rail": f"""{_RAIL} SELECT doc_id, page, status, items, first(page) OVER (PARTITION BY doc_id ORDER BY CASE status WHEN 'not_examined' THEN 0 WHEN 'redacted' THEN 1 ELSE 2 END, page) AS first_page FROM c""",
+    "conversation_documents": f"""{_RAIL}, d AS (SELECT doc_id, sum(items)::BIGINT AS items, count_if(status = 'redacted') AS pages_redacted, max(CASE WHEN items > 0 THEN 1 ELSE 0 END)::INT AS worst_pass, count_if(status = 'not_examined') AS n_unexamined, bool_or(k > 40) AS bad FROM c GROUP BY doc_id)
+      SELECT doc_id, items, pages_redacted, worst_pass, n_unexamined, items > 0 AND NOT bad AND n_unexamined = 0 AS is_settled,
+        CASE WHEN items = 0 THEN 'nothing matched' WHEN bad THEN 'not written: it did not verify' ELSE items || CASE WHEN items = 1 THEN ' item removed' ELSE ' items removed' END || CASE WHEN n_unexamined > 0 THEN '; ' || n_unexamined || ' pages not examined' ELSE '' END END AS verdict FROM d""",
+    "gap_report": f"""{THE} SELECT 'Problem' AS title, 'document ' || doc_id || ', page 1: “the” matched ' || n || ' times on one page and was refused' AS detail FROM c WHERE n > 40
+      UNION ALL SELECT 'Pages not examined', 'document ' || doc_id || ', pages 1' FROM n WHERE coalesce(n, '') = '' UNION ALL SELECT 'Category without a detector', 'person names' UNION ALL SELECT 'Rule set aside', 'line 3: nonsense'""",
 }
