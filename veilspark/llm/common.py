@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -18,9 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; the warehouse, which executors share too, where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
-    return root.rstrip("/")
+    """The shared folder named in spark.checkpoint.dir; where it is unset the warehouse, unless that is a local folder and executors are elsewhere."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    warehouse, master = spark.conf.get("spark.sql.warehouse.dir"), spark.conf.get("spark.master", "")
+    if warehouse.startswith(("file:", "/")) and not re.match(r"local($|\[)", master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse.rstrip('/')}/_scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
