@@ -232,6 +232,7 @@ def published_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = redaction.redact(docs, _address_book())
     redaction.copied(first, root, source=f"{sf_dir}/documents.parquet")
     seen = store.kept(_state(spark, root, "verified"), "after-verified")
+    first.discard()
     legible = S.spans(docs, _address_book()).select("doc_id", "page", F.col("matched_text").alias("value"))  # an inspector that still reads what was masked
     failed = redaction.redact(docs, _address_book("emailAddresses"), max_passes=1, inspector=lambda p: legible)
     redaction.copied(failed, root)

@@ -20,7 +20,7 @@ from veilspark.operators.spans import MANY_EXACT, RUNAWAY, literal_hits, merged,
 from veilspark.plans import plan
 from veilspark.sources import copies
 from veilspark.sources.rules import RuleBook
-from veilspark.sources.tables import Store, published
+from veilspark.sources.tables import Store, published, withdrawn
 
 MAX_PASSES = 3
 BLOCK = "█"
@@ -70,6 +70,11 @@ class Redaction:
     annotations: DataFrame  # doc_id, page, annotation (its number from 0), value: annotations that hold a hit and went with it
     problems: DataFrame  # doc_id, page, problem
     documents: DataFrame  # one row a document: totals, disposition
+    folder: str | None = None  # where its passes are stored
+
+    def discard(self) -> bool:
+        """Delete the stored passes, once nothing reads this result any more."""
+        return self.folder is not None and withdrawn(self.pages.sparkSession, self.folder)
 
 
 def redact(
@@ -152,7 +157,7 @@ def redact(
         doomed = doomed.join(texts, ["doc_id", "page", "place"]).select("doc_id", "page", "annotation", "value")
     else:
         doomed = doomed.select("doc_id", "page", "annotation", F.lit("").alias("value"))
-    return Redaction(out, findings, store.kept(doomed, "annotations"), problems, documents(out, problems, hold, left))
+    return Redaction(out, findings, store.kept(doomed, "annotations"), problems, documents(out, problems, hold, left), store.folder)
 
 
 ONE = "array<struct<rule_line:int,rule_description:string,start:int,stop:int,matched_text:string,origin:string>>"
@@ -331,6 +336,8 @@ def copied(result: Redaction, root: str, hold: bool = False, source: str | None
     state = result.documents.agg(F.coalesce(F.sum("items"), F.lit(0)).alias("items"), F.count_if(F.col("n_problems") > 0).alias("bad")).first()
     if not state["items"]:
         raise NothingMatched("no rule matched anything")
+    if state["bad"] and not hold:  # the read-back has said already that nothing of it may be seen
+        return None
     run = copies.staged(result.pages, root, buckets=buckets, source=source)
     return copies.published(result.pages.sparkSession, run, verified=state["bad"] == 0, hold=hold)
 
