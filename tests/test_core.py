@@ -21,8 +21,8 @@ Works. SSN 219-09-4417.
 Denver CO 80203
 orlaith@tern-works.example
 Phone (303) 555-0176
-Account Number
-000987650432
+Savings account
+88120045631
 Card kept 5500-XXXX-XXXX-1187
 Other card 5555 5555 5555 4444"""
 RULES = '# mine\n"Orlaith"\n"Tern Works"\n"5500-XXXX-XXXX-1187"\nsocial security numbers\ncredit card numbers\naccount numbers\nemail addresses\nphone numbers\nstreet addresses\n'
@@ -44,20 +44,20 @@ def test_whole_page(spark):
     found = offsets.in_original(pages(spark, PAGE), S.spans(pages(spark, PAGE), book)).collect()
     assert len(found) == 11
     texts = {r["original_text"] for r in found}
-    assert {"Tern\nWorks", "17 Quarry Lane Unit 9\nDenver CO 80203", "000987650432"} <= texts
+    assert {"Tern\nWorks", "17 Quarry Lane Unit 9\nDenver CO 80203", "88120045631"} <= texts
     assert all(PAGE[r["original_start"] : r["original_stop"]] == r["original_text"] for r in found)
 
 
 def test_normalisation_matches_its_offsets(spark):
     random.seed(7)
-    texts = ["".join(random.choice("ab- \n\t\r1. ") for _ in range(40)) for _ in range(500)] + ["", "﻿x", "Har-\nbor View", "123-45-\n6789", "abc -\ndef"]
+    texts = ["".join(random.choice("ab- \n\t\r1. ") for _ in range(40)) for _ in range(500)] + ["", "﻿x", "Wood-\nland Park", "123-45-\n6789", "abc -\ndef"]
     rows = pages(spark, *texts).select("text", normalized(F.col("text")).alias("n"), normalized_breaks(F.col("text")).alias("b")).collect()
     for r in rows:
         n, starts, ends = offsets.normalize(r["text"])
         assert r["n"] == n and len(r["b"]) == len(n)
         assert r["b"].replace("\n", " ").replace(" ", " ") == n
         assert all(0 <= a < b <= len(r["text"]) for a, b in zip(starts, ends))
-    assert offsets.normalize("Har-\nbor View")[0] == "Harbor View"
+    assert offsets.normalize("Wood-\nland Park")[0] == "Woodland Park"
     assert offsets.normalize("123-45-\n6789")[0] == "123-45-6789"
     assert offsets.normalize("abc -\ndef")[0] == "abc -def"
 
@@ -86,11 +86,11 @@ def test_addresses(spark):
 
 def test_matchers(spark):
     assert one(spark, "socialSecurityNumbers", "123-45-6789", "123-45 6789", "1123-45-6789") == [["123-45-6789"], [], []]
-    assert one(spark, "creditCardNumbers", "4111 1111 1111 1111 cvv: 123 exp 04/28", "4417-XXXX-XXXX-9803", "4111 1111 1111 1112") == [["4111 1111 1111 1111", "123", "04/28"], [], []]
-    assert one(spark, "accountNumbers", "Account Number\n000123456789", "Account\n\nsome prose\n000123456789", "IBAN DE89 3704 0044 0532 0130 00") [:2] == [["000123456789"], []]
-    assert one(spark, "phoneNumbers", "Phone: (415) 555-0123", "415.555.0123 x12", "+47 555 01 234") == [["(415) 555-0123"], ["415.555.0123 x12"], ["+47 555 01 234"]]
+    assert one(spark, "creditCardNumbers", "4111 1111 1111 1111 cvv: 123 exp 04/28", "4026-XXXX-XXXX-7715", "4111 1111 1111 1112") == [["4111 1111 1111 1111", "123", "04/28"], [], []]
+    assert one(spark, "accountNumbers", "Savings account\n771204459", "Account\n\nmore words\n771204459", "IBAN DE89 3704 0044 0532 0130 00") [:2] == [["771204459"], []]
+    assert one(spark, "phoneNumbers", "Phone: (415) 555-0123", "415.555.0123 x12", "+46 70 123 4567") == [["(415) 555-0123"], ["415.555.0123 x12"], ["+46 70 123 4567"]]
     assert one(spark, "ipAddresses", "10.0.0.1:80 999.1.1.1 ::1 fe80::1", "1.2.3.4.5") == [["10.0.0.1", "::1", "fe80::1"], []]
-    assert one(spark, "driversLicenseNumbers", "BIS license application", "license D1234567") == [[], ["D1234567"]]
+    assert one(spark, "driversLicenseNumbers", "the license applies here too", "license D1234567") == [[], ["D1234567"]]
     assert one(spark, "datesOfBirth", "DOB: 1990-01-02", "2020-01-01", "| Name | DOB |\n|---|---|\n| A | 1990-01-02 |\n") == [["1990-01-02"], [], ["1990-01-02"]]
     exact = R.RuleBook((R.Rule("exact", "aa", False, None, 1), R.Rule("exact", "art", False, None, 2)))
     assert [r["matched_text"] for r in S.spans(pages(spark, "aaaa Smart carts"), exact).collect()] == ["aa", "aa", "art", "art"]
