@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
-RANGES = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+RANGES = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("matched_text", pa.string())]))
+RANGES_DDL = "array<struct<start:int,stop:int,matched_text:string>>"
 Range = tuple[int, int]
 
 
@@ -42,7 +43,7 @@ class Matcher:
 
     gate: a string that must stand in a text, else find never sees it. accept: given a value (a column), whether it
     counts; a value that does not is dropped and not looked for again. refine: given a span (start, stop, matched_text),
-    the span to report, by its start and stop within the text. overlaps: 'all' keeps all spans, 'distinct' one of equal
+    the start and stop to report, within it; a span that it empties or widens is dropped. overlaps: 'all' keeps all spans, 'distinct' one of equal
     ranges, 'widest' only the widest of an overlapping run.
     """
 
@@ -69,24 +70,29 @@ class Matcher:
             there = [i for i, t in enumerate(texts.to_pylist()) if t is not None]
             out: list[list[dict] | None] = [None] * len(texts)
             values = [texts[i].as_py() for i in there]
-            for i, own in zip(there, checked(name, find, values) if values else (), strict=True):
-                out[i] = [{"start": a, "stop": b} for a, b in own]
+            for i, text, own in zip(there, values, checked(name, find, values) if values else (), strict=True):
+                out[i] = [{"start": a, "stop": b, "matched_text": text[a:b]} for a, b in own]
             return pa.array(out, RANGES)
 
-        return F.arrow_udf(run, "array<struct<start:int,stop:int>>")(text if self.gate is None else F.when(F.contains(text, F.lit(self.gate)), text))
+        return F.arrow_udf(run, RANGES_DDL)(text if self.gate is None else F.when(F.contains(text, F.lit(self.gate)), text))
 
-    def hits(self, text: Column, raw: Column) -> Column:
+    def hits(self, raw: Column) -> Column:
         """Spans of a page, like those of a fixed category, from the column that found() made."""
         from veilspark.operators.spans import SPAN, _compare, first_of_equal_ranges, widest_of_overlapping
 
-        def span(start: Column, stop: Column) -> Column:
-            return F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), F.substring(text, start + F.lit(1), stop - start).alias("matched_text"), F.lit(0).alias("engine_no"))
+        def span(start: Column, stop: Column, value: Column) -> Column:
+            return F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), value.alias("matched_text"), F.lit(0).alias("engine_no"))
 
-        found = F.transform(F.coalesce(raw, F.array().cast("array<struct<start:int,stop:int>>")), lambda r: span(r["start"], r["stop"]))
+        def refined(m: Column) -> Column:  # cut from the value, not from the page, whose start may be far away
+            start, stop = self.refine(m)
+            within = (start >= m["start"]) & (stop > start) & (stop <= m["stop"])
+            return F.when(within, span(start, stop, F.substring(m["matched_text"], start - m["start"] + F.lit(1), stop - start)))
+
+        found = F.transform(F.coalesce(raw, F.array().cast(RANGES_DDL)), lambda r: span(r["start"], r["stop"], r["matched_text"]))
         if self.accept is not None:
             found = F.filter(found, lambda m: F.coalesce(self.accept(m["matched_text"]), F.lit(False)))
         if self.refine is not None:
-            found = F.filter(F.transform(found, lambda m: span(*self.refine(m))), lambda m: (m["start"] >= 0) & (m["stop"] > m["start"]) & (m["stop"] <= F.length(text)))
+            found = F.filter(F.transform(found, refined), lambda m: m.isNotNull())
         found = found.cast(SPAN)
         if self.overlaps == "widest":
             return widest_of_overlapping(found)

@@ -118,7 +118,11 @@ def exact_hits(text: Column, rule: Rule, engine_no: int) -> Column:
 def first_of_equal_ranges(spans: Column) -> Column:
     """Of spans with one range the first engine's stays; sorted by start."""
     ordered = F.array_sort(spans, lambda a, b: _compare(a, b, "start", "stop", "engine_no"))
-    return F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["start"] != x["start"]) | (F.get(ordered, i - 1)["stop"] != x["stop"]))
+
+    def firsts(held: Column) -> Column:  # sorted once, not once for each span
+        return F.filter(held, lambda x, i: (i == 0) | (F.get(held, i - 1)["start"] != x["start"]) | (F.get(held, i - 1)["stop"] != x["stop"]))
+
+    return _let(ordered, firsts)
 
 
 def _compare(a: Column, b: Column, *keys: str) -> Column:
@@ -209,7 +213,7 @@ def page_spans(pages: DataFrame, book: RuleBook | None, unlabelled: int | None =
         sources.append(_source("exact", None, rule.description, rule.line_number, exact_hits(F.col("n"), rule, 0)))
     for category in supported(book):
         if category in own:
-            sources.append(_source("category", category, own[category].description, lines[category], own[category].hits(F.col("n"), F.col(f"own {category}"))))
+            sources.append(_source("category", category, own[category].description, lines[category], own[category].hits(F.col(f"own {category}"))))
             continue
         found = category_hits(category, F.col("n"), F.col("text"), F.col("runs"), unlabelled, F.col("cells") if category in COLUMNS else None)
         sources.append(_source("category", category, CANONICAL[category], lines[category], found))
