@@ -26,7 +26,7 @@ def test_every_query_of_the_core_has_sql():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", ["email_spans", "ip_spans", "phone_spans", "card_spans", "account_spans", "normalize_text", "exact_rule_spans", "rules_parse", "plan_parse", "plan_merge", "proposal_filters", "benchmark_literals", "value_offsets", "table_column_spans", "original_offsets", "overlap_anti_join", "recognised_boxes", "rules_diagnostics", "unsupported_categories", "plan_usable", "plan_pages", "book_literal_spans", "tenant_book_spans", "own_matcher_spans", "redact_with_annotations", "annotations_deleted", "plan_with_annotations", "chunked_texts", "published_copies", "replaced_copies", "hot_page_overlap", "read_and_drawn_boxes", "token_boxes", "category_offsets", "page_rail", "conversation_documents", "gap_report"])
+@pytest.mark.parametrize("name", ["email_spans", "ip_spans", "phone_spans", "card_spans", "account_spans", "normalize_text", "exact_rule_spans", "rules_parse", "plan_parse", "plan_merge", "proposal_filters", "benchmark_literals", "value_offsets", "table_column_spans", "original_offsets", "overlap_anti_join", "recognised_boxes", "misread_boxes", "rules_diagnostics", "unsupported_categories", "plan_usable", "plan_pages", "book_literal_spans", "tenant_book_spans", "own_matcher_spans", "redact_with_annotations", "annotations_deleted", "plan_with_annotations", "chunked_texts", "published_copies", "replaced_copies", "hot_page_overlap", "read_and_drawn_boxes", "token_boxes", "category_offsets", "page_rail", "conversation_documents", "gap_report"])
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
     for file in os.listdir(DATA):

@@ -49,8 +49,13 @@ def agrees(read: Box, drawn: Box) -> bool:
     return meets and drawn[2] <= 1.5 * read[2] and drawn[3] <= 1.5 * read[3]
 
 
+def lowered(text: str) -> str:
+    """text in lower case, as long as before: the one capital whose small form is two characters is a plain i."""
+    return text.replace("İ", "i").lower()
+
+
 def folded(text: str) -> str:
-    return " ".join(text.lower().split())
+    return " ".join(lowered(text).split())
 
 
 def is_artefact(a: str, b: str) -> bool:
@@ -72,7 +77,7 @@ def boxes(value: str, lines: list[Line]) -> list[Box]:
     wanted, bare = value.strip(), folded(value)
     if not bare:
         return []
-    found = [x.covering(m.start(), m.end()) for x in lines for m in re.finditer(re.escape(wanted), x.text, re.I)]
+    found = [x.covering(m.start(), m.end()) for x in lines for m in re.finditer(re.escape(lowered(wanted)), lowered(x.text))]
     return found or [x.box for x in lines if bare in folded(x.text)] or across_lines(bare, lines) or approximate(wanted, lines)
 
 
@@ -114,9 +119,9 @@ def approximate(value: str, lines: list[Line]) -> list[Box]:
     n = len(value)
     if n < LEAST_APPROXIMATE:
         return []
-    low, most, out = value.lower(), max(1, n // 3), []
+    low, most, out = lowered(value), max(1, n // 3), []
     for x in lines:
-        text, best = x.text.lower(), None
+        text, best = lowered(x.text), None
         for a in range(len(text) - n + 1):
             m = _mismatches(low, text[a : a + n], most if best is None else best[0] - 1)
             if m is not None:
