@@ -18,6 +18,7 @@ from veilspark.functions.text import has_text, normalized
 from veilspark.operators.matchers import Matchers
 from veilspark.operators.spans import MANY_EXACT, RUNAWAY, literal_hits, merged, page_spans, refused, spans, with_pages
 from veilspark.plans import plan
+from veilspark.plans.progress import Progress
 from veilspark.sources import copies
 from veilspark.sources.rules import RuleBook
 from veilspark.sources.tables import Store, published, withdrawn
@@ -88,6 +89,7 @@ def redact(
     hold: bool = False,
     folder: str | None = None,
     matchers: Matchers | None = None,
+    progress: Progress | None = None,
 ) -> Redaction:
     """Mask what is to go, read back, and judge each document.
 
@@ -95,7 +97,7 @@ def redact(
     page, start, stop, matched_text in the normalised text: those whose range holds another text are reported, not masked);
     and all occurrences of a document's values (doc_id, value). inspector gets the masked pages (doc_id, page, text) and
     returns what it can still read there (doc_id, page, value); reports that contain or are contained in what was meant to
-    go are masked, too. folder: where passes are stored.
+    go are masked, too. folder: where passes are stored. progress counts pages as they are masked, read back and masked again.
 
     pages may have annotations (array<struct<value, contents>>), a second source of strings: each string is a place of its
     page, as the page's text is place 0, and all that goes is looked for in both, reviewers' texts and inspectors' reports
@@ -124,7 +126,10 @@ def redact(
         more.append(extra)
     if noted:
         notes = store.kept(_hits(_places(base).filter("place > 0"), book, values, extra, matchers).filter("place > 0"), "spans-of-annotations")
-    done = store.kept(_first(base, book, matchers, more, notes), "pages-1")
+    def counted(df: DataFrame, phase: str) -> DataFrame:
+        return df if progress is None else progress.counted(df, phase)
+
+    done = store.kept(counted(_first(base, book, matchers, more, notes), "masked"), "pages-1")
     found = done.select("doc_id", "page", F.explode("found").alias("f")).select("doc_id", "page", F.lit(0).alias("place"), "f.*")
     findings = (found if notes is None else found.select(*FOUND).unionByName(notes.select(*FOUND))).select(*FOUND).withColumn("pass", F.lit(1))
     away = done.select("doc_id", "page", F.explode("away").alias("a")).select("doc_id", "page", "a.*")
@@ -133,12 +138,12 @@ def redact(
     done = done.drop("found", "away")
     left, unlocated, refusals = findings.drop("pass").limit(0), None, away
     for n in range(2, max(max_passes, 1) + 2) if verify else ():
-        residue, unlocated, late = _residue(done, findings, book, values, extra, refusals, inspector, matchers, store, n)
+        residue, unlocated, late = _residue(done, findings, book, values, extra, refusals, inspector, matchers, store, n, counted)
         refusals = refusals.unionByName(late)
         left = store.kept(residue, f"residue-{n}")
         if n > max_passes or left.isEmpty():
             break
-        done = store.kept(_apply(done, left, n), f"pages-{n}")
+        done = store.kept(counted(_apply(done, left, n), f"masked {n}"), f"pages-{n}")
         findings = findings.unionByName(left.withColumn("pass", F.lit(n)))
     problems = refusals.select("doc_id", "page", F.concat(F.col("rule_description"), F.lit(" matched "), F.col("n").cast("string"), F.lit(" times on one page and was refused")).alias("problem"))
     problems = problems.unionByName(left.select("doc_id", "page", F.concat(F.col("rule_description"), F.lit(" can still be read")).alias("problem")))
@@ -148,6 +153,8 @@ def redact(
     if wrong is not None:
         problems = problems.unionByName(wrong.select("doc_id", "page", F.lit("a proposal's range holds another text; it was not masked").alias("problem")))
     problems = store.kept(problems, "problems")
+    if progress is not None:
+        progress.finished()
     status = F.when(F.col("n") > 0, "redacted").when(~F.col("readable"), "not_examined").otherwise("no_matches")
     stay = [F.filter("annotations", lambda a, i: ~F.array_contains("gone", i)).alias("annotations")] if noted else []
     out = done.select("doc_id", "page", "text", status.alias("status"), F.col("n").alias("items"), "passes", F.when(status == "not_examined", "no text layer").alias("reason"), *stay)
@@ -252,7 +259,7 @@ def value_spans(pages: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def _residue(
-    done: DataFrame, findings: DataFrame, book: RuleBook | None, values: DataFrame | None, extra: DataFrame | None, away: DataFrame, inspector: Callable[[DataFrame], DataFrame] | None, matchers: Matchers | None, store: Store, n: int
+    done: DataFrame, findings: DataFrame, book: RuleBook | None, values: DataFrame | None, extra: DataFrame | None, away: DataFrame, inspector: Callable[[DataFrame], DataFrame] | None, matchers: Matchers | None, store: Store, n: int, counted: Callable[[DataFrame, str], DataFrame]
 ) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """What is still found in what would be written, outside the ranges masked so far; what an inspector reports but no page holds; rules refused only now.
 
@@ -261,7 +268,7 @@ def _residue(
     read = done.filter("n > 0")
     if "annotations" in done.columns:  # those that are gone keep their number, without strings
         read = read.withColumn("annotations", F.transform("annotations", lambda a, i: F.when(~F.array_contains("gone", i), a)))
-    places = _places(read)
+    places = _places(counted(read, f"read back {n - 1}"))
     seen, late = _refused(store.kept(_hits(places, book, values, extra, matchers), f"spans-{n}"))
     late = store.kept(late.join(away.select("doc_id", "page", "rule_line").distinct(), ["doc_id", "page", "rule_line"], "left_anti").select(*away.columns), f"refused-{n}")
     known = away.select("doc_id", "page", "rule_line", F.lit(0).alias("place"), F.lit("rule").alias("origin")).distinct()
