@@ -1,4 +1,4 @@
-"""Queries over pages as a recogniser reads them, made from the orders, each with its SQL."""
+"""Queries over pages as a recogniser reads them, made from the documents, each with its SQL."""
 
 from __future__ import annotations
 
@@ -23,9 +23,9 @@ def _seen(box: Column, turned: Column) -> Column:
     return F.when(turned == 90, _box(y, 1 - x - w, h, w)).when(turned == 180, _box(1 - x - w, 1 - y - h, w, h)).when(turned == 270, _box(1 - y - h, x, h, w)).otherwise(box)
 
 
-def read_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Values to look for, recognised lines with boxes as fractions of the image, and the pages: one page an order, in six forms of misreading."""
-    form, number = F.col("o_orderkey") % 6, F.lpad(F.col("o_custkey").cast("string"), 9, "0")
+def read_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Values to look for, and recognised lines with boxes as fractions of an image: each document's own lines, then four in one of six forms of misreading."""
+    form, number = F.col("doc_id") % 6, F.lpad(F.col("doc_id").cast("string"), 9, "0")
     name = F.concat(F.lit("Customer#"), number)
 
     def by_form(*texts: Column) -> Column:
@@ -35,7 +35,7 @@ def read_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
         return chosen
 
     value = by_form(
-        F.upper(name), name, F.concat(F.lit("Customer#"), F.lpad((F.col("o_custkey") + 1).cast("string"), 9, "0")), F.concat(F.lit("Customer No "), number, F.lit(" Ltd")),
+        F.upper(name), name, F.concat(F.lit("Customer#"), F.lpad((F.col("doc_id") + 1).cast("string"), 9, "0")), F.concat(F.lit("Customer No "), number, F.lit(" Ltd")),
         F.concat(F.lit(" customer   no "), number), name,
     )
     first = by_form(
@@ -43,27 +43,31 @@ def read_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
         F.concat(F.lit("Re Customer No "), number, F.lit(" etc")), F.concat(F.lit("Paid by Customer#"), F.replace(number, F.lit("0"), F.lit("O"))),
     )
     second = F.when(form == 3, F.concat(number, F.lit(" Ltd in full"))).otherwise("Thank you")
-    pages = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), value.alias("value"), (90 * (F.col("o_orderkey") % 4)).cast("int").alias("turned"), F.array(F.lit("Statement of account"), first, second, value).alias("texts"),
-        _box(F.lit(0), F.lit(0), F.lit(512), F.lit(1024)).alias("page_box"),
+    own = F.coalesce(F.split("text", "\n"), F.array().cast("array<string>"))
+    pages = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        "doc_id", F.lit(1).alias("page"), value.alias("value"), (90 * (F.col("doc_id") % 4)).cast("int").alias("turned"), F.size(own).alias("n_own"),
+        F.concat(own, F.array(F.lit("Statement of account"), first, second, value)).alias("texts"),
     )
-    each = pages.select("doc_id", "page", "turned", F.posexplode("texts").alias("n", "text")).withColumn("line", F.col("n").cast("long"))
-    top = 1 - (F.col("line") + 1) / 8
+    each = pages.select("doc_id", "page", "turned", "n_own", F.posexplode("texts").alias("n", "text")).withColumn("line", F.col("n").cast("long"))
+    made = F.col("line") >= F.col("n_own")
+    top = F.when(made, 1 - (F.col("line") - F.col("n_own") + 1) / 8).otherwise(0.0)
 
     def token(j: Column) -> Column:
         return F.struct((j * STEP).cast("int").alias("start"), (j * STEP + STEP).cast("int").alias("stop"), _seen(_box(F.lit(0.125) + j / 64, top, F.lit(1 / 64), F.lit(1 / 16)), F.col("turned")).alias("box"))
 
-    tokens = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / STEP).cast("int")), token)
+    tokens = F.when(made, F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / STEP).cast("int")), token))
     whole = _seen(_box(F.lit(0.125), top, F.lit(0.75), F.lit(1 / 16)), F.col("turned"))
-    lines = each.select("doc_id", "page", "line", "text", F.when(F.col("line") == 3, 0.2).otherwise(0.9).cast("float").alias("confidence"), whole.alias("box"), tokens.alias("tokens"))
-    return pages.select("doc_id", "page", "value"), lines, pages.select("doc_id", "page", "page_box", "turned")
+    sure = F.when(F.col("line") == F.col("n_own") + 3, 0.2).otherwise(0.9).cast("float")
+    paper = _box(F.lit(0), F.lit(0), F.lit(512), F.lit(1024))
+    lines = each.select("doc_id", "page", "line", "text", sure.alias("confidence"), whole.alias("box"), tokens.alias("tokens"), paper.alias("page_box"), "turned")
+    return pages.select("doc_id", "page", "value"), lines
 
 
 def misread_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each order's customer stands on its page, read from an image turned by a quarter or more: exactly, in a line with other blanks, over
+    """Where each document's customer stands on its page, read from an image turned by a quarter or more: exactly, in a line with other blanks, over
     two lines with a misread word, or with misread characters; a number with another digit is another customer, and a line that is unsure counts for nothing."""
-    values, lines, pages = read_orders(spark, sf_dir)
-    found = location.located(values, location.scaled(lines, pages))
+    values, lines = read_documents(spark, sf_dir)
+    found = location.located(values, location.scaled(lines))
     return found.select("doc_id", "rung", F.col("line").cast("int").alias("line"), F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), "box.*")
 
 
@@ -71,11 +75,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"misread_boxes":
 
 ORACLES: dict[str, str] = {
     "misread_boxes": """
-      WITH o AS (SELECT o_orderkey AS k, o_orderkey % 6 AS g, lpad(o_custkey::VARCHAR, 9, '0') AS d FROM orders),
-        h AS (SELECT k AS doc_id, 'exact' AS rung, 1 AS line, 8 AS start, 26 AS stop FROM o WHERE g = 0
-          UNION ALL SELECT k, 'approximate', 1, 7, 26 FROM o WHERE g = 1 OR g = 5 AND length(d) - length(replace(d, '0', '')) BETWEEN 1 AND 6
-          UNION ALL SELECT k, 'exact', 1, 8, 26 FROM o WHERE g = 5 AND NOT contains(d, '0')
-          UNION ALL SELECT k, 'across', 1, 8, 19 FROM o WHERE g = 3 UNION ALL SELECT k, 'across', 2, 0, 13 FROM o WHERE g = 3
-          UNION ALL SELECT k, 'line', 1, NULL, NULL FROM o WHERE g = 4)
-      SELECT doc_id, rung, line, start, stop, coalesce(64 + 8 * (start // 8), 64)::DOUBLE AS x, (1024 - 128 * (line + 1))::DOUBLE AS y, coalesce(8 * ((stop - 1) // 8 - start // 8 + 1), 384)::DOUBLE AS w, 64::DOUBLE AS h FROM h""",
+      WITH o AS (SELECT doc_id AS k, doc_id % 6 AS g, lpad(doc_id::VARCHAR, 9, '0') AS d, coalesce(len(string_split(text, chr(10))), 0)::INT AS own FROM documents),
+        h AS (SELECT k, own, 'exact' AS rung, 1 AS i, 8 AS start, 26 AS stop FROM o WHERE g = 0
+          UNION ALL SELECT k, own, 'approximate', 1, 7, 26 FROM o WHERE g = 1 OR g = 5 AND length(d) - length(replace(d, '0', '')) BETWEEN 1 AND 6
+          UNION ALL SELECT k, own, 'exact', 1, 8, 26 FROM o WHERE g = 5 AND NOT contains(d, '0')
+          UNION ALL SELECT k, own, 'across', 1, 8, 19 FROM o WHERE g = 3 UNION ALL SELECT k, own, 'across', 2, 0, 13 FROM o WHERE g = 3
+          UNION ALL SELECT k, own, 'line', 1, NULL, NULL FROM o WHERE g = 4)
+      SELECT k AS doc_id, rung, own + i AS line, start, stop, coalesce(64 + 8 * (start // 8), 64)::DOUBLE AS x, (1024 - 128 * (i + 1))::DOUBLE AS y, coalesce(8 * ((stop - 1) // 8 - start // 8 + 1), 384)::DOUBLE AS w, 64::DOUBLE AS h FROM h""",
 }
