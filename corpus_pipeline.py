@@ -36,8 +36,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each text's best pieces, in the column pieces beside the columns of documents."""
-    return sentencepieces.encoded(docs)
+    """Scores and ids of each text's n best segmentations, best first, in the column pieces beside the columns of documents."""
+    return sentencepieces.listed(docs)
 
 
 STAGES = [

@@ -463,3 +463,19 @@ def test_n_best_segmentations_reach_the_report(spark):
     assert len(best) > 1 and row["nbest_sha256"][0] == row["ids_sha256"] and len(set(row["nbest_sha256"])) == len(best)
     assert row["nbest_scores"] == pytest.approx([s for s, _ in best]) and all(seg.decode(ids) == text for _, ids in best)
     assert row["nbest_sha256"] == [sentencepieces._digest(ids) for _, ids in best]
+
+
+def test_pipeline_lists_the_n_best_segmentations(spark):
+    """The pipeline's stage searches back for the n best, as op8 does, and does not stop at the best path."""
+    import corpus_pipeline
+
+    v = sentencepieces.Vocabulary.load()
+    seg = sentencepieces.Segmenter(v)
+    texts = {1: "the cat sat on  a mat, naïvely", 2: "nationalisation of this", 3: "x", 4: "", 5: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r["doc_id"]: r["pieces"] for r in corpus_pipeline.encode(spark, docs, "").collect()}
+    assert rows[5] is None and [tuple(x) for x in rows[4]] == [(0.0, [])]
+    for k in (1, 2, 3):
+        want = sentencepieces.n_best(sentencepieces.lattice(" " + texts[k], v), 4)
+        assert [x["score"] for x in rows[k]] == pytest.approx([s for s, _ in want]) and rows[k][0]["ids"] == list(want[0][1])
+        assert all(seg.decode(x["ids"]) == texts[k] for x in rows[k]) and len({tuple(x["ids"]) for x in rows[k]}) == len(want) > 1

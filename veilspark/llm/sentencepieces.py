@@ -19,7 +19,7 @@ decode(encode(text)) == text for every text: U+2581, which the file has for spac
 Defined results: a null text gives null pieces and counts as empty; an empty text has no pieces and
 score 0; repeated rows get equal results; among equal scores the segmentation with fewer, then earlier
 longer pieces wins; an empty table gives no rows; columns other than doc_id and text are ignored by report()
-and kept by encoded(), whose new column takes the first free one of the names pieces, pieces_2, pieces_3 and so on.
+and kept by encoded() and listed(), whose new column takes the first free one of the names pieces, pieces_2, pieces_3 and so on.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -513,21 +513,53 @@ def report(docs: DataFrame, path: str = DEFAULT_MODEL, n: int = N_BEST) -> DataF
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, REPORT)
 
 
-def encoded(docs: DataFrame, path: str = DEFAULT_MODEL, into: str = "pieces") -> DataFrame:
-    """docs with the ids of each text's best segmentation in the new column `into`, or into_2 and so on if docs have that."""
+def _beside(docs: DataFrame, path: str, into: str, kind: T.DataType, column: Callable[[Segmenter, list[str | None]], pa.Array]) -> DataFrame:
+    """docs with what column() makes of each batch's texts in the new column `into`, or into_2 and so on if docs have that."""
     taken = {c.lower() for c in docs.columns}
     into = next(name for name in (into, *(f"{into}_{k}" for k in range(2, len(taken) + 3))) if name.lower() not in taken)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
     at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = _segmenter(shared.value)
         for batch in slices(batches, most_bytes=SLICE):
-            texts = batch.column(at).to_pylist()
-            e = seg.encode_all([t or "" for t in texts])
-            none = np.array([t is None for t in texts] + [False])
-            ids = pa.ListArray.from_arrays(pa.array(e.start.astype(np.int32), pa.int32(), mask=none), pa.array(e.ids, pa.int32()))
-            yield pa.record_batch([*batch.columns, ids], names=[*batch.schema.names, into])
+            yield pa.record_batch([*batch.columns, column(seg, batch.column(at).to_pylist())], names=[*batch.schema.names, into])
 
     return docs.mapInArrow(run, schema)
+
+
+def encoded(docs: DataFrame, path: str = DEFAULT_MODEL, into: str = "pieces") -> DataFrame:
+    """docs with the ids of each text's best segmentation in the new column `into`."""
+
+    def column(seg: Segmenter, texts: list[str | None]) -> pa.Array:
+        e = seg.encode_all([t or "" for t in texts])
+        none = np.array([t is None for t in texts] + [False])
+        return pa.ListArray.from_arrays(pa.array(e.start.astype(np.int32), pa.int32(), mask=none), pa.array(e.ids, pa.int32()))
+
+    return _beside(docs, path, into, T.ArrayType(T.IntegerType()), column)
+
+
+def listed(docs: DataFrame, path: str = DEFAULT_MODEL, into: str = "pieces", n: int = N_BEST) -> DataFrame:
+    """docs with scores and ids of each text's n best segmentations, best first, in the new column `into`. Each best one is decoded again,
+    and one that is not its text fails the run."""
+
+    def column(seg: Segmenter, texts: list[str | None]) -> pa.Array:
+        e = seg.encode_all([t or "" for t in texts])
+        found: list[tuple[float, np.ndarray]] = []
+        ends = [0]
+        for k, t in enumerate(texts):
+            if t is not None:
+                best = seg.segmentations(e, k, n)
+                if seg.decode(best[0][1].tolist()) != t:
+                    raise ValueError("pieces do not decode to their text")
+                found += best
+            ends.append(len(found))
+        starts = np.cumsum([0, *(len(ids) for _, ids in found)]).astype(np.int32)
+        ids = pa.array(np.concatenate([np.empty(0, dtype=np.int32), *(ids for _, ids in found)]), pa.int32())
+        lists = pa.StructArray.from_arrays([pa.array([s for s, _ in found], pa.float64()), pa.ListArray.from_arrays(pa.array(starts), ids)], ["score", "ids"])
+        none = np.array([t is None for t in texts] + [False])
+        return pa.ListArray.from_arrays(pa.array(np.array(ends, dtype=np.int32), pa.int32(), mask=none), lists)
+
+    kind = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return _beside(docs, path, into, T.ArrayType(kind), column)
