@@ -195,3 +195,27 @@ def test_query_against_sql(spark, name):
     cursor = con.execute(queries.ORACLES[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(cursor.fetchall()) == sorted(tuple(r[c] for c in columns) for r in queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect())
+
+
+def test_components_of_stars_need_no_round_and_narrow_tables_few_files(spark, monkeypatch, tmp_path):
+    """A run over many shuffle partitions writes few files, and links that are stars are components as they are."""
+    from veilspark.llm import common, graph
+
+    written = []
+    monkeypatch.setattr(graph, "stored", lambda df, label, **k: written.append(label) or common.stored(df, label, **k))
+    stars = spark.createDataFrame([(1, 5), (9, 1), (1, 9), (2, 7), (3, 3)], "a long, b long")
+    assert {tuple(r) for r in graph.components(stars).collect()} == {(5, 1), (9, 1), (1, 1), (7, 2), (2, 2)} and written == ["edges"]
+    path = spark.createDataFrame([(k, k + 1) for k in range(9)] + [(20, 30), (21, 30)], "a long, b long")
+    assert {tuple(r) for r in graph.components(path).collect()} == {(k, 0) for k in range(10)} | {(20, 20), (21, 20), (30, 20)} and len(written) > 2
+    assert graph.components(stars.limit(0)).count() == 0
+
+    held = {"spark.sql.shuffle.partitions": "128", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        rows = spark.range(5000).selectExpr("id % 997 AS x").groupBy("x").count()
+        assert common.stored(rows, "rows", narrow=True).count() == 997 and len(common.stored(rows, "rows", narrow=True).inputFiles()) <= 16
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -38,13 +38,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the tasks it ran, never the work that
-    made this table, and readers prune columns as on any Parquet table.
+    made this table, and readers prune columns as on any Parquet table. A narrow table (a few numbers a row) is written
+    by an eighth of a shuffle's tasks, two a core at least: a file costs more than its rows there.
     """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

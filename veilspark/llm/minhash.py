@@ -146,27 +146,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketch = stored(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "sketches")
     full = sketch.filter("n_shingles > 0 and doc_id is not null")
     print_of = ["n_shingles", "f1", "f2"]
-    copies = stored(full.groupBy(print_of).agg(F.min("doc_id").alias("node")), "copies")
+    copies = stored(full.groupBy(print_of).agg(F.min("doc_id").alias("node")), "copies", narrow=True)
     nodes = full.join(copies.withColumnRenamed("node", "doc_id"), [*print_of, "doc_id"], "left_semi")
     places = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
     shared = places.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    members = stored(places.join(shared, "key").select("key", "node").distinct(), "members")
+    members = stored(places.join(shared, "key").select("key", "node").distinct(), "members", narrow=True)
 
-    involved = stored(members.select("node").distinct(), "involved")
+    involved = stored(members.select("node").distinct(), "involved", narrow=True)
     own = docs.join(involved.select(F.col("node").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
     sets = stored(own.mapInArrow(_sets, "node long, items binary").dropDuplicates(["node", "items"]), "sets")
 
     # First each node against the least leader of its buckets, then against the leaders of all of them.
     leaders = members.groupBy("key").agg(F.min("node").alias("b"))
-    led = stored(members.join(leaders, "key").filter("node <> b"), "led")
+    led = stored(members.join(leaders, "key").filter("node <> b"), "led", narrow=True)
     first = led.groupBy(F.col("node").alias("a")).agg(F.min("b").alias("b"))
     component = _merged(involved.select("node", F.col("node").alias("component")), _verified(first, sets))
     component = _merged(component, _verified(_apart(led.select(F.col("node").alias("a"), "b").distinct(), component), sets))
     # What shares a bucket without a link to its leader is settled exactly, by the rarest shingles.
     open_ = members.join(component, "node").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).filter("n > 2 and x < y")
-    crowd = stored(members.join(open_.select("key"), "key", "left_semi").select("node").distinct(), "crowd")
+    crowd = stored(members.join(open_.select("key"), "key", "left_semi").select("node").distinct(), "crowd", narrow=True)
     if not crowd.isEmpty():
-        component = _settled(_prefixes(sets.join(crowd, "node", "left_semi")), component, sets)
+        sets = stored(sets.join(crowd, "node", "left_semi"), "crowd-sets", narrow=True)  # all that the rounds read of the sets
+        component = _settled(_prefixes(sets), component, sets)
 
     return (
         sketch.join(copies, print_of, "left")
@@ -212,24 +213,24 @@ def _prefixes(crowd: DataFrame) -> DataFrame:
     places = places.filter("x.count > 1").select("x.key", "node", "n", F.col("p").cast("long").alias("p"), (F.col("p") < F.col("s")).alias("short"))
     places = stored(places, "prefixes")
     groups = places.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max("short").alias("s")).filter("k > 1 and s").select("key")
-    return stored(places.join(groups, "key"), "prefix-members")
+    return stored(places.join(groups, "key"), "prefix-members", narrow=True)
 
 
 def _settled(members: DataFrame, component: DataFrame, sets: DataFrame) -> DataFrame:
     """component after all links inside the groups of members. A group is done when it is in one component, or
-    when each of its nodes outside its largest component has led once; every round has four times the leaders."""
-    led, wide = None, 4
+    when each of its nodes outside its largest component has led once; every round has sixteen times the leaders."""
+    led, wide = None, 8
     while True:
         placed = members.join(component, "node")
         sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
         largest = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max_by("component", F.struct("n", -F.col("component"))).alias("largest")).filter("k > 1").drop("k")
-        waiting = stored(placed.join(largest, "key"), "waiting")
+        waiting = stored(placed.join(largest, "key"), "waiting", narrow=True)
         own = F.struct("node", "component", "n", "p", "short")
         able = waiting.filter("component <> largest").select("key", "node", own.alias("own"))
         if led is not None:
             able = able.join(led, ["key", "node"], "left_anti")
         turn = able.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(wide))).agg(F.min("own").alias("own"))
-        turn = stored(turn.select("key", "own.*"), "leaders")
+        turn = stored(turn.select("key", "own.*"), "leaders", narrow=True)
         if turn.isEmpty():
             return component
         lead = turn.select("key", F.col("node").alias("b"), F.col("component").alias("c"), F.col("n").alias("bn"), F.col("p").alias("bp"), F.col("short").alias("bs"))
@@ -238,27 +239,27 @@ def _settled(members: DataFrame, component: DataFrame, sets: DataFrame) -> DataF
         room = F.lit(100 + SIMILARITY) * F.least(F.col("n") - F.col("p"), F.col("bn") - F.col("bp")) >= F.lit(SIMILARITY) * (F.col("n") + F.col("bn"))
         pairs = waiting.join(lead, "key").filter((F.col("component") != F.col("c")) & near & room).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
         done = turn.select("key", "node")
-        led = stored(done if led is None else led.union(done), "led")
+        led = stored(done if led is None else led.union(done), "led", narrow=True)
         component = _merged(component, _verified(pairs, sets))
-        wide *= 4
+        wide *= 16
 
 
 def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
     """component (node, component) after the links (a, b) are added."""
-    links = stored(links, "links")
+    links = stored(links, "links", narrow=True)
     if links.isEmpty():
         return component
     ends = links.join(component.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(component.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
     joined = components(ends.select("ca", "cb"))
     new = joined.select(F.col("node").alias("component"), F.col("component").alias("merged"))
-    return stored(component.join(new, "component", "left").select("node", F.coalesce("merged", "component").alias("component")), "components")
+    return stored(component.join(new, "component", "left").select("node", F.coalesce("merged", "component").alias("component")), "components", narrow=True)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one document of each component; of rows that share a doc_id one stays."""
-    verdict = stored(near_duplicates(docs).select("doc_id", "kept"), "near-verdict")
+    verdict = stored(near_duplicates(docs).select("doc_id", "kept"), "near-verdict", narrow=True)
     known = verdict.filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    known = stored(known.filter("kept"), "near-kept")
+    known = stored(known.filter("kept"), "near-kept", narrow=True)
     one = docs.join(known.filter("n = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
     many = known.filter("n > 1").select("doc_id")
     if not many.isEmpty():
