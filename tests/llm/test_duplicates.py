@@ -219,3 +219,14 @@ def test_components_of_stars_need_no_round_and_narrow_tables_few_files(spark, mo
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_spans_join_to_runs_and_membership_in_sorted_arrays():
+    """What op10's tasks work out by arrays: runs of spans that overlap or touch, and which places are wanted."""
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        x, n = rng.integers(0, 60, size=(k := int(rng.integers(0, 9)))), rng.integers(1, 12, size=k)
+        marks = {p for a, b in zip(x.tolist(), n.tolist(), strict=True) for p in range(a, a + b)}
+        starts, stops = suffix_dedup._joined(x, n)
+        assert starts.tolist() == sorted(p for p in marks if p - 1 not in marks) and stops.tolist() == sorted(p + 1 for p in marks if p + 1 not in marks)
+        assert suffix_dedup._among(x, np.sort(n)).tolist() == np.isin(x, n).tolist()

@@ -177,9 +177,17 @@ PARTS = "k long, d long, x long, kind int, n long, context binary"
 CONTEXT, STRING, SETTLED = 0, 1, 2
 
 
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are in known, which is sorted."""
+    if not len(known):
+        return np.zeros(len(x), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def _contexts(hot: np.ndarray):
     """Contexts of repeated anchors. kind: a context (n: 1 if it begins with the byte before), a string of a
     hot anchor, or a settled span of n bytes."""
+    hot = np.sort(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[int, tuple[int, int]] = {}
@@ -189,7 +197,7 @@ def _contexts(hot: np.ndarray):
             def add(key: int, k: int, d: int, x: int, kind: int, n: int, context: bytes, whole: int) -> None:
                 seen = least.get(key)
                 if seen is not None and seen < (d, x):
-                    rows.append((int(mixed(np.array([d ^ x], dtype=np.int64).view(np.uint64))[0].view(np.int64)), d, x, SETTLED, whole, b""))  # noqa: B023
+                    rows.append((0, d, x, SETTLED, whole, b""))  # noqa: B023
                     return
                 if seen is None and len(least) > TABLE:
                     least.clear()
@@ -202,10 +210,10 @@ def _contexts(hot: np.ndarray):
             for r in order:
                 d, t, text = ds[r], ts[r], bodies[r]
                 wanted = np.array(xs[r], dtype=np.int64)
-                wanted = wanted[wanted >> 40 == t] & ((1 << 40) - 1)
+                wanted = np.sort(wanted[wanted >> 40 == t] & ((1 << 40) - 1))
                 for h, place, first, last in runs(text):
-                    pick = np.isin(place, wanted)
-                    is_hot = np.isin(h[pick].view(np.int64), hot)
+                    pick = _among(place, wanted)
+                    is_hot = _among(h[pick].view(np.int64), hot)
                     for k, a, b, many in zip(h[pick].view(np.int64).tolist(), first[pick].tolist(), last[pick].tolist(), is_hot.tolist(), strict=True):
                         whole = text[a : b + LENGTH]
                         x = (t << 40) + a
@@ -216,8 +224,10 @@ def _contexts(hot: np.ndarray):
                             for i, key in enumerate(rolling(np.frombuffer(whole, dtype=np.uint8), LENGTH).view(np.int64).tolist()):
                                 add(key ^ 1, key, d, x + i, STRING, 0, b"", LENGTH)
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split(" ")[0] for x in PARTS.split(", ")])
+                *numbers, context = zip(*rows, strict=True)
+                k, d, x, kind, n = (np.array(c, dtype=np.int64) for c in numbers)
+                k = np.where(kind == SETTLED, mixed((d ^ x).view(np.uint64)).view(np.int64), k)  # settled spans are dealt by their place
+                yield pa.record_batch([pa.array(k), pa.array(d), pa.array(x), pa.array(kind.astype(np.int32)), pa.array(n), pa.array(context, pa.binary())], names=[c.split(" ")[0] for c in PARTS.split(", ")])
 
     return run
 
@@ -357,27 +367,35 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(v[a : a + 100_000], pa.int64()) for v in (d, x, n)], names=["d", "x", "n"])
 
 
+def _joined(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of the spans of n bytes at x."""
+    order = np.argsort(x, kind="stable")
+    x, reach = x[order], np.maximum.accumulate(x[order] + n[order])
+    new = np.concatenate((np.ones(min(1, len(x)), dtype=bool), x[1:] > reach[:-1]))
+    return x[new], reach[np.append(new[1:], True)] if len(x) else x
+
+
 def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         rows = []
-        ds, ts, whole, spans = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
-        for d, t, copy, own, text in zip(ds, ts, whole, spans, texts(batch), strict=True):
-            n = len(text)
-            if copy and n >= LENGTH:
-                own = [((t or 0) << 40, n)]
-            own = sorted((s["x"] & ((1 << 40) - 1), s["n"]) if isinstance(s, dict) else (s[0] & ((1 << 40) - 1), s[1]) for s in own or () if (s["x"] if isinstance(s, dict) else s[0]) >> 40 == t)
-            digest, at, removed, count, reach = hashlib.sha256(), 0, 0, 0, -1
-            for a, size in own:
-                if a > reach:
-                    count += 1
-                    digest.update(text[at:a])
-                    at = a
-                reach = max(reach, a + size)
-                if reach > at:
-                    removed += reach - at
-                    at = reach
+        ds, ts, whole = (batch.column(i).to_pylist() for i in (0, 1, 3))
+        spans = batch.column(4)
+        places, sizes = (spans.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        cut, there = spans.offsets.to_pylist(), spans.is_valid().to_pylist()
+        for i, text in enumerate(texts(batch)):
+            n, starts, stops = len(text), [], []
+            if whole[i] and n >= LENGTH:
+                starts, stops = [0], [n]
+            elif there[i]:
+                x, size = places[cut[i] : cut[i + 1]], sizes[cut[i] : cut[i + 1]]
+                own = x >> 40 == ts[i]
+                starts, stops = (v.tolist() for v in _joined(x[own] & ((1 << 40) - 1), size[own]))
+            digest, at = hashlib.sha256(), 0
+            for a, b in zip(starts, stops, strict=True):
+                digest.update(text[at:a])
+                at = b
             digest.update(text[at:])
-            rows.append((d, n, removed, count, digest.hexdigest()))
+            rows.append((ds[i], n, sum(stops) - sum(starts), len(starts), digest.hexdigest()))
         yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, (*[pa.int64()] * 4, pa.string()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
