@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -479,3 +480,29 @@ def test_pipeline_lists_the_n_best_segmentations(spark):
         want = sentencepieces.n_best(sentencepieces.lattice(" " + texts[k], v), 4)
         assert [x["score"] for x in rows[k]] == pytest.approx([s for s, _ in want]) and rows[k][0]["ids"] == list(want[0][1])
         assert all(seg.decode(x["ids"]) == texts[k] for x in rows[k]) and len({tuple(x["ids"]) for x in rows[k]}) == len(want) > 1
+
+
+def test_maxent_steps_and_tails_by_arrays():
+    """A step adds the same to rows that are met several times as one by one; tails are each owner's own counts."""
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 7, size=90)
+    owner = np.sort(rng.integers(0, 6, size=90))
+    owner[owner == 3] = 4  # an owner without any
+    tail, tail_n, cut = maxent_lm._tails(h, owner, 6)
+    for k in range(6):
+        a, b = cut[k].as_py(), cut[k + 1].as_py()
+        assert dict(zip(tail[a:b].tolist(), tail_n[a:b].tolist(), strict=True)) == collections.Counter(h[owner == k].tolist())
+    tokens = np.array([1, 2, 3, 4], dtype=np.uint64)
+    m = maxent_lm.Model(tokens, np.array([9, 4, 2, 1]), 16, 4)
+    text = tokens[[0, 1, 0, 1, 0, 1, 2, 3]]
+    features, leaf = maxent_lm.histories(text, np.array([0])), m.leaf_of(text, *m.lookup(text))
+    want, met = m.w.copy(), np.zeros(len(m.w), dtype=np.float32)
+    for _, child, rows, g in maxent_lm._levels(m, features, leaf):
+        g /= g.sum(axis=1, keepdims=True)
+        g[np.arange(len(child)), child] -= 1
+        for r in rows:
+            np.add.at(met, r, np.float32(1))
+            for k, x in enumerate(r.tolist()):
+                want[x] -= maxent_lm.RATE * g[k] / np.sqrt(met[x])
+    maxent_lm.train_batch(m, features, leaf, np.zeros(len(m.w), dtype=np.float32))
+    assert np.abs(want).max() > 0 and np.allclose(m.w, want, atol=1e-5)

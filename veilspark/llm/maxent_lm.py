@@ -220,14 +220,14 @@ def _levels(m: Model, features: list[np.ndarray], leaf: np.ndarray) -> Iterator[
 
 def train_batch(m: Model, features: list[np.ndarray], leaf: np.ndarray, met: np.ndarray) -> None:
     """One gradient step; a row's steps shrink with the root of how often it was met (met, which this adds to)."""
-    flat, columns = m.w.reshape(-1), np.arange(FAN)
+    flat, columns = m.w.view(np.complex64).reshape(-1), np.arange(FAN // 2)  # two weights are added at a time
     for _, child, rows, g in _levels(m, features, leaf):
         g /= (g @ ONES)[:, None]
         g[np.arange(len(child)), child] -= 1
         for r in rows:
             np.add.at(met, r, np.float32(1))
             step = g * (np.float32(-RATE) / np.sqrt(met.take(r)))[:, None]
-            np.add.at(flat, (r[:, None] * FAN + columns).ravel(), step.ravel())
+            np.add.at(flat, (r[:, None] * (FAN // 2) + columns).ravel(), step.view(np.complex64).ravel())
 
 
 def score_batch(m: Model, features: list[np.ndarray], leaf: np.ndarray) -> np.ndarray:
@@ -309,6 +309,15 @@ def _train(docs: DataFrame, model: Model, part: int) -> Model:
 SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, model double, rare_logs double, tail array<long>, tail_n array<int>"
 
 
+def _tails(h: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Distinct h of each of n owners, how often each occurs there, and where each owner's begin."""
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), dtype=bool), (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))))
+    cut = np.searchsorted(owner[first], np.arange(n + 1)).astype(np.int32)
+    return h[first], np.diff(np.append(first, len(h))).astype(np.int32), pa.array(cut, pa.int32())
+
+
 def _scored(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -328,13 +337,8 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
             dealt = leaf >= m.own
             per = lambda x: np.bincount(owner, weights=x, minlength=n)
             sums = [per(known), per(logs), per(score_batch(m, histories(h, starts), leaf) - m.log_mass[leaf]), per(np.where(dealt, logs, 0.0))]
-            tails, counts = [], []
             off = np.flatnonzero(~there)
-            cut = np.searchsorted(owner[off], np.arange(n + 1))
-            for i in range(n):
-                values, k = np.unique(h[off[cut[i] : cut[i + 1]]].view(np.int64), return_counts=True)
-                tails.append(values)
-                counts.append(k.astype(np.int32))
+            tail, tail_n, cut = _tails(h[off].view(np.int64), owner[off], n)
             ids = batch.column(0).to_pylist()
             yield pa.record_batch(
                 [
@@ -344,8 +348,8 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
                     pa.array(np.bincount(owner, minlength=n), pa.int64()),
                     pa.array(sums[0].astype(np.int64), pa.int64()),
                     *(pa.array(x, pa.float64()) for x in sums[1:]),
-                    pa.array(tails, pa.list_(pa.int64())),
-                    pa.array(counts, pa.list_(pa.int32())),
+                    pa.ListArray.from_arrays(cut, pa.array(tail, pa.int64())),
+                    pa.ListArray.from_arrays(cut, pa.array(tail_n, pa.int32())),
                 ],
                 names=[x.split(" ")[0] for x in SCORED.split(", ")],
             )
