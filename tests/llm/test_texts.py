@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -506,3 +507,59 @@ def test_maxent_steps_and_tails_by_arrays():
                 want[x] -= maxent_lm.RATE * g[k] / np.sqrt(met[x])
     maxent_lm.train_batch(m, features, leaf, np.zeros(len(m.w), dtype=np.float32))
     assert np.abs(want).max() > 0 and np.allclose(m.w, want, atol=1e-5)
+
+
+def test_words_of_many_texts_are_hashed_by_arrays(monkeypatch):
+    """The same words as bytes.split finds, equal hashes for equal words only, and no look at single words but very long ones."""
+    from veilspark.llm import words
+
+    calls = []
+    digest = words.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(words.xxhash, "xxh3_64_intdigest", lambda x: calls.append(len(x)) or digest(x))
+    rng = random.Random(4)
+    alphabet = "aAbZ\0\x01\x1c\x85  éß漢😀" + " \t\n\v\f\r" * 3
+    texts = ["", " ", "a", "A", "a\0", "\0a", "\0", "\0end", "\0start", "end", "", "word" * 30 + " x", "\n", "no blank at the end", "nor here"]
+    texts += ["".join(rng.choices(alphabet, k=rng.randrange(40))) for _ in range(300)]
+    texts += [" ".join("y" * n + end for n in range(1, 140)) for end in ("", "\0", "z")]
+    parts = [t.encode() for t in texts]
+    want = [t.lower().split() for t in parts]
+    hashes, n = words.flat_words(parts)
+    assert n.tolist() == [len(x) for x in want]
+    flat = list(itertools.chain.from_iterable(want))
+    by_hash = dict(zip(hashes.tolist(), flat, strict=True))
+    assert [by_hash[x] for x in hashes.tolist()] == flat and len(by_hash) == len(set(flat))
+    assert sorted(calls) == sorted(len(w) for w in flat if len(w) > words.LONG)
+    tokens, starts = maxent_lm.tokens(parts)
+    ends = np.append(starts[1:], len(tokens)) - 1
+    assert (tokens[ends] == maxent_lm.END).all() and (np.delete(tokens, ends) == hashes).all() and not np.isin([maxent_lm.END, maxent_lm.START], hashes).any()
+    assert [len(x) for x in words.flat_words([])] == [0, 0] and [len(x) for x in maxent_lm.tokens([])] == [0, 0]
+
+
+def test_counts_of_tokens_are_summed_between_batches(monkeypatch):
+    monkeypatch.setattr(maxent_lm, "MOST_SEEN", 15)
+    texts = [" ".join(f"w{(i * k) % 23}" for k in range(i % 9)) for i in range(200)]
+    batches = [pa.record_batch([pa.array(range(a, a + 10), pa.int64()), pa.array(texts[a : a + 10])], names=["doc_id", "text"]) for a in range(0, 200, 10)]
+    got = collections.defaultdict(lambda: [0, 0])
+    out = list(maxent_lm._counts(iter(batches)))
+    for token, c, a in itertools.chain.from_iterable(zip(*b.to_pydict().values(), strict=True) for b in out):
+        got[token][0] += c
+        got[token][1] += a
+    want = collections.defaultdict(lambda: [0, 0])
+    for i, t in enumerate(texts):
+        for w in maxent_lm.tokens([t.encode()])[0].view(np.int64).tolist():
+            want[w][0] += not maxent_lm.held_out(i)
+            want[w][1] += 1
+    assert got == want and 1 < len(out) < 20 and all(len(set(b.column(0).to_pylist())) == b.num_rows for b in out)
+
+
+def test_language_model_tells_the_end_from_a_word_that_names_it(spark):
+    """Fails where a word with a zero byte has the hash of a text's end."""
+    rows = [(1, "a b"), (2, "a \0end \0start"), (3, "b b"), (11, None)]
+    assert not any(maxent_lm.held_out(d) for d, _ in rows)
+    got = {r["doc_id"]: r for r in maxent_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    c = collections.Counter(w for _, t in rows for w in [*(t or "").split(), None])
+    total = sum(c.values()) + 0.1 * (len(c) + 1)
+    for d, t in rows:
+        want = [*(t or "").split(), None]
+        assert got[d]["n_tokens"] == got[d]["n_known"] == len(want)
+        assert got[d]["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.1) / total) for w in want))

@@ -1,7 +1,7 @@
 """Operator 5: a hashed maximum-entropy language model with a class-factored softmax.
 
-Tokens are the words (A-Z lower-cased) and one end for each text. All tokens are counted, by hash, in one
-aggregation. Words are classed by frequency: sorted by their counts they are cut into FAN classes of near equal
+Tokens are the words (A-Z lower-cased) and one end for each text; the words of many texts are hashed at once, by
+arrays. All tokens are counted, by hash, in one aggregation. Words are classed by frequency: sorted by their counts they are cut into FAN classes of near equal
 mass, each of these into FAN again, down to single leaves. log P(w | history) is the sum of log P(class | class
 around it, history) over the nested classes of w, each a softmax of FAN whose logits are the counts' own and the sum of
 hashed weights of three features: the previous word, the previous two, and the one before the previous (a
@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import stored
-from veilspark.llm.words import MIX, hashes_of, mixed, slices, texts
+from veilspark.llm.words import MIX, flat_words, mixed, slices, texts
 
 HOT = 1 << 18
 MOST_SHARED = 1 << 18
@@ -54,6 +54,7 @@ RATE = 0.25
 BATCH = 8192
 LEAST_TASKS, PER_TASK = 16, 4  # of a round, and input partitions for each: every task emits the weights once
 SMOOTHING = 0.1
+MOST_SEEN = 300_000  # distinct tokens that a worker counts before it hands them on
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end"))
 START = np.uint64(xxhash.xxh3_64_intdigest(b"\x00start"))
 SALT = [np.uint64(xxhash.xxh3_64_intdigest(b"salt%d" % i) | 1) for i in range(6)]
@@ -64,40 +65,41 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
 
 
-def tokens(text: bytes) -> np.ndarray:
-    """Hash of each word, then the end."""
-    words = text.lower().split()
-    return np.append(hashes_of(words), END)
+def tokens(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word and the end of each text, one text behind the other, and where each text's tokens start."""
+    words, n = flat_words(parts)
+    out = np.full(len(words) + len(parts), END)
+    out[np.arange(len(words)) + np.repeat(np.arange(len(parts)), n)] = words
+    return out, np.cumsum(n + 1) - (n + 1)
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, c, a): occurrences in training texts and in all."""
-    seen: dict[int, list[int]] = {}
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(token, c, a) of all parts, each token once with the sums of its counts."""
+    token, *counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(token)
+    token = token.take(order)
+    first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    return token.take(first), *(np.add.reduceat(x.take(order), first) for x in counts)
 
-    def flushed() -> pa.RecordBatch:
-        out = [np.fromiter(seen, dtype=np.int64, count=len(seen)), *(np.fromiter((v[i] for v in seen.values()), dtype=np.int64, count=len(seen)) for i in (0, 1))]
-        seen.clear()
-        return pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["token", "c", "a"])
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, c, a): occurrences in training texts and in all."""
+    parts: list[tuple[np.ndarray, ...]] = []
+    row_batch = lambda x: pa.record_batch([pa.array(y, pa.int64()) for y in x], names=["token", "c", "a"])
     for batch in slices(batches):
-        parts: tuple[list, list] = ([], [])
+        own: tuple[list, list] = ([], [])
         for d, t in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
-            parts[held_out(d)].append(tokens(t))
-        for out, part in enumerate(parts):
+            own[held_out(d)].append(t)
+        for out, part in enumerate(own):
             if part:
-                values, n = np.unique(np.concatenate(part).view(np.int64), return_counts=True)
-                for v, k in zip(values.tolist(), n.tolist(), strict=True):
-                    x = seen.get(v)
-                    if x is None:
-                        seen[v] = [0 if out else k, k]
-                    else:
-                        x[1] += k
-                        if not out:
-                            x[0] += k
-        if len(seen) > 300_000:
-            yield flushed()
-    if seen:
-        yield flushed()
+                token, n = np.unique(tokens(part)[0].view(np.int64), return_counts=True)
+                parts.append((token, np.zeros_like(n) if out else n, n))
+        if sum(len(x[0]) for x in parts) > 2 * MOST_SEEN:
+            parts = [_summed(parts)]
+            if len(parts[0][0]) > MOST_SEEN:
+                yield row_batch(parts.pop())
+    if parts:
+        yield row_batch(_summed(parts))
 
 
 @dataclass
@@ -204,30 +206,35 @@ def histories(h: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
 def _levels(m: Model, features: list[np.ndarray], leaf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
     """For each level of the classes: the tokens that reach it, the child each takes, its rows of weights, and the logits' exponentials."""
     shift = np.uint64(65 - len(m.w).bit_length())  # len(m.w) is a power of two
+    at = np.arange(len(leaf))
     for k, (nodes, children) in enumerate(m.paths):
         node = nodes.take(leaf)
-        at = np.flatnonzero(node >= 0)
+        if k == UPPER:
+            features = features[:1]
+        if len(node) and node.min() < 0:  # some tokens have reached their leaf
+            on = np.flatnonzero(node >= 0)
+            at, leaf, node, features = at.take(on), leaf.take(on), node.take(on), [f.take(on) for f in features]
         if not len(at):
             return
-        node = node.take(at)
         own = m.node_hash.take(node)
-        rows = [(((f.take(at) ^ own) * MIX) >> shift).astype(np.int64) for f in (features if k < UPPER else features[:1])]
+        rows = [(((f ^ own) * MIX) >> shift).astype(np.int64) for f in features]
         z = m.bias.take(node, axis=0)
         for r in rows:
             z += m.w.take(r, axis=0)
-        yield at, children.take(leaf.take(at)), rows, np.exp(np.minimum(z, 60.0, out=z), out=z)
+        yield at, children.take(leaf), rows, np.exp(np.minimum(z, 60.0, out=z), out=z)
 
 
 def train_batch(m: Model, features: list[np.ndarray], leaf: np.ndarray, met: np.ndarray) -> None:
     """One gradient step; a row's steps shrink with the root of how often it was met (met, which this adds to)."""
-    flat, columns = m.w.view(np.complex64).reshape(-1), np.arange(FAN // 2)  # two weights are added at a time
+    pairs = m.w.view(np.complex64)  # two weights are added at a time
     for _, child, rows, g in _levels(m, features, leaf):
         g /= (g @ ONES)[:, None]
         g[np.arange(len(child)), child] -= 1
         for r in rows:
             np.add.at(met, r, np.float32(1))
-            step = g * (np.float32(-RATE) / np.sqrt(met.take(r)))[:, None]
-            np.add.at(flat, (r[:, None] * (FAN // 2) + columns).ravel(), step.view(np.complex64).ravel())
+            step = (g * (np.float32(-RATE) / np.sqrt(met.take(r)))[:, None]).view(np.complex64)
+            for k in range(FAN // 2):
+                np.add.at(pairs[:, k], r, step[:, k])
 
 
 def score_batch(m: Model, features: list[np.ndarray], leaf: np.ndarray) -> np.ndarray:
@@ -240,18 +247,12 @@ def score_batch(m: Model, features: list[np.ndarray], leaf: np.ndarray) -> np.nd
     return out
 
 
-def _flat(batch: pa.RecordBatch, train_only: bool) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Row numbers, hashes of all their tokens, and where each row's tokens start."""
-    ids = batch.column(0).to_pylist()
-    rows, parts = [], []
-    for i, t in enumerate(texts(batch)):
-        if not (train_only and held_out(ids[i])):
-            rows.append(i)
-            parts.append(tokens(t))
-    if not parts:
-        return [], np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-    starts = np.concatenate(([0], np.cumsum([len(p) for p in parts])[:-1]))
-    return rows, np.concatenate(parts), starts
+def _flat(batch: pa.RecordBatch, train_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all rows' tokens (of training rows only if so asked), and where each row's tokens start."""
+    parts = texts(batch)
+    if train_only:
+        parts = [t for d, t in zip(batch.column(0).to_pylist(), parts, strict=True) if not held_out(d)]
+    return tokens(parts)
 
 
 def _train(docs: DataFrame, model: Model, part: int) -> Model:
@@ -267,7 +268,7 @@ def _train(docs: DataFrame, model: Model, part: int) -> Model:
         mine.w = m.w.copy()
         met = np.zeros(len(m.w), dtype=np.float32)
         for batch in slices(batches):
-            _, h, starts = _flat(batch, train_only=True)
+            h, starts = _flat(batch, train_only=True)
             if not len(h):
                 continue
             features = histories(h, starts)
@@ -325,7 +326,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
         m, part, row = shared.value, TaskContext.get().partitionId(), 0
         log_c = np.log10(m.count + SMOOTHING)
         for batch in slices(batches):
-            _, h, starts = _flat(batch, train_only=False)
+            h, starts = _flat(batch, train_only=False)
             n = batch.num_rows
             if not n:
                 continue

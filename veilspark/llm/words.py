@@ -12,6 +12,11 @@ import xxhash
 #: Entries of a worker's table of word hashes; it starts anew beyond that, so memory stays bounded.
 TABLE_LIMIT = 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
+LENGTH = np.uint64(0xD6E8FEB86659FD93)
+#: Longer words are hashed one by one.
+LONG = 64
+SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 np.seterr(over="ignore")  # hashes wrap around
 
 
@@ -41,6 +46,40 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends in the bytes of several texts, one behind the other; ends: where each text ends."""
+    inside = ~SPACE.take(data)
+    begins, stops = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    stops[:-1] &= ~inside[1:]
+    cuts = ends[(ends > 0) & (ends < len(data))]  # words do not go on in the next text
+    begins[cuts], stops[cuts - 1] = inside[cuts], inside[cuts - 1]
+    return np.flatnonzero(begins), np.flatnonzero(stops) + 1
+
+
+def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of data, eight bytes at a time; spans of up to eight bytes and one length never share one."""
+    n = last - first
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=np.append(data, np.zeros(8, dtype=np.uint8)), strides=(1,))  # the eight bytes from each byte on
+    h = mixed(eight[first] & LOW_BYTES.take(np.minimum(n, 8))) + n.astype(np.uint64) * LENGTH
+    for k in range(8, LONG, 8):
+        at = np.flatnonzero(n > k) if k == 8 else at[n.take(at) > k]
+        if not len(at):
+            break
+        h[at] = mixed(h.take(at) * MIX + (eight[first.take(at) + k] & LOW_BYTES.take(np.minimum(n.take(at) - k, 8))))
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[first[i] : last[i]].data)
+    return mixed(h)
+
+
+def flat_words(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (A-Z lower-cased) of all parts in their order, and how many each part has."""
+    data = np.frombuffer(b"".join(parts).lower(), dtype=np.uint8)
+    ends = np.cumsum([len(x) for x in parts], dtype=np.int64)
+    first, last = word_spans(data, ends)
+    return span_hashes(data, first, last), np.diff(np.searchsorted(first, ends), prepend=0)
+
+
 def windows(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n neighbours in h."""
     m = len(h) - n + 1
