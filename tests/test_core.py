@@ -96,6 +96,14 @@ def test_matchers(spark):
     assert [r["matched_text"] for r in S.spans(pages(spark, "aaaa Smart carts"), exact).collect()] == ["aa", "aa", "art", "art"]
 
 
+def test_cards_beside_other_numbers(spark):
+    """A card number is found whatever number stands beside it; groups that are too short for one are joined, also 6 and 13 digits."""
+    card = "4111111111111111"
+    beside = [f"from 38.253.197.126 {card}", f"{card} 27.65.93.188", f"+1 (836) 555-9331 {card} 53.121.55.90", f"12 4111-1111-1111-1111 42 {card} 7", f"4242 {card[:-1]}2 42", f"12 {card[:-1]}2", f"4111 1111 1111 1111 {card}"]
+    assert one(spark, "creditCardNumbers", *beside) == [[card], [card], [card], ["4111-1111-1111-1111", card], [], [], ["4111 1111 1111 1111", card]]
+    assert one(spark, "creditCardNumbers", "3782 822463 10005.", "622588 1234567890120", "123456 4222222222222", "411111111111 11111111", "4222222222222 1234") == [["3782 822463 10005"], ["622588 1234567890120"], ["4222222222222"], [], ["4222222222222"]]
+
+
 def test_many_exact_rules_agree_with_few(spark):
     words = [f"w{i}" for i in range(100)] + ["The", "a.b\\E"]
     rules = tuple(R.Rule("exact", w, w == "The", None, i + 1) for i, w in enumerate(words))

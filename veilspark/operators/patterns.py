@@ -71,6 +71,9 @@ ADDRESS = (
 )
 GERMAN = rf"(?U)\b\p{{Lu}}\p{{L}}*(?:straße|strasse|str\.|platz|weg|allee|gasse|ring|damm|ufer) [0-9]{{1,4}}[a-z]?(?:, [0-9]{{5}} \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?(?:, (?:{COUNTRIES}))?)?"
 BOX = rf"\b(?:P\.? ?O\.? Box|Post Office Box) [0-9]{{1,8}}(?:{US_TAIL})?"
+#: Not before thirteen digits without a space: such a group is long enough for a card number of its own and is joined with no number beside it.
+SHORT = r"(?![0-9](?:-?[0-9]){12})"
+CARD = rf"(?<![0-9-])(?:[0-9](?:-?[0-9]){{12,18}}|{SHORT}[0-9](?:(?: {SHORT}|-)?[0-9]){{12,18}})(?![0-9-])"
 NAME_KEY = r"[A-Z0-9_]*(?:KEY|SECRET|TOKEN|PASSWORD|PASSWD)[A-Z0-9_]*"
 
 PATTERNS: dict[str, tuple[Pattern, ...]] = {
@@ -89,9 +92,10 @@ PATTERNS: dict[str, tuple[Pattern, ...]] = {
         Pattern(r"(?i)\b(?:swift|bic)\b(?:\s*(?:code|no\.?|number|#))?\s*[:.\-]?\s*([A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?)\b", 1, keep=lambda v, b: v == F.upper(v)),
     ),
     "creditCardNumbers": (
-        Pattern(r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-])", keep=lambda v, b: passes_luhn(v), digits=1),
+        Pattern(CARD, keep=lambda v, b: passes_luhn(v), digits=1),
         Pattern(r"(?i)\b(?:cvv2?|cvc2?|cid|csc|security\s+code|card\s+code)\s*[:.\-]?\s*([0-9]{3,4})\b", 1, digits=3),
         Pattern(r"(?i)\b(?:exp(?:iry|ires|iration)?\.?(?:\s+date)?|valid\s+thru)\s*[:.\-]?\s*((?:0[1-9]|1[0-2])\s*/\s*(?:[0-9]{2}|20[0-9]{2}))\b", 1, gate="/", digits=2),
+        Pattern(r"(?<![0-9-])[0-9]{6} [0-9]{13}(?![0-9-])", keep=lambda v, b: passes_luhn(v) & ~passes_luhn(F.substring(v, 8, 13)), digits=9),  # the one layout whose group is that long
     ),
     "datesOfBirth": (Pattern(rf"(?i)\b{BIRTH_LABEL}\s*[:.\-]?\s*({DATE})(?![0-9])", 1, digits=1),),
     "employerIdentificationNumbers": (
