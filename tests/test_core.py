@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark import book_queries
+from veilspark import book_queries, queries
 from veilspark.functions import proposals as P
+from veilspark.functions import text as functions_text
 from veilspark.functions.text import normalized, normalized_breaks
 from veilspark.operators import offsets, proposals, recognition, tables
 from veilspark.operators import spans as S
@@ -104,6 +105,33 @@ def test_cards_beside_other_numbers(spark):
     assert one(spark, "creditCardNumbers", "3782 822463 10005.", "622588 1234567890120", "123456 4222222222222", "411111111111 11111111", "4222222222222 1234") == [["3782 822463 10005"], ["622588 1234567890120"], ["4222222222222"], [], ["4222222222222"]]
 
 
+def test_matches_are_worked_out_once(spark):
+    """No filter below the projection that finds spans works out all of them again."""
+    texts = pages(spark, "account 1234567 of 10.0.0.1", "| Account | x |\n|---|---|\n| 1234567 | y |\n", "")
+    found = S.spans(texts, book_of("accountNumbers"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted((r["doc_id"], r["matched_text"]) for r in found.collect()) == [(1, "1234567"), (2, "1234567")]
+
+
+def test_breaks_of_even_texts(spark):
+    """Texts whose white space is single blanks and line feeds go a shorter way, with the same result."""
+    rng = random.Random(7)
+    kinds = ["a", "é", "-", " ", " ", "\n", "\n", "\t", "\r", "\x0b", "\x85", "\xa0", "\u2028", "\u2029", "\u3000", "\ufeff", "1"]
+    rows = [("".join(rng.choice(kinds[:k]) for _ in range(rng.randint(0, 9))),) for k in (7, 7, len(kinds)) for _ in range(1500)]
+    t = F.col("t")
+    both = spark.createDataFrame(rows, "t string").select("t", normalized(t).alias("n"), normalized_breaks(t).alias("b"), functions_text._all_breaks(t).alias("whole"), F.rlike(t, F.lit(functions_text.UNEVEN)).alias("uneven")).collect()
+    assert all(r["b"] == r["whole"] for r in both)
+    assert len({r["t"] for r in both if not r["uneven"] and "\n" in r["t"]}) > 50
+
+
+def test_texts_made_of_keys_are_dealt_out(spark, tmp_path):
+    """A file of one row group is not one task for texts that are made of its keys."""
+    spark.range(1, 51).select(F.col("id").alias("o_orderkey")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    for found in (queries.labelled_pages(spark, str(tmp_path)),):
+        assert found.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+    assert {r["doc_id"] for r in queries.labelled_pages(spark, str(tmp_path)).collect()} == set(range(1, 51))
+
+
 def test_many_exact_rules_agree_with_few(spark):
     words = [f"w{i}" for i in range(100)] + ["The", "a.b\\E"]
     rules = tuple(R.Rule("exact", w, w == "The", None, i + 1) for i, w in enumerate(words))

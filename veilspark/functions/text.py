@@ -25,11 +25,19 @@ def _joined_lines(text: Column) -> Column:
 
 def normalized(text: Column) -> Column:
     """The text that matchers run over. Single spaces, most of all white space, are left as they are."""
-    return F.trim(F.regexp_replace(_joined_lines(text), r"(?U) \s+|[^\S ]\s*", " "))
+    return F.trim(F.regexp_replace(_joined_lines(text), r"(?U)[^!-~](?:(?<= )\s+|(?<! )(?<=\s)\s*)", " "))  # what most characters are is told at once
+
+
+#: White space that is no single space or LF within a text, an LF after a hyphen, a byte-order mark.
+UNEVEN = r"(?U)[^!-~](?:(?<=[^\S \n]|\x{FEFF}|-\n|\A\n)|(?<=[ \n])\s|(?<=\n)\z)"
 
 
 def normalized_breaks(text: Column) -> Column:
-    """normalized(text) with the kind of break kept in each space's place."""
+    """normalized(text) with the kind of break kept in each space's place; a text without UNEVEN keeps all but its outer blanks."""
+    return F.when(F.rlike(text, F.lit(UNEVEN)), _all_breaks(text)).otherwise(F.trim(text))
+
+
+def _all_breaks(text: Column) -> Column:
     text = F.regexp_replace(_joined_lines(text), r"\r\n", "\n")
     text = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
     text = F.regexp_replace(text, rf"(?U)[^\S{BREAKS}]*[{BREAKS}]\s*[{BREAKS}]\s*", PARAGRAPH)

@@ -183,8 +183,10 @@ def spans(pages: DataFrame, book: RuleBook, unlabelled: int | None = None, carry
     keys = ["doc_id", "page", *carry]
     out, base = None, page_spans(pages, book, unlabelled, carry, matchers)
     if len(book.exact) <= MANY_EXACT or book.categories:
-        found = base.select(*keys, F.explode("sources").alias("s")).select(*keys, "s.*")
-        out = found.select(*keys, "source_kind", "category", "rule_description", "rule_line", F.explode("spans").alias("m")).select("*", "m.*").drop("m")
+        # Outer: of other explosions Spark infers that their arrays are not empty, and works out all matches for that filter, below the projection, again.
+        found = base.select(*keys, F.explode_outer("sources").alias("s")).select(*keys, "s.*")
+        found = found.select(*keys, "source_kind", "category", "rule_description", "rule_line", F.explode_outer("spans").alias("m")).filter("m is not null")
+        out = found.select("*", "m.*").drop("m")
     if len(book.exact) > MANY_EXACT:
         many = many_exact(base.select(*keys, "n"), book.exact)
         out = many if out is None else out.unionByName(many)
