@@ -127,7 +127,7 @@ def test_breaks_of_even_texts(spark):
 def test_texts_made_of_keys_are_dealt_out(spark, tmp_path):
     """A file of one row group is not one task for texts that are made of its keys."""
     spark.range(1, 51).select(F.col("id").alias("o_orderkey")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
-    for found in (queries.labelled_pages(spark, str(tmp_path)),):
+    for found in (queries.labelled_pages(spark, str(tmp_path)), book_queries.category_offsets(spark, str(tmp_path))):
         assert found.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
     assert {r["doc_id"] for r in queries.labelled_pages(spark, str(tmp_path)).collect()} == set(range(1, 51))
 

@@ -16,7 +16,7 @@ from veilspark.oracles import BOTH, DOCS, IP, THE, _norm, _occurrences, _places
 from veilspark.plans import plan, redaction, reports
 from veilspark.sources import copies
 from veilspark.sources import rules as R
-from veilspark.sources.tables import Store, conversations, documents
+from veilspark.sources.tables import Store, conversations, dealt, documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -152,7 +152,7 @@ def category_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     near = _text("Pay to DE8 3704, swift code deutdeff, 12:34:56, dxx: none, cvx: 123, exp 14/27, P Box 12, private 123456789, ", k % 7)
     text = F.when(k % 2 == 1, near).otherwise(F.element_at(F.array(*kinds), (k / 2 % 6 + 1).cast("int")))
-    pages = _table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.lit(1).alias("page"), text.alias("text"))
+    pages = dealt(_table(spark, sf_dir, "orders").select(k)).select(k.alias("doc_id"), F.lit(1).alias("page"), text.alias("text"))
     book = R.RuleBook(tuple(R.Rule("category", None, False, c, i + 1) for i, c in enumerate(("accountNumbers", "ipAddresses", "healthInformation", "creditCardNumbers", "streetAddresses", "employerIdentificationNumbers"))))
     return S.spans(pages, book).select("doc_id", "rule_line", "start", "stop", "matched_text")
 
