@@ -90,6 +90,7 @@ def redact(
     folder: str | None = None,
     matchers: Matchers | None = None,
     progress: Progress | None = None,
+    runaway: int | None = RUNAWAY,
 ) -> Redaction:
     """Mask what is to go, read back, and judge each document.
 
@@ -102,7 +103,7 @@ def redact(
     pages may have annotations (array<struct<value, contents>>), a second source of strings: each string is a place of its
     page, as the page's text is place 0, and all that goes is looked for in both, reviewers' texts and inspectors' reports
     included. An annotation with a hit in either string goes as a whole and counts once; a rule that runs away on a page's text is
-    refused there, not in its annotations.
+    refused there, not in its annotations. runaway: so many hits a page a rule may have; with None no rule is refused, and all that is found goes.
     """
     if book is None and values is None and extra is None:
         raise ValueError("nothing says what to redact")
@@ -118,7 +119,7 @@ def redact(
         extra = store.kept(extra.join(wrong.select("doc_id", "page", "start", "stop"), ["doc_id", "page", "start", "stop"], "left_anti").select(*FOUND), "extra")
     more, notes = [], None
     if book is not None and len(book.exact) > MANY_EXACT:
-        many = _refused(store.kept(_hits(_places(base.select("doc_id", "page", "text")), RuleBook(book.exact), None, None, matchers), "spans-of-many"))
+        many = _refused(store.kept(_hits(_places(base.select("doc_id", "page", "text")), RuleBook(book.exact), None, None, matchers), "spans-of-many"), runaway)
         more.append(many[0])
     if values is not None:
         more.append(value_spans(base, values))
@@ -129,7 +130,7 @@ def redact(
     def counted(df: DataFrame, phase: str) -> DataFrame:
         return df if progress is None else progress.counted(df, phase)
 
-    done = store.kept(counted(_first(base, book, matchers, more, notes), "masked"), "pages-1")
+    done = store.kept(counted(_first(base, book, matchers, more, notes, runaway), "masked"), "pages-1")
     found = done.select("doc_id", "page", F.explode("found").alias("f")).select("doc_id", "page", F.lit(0).alias("place"), "f.*")
     findings = (found if notes is None else found.select(*FOUND).unionByName(notes.select(*FOUND))).select(*FOUND).withColumn("pass", F.lit(1))
     away = done.select("doc_id", "page", F.explode("away").alias("a")).select("doc_id", "page", "a.*")
@@ -138,7 +139,7 @@ def redact(
     done = done.drop("found", "away")
     left, unlocated, refusals = findings.drop("pass").limit(0), None, away
     for n in range(2, max(max_passes, 1) + 2) if verify else ():
-        residue, unlocated, late = _residue(done, findings, book, values, extra, refusals, inspector, matchers, store, n, counted)
+        residue, unlocated, late = _residue(done, findings, book, values, extra, refusals, inspector, matchers, store, n, counted, runaway)
         refusals = refusals.unionByName(late)
         left = store.kept(residue, f"residue-{n}")
         if n > max_passes or left.isEmpty():
@@ -171,7 +172,7 @@ ONE = "array<struct<rule_line:int,rule_description:string,start:int,stop:int,mat
 AWAY = "array<struct<rule_line:int,rule_description:string,n:long>>"
 
 
-def _first(base: DataFrame, book: RuleBook | None, matchers: Matchers | None, more: list[DataFrame], notes: DataFrame | None) -> DataFrame:
+def _first(base: DataFrame, book: RuleBook | None, matchers: Matchers | None, more: list[DataFrame], notes: DataFrame | None, runaway: int | None) -> DataFrame:
     """The first pass: pages masked, with the spans found on them and the rules refused there.
 
     What rules find is masked in the projection that finds it; only spans that come from elsewhere (values of plans, reviewers, many
@@ -179,12 +180,16 @@ def _first(base: DataFrame, book: RuleBook | None, matchers: Matchers | None, mo
     """
     carry = ("annotations",) if "annotations" in base.columns else ()
     pages = page_spans(base, book, carry=carry, matchers=matchers)
-    kept = F.filter("sources", lambda s: F.size(s["spans"]) <= RUNAWAY)
+
+    def much(s: Column) -> Column:
+        return F.lit(False) if runaway is None else F.size(s["spans"]) > runaway
+
+    kept = F.filter("sources", lambda s: ~much(s))
 
     def rows(s: Column) -> Column:
         return F.transform(s["spans"], lambda m: F.struct(s["rule_line"], s["rule_description"], m["start"], m["stop"], m["matched_text"], F.lit("rule")))
 
-    away = F.transform(F.filter("sources", lambda s: F.size(s["spans"]) > RUNAWAY), lambda s: F.struct(s["rule_line"], s["rule_description"], F.size(s["spans"]).cast("long")))
+    away = F.transform(F.filter("sources", much), lambda s: F.struct(s["rule_line"], s["rule_description"], F.size(s["spans"]).cast("long")))
     pages = pages.select("doc_id", "page", *carry, F.col("n").alias("text"), has_text(F.col("text")).alias("readable"), F.flatten(F.transform(kept, rows)).cast(ONE).alias("found"), away.cast(AWAY).alias("away"))
     if more:
         joined = reduce(lambda a, b: a.unionByName(b), (m.select(*FOUND) for m in more))
@@ -242,9 +247,11 @@ def _hits(places: DataFrame, book: RuleBook | None, values: DataFrame | None, ex
     return out.select(*FOUND)
 
 
-def _refused(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _refused(found: DataFrame, limit: int | None) -> tuple[DataFrame, DataFrame]:
     """(spans that count, (page, rule) pairs refused): only rules can run away, and only on the text of a page."""
-    away = refused(found.filter("place = 0 and origin = 'rule'").withColumn("source_kind", F.lit("rule")), RUNAWAY)[1].drop("source_kind")
+    if limit is None:
+        return found.select(*FOUND), found.select("doc_id", "page", "rule_line", "rule_description", F.lit(0).cast("long").alias("n")).limit(0)
+    away = refused(found.filter("place = 0 and origin = 'rule'").withColumn("source_kind", F.lit("rule")), limit)[1].drop("source_kind")
     keys = away.select("doc_id", "page", "rule_line", F.lit(0).alias("place"), F.lit("rule").alias("origin"))
     return found.join(keys, ["doc_id", "page", "rule_line", "place", "origin"], "left_anti").select(*FOUND), away
 
@@ -259,7 +266,7 @@ def value_spans(pages: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def _residue(
-    done: DataFrame, findings: DataFrame, book: RuleBook | None, values: DataFrame | None, extra: DataFrame | None, away: DataFrame, inspector: Callable[[DataFrame], DataFrame] | None, matchers: Matchers | None, store: Store, n: int, counted: Callable[[DataFrame, str], DataFrame]
+    done: DataFrame, findings: DataFrame, book: RuleBook | None, values: DataFrame | None, extra: DataFrame | None, away: DataFrame, inspector: Callable[[DataFrame], DataFrame] | None, matchers: Matchers | None, store: Store, n: int, counted: Callable[[DataFrame, str], DataFrame], runaway: int | None
 ) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """What is still found in what would be written, outside the ranges masked so far; what an inspector reports but no page holds; rules refused only now.
 
@@ -269,7 +276,7 @@ def _residue(
     if "annotations" in done.columns:  # those that are gone keep their number, without strings
         read = read.withColumn("annotations", F.transform("annotations", lambda a, i: F.when(~F.array_contains("gone", i), a)))
     places = _places(counted(read, f"read back {n - 1}"))
-    seen, late = _refused(store.kept(_hits(places, book, values, extra, matchers), f"spans-{n}"))
+    seen, late = _refused(store.kept(_hits(places, book, values, extra, matchers), f"spans-{n}"), runaway)
     late = store.kept(late.join(away.select("doc_id", "page", "rule_line").distinct(), ["doc_id", "page", "rule_line"], "left_anti").select(*away.columns), f"refused-{n}")
     known = away.select("doc_id", "page", "rule_line", F.lit(0).alias("place"), F.lit("rule").alias("origin")).distinct()
     seen = seen.join(known, ["doc_id", "page", "rule_line", "place", "origin"], "left_anti").select(*FOUND)
