@@ -24,3 +24,11 @@ def test_pages_full_of_addresses(spark, tmp_path, name):
     many = " and ".join(f"10.0.{i}.1" for i in range(45))
     mails = ", ".join(f"a{i}@b.example" for i in range(50))
     against_sql(spark, tmp_path, name, [many, "from 10.0.0.1 by a@b.example", "nothing", f"{mails} at 10.2.3.4", None])
+
+
+@pytest.mark.parametrize("name", ["masked_findings"])
+def test_cards_beside_other_numbers(spark, tmp_path, name):
+    """A number beside a card's, as the last part of an address or of a phone number, is no part of it."""
+    card, other = "4111111111111111", "4880761348116108"
+    texts = [f"at 38.253.197.126 {other} now", f"{card} 27.65.93.188", f"call +1 (836) 555-9331 {card} 53.121.55.90", "on 38.211.12.42 4366089147969128 there", "4111111111111112 42", "The license", None]
+    against_sql(spark, tmp_path, name, texts)
