@@ -26,7 +26,7 @@ def test_pages_full_of_addresses(spark, tmp_path, name):
     against_sql(spark, tmp_path, name, [many, "from 10.0.0.1 by a@b.example", "nothing", f"{mails} at 10.2.3.4", None])
 
 
-@pytest.mark.parametrize("name", ["masked_findings", "rule_counts"])
+@pytest.mark.parametrize("name", ["masked_findings", "rule_counts", "spans_by_category"])
 def test_cards_beside_other_numbers(spark, tmp_path, name):
     """A number beside a card's, as the last part of an address or of a phone number, is no part of it."""
     card, other = "4111111111111111", "4880761348116108"
